@@ -1 +1,8 @@
 """Message-notification triage as Spark DataFrame jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the task, so executors need no install.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

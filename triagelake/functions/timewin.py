@@ -13,6 +13,12 @@ def epoch_micros(ts: Column) -> Column:
     return seconds * 1000000 + (F.extract(F.lit("SECOND"), ts) * 1000000).cast("long")
 
 
+def from_micros(micros: Column) -> Column:
+    """Wall-clock timestamp back from ``epoch_micros``."""
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1000000)).cast("decimal(18,6)")
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds)
+
+
 def days_between(later: Column, earlier: Column) -> Column:
     """Fractional days."""
     return (epoch_micros(later) - epoch_micros(earlier)) / F.lit(86400000000.0)

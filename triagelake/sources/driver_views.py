@@ -45,42 +45,49 @@ PHRASES = (
 )
 
 
-def _phrase_case(index: str) -> str:
-    arms = " ".join(f"WHEN {i} THEN '{p}'" for i, p in enumerate(PHRASES))
+# Message bodies; several scripts of the Latin alphabet, so both normalisation paths run.
+BODIES = (
+    "Die Straße zum Büro ist heute gesperrt", "Merci de venir récupérer le colis à la réception",
+    "The lift on the third floor is being repaired", "El niño llegó mañana a la fiesta del barrio",
+    "Please bring the signed form and one photo", "Receipt group me mat bhejna",
+    "Our team will call back after the morning round", "Größe und Maße stehen im Anhang",
+    "The cricket match begins at six near the old gate", "Ça va très bien, à bientôt",
+    "Water supply stops between ten and noon", "Your parcel left the warehouse",
+)
+
+
+def _case(index: str, words: tuple[str, ...]) -> str:
+    arms = " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(words))
     return f"CASE {index} {arms} END"
 
 
 VIEWS = {
     # Every event as a chat message with its recorded reaction.
     "keyed_events": """
-        SELECT event_id, user_id, ts, event_type, value,
-               event_id % (SELECT max(conv_id) + 1 FROM conversations) AS conv_id,
-               (event_id * 5 + user_id) % 24 AS phrase_no,
-               (user_id * 4 + CAST(FLOOR(event_id / 3) AS BIGINT) % 4)
-                   % (SELECT count(*) FROM supplier) AS supp_no,
+        SELECT event_id, user_id, ts, event_type, value, props,
+               (event_id * 5 + user_id) % 24 AS phrase_no, (event_id * 7 + user_id) % 12 AS body_no,
+               (user_id * 4 + CAST(FLOOR(event_id / 3) AS BIGINT) % 4) % 100 AS supp_no,
                user_id + CAST(FLOOR(event_id / 3) AS BIGINT) % 5 + 1 AS sender_no
         FROM events""",
-    "openings": "SELECT conv_id, text FROM conversations WHERE turn = 0",
     "base": f"""
-        SELECT concat('m', lpad(CAST(e.event_id AS STRING), 12, '0')) AS message_id,
-               concat('u', CAST(e.user_id AS STRING)) AS user_id,
-               CASE e.event_id % 3 WHEN 0 THEN 'personal' WHEN 1 THEN 'group' ELSE 'business' END
+        SELECT concat('m', lpad(CAST(event_id AS STRING), 12, '0')) AS message_id,
+               concat('u', CAST(user_id AS STRING)) AS user_id,
+               CASE event_id % 3 WHEN 0 THEN 'personal' WHEN 1 THEN 'group' ELSE 'business' END
                    AS conversation_type,
-               CASE WHEN e.event_id % 3 = 1 THEN concat('g', CAST(e.user_id % 26 AS STRING)) END AS group_id,
-               CASE WHEN e.event_id % 3 = 2 THEN concat('b', CAST(e.supp_no AS STRING)) END AS business_id,
-               CASE WHEN e.event_id % 3 <> 2 AND e.event_id % 31 <> 0
-                    THEN concat('u', CAST(e.sender_no AS STRING)) END AS sender_user_id,
-               e.ts AS created_at,
-               CASE WHEN e.phrase_no = 7 THEN ''
-                    WHEN o.text IS NULL THEN {_phrase_case('e.phrase_no')}
-                    ELSE concat({_phrase_case('e.phrase_no')}, '. ', o.text) END AS message_text,
-               CASE e.event_id % 10 WHEN 3 THEN 'image' WHEN 7 THEN 'voice' END AS media_type,
-               CASE e.event_id % 10 WHEN 3 THEN concat('image', CAST(e.event_id % 400 AS STRING))
-                                    WHEN 7 THEN concat('voice', CAST(e.event_id % 400 AS STRING)) END AS media_id,
-               CASE WHEN e.event_id % 4 = 0 THEN CAST(e.event_id % 12 AS INT) ELSE 0 END AS forwarded_count,
-               e.event_id AS position, e.event_id, e.user_id AS user_no, e.supp_no, e.phrase_no,
-               e.event_type, e.value
-        FROM keyed_events e LEFT JOIN openings o ON e.conv_id = o.conv_id""",
+               CASE WHEN event_id % 3 = 1 THEN concat('g', CAST(user_id % 26 AS STRING)) END AS group_id,
+               CASE WHEN event_id % 3 = 2 THEN concat('b', CAST(supp_no AS STRING)) END AS business_id,
+               CASE WHEN event_id % 3 <> 2 AND event_id % 31 <> 0
+                    THEN concat('u', CAST(sender_no AS STRING)) END AS sender_user_id,
+               ts AS created_at,
+               CASE WHEN phrase_no = 7 THEN ''
+                    ELSE concat({_case('phrase_no', PHRASES)}, '. ', {_case('body_no', BODIES)}, ' ', props) END
+                   AS message_text,
+               CASE event_id % 10 WHEN 3 THEN 'image' WHEN 7 THEN 'voice' END AS media_type,
+               CASE event_id % 10 WHEN 3 THEN concat('image', CAST(event_id % 400 AS STRING))
+                                  WHEN 7 THEN concat('voice', CAST(event_id % 400 AS STRING)) END AS media_id,
+               CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 12 AS INT) ELSE 0 END AS forwarded_count,
+               event_id AS position, event_id, user_id AS user_no, supp_no, phrase_no, event_type, value
+        FROM keyed_events""",
     "message_columns": """
         SELECT message_id, user_id, conversation_type, group_id, business_id, sender_user_id, created_at,
                message_text, media_type, media_id, forwarded_count, position, event_id, user_no, phrase_no,
@@ -357,16 +364,21 @@ def check_sql(names: tuple[str, ...], body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A base table; a file too small to be read by several tasks is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ("events", "documents", "pages") and df._jdf.rdd().getNumPartitions() < cores:
+        df = df.repartition(cores)
+    return df
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One domain view as a DataFrame over the parquet tables in ``sf_dir``."""
     order = _closure((name,))
-    used = {w for n in order for w in re.findall(r"(?:FROM|JOIN)\s+([a-z_]+)", VIEWS[n])}
-    ctes = [
-        f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in BASE_TABLES if t in used
-    ]
+    sources = {w for n in order for w in re.findall(r"(?:FROM|JOIN)\s+([a-z_]+)", VIEWS[n])} & set(BASE_TABLES)
+    for source in sources:
+        table(spark, sf_dir, source).createOrReplaceTempView(f"driver_{source}")
+    ctes = [f"{source} AS (SELECT * FROM driver_{source})" for source in sorted(sources)]
     ctes += [f"{n} AS ({_render(n, 'explode(array(0, 1, 2, 3, 4, 5))')})" for n in order]
     return spark.sql("WITH " + ",\n".join(ctes) + f"\nSELECT * FROM {name}")
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
