@@ -3,23 +3,26 @@
 Identical texts are folded into one representative first. Representatives meet in buckets
 keyed by their rarest trigrams (a prefix filter, so no qualifying pair is missed). In each
 bucket the smallest id is the hub and every member is compared with it: one comparison per
-member. A member close enough to its hub needs no other partner in that bucket, because
-two such members are already connected. Only members the hub does not explain are compared
-among themselves, in cells of bounded size, and a cell returns links, never its pairs.
+member. Members close enough to the hub need no other partner among themselves in that
+bucket, because they are already connected through it; a bucket that stays crowded gets
+further hubs. Only pairs the hubs do not explain are compared, in cells of bounded size, by
+a parity sketch that never rejects a qualifying pair; the few survivors are verified.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from triagelake import config as C
 from triagelake.functions.text import jaccard, normalise_text, trigrams
-from triagelake.operators.retrieval import jaccard_matrix
 from triagelake.session import cut_lineage
 
-_LINKS = "id string, other string, jaccard double"
+_WORDS = 8                      # 64-bit words of the parity sketch
+_SKETCH = [f"s{i}" for i in range(_WORDS)]
+_MAX_HUB_ROUNDS = 4
 
 
 def _representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -32,106 +35,116 @@ def _representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select(F.col("rep").alias("id"), "words", grams.alias("grams"), F.size(grams).alias("n")), members
 
 
+def _sketches(tokens: DataFrame) -> DataFrame:
+    """Parity bits of each set: two sets differ in at least as many items as in bits."""
+    h = F.pmod(F.xxhash64("gram"), F.lit(64 * _WORDS))
+    word, bit = F.floor(h / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
+    zero = F.lit(0).cast("long")
+    return tokens.select("id", word.alias("_w"), bit.alias("_b")).groupBy("id").agg(
+        *[F.bit_xor(F.when(F.col("_w") == i, F.col("_b")).otherwise(zero)).alias(c) for i, c in enumerate(_SKETCH)])
+
+
+def _bits_apart(left, right) -> Column:
+    """``left`` and ``right`` map a sketch column name to its value."""
+    return reduce(lambda a, b: a + b, [F.bit_count(left(c).bitwiseXOR(right(c))) for c in _SKETCH])
+
+
+def _may_qualify(bits: Column, sizes: Column, threshold: float) -> Column:
+    """False only when the sketch proves the similarity is below the threshold."""
+    return bits * F.lit(1 + threshold) <= sizes * F.lit(1 - threshold) + 1e-9
+
+
 def _buckets(reps: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, id, n): the rarest trigrams of each text, split by size band.
+    """(bucket, own, id, n, sketch): the rarest trigrams of each text, split by size band.
 
     Two sets more similar than the threshold share one of their n - ceil(t*n) + 1 rarest
-    trigrams, and their sizes lie in the same or in neighbouring bands.
+    trigrams, and their sizes lie in the same or in neighbouring bands; a set is its own
+    in one band and a guest in the next.
     """
     tokens = reps.select("id", "n", F.explode("grams").alias("gram"))
     frequency = tokens.groupBy("gram").agg(F.count("*").alias("f"))
-    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold)) + 1
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
     ranked = tokens.join(frequency, "gram").groupBy("id", "n").agg(
         F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("rare"))
-    prefix = ranked.select("id", "n", F.explode(F.slice("rare", F.lit(1), keep.cast("int"))).alias("t"))
     band = F.floor(F.log("n") / F.lit(-np.log(threshold).item())).cast("int")
-    return prefix.select(
-        "id", "n", F.explode(F.array(F.concat_ws("|", "t.gram", band), F.concat_ws("|", "t.gram", band + 1))).alias("bucket"))
+    prefix = ranked.withColumn("_band", band).select(
+        "id", "n", "_band", F.explode(F.slice("rare", F.lit(1), keep.cast("int"))).alias("t"))
+    seats = F.explode(F.array(
+        F.struct(F.concat_ws("|", "t.gram", "_band").alias("bucket"), F.lit(True).alias("own")),
+        F.struct(F.concat_ws("|", "t.gram", F.col("_band") + 1).alias("bucket"), F.lit(False).alias("own"))))
+    return prefix.select("id", "n", seats.alias("seat")).select("seat.*", "id", "n").join(_sketches(tokens), "id")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     """Exact similarity of distinct id pairs."""
     sets = reps.select("id", "grams")
-    left = pairs.join(sets, "id")
-    both = left.join(sets.select(F.col("id").alias("other"), F.col("grams").alias("_g")), "other")
+    both = pairs.join(sets, "id").join(sets.select(F.col("id").alias("other"), F.col("grams").alias("_g")), "other")
     return both.select("id", "other", jaccard(F.col("grams"), F.col("_g")).alias("jaccard"))
 
 
-def _cell_linker(threshold: float):
-    """Links of one cell: the smallest partner of each row and a spanning set."""
-
-    def link(cell: pd.DataFrame) -> pd.DataFrame:
-        left, right = cell[cell["is_left"]], cell[~cell["is_left"]]
-        if left.empty or right.empty:
-            return pd.DataFrame({"id": [], "other": [], "jaccard": []})
-        a = left.sort_values("id").reset_index(drop=True)
-        b = right.sort_values("id").reset_index(drop=True)
-        sim = np.nan_to_num(jaccard_matrix(a["words"].tolist(), b["words"].tolist()), nan=0.0)
-        hit = (sim > threshold) & (a["id"].to_numpy()[:, None] != b["id"].to_numpy()[None, :])
-        out = []
-        # Smallest partner of every row on either side.
-        for matrix, rows, cols in ((hit, a, b), (hit.T, b, a)):
-            has = np.flatnonzero(matrix.any(axis=1))
-            first = matrix[has].argmax(axis=1)
-            out.append(pd.DataFrame({"id": rows["id"].to_numpy()[has], "other": cols["id"].to_numpy()[first],
-                                     "jaccard": (sim if matrix is hit else sim.T)[has, first]}))
-        # Spanning set: one link per merge of two groups inside the cell.
-        group_a, group_b = np.arange(len(a)), np.arange(len(b)) + len(a)
-        for i in np.flatnonzero(hit.any(axis=1)):
-            touched = np.unique(group_b[hit[i]])
-            for other in touched[touched != group_a[i]]:
-                j = np.flatnonzero(hit[i] & (group_b == other))[0]
-                out.append(pd.DataFrame({"id": [a["id"][i]], "other": [b["id"][j]], "jaccard": [sim[i, j]]}))
-                target = group_a[i]
-                group_a[group_a == other], group_b[group_b == other] = target, target
-        return pd.concat(out, ignore_index=True)
-
-    return link
+def _hub_round(rows: DataFrame, reps: DataFrame, threshold: float, number: int, min_loose: int):
+    """Compare the loose members of each crowded bucket with their smallest id."""
+    hubs = rows.filter("explained = 0").groupBy("bucket").agg(
+        F.min(F.struct("id", "n", *_SKETCH)).alias("hub"), F.count("*").alias("size")).filter(F.col("size") > min_loose)
+    faced = rows.join(hubs.drop("size"), "bucket", "left")
+    bits = _bits_apart(F.col, lambda c: F.col(f"hub.{c}"))
+    sizes = F.col("n") + F.col("hub.n")
+    faced = cut_lineage(faced.withColumns({
+        "_asked": F.coalesce((F.col("explained") == 0) & F.col("hub.id").isNotNull(), F.lit(False)),
+        "_close": F.coalesce(_may_qualify(bits, sizes, threshold), F.lit(False)),
+        "_bound": (sizes - bits) / (sizes + bits), "_hub": F.col("hub.id"),
+    }).drop("hub"))
+    spokes = faced.filter("_asked AND _close AND id <> _hub").select("id", F.col("_hub").alias("other")).distinct()
+    star = cut_lineage(_verified(spokes, reps))
+    judged = faced.join(star.withColumnRenamed("other", "_hub"), ["id", "_hub"], "left")
+    is_hub = F.col("id") == F.col("_hub")
+    near = F.col("_asked") & F.coalesce(is_hub | (F.col("jaccard") > threshold), F.lit(False))
+    distance = F.when(is_hub, F.lit(0.0)).otherwise(1 - F.coalesce("jaccard", "_bound"))
+    judged = judged.withColumns({
+        "explained": F.when(near, number).otherwise(F.col("explained")),
+        "distance": distance if number == 1 else F.col("distance"),
+    }).drop("_asked", "_close", "_bound", "_hub", "jaccard")
+    return cut_lineage(judged), star.filter(F.col("jaccard") > threshold), hubs
 
 
 def representative_links(reps: DataFrame, threshold: float, block_rows: int) -> DataFrame:
-    """Links (id, other, jaccard) between distinct texts above the threshold.
+    """Links (id, other, jaccard), id < other, between distinct texts above the threshold.
 
     The links connect exactly the texts the full pair list would connect, and hold each
     text's smallest partner.
     """
     buckets = _buckets(reps, threshold)
-    hubs = buckets.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    seated = cut_lineage(buckets.join(hubs, "bucket"))
-    spokes = seated.filter("id <> hub").select("id", F.col("hub").alias("other")).distinct()
-    near_hub = cut_lineage(_verified(spokes, reps))
-    star = near_hub.filter(F.col("jaccard") > threshold)
-
-    # Distance is a metric, so a partner of an unexplained member lies about as far out.
-    placed = seated.filter("id <> hub").join(near_hub.withColumnRenamed("other", "hub"), ["id", "hub"])
-    placed = placed.withColumn("loose", F.col("jaccard") <= threshold)
-    edge = F.min(F.when(F.col("loose"), 1 - F.col("jaccard")))
-    active = placed.groupBy("bucket").agg(
-        edge.alias("edge"), F.count_if("loose").alias("n_loose"), F.count("*").alias("n_all")).filter("n_loose > 0")
-    rest = placed.join(active, "bucket").filter(
-        F.col("loose") | ((1 - F.col("jaccard")) > F.col("edge") - (1 - threshold) - 1e-9))
-    # One cell per pair of blocks; loose rows form the left side, all rows the right side.
+    shared = buckets.groupBy("bucket").agg(F.count("*").alias("_size"), F.max("own").alias("_any_own"))
+    rows = buckets.join(shared.filter("_size > 1 AND _any_own").select("bucket"), "bucket")
+    rows = cut_lineage(rows.withColumns({"explained": F.lit(0), "distance": F.lit(None).cast("double")}))
+    links = []
+    for number in range(1, _MAX_HUB_ROUNDS + 1):
+        if number > 1 and rows.filter("explained = 0").groupBy("bucket").count().filter(F.col("count") > block_rows).isEmpty():
+            break
+        rows, star, _ = _hub_round(rows, reps, threshold, number, 1 if number == 1 else block_rows)
+        links.append(star.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "jaccard"))
+
+    # Distance is a metric: a partner of an unexplained member lies about as far out.
+    slack = F.lit(1 - threshold + 1e-9)
+    active = rows.groupBy("bucket").agg(
+        F.min(F.when(F.col("explained") != 1, F.col("distance"))).alias("_edge"),
+        F.count_if(F.col("explained") != 1).alias("_outside"), F.count("*").alias("n_all")).filter("_outside > 0")
+    rest = rows.join(active, "bucket").filter((F.col("explained") != 1) | (F.col("distance") > F.col("_edge") - slack))
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_all") / block_rows)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
-    left = rest.filter("loose").select("bucket", "id", F.lit(True).alias("is_left"), block.alias("row"), every.alias("col"))
-    right = rest.select("bucket", "id", F.lit(False).alias("is_left"), block.alias("col"), every.alias("row"))
-    wide = F.col("n_all") > 64
-    cells = (
-        left.join(rest.filter(wide).select("bucket").distinct(), "bucket", "left_semi")
-        .unionByName(right.join(rest.filter(wide).select("bucket").distinct(), "bucket", "left_semi"))
-    )
-    from_cells = cells.join(reps.select("id", "words"), "id").groupBy("bucket", "row", "col").applyInPandas(
-        _cell_linker(threshold), _LINKS)
-    # Small buckets: at most 64 rows, checked as id pairs without moving texts.
-    small = rest.filter(~wide)
-    pairs = small.filter("loose").alias("x").join(
-        small.alias("y"),
-        (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") != F.col("y.id"))
-        & (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * threshold),
-    ).select(F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other")).distinct()
-    from_pairs = _verified(pairs, reps).filter(F.col("jaccard") > threshold)
-    return star.unionByName(from_cells).unionByName(from_pairs.select("id", "other", "jaccard"))
+    keep = ["bucket", "own", "id", "n", "explained", "distance", *_SKETCH]
+    x = rest.filter("explained <> 1").select(*keep, block.alias("row"), every.alias("col")).alias("x")
+    y = rest.select(*keep, block.alias("col"), every.alias("row")).alias("y")
+    same_cell = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.col") == F.col("y.col"))
+    once = F.when(F.col("y.explained") == 1, F.col("x.distance") - F.col("y.distance") < slack).otherwise(
+        (F.col("x.id") < F.col("y.id")) & ((F.col("x.explained") == 0) | (F.col("x.explained") != F.col("y.explained"))))
+    sizes = F.col("x.n") + F.col("y.n")
+    bits = _bits_apart(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
+    pairs = x.join(y, same_cell & (F.col("x.own") | F.col("y.own")) & once & _may_qualify(bits, sizes, threshold)).select(
+        F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other")).distinct()
+    links.append(_verified(pairs, reps).filter(F.col("jaccard") > threshold).select("id", "other", "jaccard"))
+    return reduce(DataFrame.unionByName, links).dropDuplicates(["id", "other"])
 
 
 def near_duplicate_links(
