@@ -60,7 +60,7 @@ def parse_evidence_strict(text: Column) -> Column:
 def parse_evidence_set(text: Column) -> Column:
     """Evaluation form: parts trimmed, a distinct sorted set; null when malformed."""
     clean = F.trim(text)
-    parts = F.transform(F.split(clean, ";", -1), F.trim)
+    parts = F.transform(F.split(clean, ";", -1), lambda p: F.trim(p))
     broken = F.exists(parts, lambda p: (p == "") | (p == C.NO_EVIDENCE))
     empty = F.array().cast("array<string>")
     return F.when(clean == C.NO_EVIDENCE, empty).when((clean != "") & ~broken, F.array_sort(F.array_distinct(parts)))
@@ -70,7 +70,7 @@ def ordered_evidence(text: Column) -> Column:
     """Citation order kept, blanks dropped, no error cases."""
     clean = F.trim(F.coalesce(text, F.lit("")))
     empty = F.array().cast("array<string>")
-    parts = F.filter(F.transform(F.split(clean, ";", -1), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(clean, ";", -1), lambda p: F.trim(p)), lambda p: p != "")
     return F.when((clean == "") | (clean == C.NO_EVIDENCE), empty).otherwise(parts)
 
 

@@ -116,7 +116,7 @@ def output_row_errors(rows: DataFrame, messages: DataFrame, history: DataFrame)
     text = {c: F.coalesce(c, F.lit("")) for c in C.OUTPUT_COLUMNS}
     out = rows.select("line_number", *[v.alias(c) for c, v in text.items()]).withColumn("_id", F.trim("message_id"))
     evidence = F.trim("evidence_message_ids")
-    parts = F.transform(F.split(evidence, ";", -1), F.trim)
+    parts = F.transform(F.split(evidence, ";", -1), lambda p: F.trim(p))
     cited = out.select("line_number", F.explode(F.when((evidence != "") & (evidence != C.NO_EVIDENCE), parts)).alias("cited"))
     known = history.select(F.col("message_id").alias("cited")).distinct()
     unresolved = cited.join(known, "cited", "left_anti").select("line_number", F.lit(True).alias("_unresolved")).distinct()
