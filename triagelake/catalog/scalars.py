@@ -184,12 +184,13 @@ def event_relevance(load):
     return load("message_events").select("message_id", N.event_relevance(*flags).alias("relevance"))
 
 
-@add("P20_evidence_score", ("cited_messages", "history", "message_events"), f""", pair AS (SELECT c.message_id, c.cite_id,
-  c.created_at AS at, h.created_at AS h_at, {q.grams(q.norm('c.message_text'))} AS a, {q.grams(q.norm('h.message_text'))} AS b,
-  c.group_id IS NOT NULL AND c.group_id = h.group_id AS same_group, e.message_id IS NOT NULL AS has_event, {_RELEVANCE} AS rel
-  FROM cited_messages c JOIN history h ON c.cite_id = h.message_id LEFT JOIN message_events e ON e.message_id = h.message_id AND e.user_id = h.user_id)
-SELECT message_id, cite_id, round(0.35 + 0.25 * coalesce({q.jac('a', 'b')}, 0) + 0.15 * same_group::INT + 0.15 * CASE WHEN has_event THEN rel ELSE 0 END
-  + 0.10 * pow(0.5, (epoch_us(at) - epoch_us(h_at)) / 86400000000.0 / 30.0), 6) AS score FROM pair""")
+@add("P20_evidence_score", ("cited_messages", "history", "message_events"), f""", txt AS (SELECT c.message_id, c.cite_id,
+  c.created_at AS m_at, h.created_at AS h_at, {q.norm('c.message_text')} AS x, {q.norm('h.message_text')} AS y,
+  coalesce(c.group_id = h.group_id, false) AS same_group, CASE WHEN e.message_id IS NOT NULL THEN {_RELEVANCE} ELSE 0 END AS rel
+  FROM cited_messages c JOIN history h ON c.cite_id = h.message_id LEFT JOIN message_events e ON e.message_id = h.message_id AND e.user_id = h.user_id),
+pair AS (SELECT *, {q.grams('x')} AS a, {q.grams('y')} AS b FROM txt)
+SELECT message_id, cite_id, round(0.35 + 0.25 * coalesce({q.jac('a', 'b')}, 0) + 0.15 * same_group::INT + 0.15 * rel
+  + 0.10 * pow(0.5, (epoch_us(m_at) - epoch_us(h_at)) / 86400000000.0 / 30.0), 6) AS score FROM pair""")
 def evidence_score(load):
     """Score of the cited row, which shares the sender by construction."""
     h = E.with_events(load("history"), load("message_events")).select(

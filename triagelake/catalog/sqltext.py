@@ -35,9 +35,8 @@ def scan(x: str, patterns) -> str:
 
 
 def grams(x: str) -> str:
-    """Distinct trigrams as a list."""
-    return (f"list_distinct([concat(c[i], c[i + 1], c[i + 2]) for i in range(1, len(c) - 1)])"
-            .replace("c[", f"string_split({x}, '')[").replace("len(c)", f"len(string_split({x}, ''))"))
+    """Distinct trigrams of a column as a list."""
+    return f"list_distinct([{x}[i:i + 2] for i in range(1, length({x}) - 1)])"
 
 
 def jac(a: str, b: str) -> str:
