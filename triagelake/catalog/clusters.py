@@ -1,2 +1,127 @@
-from triagelake.catalog.registry import Registry
+"""Near-duplicate links, clusters and the consistency audit."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from triagelake.catalog import sqltext as q
+from triagelake.catalog.joins import tables
+from triagelake.catalog.registry import Registry, joined, rounded
+from triagelake.operators import divergence as V
+from triagelake.operators.similarity import first_near_duplicate, near_duplicate_clusters, near_duplicate_links
+from triagelake.plans.consistency import clustered_members, consistency_report, dossier_features
+from triagelake.plans.dossier import build_dossier
+
 REGISTRY = Registry()
+add = REGISTRY.add
+
+# Distinct texts, pairs above the threshold by brute force, and their components.
+PAIRS = f""",
+rows0 AS (SELECT message_id, position, {q.norm('message_text')} AS w FROM messages),
+reps AS (SELECT w, min(message_id) AS rep FROM rows0 WHERE length(w) >= 3 GROUP BY w),
+rg AS (SELECT rep, {q.grams('w')} AS g FROM reps),
+hit AS (SELECT * FROM (SELECT a.rep AS x, b.rep AS y, {q.jac('a.g', 'b.g')} AS jac FROM rg a JOIN rg b ON a.rep <> b.rep
+  AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g))) p WHERE jac > 0.85)"""
+COMPONENTS = PAIRS.replace(",\nrows0", "rows0", 1) + """,
+walk(n, r) AS (SELECT rep, rep FROM reps UNION SELECT h.y, walk.r FROM walk JOIN hit h ON h.x = walk.n),
+comp AS (SELECT n, min(r) AS root FROM walk GROUP BY n),
+placed AS (SELECT r.message_id, r.position, c.root FROM rows0 r JOIN reps p ON r.w = p.w JOIN comp c ON c.n = p.rep),
+sized AS (SELECT root, arg_min(message_id, position) AS leader FROM placed GROUP BY root HAVING count(*) > 1),
+numbered AS (SELECT root, row_number() OVER (ORDER BY leader) AS cluster_number FROM sized),
+clu AS (SELECT p.message_id, p.root, n.cluster_number FROM placed p JOIN numbered n ON p.root = n.root)"""
+
+
+def _texts(load):
+    return load("messages").select(F.col("message_id").alias("id"), F.col("message_text").alias("text"), "position")
+
+
+@add("J14_near_duplicate_join", ("messages",), PAIRS + """, near AS (SELECT x AS rep, min({'o': y, 'j': jac}) AS m FROM hit GROUP BY x),
+best AS (SELECT r.message_id, CASE WHEN p.rep < r.message_id AND (n.m.o IS NULL OR p.rep < n.m.o) THEN {'o': p.rep, 'j': 1.0::DOUBLE}
+  WHEN n.m.o < r.message_id THEN {'o': n.m.o, 'j': n.m.j} END AS f FROM rows0 r JOIN reps p ON r.w = p.w LEFT JOIN near n ON n.rep = p.rep)
+SELECT message_id, f.o AS first_id, round(f.j, 6) AS jaccard FROM best WHERE f IS NOT NULL""")
+def near_duplicate_join(load):
+    """First earlier message each message nearly repeats."""
+    links, members = near_duplicate_links(_texts(load).select("id", "text"))
+    return rounded(first_near_duplicate(links, members).withColumnRenamed("id", "message_id"))
+
+
+@add("J14_document_copies", sql=f"""WITH d AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, {q.norm('text')} AS w FROM documents),
+reps AS (SELECT w, min(id) AS rep FROM d WHERE length(w) >= 3 GROUP BY w), rg AS (SELECT rep, {q.grams('w')} AS g FROM reps),
+hit AS (SELECT * FROM (SELECT a.rep AS x, b.rep AS y, {q.jac('a.g', 'b.g')} AS jac FROM rg a JOIN rg b ON a.rep < b.rep
+  AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g))) p WHERE jac > 0.85),
+near AS (SELECT rep, min(o) AS o FROM (SELECT x AS rep, y AS o FROM hit UNION ALL SELECT y, x FROM hit) u GROUP BY rep),
+best AS (SELECT d.id, least(CASE WHEN p.rep < d.id THEN p.rep END, CASE WHEN n.o < d.id THEN n.o END) AS first_id FROM d JOIN reps p ON d.w = p.w LEFT JOIN near n ON n.rep = p.rep)
+SELECT id, first_id FROM best WHERE first_id IS NOT NULL""")
+def document_copies(load):
+    """The same over whole documents."""
+    texts = load("documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), "text")
+    links, members = near_duplicate_links(texts)
+    return first_near_duplicate(links, members).select("id", "first_id")
+
+
+def _recursive(views, body):
+    """The component walk needs a recursive WITH list."""
+    from triagelake.sources.driver_views import check_sql
+    sql = check_sql(views, ", " + COMPONENTS + body)
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def _add_recursive(name, views, body):
+    def register(fn):
+        add(name)(fn)
+        REGISTRY.checks[name] = _recursive(views, body)
+        return fn
+    return register
+
+
+@_add_recursive("X03_connected_components", ("messages",), " SELECT message_id, root, cluster_number FROM clu")
+def components(load):
+    return near_duplicate_clusters(_texts(load)).select(F.col("id").alias("message_id"), "root", "cluster_number")
+
+
+_SIMPLE = ("conversation_type", "media_type", "group_id", "forwarded_count")
+_MEMBERS = f""", mem AS (SELECT c.cluster_number, c.message_id, d.action, m.conversation_type, m.media_type, m.group_id, m.forwarded_count
+  FROM clu c JOIN decisions d ON c.message_id = d.message_id JOIN messages m ON c.message_id = m.message_id),
+dv AS (SELECT a.cluster_number, a.message_id AS id, a.action, b.message_id AS other_id, b.action AS other_action,
+  {', '.join(f'a.{c} IS DISTINCT FROM b.{c} AS d_{c}' for c in _SIMPLE)} FROM mem a JOIN mem b ON a.cluster_number = b.cluster_number AND a.action <> b.action)"""
+
+
+def _members(load):
+    features = load("messages").select("message_id", V.feature_map(list(_SIMPLE)).alias("features"))
+    return clustered_members(load("messages"), load("decisions"), features)
+
+
+@_add_recursive("J17_divergent_pairs", ("messages", "decisions"), _MEMBERS + f""", n AS (SELECT cluster_number, count(*) AS n_members FROM mem GROUP BY 1)
+SELECT n.cluster_number, n_members, count_if(coalesce(id < other_id, false)) AS divergent_pairs,
+  count_if(coalesce(id < other_id AND NOT ({' OR '.join('d_' + c for c in _SIMPLE)}), false)) AS unexplained_pairs
+FROM n LEFT JOIN dv ON n.cluster_number = dv.cluster_number GROUP BY ALL""")
+def divergent_pairs(load):
+    return V.cluster_divergence(_members(load))
+
+
+@_add_recursive("X05_feature_differences", ("messages", "decisions"), _MEMBERS + " , long AS (" + " UNION ALL ".join(
+    f"SELECT cluster_number, '{c}' AS feature, count_if(d_{c}) // 2 AS differing_pairs FROM dv GROUP BY 1" for c in _SIMPLE) + ") SELECT cluster_number, feature, CAST(differing_pairs AS BIGINT) AS differing_pairs FROM long")
+def feature_differences(load):
+    return V.feature_divergence(_members(load))
+
+
+@_add_recursive("R13_divergence_witnesses", ("messages", "decisions"), _MEMBERS + """, fw AS (SELECT *, row_number() OVER (PARTITION BY id, other_action ORDER BY other_id) AS rn FROM dv)
+SELECT cluster_number, id, action, other_id, other_action, concat_ws(',', CASE WHEN d_conversation_type THEN 'conversation_type' END, CASE WHEN d_forwarded_count THEN 'forwarded_count' END,
+  CASE WHEN d_group_id THEN 'group_id' END, CASE WHEN d_media_type THEN 'media_type' END) AS differing_features FROM fw WHERE rn = 1""")
+def witnesses(load):
+    return V.divergence_witnesses(_members(load)).withColumn("differing_features", joined("differing_features")).drop("is_bug")
+
+
+@add("X04_flat_features")
+def flat_features(load):
+    """Explaining features of every message as name and value."""
+    mapped = dossier_features(build_dossier(tables(load), lists=False))
+    return mapped.select("message_id", F.explode("features").alias("feature", "value")).groupBy("feature").agg(
+        F.countDistinct("value").alias("n_values"), F.count_if(F.col("value") != "{}").alias("n_present"))
+
+
+@add("R13_consistency_audit")
+def consistency_audit(load):
+    """The audit with the full feature row as explanation."""
+    features = dossier_features(build_dossier(tables(load), lists=False))
+    return consistency_report(load("messages"), load("decisions"), features)["summary"]
