@@ -15,13 +15,20 @@ from triagelake.plans.dossier import build_dossier
 REGISTRY = Registry()
 add = REGISTRY.add
 
+def pair_ctes(reps: str) -> str:
+    """Pairs of distinct texts above the threshold, by counting shared trigrams."""
+    return f"""
+tok AS (SELECT rep, len(g) AS n, unnest(g) AS t FROM (SELECT rep, {q.grams('w')} AS g FROM {reps}) x),
+shared AS (SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM tok a JOIN tok b
+  ON a.t = b.t AND a.rep < b.rep AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep),
+half AS (SELECT x, y, c::DOUBLE / (na + nb - c) AS jac FROM shared WHERE c::DOUBLE / (na + nb - c) > 0.85),
+hit AS (SELECT x, y, jac FROM half UNION ALL SELECT y, x, jac FROM half)"""
+
+
 # Distinct texts, pairs above the threshold by brute force, and their components.
 PAIRS = f""",
 rows0 AS (SELECT message_id, position, {q.norm('message_text')} AS w FROM messages),
-reps AS (SELECT w, min(message_id) AS rep FROM rows0 WHERE length(w) >= 3 GROUP BY w),
-rg AS (SELECT rep, {q.grams('w')} AS g FROM reps),
-hit AS (SELECT * FROM (SELECT a.rep AS x, b.rep AS y, {q.jac('a.g', 'b.g')} AS jac FROM rg a JOIN rg b ON a.rep <> b.rep
-  AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g))) p WHERE jac > 0.85)"""
+reps AS (SELECT w, min(message_id) AS rep FROM rows0 WHERE length(w) >= 3 GROUP BY w),{pair_ctes('reps')}"""
 COMPONENTS = PAIRS.replace(",\nrows0", "rows0", 1) + """,
 walk(n, r) AS (SELECT rep, rep FROM reps UNION SELECT h.y, walk.r FROM walk JOIN hit h ON h.x = walk.n),
 comp AS (SELECT n, min(r) AS root FROM walk GROUP BY n),
@@ -46,10 +53,8 @@ def near_duplicate_join(load):
 
 
 @add("J14_document_copies", sql=f"""WITH d AS (SELECT lpad(CAST(doc_id AS VARCHAR), 12, '0') AS id, {q.norm('text')} AS w FROM documents),
-reps AS (SELECT w, min(id) AS rep FROM d WHERE length(w) >= 3 GROUP BY w), rg AS (SELECT rep, {q.grams('w')} AS g FROM reps),
-hit AS (SELECT * FROM (SELECT a.rep AS x, b.rep AS y, {q.jac('a.g', 'b.g')} AS jac FROM rg a JOIN rg b ON a.rep < b.rep
-  AND least(len(a.g), len(b.g)) >= 0.85 * greatest(len(a.g), len(b.g))) p WHERE jac > 0.85),
-near AS (SELECT rep, min(o) AS o FROM (SELECT x AS rep, y AS o FROM hit UNION ALL SELECT y, x FROM hit) u GROUP BY rep),
+reps AS (SELECT w, min(id) AS rep FROM d WHERE length(w) >= 3 GROUP BY w),{pair_ctes('reps')},
+near AS (SELECT x AS rep, min(y) AS o FROM hit GROUP BY x),
 best AS (SELECT d.id, least(CASE WHEN p.rep < d.id THEN p.rep END, CASE WHEN n.o < d.id THEN n.o END) AS first_id FROM d JOIN reps p ON d.w = p.w LEFT JOIN near n ON n.rep = p.rep)
 SELECT id, first_id FROM best WHERE first_id IS NOT NULL""")
 def document_copies(load):

@@ -82,12 +82,12 @@ for _kind, _g, _p, _words in (("action", "ga", "pa", C.ACTIONS), ("type", "gt",
   round(100.0 * ((SELECT count(*) FROM pr WHERE {_p} = w) - (SELECT count(*) FROM pr WHERE {_g} = w)) / (SELECT count(*) FROM pr), 6)::DOUBLE AS delta_pp FROM {_vocab(_words)} v(w)""")(_drift)
 
 
-@add("A12_reliability", _VIEWS, PAIRED + """ SELECT CAST(i AS INT) AS bin, count(pr.message_id) AS n, round(avg(pc), 6) AS mean_predicted, round(avg(gc), 6) AS mean_gold,
-  round(avg(abs(pc - gc)), 6) AS mae, round(avg(coalesce(ga = pa, false)::INT) FILTER (pr.message_id IS NOT NULL), 6) AS action_accuracy,
+@add("A12_reliability", _VIEWS, PAIRED + """ SELECT CAST(i AS INT) AS bin, count(pr.message_id) AS n, round(avg(pc), 9) AS mean_predicted, round(avg(gc), 9) AS mean_gold,
+  round(avg(abs(pc - gc)), 9) AS mae, round(avg(coalesce(ga = pa, false)::INT) FILTER (pr.message_id IS NOT NULL), 9) AS action_accuracy,
   round(i / 20.0, 6)::DOUBLE AS lower, round((i + 1) / 20.0, 6)::DOUBLE AS upper
   FROM range(20) r(i) LEFT JOIN pr ON pr.has AND least(CAST(floor((pc + 1e-12::DOUBLE) * 20) AS INT), 19) = i GROUP BY i""")
 def reliability(load):
-    return rounded(E.reliability(_pairs(load)))
+    return rounded(E.reliability(_pairs(load)), 9)
 
 
 @add("A14_composite", _VIEWS, METRICS + """ SELECT round(0.35 * action_accuracy + 0.25 * type_accuracy + 0.15 * evidence_f1 + 0.10 * (1.0 - calibration_error), 6)::DOUBLE AS composite FROM met""")

@@ -54,6 +54,8 @@ def burst_stream(messages: DataFrame, late: str = "1 hour", hours: int = C.BURST
     _, peer = resolve_peer(F.col("conversation_type"), F.col("business_id"), F.col("sender_user_id"))
     return (
         messages.withColumn("peer_id", peer).filter(F.col("peer_id").isNotNull())
+        # Event time must be an instant; the wall clock is read in the session's zone.
+        .withColumn("created_at", F.col("created_at").cast("timestamp"))
         .withWatermark("created_at", late)
         .groupBy(F.window("created_at", f"{hours} hours", "1 hour").alias("w"), "user_id", "peer_id")
         .agg(F.count("*").alias("n"))
