@@ -18,7 +18,7 @@ add = REGISTRY.add
 def pair_ctes(reps: str) -> str:
     """Pairs of distinct texts above the threshold, by counting shared trigrams."""
     return f"""
-tok AS (SELECT rep, len(g) AS n, unnest(g) AS t FROM (SELECT rep, {q.grams('w')} AS g FROM {reps}) x),
+tok AS (SELECT rep, len(g) AS n, unnest(list_transform(g, lambda z: hash(z))) AS t FROM (SELECT rep, {q.grams('w')} AS g FROM {reps}) x),
 shared AS (SELECT a.rep AS x, b.rep AS y, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS c FROM tok a JOIN tok b
   ON a.t = b.t AND a.rep < b.rep AND least(a.n, b.n) >= 0.85 * greatest(a.n, b.n) GROUP BY a.rep, b.rep),
 half AS (SELECT x, y, c::DOUBLE / (na + nb - c) AS jac FROM shared WHERE c::DOUBLE / (na + nb - c) > 0.85),

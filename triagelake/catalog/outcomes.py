@@ -13,7 +13,7 @@ from triagelake.functions.vocab import ordered_evidence
 from triagelake.operators import failure, gate, validation
 from triagelake.plans.dossier import build_dossier
 from triagelake.plans.router import route, routing_features, sweep
-from triagelake.plans.run import decide
+from triagelake.plans.run import decide, with_decisions
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -279,9 +279,8 @@ _SETTLE_VIEWS = (*DOSSIER_VIEWS, "raw_decisions")
 
 
 def _settled(load):
-    dossier = build_dossier(tables(load), medians=False)
-    validated = validation.validate_decisions(load("raw_decisions"), dossier.select("message_id", "evidence", "media_type", "media_id", "file_exists"))
-    return failure.settle(validated, dossier)
+    row = with_decisions(build_dossier(tables(load), medians=False), load("raw_decisions"))
+    return failure.settle(validation.judge(row))
 
 
 @add("R10_fallback_decision", _SETTLE_VIEWS, _SETTLED + f""" SELECT message_id, ftype AS message_type, CASE WHEN {q.style_codes('described')} = '' THEN described

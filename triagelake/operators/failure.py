@@ -76,9 +76,13 @@ def fallback_columns(outcome: Column, stage: Column) -> dict[str, Column]:
     }
 
 
-def with_repair_phrases(row: DataFrame) -> DataFrame:
-    """Precision phrases of the *normalised* text, which is what a repaired sentence quotes."""
-    staged = row.withColumn("_g", guard_text(F.col("normalised_text")))
+def with_repair_phrases(row: DataFrame, needed: Column | None = None) -> DataFrame:
+    """Precision phrases of the *normalised* text, which is what a repaired sentence quotes.
+
+    Rows outside ``needed`` are not scanned and get nulls.
+    """
+    text = F.col("normalised_text") if needed is None else F.when(needed, F.col("normalised_text"))
+    staged = row.withColumn("_g", guard_text(text))
     return staged.withColumns({
         "repair_credential": D.asks_for_credential(F.col("_g")),
         "repair_injection": D.looks_like_injection(F.col("_g")),
@@ -142,25 +146,21 @@ def repair_reason() -> Column:
     return F.coalesce(F.try_element_at(passing, lit(1)), lit(FLOOR_SENTENCE))
 
 
-def settle(validated: DataFrame, dossier: DataFrame) -> DataFrame:
-    """Accepted, repaired or fallback decision for every dossier row.
+def settle(judged: DataFrame) -> DataFrame:
+    """Accepted, repaired or fallback decision on every row of ``validation.judge``.
 
     Shape-only style failures keep the decision and get a new sentence; any other failure,
     and a message with no decision at all, gets the fallback.
     """
-    fields = [c for c in validated.columns if c != "message_id"]
-    row = with_repair_phrases(dossier).join(validated, "message_id", "left")
-    has_row = F.col("codes").isNotNull()
-    accepted = has_row & F.col("stage").isNull()
-    repaired = has_row & F.coalesce("repairable", F.lit(False))
+    has_row = F.col("schema_codes").isNotNull()
     outcome = (
-        F.when(accepted, "submitted").when(repaired, "reason_repaired")
+        F.when(has_row & F.col("stage").isNull(), "submitted").when(has_row & F.col("repairable"), "reason_repaired")
         .when(has_row, "validation_rejected").otherwise("no_decision")
     )
-    row = row.withColumns({
-        "outcome": outcome,
+    row = judged.withColumn("outcome", outcome)
+    row = with_repair_phrases(row, F.col("outcome") == "reason_repaired").withColumns({
         "failure_reason": F.when(F.col("stage").isNotNull(), F.concat(F.col("stage"), F.lit(": "), F.array_join("codes", ","))),
-        "rejected_reason": F.when(repaired, F.col("reason")),
+        "rejected_reason": F.when(F.col("outcome") == "reason_repaired", F.col("reason")),
     })
     keeps = F.col("outcome").isin("submitted", "reason_repaired")
     fallback = fallback_columns(F.col("outcome"), F.col("stage"))
@@ -169,4 +169,4 @@ def settle(validated: DataFrame, dossier: DataFrame) -> DataFrame:
         F.when(F.col("outcome") == "submitted", F.col("reason"))
         .when(F.col("outcome") == "reason_repaired", repair_reason()).otherwise(fallback["reason"])
     )
-    return row.withColumns(fixed).drop(*[c for c in fields if c not in fallback and c not in ("outcome",)])
+    return row.withColumns(fixed)

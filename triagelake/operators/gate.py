@@ -119,11 +119,12 @@ def quiet_hours_outcome() -> Column:
     return _outcome(fires, RULES[7], sentence, F.lit("digest"), F.lit(None))
 
 
-def apply_gate(row: DataFrame, t: Thresholds = DEFAULTS, quiet_hours: bool = True) -> DataFrame:
+def apply_gate(row: DataFrame, t: Thresholds = DEFAULTS, quiet_hours: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """Final decision plus its audit trace.
 
     ``row`` holds one validated decision per message beside its dossier columns and the
-    phrases of ``detect``. Everything is a column expression over that one row.
+    phrases of ``detect``; its ``keep`` columns are passed on. Everything is a column
+    expression over that one row.
     """
     staged = gate_facts(row).withColumn("_rules", rule_outcomes(t))
     has_mute = F.exists("_rules", lambda o: F.coalesce(o["action"] == "mute", F.lit(False)))
@@ -146,17 +147,17 @@ def apply_gate(row: DataFrame, t: Thresholds = DEFAULTS, quiet_hours: bool = Tru
         "_authored": python_strip(F.col("reason")),
         "_sentence": deciding["sentence"],
     })
-    keep = restates(F.col("_sentence"), F.col("_authored")) | ~passes_contract(F.col("_sentence"))
+    silent_rule = restates(F.col("_sentence"), F.col("_authored")) | ~passes_contract(F.col("_sentence"))
     reason = (
         F.when(F.col("_sentence").isNull(), F.col("_authored"))
         .when(F.col("action_changed"), F.col("_sentence"))
-        .when(keep, F.col("_authored"))
+        .when(silent_rule, F.col("_authored"))
         .otherwise(F.col("_sentence"))
     )
     staged = staged.withColumn("final_reason", reason)
     silent = F.filter("_outcomes", lambda o: ~F.contains(F.col("final_reason"), o["sentence"]))
     return staged.select(
-        "message_id", F.col("final_action").alias("action"), F.col("final_type").alias("message_type"),
+        "message_id", *keep, F.col("final_action").alias("action"), F.col("final_type").alias("message_type"),
         F.col("final_reason").alias("reason"), F.col("final_confidence").alias("confidence"), "evidence_ids",
         F.transform("_outcomes", lambda o: o["name"]).alias("rules_fired"),
         F.struct(

@@ -135,29 +135,41 @@ def check_invariants(coerced: DataFrame) -> DataFrame:
     return out.withColumn("invariant_codes", _codes(checks))
 
 
+def judge(row: DataFrame) -> DataFrame:
+    """Stage, codes and the canonical decision beside the columns of ``row``.
+
+    ``row`` holds the columns of ``parse_decisions`` and of the message: evidence,
+    media_type, media_id, file_exists and inspected_media_ids. Everything is a column
+    expression, so a run needs one join between decisions and features. ``stage`` is null
+    for an accepted decision; a row without any decision keeps null ``schema_codes``.
+    """
+    out = check_invariants(coerce_labels(row)).withColumn("style_codes", reason_issues(F.col("reason")))
+    stages = (("schema", "schema"), ("coercion", "coercion"), ("invariant", "invariants"), ("style", "reason_style"))
+    stage = codes = None
+    for name, label in stages:
+        bad, found = F.size(f"{name}_codes") > 0, F.col(f"{name}_codes")
+        stage = F.when(bad, label) if stage is None else stage.when(bad, label)
+        codes = F.when(bad, found) if codes is None else codes.when(bad, found)
+    empty = F.array().cast("array<string>")
+    out = out.withColumns({"stage": stage, "codes": F.coalesce(codes, empty)})
+    reached = F.coalesce(F.col("stage").isin("invariants", "reason_style"), F.lit(True))
+    shape_only = F.size(F.array_except("codes", F.array(*[F.lit(c) for c in REPAIRABLE_CODES]))) == 0
+    return out.withColumns({
+        "dropped_ids": F.when(reached, F.coalesce("dropped_ids", empty)).otherwise(empty),
+        "repairable": F.coalesce((F.col("stage") == "reason_style") & shape_only, F.lit(False)),
+        "risk": lookup(F.col("risk_axis"), C.RISK_AXES), "relevance": lookup(F.col("relevance_axis"), C.RELEVANCE_AXES),
+        "urgency": F.col("urgency_axis"),
+    }).drop("coercion_codes", "invariant_codes", "style_codes", "raw_action", "raw_type", "cited", "risk_axis",
+            "relevance_axis", "urgency_axis", "has_observation")
+
+
 def validate_decisions(raw: DataFrame, context: DataFrame) -> DataFrame:
     """Validated decision or the first failing stage, one row per payload.
 
     ``context`` carries message_id, evidence, media_type, media_id, file_exists and
-    optionally inspected_media_ids. ``stage`` is null for an accepted decision.
+    optionally inspected_media_ids.
     """
-    if "inspected_media_ids" not in context.columns:
-        context = context.withColumn("inspected_media_ids", F.lit(None).cast("array<string>"))
-    parsed = parse_decisions(raw).join(context.select(
-        "message_id", "evidence", "media_type", "media_id", "file_exists", "inspected_media_ids"), "message_id")
-    out = check_invariants(coerce_labels(parsed)).withColumn("style_codes", reason_issues(F.col("reason")))
-    failed = [(F.size(f"{name}_codes") > 0, label, f"{name}_codes") for name, label in (
-        ("schema", "schema"), ("coercion", "coercion"), ("invariant", "invariants"), ("style", "reason_style"))]
-    stage, codes = F.when(failed[0][0], failed[0][1]), F.when(failed[0][0], F.col(failed[0][2]))
-    for bad, label, column in failed[1:]:
-        stage, codes = stage.when(bad, label), codes.when(bad, F.col(column))
-    empty = F.array().cast("array<string>")
-    reached = F.coalesce(F.col("stage").isin("invariants", "reason_style"), F.lit(True))
-    return out.withColumns({"stage": stage, "codes": F.coalesce(codes, empty)}).select(
-        "message_id", "stage", "codes", "coercion_count",
-        F.when(reached, F.coalesce("dropped_ids", empty)).otherwise(empty).alias("dropped_ids"),
-        ((F.col("stage") == "reason_style") & (F.size(F.array_except("codes", F.array(*[F.lit(c) for c in REPAIRABLE_CODES]))) == 0)).alias("_rep"),
-        "action", "message_type", "reason", "confidence", "evidence_ids",
-        lookup(F.col("risk_axis"), C.RISK_AXES).alias("risk"), lookup(F.col("relevance_axis"), C.RELEVANCE_AXES).alias("relevance"),
-        F.col("urgency_axis").alias("urgency"), "media_mismatch", "media_mismatch_reason", "deadline_minutes", "material_harm",
-    ).withColumn("repairable", F.coalesce("_rep", F.lit(False))).drop("_rep")
+    seen = F.col("inspected_media_ids") if "inspected_media_ids" in context.columns else F.lit(None).cast("array<string>")
+    facts = context.select("message_id", "evidence", "media_type", "media_id", "file_exists", seen.alias("inspected_media_ids"))
+    out = judge(parse_decisions(raw).join(facts, "message_id"))
+    return out.drop("evidence", "media_type", "media_id", "file_exists", "inspected_media_ids", "schema_codes")

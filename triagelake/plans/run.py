@@ -8,7 +8,7 @@ from triagelake.config import DEFAULTS, Thresholds
 from triagelake.functions.vocab import fingerprint
 from triagelake.operators.failure import settle
 from triagelake.operators.gate import apply_gate, assert_one_directional, detect
-from triagelake.operators.validation import validate_decisions
+from triagelake.operators.validation import judge, parse_decisions
 from triagelake.plans.dossier import Tables, build_dossier
 from triagelake.plans.router import route
 from triagelake.sources.sinks import split_resumable
@@ -16,12 +16,18 @@ from triagelake.sources.sinks import split_resumable
 
 def decide(t: Tables, raw: DataFrame, thresholds: Thresholds = DEFAULTS, quiet_hours: bool = True) -> DataFrame:
     """Final decision per message from supplied raw decisions (message_id, payload)."""
-    dossier = build_dossier(t, thresholds)
-    validated = validate_decisions(raw, dossier.select("message_id", "evidence", "media_type", "media_id", "file_exists"))
-    settled = detect(settle(validated, dossier))
-    origin = settled.select("message_id", "outcome", "failure_reason", "rejected_reason")
-    final = assert_one_directional(apply_gate(settled, thresholds, quiet_hours))
-    return final.join(origin, "message_id")
+    row = with_decisions(build_dossier(t, thresholds, medians=False), raw)
+    settled = detect(settle(judge(row)))
+    final = apply_gate(settled, thresholds, quiet_hours, keep=("outcome", "failure_reason", "rejected_reason"))
+    return assert_one_directional(final)
+
+
+def with_decisions(dossier: DataFrame, raw: DataFrame) -> DataFrame:
+    """Feature rows with their parsed decision, null where none was supplied."""
+    row = dossier.join(parse_decisions(raw), "message_id", "left")
+    if "inspected_media_ids" in row.columns:
+        return row
+    return row.withColumn("inspected_media_ids", F.lit(None).cast("array<string>"))
 
 
 def decide_by_rules(t: Tables, thresholds: Thresholds = DEFAULTS) -> DataFrame:
