@@ -158,8 +158,10 @@ def read_traces(spark: SparkSession, path: str, schema: str | StructType, prompt
     """JSON traces; unreadable records are skipped."""
     fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     full = StructType(fields.fields + [StructField("_corrupt_record", StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
-    rows = rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    # Parsing the lines as a column keeps the corrupt marker usable under column pruning.
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", full, options).alias("t"))
+    rows = parsed.filter("t._corrupt_record IS NULL").select("t.*").drop("_corrupt_record")
     return rows if prompt_version is None else rows.filter(F.col("prompt_version") == prompt_version)
 
 
