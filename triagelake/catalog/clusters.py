@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from triagelake.catalog import sqltext as q
 from triagelake.catalog.joins import tables
-from triagelake.catalog.registry import Registry, joined, rounded
+from triagelake.catalog.registry import Registry, joined, plain_counts, rounded
 from triagelake.operators import divergence as V
 from triagelake.operators.similarity import first_near_duplicate, near_duplicate_clusters, near_duplicate_links
 from triagelake.plans.consistency import clustered_members, consistency_report, dossier_features
@@ -74,7 +74,7 @@ def _recursive(views, body):
 def _add_recursive(name, views, body):
     def register(fn):
         add(name)(fn)
-        REGISTRY.checks[name] = _recursive(views, body)
+        REGISTRY.checks[name] = plain_counts(_recursive(views, body))
         return fn
     return register
 

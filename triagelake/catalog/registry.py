@@ -7,6 +7,21 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from triagelake.sources import driver_views
 
 
+def plain_counts(sql: str) -> str:
+    """Conditional counts as 64-bit integers; the checking engine widens them otherwise."""
+    out, at = [], 0
+    while (start := sql.find("count_if(", at)) >= 0:
+        depth, end = 0, start + len("count_if")
+        while True:
+            depth += {"(": 1, ")": -1}.get(sql[end], 0)
+            end += 1
+            if depth == 0:
+                break
+        out += [sql[at:start], "CAST(", sql[start:end], " AS BIGINT)"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 class Registry:
     def __init__(self) -> None:
         self.queries: dict = {}
@@ -28,7 +43,7 @@ class Registry:
             run.__name__, run.__doc__ = name, fn.__doc__
             self.queries[name] = run
             if sql is not None:
-                self.checks[name] = driver_views.check_sql(views, sql) if views else sql
+                self.checks[name] = plain_counts(driver_views.check_sql(views, sql) if views else sql)
             return fn
 
         return register
