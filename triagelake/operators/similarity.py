@@ -22,7 +22,7 @@ from triagelake.session import cut_lineage
 
 _WORDS = 8                      # 64-bit words of the parity sketch
 _SKETCH = [f"s{i}" for i in range(_WORDS)]
-_MAX_HUB_ROUNDS = 4
+_MAX_HUB_ROUNDS = 3
 
 
 def _representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -104,7 +104,7 @@ def _hub_round(rows: DataFrame, reps: DataFrame, threshold: float, number: int,
         "explained": F.when(near, number).otherwise(F.col("explained")),
         "distance": distance if number == 1 else F.col("distance"),
     }).drop("_asked", "_close", "_bound", "_hub", "jaccard")
-    return cut_lineage(judged), star.filter(F.col("jaccard") > threshold), hubs
+    return cut_lineage(judged), star.filter(F.col("jaccard") > threshold)
 
 
 def representative_links(reps: DataFrame, threshold: float, block_rows: int) -> DataFrame:
@@ -117,12 +117,19 @@ def representative_links(reps: DataFrame, threshold: float, block_rows: int) ->
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("_size"), F.max("own").alias("_any_own"))
     rows = buckets.join(shared.filter("_size > 1 AND _any_own").select("bucket"), "bucket")
     rows = cut_lineage(rows.withColumns({"explained": F.lit(0), "distance": F.lit(None).cast("double")}))
-    links = []
-    for number in range(1, _MAX_HUB_ROUNDS + 1):
-        if number > 1 and rows.filter("explained = 0").groupBy("bucket").count().filter(F.col("count") > block_rows).isEmpty():
+    rows, star = _hub_round(rows, reps, threshold, 1, 1)
+    links = [star]
+    for number in range(2, _MAX_HUB_ROUNDS + 1):
+        # Later hubs look at the crowded buckets only; the rest is settled by pairs below.
+        crowded = cut_lineage(
+            rows.filter("explained = 0").groupBy("bucket").agg(F.count("*").alias("_size"))
+            .filter(F.col("_size") > block_rows).select("bucket"))
+        if crowded.isEmpty():
             break
-        rows, star, _ = _hub_round(rows, reps, threshold, number, 1 if number == 1 else block_rows)
-        links.append(star.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "jaccard"))
+        inside, star = _hub_round(rows.join(crowded, "bucket", "left_semi"), reps, threshold, number, block_rows)
+        rows = rows.join(crowded, "bucket", "left_anti").unionByName(inside)
+        links.append(star)
+    links = [s.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "jaccard") for s in links]
 
     # Distance is a metric: a partner of an unexplained member lies about as far out.
     slack = F.lit(1 - threshold + 1e-9)
