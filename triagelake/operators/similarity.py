@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from triagelake import config as C
 from triagelake.functions.text import jaccard, normalise_text, trigrams
-from triagelake.session import cut_lineage
+from triagelake.session import cut_lineage, spread
 
 _WORDS = 8                      # 64-bit words of the parity sketch
 _SKETCH = [f"s{i}" for i in range(_WORDS)]
@@ -95,7 +95,7 @@ def _hub_round(rows: DataFrame, reps: DataFrame, threshold: float, number: int,
         "_bound": (sizes - bits) / (sizes + bits), "_hub": F.col("hub.id"),
     }).drop("hub"))
     spokes = faced.filter("_asked AND _close AND id <> _hub").select("id", F.col("_hub").alias("other")).distinct()
-    star = cut_lineage(_verified(spokes, reps))
+    star = cut_lineage(_verified(spread(spokes, "id"), reps))
     judged = faced.join(star.withColumnRenamed("other", "_hub"), ["id", "_hub"], "left")
     is_hub = F.col("id") == F.col("_hub")
     near = F.col("_asked") & F.coalesce(is_hub | (F.col("jaccard") > threshold), F.lit(False))
@@ -115,7 +115,7 @@ def representative_links(reps: DataFrame, threshold: float, block_rows: int) ->
     """
     buckets = _buckets(reps, threshold)
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("_size"), F.max("own").alias("_any_own"))
-    rows = buckets.join(shared.filter("_size > 1 AND _any_own").select("bucket"), "bucket")
+    rows = spread(buckets.join(shared.filter("_size > 1 AND _any_own").select("bucket"), "bucket"), "bucket")
     rows = cut_lineage(rows.withColumns({"explained": F.lit(0), "distance": F.lit(None).cast("double")}))
     rows, star = _hub_round(rows, reps, threshold, 1, 1)
     links = [star]
@@ -141,8 +141,9 @@ def representative_links(reps: DataFrame, threshold: float, block_rows: int) ->
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
     keep = ["bucket", "own", "id", "n", "explained", "distance", *_SKETCH]
-    x = rest.filter("explained <> 1").select(*keep, block.alias("row"), every.alias("col")).alias("x")
-    y = rest.select(*keep, block.alias("col"), every.alias("row")).alias("y")
+    cell = ("bucket", "row", "col")
+    x = spread(rest.filter("explained <> 1").select(*keep, block.alias("row"), every.alias("col")), *cell).alias("x")
+    y = spread(rest.select(*keep, block.alias("col"), every.alias("row")), *cell).alias("y")
     same_cell = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.row") == F.col("y.row")) & (F.col("x.col") == F.col("y.col"))
     once = F.when(F.col("y.explained") == 1, F.col("x.distance") - F.col("y.distance") < slack).otherwise(
         (F.col("x.id") < F.col("y.id")) & ((F.col("x.explained") == 0) | (F.col("x.explained") != F.col("y.explained"))))
@@ -150,7 +151,7 @@ def representative_links(reps: DataFrame, threshold: float, block_rows: int) ->
     bits = _bits_apart(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"))
     pairs = x.join(y, same_cell & (F.col("x.own") | F.col("y.own")) & once & _may_qualify(bits, sizes, threshold)).select(
         F.least("x.id", "y.id").alias("id"), F.greatest("x.id", "y.id").alias("other")).distinct()
-    links.append(_verified(pairs, reps).filter(F.col("jaccard") > threshold).select("id", "other", "jaccard"))
+    links.append(_verified(spread(pairs, "id"), reps).filter(F.col("jaccard") > threshold).select("id", "other", "jaccard"))
     return reduce(DataFrame.unionByName, links).dropDuplicates(["id", "other"])
 
 
@@ -159,7 +160,7 @@ def near_duplicate_links(
 ) -> tuple[DataFrame, DataFrame]:
     """Links between representatives, and (id, rep) for every comparable row of ``texts``."""
     reps, members = _representatives(texts)
-    reps = cut_lineage(reps)
+    reps = cut_lineage(spread(reps, "id"))
     return cut_lineage(representative_links(reps, threshold, block_rows)), members
 
 

@@ -42,3 +42,11 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the plan restarts from files that survive a lost executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition rows whose processing costs far more than their bytes suggest.
+
+    Adaptive execution sizes partitions by bytes and would give such rows to few tasks.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
