@@ -71,7 +71,7 @@ def test_solicitation_detectors(spark):
     ]) == ["share your otp", None, None, "verification code abhi confirm karo", None, "send the code", "share your pin"]
     pay = lambda x: D.demands_payment(T.guard_text(x))
     assert values(spark, pay, ["please pay Rs 500 now", "no payment is due", "use the office QR only", "scan the qr to pay", "maintenance payment aaj kar dena"]) == [
-        "pay rs", None, None, "scan the qr to pay", "payment aaj kar dena"]
+        "pay rs 500", None, None, "scan the qr to pay", "payment aaj kar dena"]
 
 
 def test_long_phrase_is_cut(spark):
