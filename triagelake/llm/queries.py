@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triagelake.llm import lines, packing
-from triagelake.llm.common import documents
+from triagelake.llm import decontam, langid, lines, neardup, packing, pii, quality, secrets, spans, toxicity
+from triagelake.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -51,3 +51,108 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     thinned = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return thinned.select("doc_id", "n_lines", "n_dropped",
                           F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+@_query()
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is marked toxic."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, _labels(spark, sf_dir))
+    return toxicity.score(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@_query()
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = documents(spark, sf_dir)
+    told = langid.identify(docs, langid.fit(docs))
+    return told.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@_query()
+def op2_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with passages that an earlier document (or place) has, and the stretches to cut."""
+    found = spans.covered(documents(spark, sf_dir))
+    return found.select(
+        F.col("doc").alias("doc_id"), F.size("cuts").cast("long").alias("n_spans"),
+        F.aggregate("cuts", F.lit(0).cast("long"), lambda a, c: a + c["end"] - c["start"]).alias("n_cut"),
+        F.array_join(F.transform("cuts", lambda c: F.concat_ws(":", c["start"], c["end"])), ",").alias("cuts"), "first_docs")
+
+
+@_query()
+def op4_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document, on three-word shingles at 0.85."""
+    return neardup.near_duplicates(documents(spark, sf_dir), neardup.Settings(words=3, percent=85))
+
+
+@_query()
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that documents hold."""
+    return decontam.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def _spans_sql(kinds: list[tuple[str, str, str]], base: int, extra: str = "") -> str:
+    """Spans of (name, pattern, test of a match m with the text before it) by splitting at the matches."""
+    parts = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS k, '{name}' AS kind, s, e FROM (SELECT doc_id, m, before, e - length(m) AS s, e FROM (SELECT doc_id, m, before, "
+        f"sum(length(before) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, "
+        f"unnest(regexp_extract_all(t, '{p}')) AS m, unnest(string_split_regex(t, '{p}')[:-2]) AS before, "
+        f"generate_subscripts(regexp_extract_all(t, '{p}'), 1) AS i FROM d))) WHERE {test}"
+        for n, (name, p, test) in enumerate(kinds))
+    counts = ", ".join(f"CAST(count(*) FILTER (WHERE k = {n}) AS BIGINT) AS n_{name}" for n, (name, _, _) in enumerate(kinds))
+    one = "kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return (f"WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), spans AS ({parts}) "
+            f"SELECT doc_id, {counts}, sha256(coalesce(string_agg({one}, ',' ORDER BY s, k) FILTER (WHERE k < {base}), '')) AS base_sha256, "
+            f"coalesce(string_agg({one}, ',' ORDER BY s, k), '') AS spans "
+            "FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id")
+
+
+@_query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS x
+        FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS n FROM win) WHERE n > 1),
+rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, range(0, 5) AS r(k) GROUP BY doc_id),
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM d),
+m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+        CAST(len(l) AS BIGINT) AS n_lines, CAST(length(regexp_replace(t, '[^A-Z]+', '', 'g')) AS BIGINT) AS n_capitals
+      FROM d JOIN lines USING (doc_id) LEFT JOIN rep USING (doc_id)),
+b AS (SELECT *, """ + " + ".join(f"CASE WHEN {rule} THEN {1 << bit} ELSE 0 END" for bit, rule in enumerate(quality.RULES.values())) + """ AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capitals, CAST(bits AS BIGINT) AS failed_bits,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, bits = 0 AS kept FROM b""")
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality ledger of every document, and the verdict of the training policy."""
+    rows = quality.ledger(documents(spark, sf_dir))
+    failed = ~quality.passes(quality.BASE)
+    return rows.withColumns({"base_failed": failed, "kept": ~failed & quality.passes(quality.STRICT)})
+
+
+@_query(_spans_sql([
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+    ("ip", r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "len(list_filter(string_split(m, '.'), p -> CAST(p AS DOUBLE) > 255)) = 0"),
+    ("card", r"[0-9](?:[\x20-]?[0-9])+", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 14 AND 19 AND "
+     "list_sum(list_transform(range(1, length(regexp_replace(m, '[^0-9]', '', 'g')) + 1), i -> "
+     "CASE WHEN i % 2 = 1 THEN CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT) "
+     "ELSE (2 * CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT)) // 10 + (2 * CAST(reverse(regexp_replace(m, '[^0-9]', '', 'g'))[i] AS INT)) % 10 END)) % 10 = 0"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "length(regexp_replace(m, '[^0-9]', '', 'g')) BETWEEN 10 AND 15"),
+    ("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,}", "length(m) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(m[5:] || m[:4], ''), "
+     "c -> CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), (a, v) -> (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"),
+    ("ssn", r"[0-9]+(?:-[0-9]+)+", "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(000|666|9)|-00-|0000$') "
+     "AND regexp_matches(lower(right(before, 48)), 'ssn|social|security')"),
+], 4))
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
+@_query()
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    docs = documents(spark, sf_dir)
+    return secrets.digest(secrets.find(docs, secrets.fit(docs)))
