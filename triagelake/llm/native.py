@@ -50,6 +50,11 @@ def spans(text: Column, pattern: str, group: int = 0, before: int = 48) -> Colum
     return bind(matches, lambda x: F.when(F.size(x["m"]) > 0, place(x)))
 
 
+def counted(found: Column, kind: int) -> Column:
+    """How many spans are of a kind."""
+    return F.size(F.filter(found, lambda s: s["kind"] == kind)).cast("long")
+
+
 def joined(found: Column, kinds: list[str]) -> Column:
     """kind:start:end of (start, kind number, end) structs, comma-joined by start, then kind."""
     names = F.array(*[F.lit(k) for k in kinds])

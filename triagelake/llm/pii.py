@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from triagelake.llm.native import bind, joined, spans
+from triagelake.llm.native import bind, counted, joined, spans
 
 
 @dataclass(frozen=True)
@@ -106,6 +106,6 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def digest(found: DataFrame) -> DataFrame:
     """Counts per kind, the hash of the base spans and all spans as text."""
     base = F.filter("found", lambda s: s["kind"] < sum(k.base for k in KINDS))
-    counts = [F.size(F.filter("found", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(NAMES)]
+    counts = [counted(F.col("found"), n).alias(f"n_{k}") for n, k in enumerate(NAMES)]
     return found.select("doc_id", *counts, F.sha2(joined(base, NAMES).cast("binary"), 256).alias("base_sha256"),
                         joined(F.col("found"), NAMES).alias("spans"))
