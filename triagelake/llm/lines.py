@@ -66,7 +66,7 @@ class _Filter:
         return found
 
     def add(self, hashes: np.ndarray) -> None:
-        if self.layers[-1][2] >= self.layers[-1][3]:
+        while self.layers[-1][2] + len(hashes) > self.layers[-1][3]:
             self._grow()
         layer = self.layers[-1]
         for place, bit in self._places(hashes, layer[1]):

@@ -159,7 +159,7 @@ def linked(sets: list[np.ndarray], settings: Settings, split: int | None = None)
     """Which pairs reach the threshold on their full sets; with ``split``, only pairs across it."""
     n = np.array([len(s) for s in sets])
     ratio = settings.percent / 100
-    fit = (np.minimum.outer(n, n) >= ratio * np.maximum.outer(n, n) - 1e-9) & ~np.eye(len(n), dtype=bool)
+    fit = (np.minimum.outer(n, n) >= np.maximum(ratio * np.maximum.outer(n, n) - 1e-9, 1)) & ~np.eye(len(n), dtype=bool)
     if split is not None:
         side = np.arange(len(n)) < split
         fit &= side[:, None] != side
