@@ -2,10 +2,11 @@
 
 The index is of the test items; training passages are the queries. Items fall into classes by their
 length, a document is read in half-overlapping windows of twice the class's length, so a leaked item
-always lies whole in one window. A window's score is bounded first by the best impact of each of its
-terms in the class, then by the best in each block of items; only blocks whose bound reaches their
-lowest threshold are scored. Every item that scores its threshold, a share of the score of the item's
-own text, is verified by the overlap of its question and its answer with the window's word runs.
+always lies whole in one window. Postings are kept by block of items with the block's best impact. An
+item's most frequent terms together cannot reach its threshold; they have no postings, and the rest
+must bring what they leave open. A block is scored for a window only if its best impacts could bring
+that for one of its items. Every item that scores its threshold, a share of the score of its own text,
+is verified by the overlap of its question and its answer with the window's runs of words.
 """
 
 from __future__ import annotations
@@ -14,18 +15,21 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from triagelake.llm.common import saved, slices
+from triagelake.llm.common import SLICE, saved, slices
 
 K1, B = 1.2, 0.75
-SHARE, OVERLAP, RUN = 0.5, 0.5, 3
-BLOCK = 64
+SHARE, OVERLAP, RUN = 0.6, 0.5, 3
+BLOCK = 8
+#: Most of its threshold that an item's frequent terms may bring without postings.
+OPEN = 0.5
 #: Items and characters of one index, which every task gets; a larger benchmark makes several.
-INDEX_ITEMS, INDEX_CHARS = 5000, 8_000_000
+INDEX_ITEMS, INDEX_CHARS = 2000, 2_000_000
 _WORD = re.compile(r"\w+")
 
 
@@ -52,16 +56,17 @@ def _runs(words: list[str]) -> set[tuple[str, ...]]:
 class _Block:
     items: list[int]
     thresholds: np.ndarray
-    best: dict[int, float]
-    postings: dict[int, tuple[np.ndarray, np.ndarray]]
+    impacts: list[dict[int, float]]
 
 
 @dataclass
 class _Class:
     width: int
-    bound: np.ndarray
-    lowest: float
     blocks: list[_Block]
+    lowest: np.ndarray   # what the terms with postings must bring, by block
+    first: np.ndarray    # where each term's postings begin; one more at the end
+    block: np.ndarray    # postings: the block and its best impact
+    best: np.ndarray
 
 
 class Index:
@@ -86,61 +91,71 @@ class Index:
         for power, own in sorted(by_class.items()):
             # Items alike in threshold share a block, so its lowest threshold is telling.
             own.sort(key=lambda i: (sum(impact[i].values()), i))
-            blocks = [self._block(own[at:at + BLOCK], impact) for at in range(0, len(own), BLOCK)]
-            bound = np.zeros(len(self.terms) + 1, np.float32)
-            for block in blocks:
-                for term, best in block.best.items():
-                    bound[term] = max(bound[term], best)
-            self.classes.append(_Class(1 << power, bound, min(float(b.thresholds.min()) for b in blocks), blocks))
-
-    @staticmethod
-    def _block(items: list[int], impact: dict[int, dict[int, float]]) -> _Block:
-        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
-        for place, item in enumerate(items):
-            for term, value in impact[item].items():
-                lists[term].append((place, value))
-        return _Block(items, np.array([SHARE * sum(impact[i].values()) for i in items]),
-                      {t: max(v for _, v in ps) for t, ps in lists.items()},
-                      {t: (np.array([p for p, _ in ps]), np.array([v for _, v in ps])) for t, ps in lists.items()})
-
-    def retrieve(self, words: list[str]) -> Iterator[tuple[int, float, int, int]]:
-        """(item, score as a share of the item's own, first word, end) of every window above threshold."""
-        unknown = len(self.terms)
-        get = self.terms.get
-        ids = np.fromiter((get(w, unknown) for w in words), np.int64, len(words))
-        if (ids == unknown).all():
+            self.classes.append(self._class(1 << power, own, impact, present))
+
+    def _class(self, width: int, own: list[int], impact: dict[int, dict[int, float]], present: Counter) -> _Class:
+        names = list(self.terms)
+        blocks, lowest, lists = [], [], defaultdict(dict)
+        for at in range(0, len(own), BLOCK):
+            items = own[at:at + BLOCK]
+            thresholds = np.array([SHARE * sum(impact[i].values()) for i in items])
+            needs = []
+            for item, threshold in zip(items, thresholds):
+                left = threshold
+                for term, value in sorted(impact[item].items(), key=lambda tv: (-present[names[tv[0]]], tv[0])):
+                    if threshold - left + value > OPEN * threshold:
+                        lists[term][len(blocks)] = max(value, lists[term].get(len(blocks), 0.0))
+                    else:
+                        left -= value
+                needs.append(left)
+            blocks.append(_Block(items, thresholds, [impact[i] for i in items]))
+            lowest.append(min(needs))
+        counts = np.array([len(lists[t]) if t in lists else 0 for t in range(len(names) + 1)])
+        flat = [(b, v) for t in range(len(names)) if t in lists for b, v in sorted(lists[t].items())]
+        return _Class(width, blocks, np.array(lowest), np.concatenate([[0], np.cumsum(counts)]),
+                      np.array([b for b, _ in flat], np.int64), np.array([v for _, v in flat]))
+
+    def retrieve(self, texts: list[list[str]]) -> Iterator[tuple[int, int, float, int, int]]:
+        """(text, item, score as a share of the item's own, first word, end) of windows above threshold."""
+        sizes = np.array([len(t) for t in texts], np.int64)
+        total, unknown = int(sizes.sum()), len(self.terms)
+        ids = np.fromiter(map(self.terms.get, chain.from_iterable(texts), repeat(unknown)), np.int64, total)
+        at = np.cumsum(sizes) - sizes
+        known = np.flatnonzero(ids != unknown)
+        if not len(known):
             return
+        term, text = ids[known], np.repeat(np.arange(len(texts)), sizes)[known]
+        place = known - at[text]
         for cls in self.classes:
-            sums = np.concatenate([[0.0], np.cumsum(cls.bound[ids], dtype=np.float64)])
-            starts = np.arange(0, max(1, len(words) - cls.width), cls.width)
-            ends = np.minimum(starts + 2 * cls.width, len(words))
-            for k in np.flatnonzero(sums[ends] - sums[starts] >= cls.lowest - 1e-4):
-                first, end = int(starts[k]), int(ends[k])
-                seen = set(ids[first:end].tolist()) - {unknown}
-                if sum(float(cls.bound[t]) for t in seen) < cls.lowest - 1e-4:
-                    continue
-                for block in cls.blocks:
-                    shared = seen & block.best.keys()
-                    if sum(block.best[t] for t in shared) < float(block.thresholds.min()) - 1e-9:
-                        continue
-                    scores = np.zeros(len(block.items))
-                    for t in shared:
-                        places, values = block.postings[t]
-                        scores[places] += values
-                    for p in np.flatnonzero(scores >= block.thresholds - 1e-9):
-                        yield block.items[p], float(scores[p] / block.thresholds[p] * SHARE), first, end
-
-    def leaks(self, text: str | None) -> dict[int, tuple[float, float, float]]:
-        """item: (score share, question overlap, answer overlap) of the items that the text holds."""
-        words = tokens(text)
-        out: dict[int, tuple[float, float, float]] = {}
-        for item, share, first, end in self.retrieve(words):
+            windows = -(-np.maximum(1, sizes - cls.width) // cls.width)
+            base = np.cumsum(windows) - windows
+            n = cls.first[term + 1] - cls.first[term]
+            posting = np.repeat(cls.first[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            window, owner = np.repeat(place // cls.width, n), np.repeat(text, n)
+            row, value, all_ = cls.block[posting] * int(windows.sum()), cls.best[posting], len(cls.blocks) * int(windows.sum())
+            inside, after = window < windows[owner], window > 0
+            sums = np.bincount((row + base[owner] + window)[inside], value[inside], all_)
+            sums += np.bincount((row + base[owner] + window - 1)[after], value[after], all_)
+            for b, w in zip(*np.nonzero(sums.reshape(len(cls.blocks), -1) >= cls.lowest[:, None] - 1e-9)):
+                which = int(np.searchsorted(base, w, "right")) - 1
+                first = int(w - base[which]) * cls.width
+                end = min(first + 2 * cls.width, int(sizes[which]))
+                block, seen = cls.blocks[b], set(ids[at[which] + first:at[which] + end].tolist())
+                for item, threshold, own in zip(block.items, block.thresholds, block.impacts):
+                    score = sum(own[t] for t in own.keys() & seen)
+                    if score >= threshold - 1e-9:
+                        yield which, item, score / threshold * SHARE, first, end
+
+    def leaks(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
+        """For each text the items it holds: {item: (score share, question overlap, answer overlap)}."""
+        words = [tokens(t) for t in texts]
+        out: list[dict[int, tuple[float, float, float]]] = [{} for _ in texts]
+        for which, item, share, first, end in self.retrieve(words):
             question, answer = self.items[item]
-            window = words[first:end]
-            whole = _overlap(question + answer, window)
+            window = words[which][first:end]
             found = (share, _overlap(question, window), _overlap(answer, window) if answer else 1.0)
-            if whole >= OVERLAP and found > out.get(item, (0.0, 0.0, 0.0)):
-                out[item] = found
+            if _overlap(question + answer, window) >= OVERLAP and found > out[which].get(item, (0.0, 0.0, 0.0)):
+                out[which][item] = found
         return out
 
 
@@ -183,7 +198,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
         def search(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for ids, texts in slices(batches):
-                rows = [(doc, item, *found) for doc, text in zip(ids, texts) for item, found in sorted(shared.value.leaks(text).items())]
+                rows = [(doc, item, *found) for doc, own in zip(ids, shared.value.leaks(texts)) for item, found in sorted(own.items())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, types)],
                                                  ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -199,7 +214,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
         def keep(batches: Iterable[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 texts = batch.column(batch.schema.get_field_index(text_col))
-                clean = [not shared.value.leaks(t) for at in range(0, len(texts), 256) for t in texts.slice(at, 256).to_pylist()]
+                clean = [not own for at in range(0, len(texts), SLICE) for own in shared.value.leaks(texts.slice(at, SLICE).to_pylist())]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
