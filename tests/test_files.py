@@ -76,20 +76,59 @@ def _final(spark, ids):
                                  "message_id string, action string, message_type string, reason string, confidence double, evidence_ids array<string>")
 
 
+HEADING = "message_id,action,message_type,reason,confidence,evidence_message_ids"
+
+
 def test_contract_csv_keeps_template_order(spark, tmp_path):
     template = spark.createDataFrame([("b", 0), ("a", 1)], "message_id string, position long")
     out = str(tmp_path / "out")
     sinks.write_contract_csv(_final(spark, ["a", "b"]), template, out)
-    rows = files.read_output_rows(spark, out).collect()
-    assert sorted((r["message_id"], r["reason"], r["confidence"], r["evidence_message_ids"]) for r in rows) == [
-        ("a", "one two", "0.50", "none"), ("b", "one two", "0.50", "h1;h2")]
-    lines = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*.csv"))).splitlines()
-    assert [x.split(",")[0] for x in lines if not x.startswith("message_id")] == ["b", "a"]
+    rows = files.read_output_rows(spark, out, in_parts=True).collect()
+    assert sorted((r["line_number"], r["message_id"], r["reason"], r["confidence"], r["evidence_message_ids"]) for r in rows) == [
+        (2, "b", "one two", "0.50", "h1;h2"), (3, "a", "one two", "0.50", "none")]
+    text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*.csv")))
+    assert text == f"{HEADING}\nb,digest,payment,one two,0.50,h1;h2\na,digest,payment,one two,0.50,none\n"
     for ids, problem in ((["a", "zz"], "unexpected"), (["a", "a"], "duplicate")):
         with pytest.raises(ContractError, match=problem):
             sinks.write_contract_csv(_final(spark, ids), template, str(tmp_path / "bad"))
 
 
+def test_contract_csv_of_many_parts_has_one_heading(spark, tmp_path):
+    ids = [f"m{k:05d}" for k in range(4000)]
+    template = spark.createDataFrame([(i, k) for k, i in enumerate(reversed(ids))], "message_id string, position long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sinks.write_contract_csv(_final(spark, ids), template, str(tmp_path / "out"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    parts = sorted((tmp_path / "out").glob("part-*.csv"))
+    lines = "".join(p.read_text() for p in parts).splitlines()
+    assert len(parts) > 1 and lines[0] == HEADING and [x.split(",")[0] for x in lines[1:]] == ids[::-1]
+    rows = files.read_output_rows(spark, str(tmp_path / "out"), in_parts=True)
+    assert [r["message_id"] for r in rows.orderBy("line_number").collect()] == ids[::-1]
+
+
+def test_rows_of_several_files_keep_file_order(spark, tmp_path):
+    folder = tmp_path / "users"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,v\n" + "a0,1\na1,2\n")
+    (folder / "b.csv").write_text("id,v\n" + "".join(f"b{k},{'x' * 200}\n" for k in range(5000)))
+    (folder / "c.csv").write_text("id,v\nc0,9\n")
+    got = [r["id"] for r in files.read_strict_csv(spark, str(folder), ["id"]).orderBy("position").collect()]
+    assert got == ["a0", "a1"] + [f"b{k}" for k in range(5000)] + ["c0"]
+    (folder / "d.csv").write_text("v,id\n1,d0\n")
+    with pytest.raises(ContractError, match="headers differ"):
+        files.read_strict_csv(spark, str(folder), ["id"])
+
+
+def test_file_faults_are_reported(spark, tmp_path):
+    turned = _write(tmp_path, "o.csv", "action,message_id,message_type,reason,confidence,evidence_message_ids\nmute,a,spam,r,0.5,none,extra\nmute,b,spam,r,0.5,none\n")
+    rows = files.read_output_rows(spark, turned)
+    known = spark.createDataFrame([("a",), ("b",)], "message_id string")
+    got = {r["line_number"]: r["errors"] for r in output_row_errors(rows, known, known).collect()}
+    assert got == {2: ["column order mismatch", "more cells than headers"], 3: ["column order mismatch"]}
+
+
 def test_output_contract_lists_every_broken_rule(spark):
     rows = spark.createDataFrame([
         (2, "a", "interrupt", "payment", "x\ny", "nan", "zz"), (3, "b", "notify", "payment", "fine", "0.5", "h1")],

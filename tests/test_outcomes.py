@@ -53,6 +53,10 @@ CASES = [
     ({"evidence_message_ids": "none"}, "invariants", ["I5"]),
     ({"evidence_message_ids": "zz"}, "invariants", ["I5"]),
     ({"evidence_message_ids": "h1;h2;h3"}, "invariants", ["I6"]),
+    ({"deadline_minutes": 99999999999}, None, []),
+    ({"deadline_minutes": 10 ** 30}, None, []),
+    ({"deadline_minutes": -(10 ** 30)}, "schema", ["invalid_deadline_minutes"]),
+    ({"deadline_minutes": 12.5}, "schema", ["invalid_deadline_minutes"]),
     ({"reason": "Too short for a sender."}, "reason_style", ["reason_length"]),
     ({"reason": GOOD.replace("sender", "router")}, "reason_style", ["reason_meta_language"]),
 ]

@@ -50,18 +50,23 @@ def streamed_router(load):
     from triagelake.functions.scores import rate
     peers = enriched_history(t).filter("has_event AND peer_id IS NOT NULL").groupBy("user_id", "peer_id").agg(
         F.count("*").alias("peer_n"), rate(F.count_if("dismissed"), F.count("*")).alias("peer_dismiss_rate"))
+    # Written once: every batch of the stream joins the finished snapshot.
+    snapshot = _scratch(load, "peers")
+    peers.write.parquet(snapshot)
+    peers = load.spark.read.parquet(snapshot)
     features = live.stream_features(_stream_of_messages(load), t.business_accounts, t.user_business_history, peers)
     store = _scratch(load, "routed")
     live.route_stream(features, store, _scratch(load, "state")).awaitTermination()
     return live.read_routed(load.spark, store).select("message_id", "action", "message_type", "rule")
 
 
-@add("T02_streamed_bursts")
+@add("T02_streamed_bursts", ("messages",), """, hours AS (SELECT CASE WHEN conversation_type = 'business' THEN business_id ELSE sender_user_id END AS peer_id,
+  user_id, date_trunc('hour', created_at) AS hour FROM messages)
+SELECT user_id, peer_id, hour - to_hours(CAST(k AS INT)) AS window_start, hour - to_hours(CAST(k AS INT)) + INTERVAL 24 HOUR AS window_end, count(*) AS n
+  FROM hours, range(0, 24) AS r(k) WHERE peer_id IS NOT NULL GROUP BY ALL""")
 def streamed_bursts(load):
     """Hourly sliding 24-hour counts per recipient and sender."""
-    counts = live.burst_stream(_stream_of_messages(load))
     out = _scratch(load, "bursts")
-    query = counts.writeStream.outputMode("append").format("parquet").option("checkpointLocation", _scratch(load, "state")).trigger(
-        availableNow=True).start(out)
-    query.awaitTermination()
-    return load.spark.read.parquet(out)
+    counts = live.burst_stream(_stream_of_messages(load), live.lateness(load("messages")))
+    live.store_bursts(counts, out, _scratch(load, "state")).awaitTermination()
+    return live.read_bursts(load.spark, out)

@@ -53,12 +53,6 @@ def totals_before(
     )
 
 
-def _middle(sorted_values: Column, n: Column) -> Column:
-    low = F.element_at(sorted_values, ((n + 1) / 2).cast("int"))
-    high = F.element_at(sorted_values, (n / 2).cast("int") + 1)
-    return (low + high) / 2
-
-
 def median_before(
     queries: DataFrame,
     events: DataFrame,

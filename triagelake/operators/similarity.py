@@ -184,6 +184,11 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     edges = cut_lineage(
         links.select(F.least("id", "other").alias("lo"), F.greatest("id", "other").alias("hi")).filter("lo <> hi").distinct())
+    def mark(e: DataFrame) -> tuple:
+        # Equal sets of edges have equal counts and sums; a settled set is not worth two set differences.
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)")), F.sum(F.hash("hi", "lo").cast("long"))).first())
+
+    seen = mark(edges)
     for _ in range(max_rounds):
         around = edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(
             edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
@@ -195,9 +200,8 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         contracted = small.select(F.col("m").alias("lo"), F.col("v").alias("hi")).unionByName(
             down.select(F.col("m").alias("lo"), F.col("u").alias("hi")))
         after = cut_lineage(contracted.filter("lo <> hi").distinct())
-        same = edges.exceptAll(after).isEmpty() and after.exceptAll(edges).isEmpty()
-        edges = after
-        if same:
+        before, seen, edges = seen, mark(after), after
+        if seen == before:
             break
     else:
         raise RuntimeError("component contraction did not settle")

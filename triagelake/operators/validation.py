@@ -43,17 +43,21 @@ def parse_decisions(raw: DataFrame) -> DataFrame:
     The mismatch flag and sentence come from the recorded observation, so a payload never
     states them twice.
     """
-    v = raw.withColumn("_v", F.try_parse_json("payload"))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant("_v"), F.lit("OBJECT")), F.lit(False))
-    v = v.filter(is_object).unionByName(v.filter(~is_object).withColumn("_v", F.parse_json(F.lit("{}"))).withColumn("_broken", F.lit(True)), allowMissingColumns=True)
-    broken = F.coalesce("_broken", F.lit(False))
+    v = raw.withColumn("_p", F.try_parse_json("payload"))
+    broken = ~F.coalesce(F.startswith(F.schema_of_variant("_p"), F.lit("OBJECT")), F.lit(False))
+    # Anything but an object counts as one without fields.
+    v = v.withColumn("_v", F.when(broken, F.parse_json(F.lit("{}"))).otherwise(F.col("_p")))
     number = F.try_variant_get(F.col("_v"), "$.confidence", "double")
     confidence = F.when(_kind("confidence") == "STRING", parse_confidence(_text("confidence"))).when(
         _is_numeric("confidence") & number.between(0.0, 1.0), number
     )
     observed = F.startswith(_kind("media_observation"), F.lit("OBJECT"))
-    deadline = F.try_variant_get(F.col("_v"), "$.deadline_minutes", "long")
     has_deadline = _kind("deadline_minutes").isNotNull() & (_kind("deadline_minutes") != "VOID")
+    # A whole number beyond 64 bits is the latest deadline there is.
+    huge = _kind("deadline_minutes").rlike(r"^DECIMAL\(\d+,0\)$")
+    sign = F.signum(F.try_variant_get(F.col("_v"), "$.deadline_minutes", "double"))
+    deadline = F.when(huge, F.when(sign < 0, F.lit(-1)).otherwise(F.lit((1 << 63) - 1))).otherwise(
+        F.try_variant_get(F.col("_v"), "$.deadline_minutes", "long"))
     typed = v.select(
         *[c for c in raw.columns if c != "payload"],
         broken.alias("_broken"),
@@ -67,8 +71,8 @@ def parse_decisions(raw: DataFrame) -> DataFrame:
             F.try_variant_get(F.col("_v"), "$.media_observation.corroborates_message_claim", "string"))), F.lit(False)).alias("media_mismatch"),
         F.when(observed, _text("media_observation.mismatch_reason")).alias("media_mismatch_reason"),
         (_kind("media_observation").isNotNull() & (_kind("media_observation") != "VOID")).alias("has_observation"),
-        F.when(has_deadline, deadline).cast("int").alias("deadline_minutes"),
-        (has_deadline & ((_kind("deadline_minutes") != "BIGINT") | (deadline < 0))).alias("_bad_deadline"),
+        F.when(has_deadline, deadline).alias("deadline_minutes"),
+        (has_deadline & ((~huge & (_kind("deadline_minutes") != "BIGINT")) | (deadline < 0))).alias("_bad_deadline"),
         F.coalesce(F.try_variant_get(F.col("_v"), "$.material_harm", "boolean"), F.lit(False)).alias("material_harm"),
         (_field("material_harm").isNotNull() & (_kind("material_harm") != "BOOLEAN")).alias("_bad_harm"),
     )

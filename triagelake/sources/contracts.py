@@ -110,11 +110,12 @@ _NUMBER_WORD = r"(?i)^\s*[+-]?((\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?|nan|inf|infinity)
 def output_row_errors(rows: DataFrame, messages: DataFrame, history: DataFrame) -> DataFrame:
     """Rows of a submitted file with the list of rules each one breaks.
 
-    ``rows`` holds the six contract columns as text and ``line_number``. Cited ids are
-    resolved by a join, so neither the history nor the ids are held in one place.
+    ``rows`` holds the six contract columns as text, ``line_number`` and perhaps ``file_errors``.
+    Cited ids are resolved by a join, so neither the history nor the ids are held in one place.
     """
     text = {c: F.coalesce(c, F.lit("")) for c in C.OUTPUT_COLUMNS}
-    out = rows.select("line_number", *[v.alias(c) for c, v in text.items()]).withColumn("_id", F.trim("message_id"))
+    found = F.col("file_errors") if "file_errors" in rows.columns else F.array().cast("array<string>")
+    out = rows.select("line_number", found.alias("_file"), *[v.alias(c) for c, v in text.items()]).withColumn("_id", F.trim("message_id"))
     evidence = F.trim("evidence_message_ids")
     parts = F.transform(F.split(evidence, ";", -1), lambda p: F.trim(p))
     cited = out.select("line_number", F.explode(F.when((evidence != "") & (evidence != C.NO_EVIDENCE), parts)).alias("cited"))
@@ -138,7 +139,7 @@ def output_row_errors(rows: DataFrame, messages: DataFrame, history: DataFrame)
         (F.col("_repeated").isNotNull(), "duplicate message_id"),
         ((F.col("_id") != "") & F.col("_expected").isNull(), "unknown message_id"),
     ]
-    errors = F.array_compact(F.array(*[F.when(bad, F.lit(code)) for bad, code in checks]))
+    errors = F.concat("_file", F.array_compact(F.array(*[F.when(bad, F.lit(code)) for bad, code in checks])))
     return joined.select("line_number", "message_id", errors.alias("errors"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from triagelake.config import OUTPUT_COLUMNS
 from triagelake.functions.vocab import ordered_evidence, parse_confidence, parse_evidence_set
+from triagelake.operators.similarity import number_in_order
 from triagelake.sources.contracts import ContractError, apply_schema, require_clean, require_unique
 
 # Column -> (kind, required) of every source table.
@@ -66,17 +67,9 @@ _LABELS = {"action": ("label", True), "message_type": ("label", True), "reason":
            "confidence": ("str", True), "evidence_message_ids": ("str", True)}
 
 
-def read_strict_csv(spark: SparkSession, path: str, required: list[str]) -> DataFrame:
-    """Text columns under trimmed lower-case names, plus file order in ``position``.
-
-    Header errors raise here. A record with too many cells raises when it is read; a short
-    record is padded with empty text.
-    """
-    reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-    header = reader.option("header", False).csv(path).limit(1).collect()
-    if not header:
-        raise ContractError(f"no header: {path}")
-    names = [("" if cell is None else cell).lstrip("\ufeff").strip().casefold() for cell in header[0]]
+def _names(cells: list, path: str, required: list[str]) -> list[str]:
+    """Header cells as column names, or an error."""
+    names = [("" if cell is None else cell).lstrip("\ufeff").strip().casefold() for cell in cells]
     if "" in names:
         raise ContractError(f"empty header cell: {path}")
     if len(set(names)) != len(names):
@@ -84,14 +77,61 @@ def read_strict_csv(spark: SparkSession, path: str, required: list[str]) -> Data
     missing = [name for name in required if name not in names]
     if missing:
         raise ContractError(f"missing headers {missing}: {path}")
+    return names
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``position`` by (file name, place in the file); Spark itself reads large files first.
+
+    A quoted record may hold line breaks, so a file is read by one task and its rows keep their order.
+    """
+    place = F.monotonically_increasing_id()
+    files = sorted(rows.inputFiles())
+    if len(files) < 2:
+        return rows.withColumn("position", place)
+    rank = rows.sparkSession.createDataFrame([(posixpath.basename(f), k) for k, f in enumerate(files)], "_name string, _rank long")
+    named = rows.select("*", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_name"), place.alias("_place"))
+    in_part = F.lit((1 << 33) - 1).cast("long")
+    return named.join(F.broadcast(rank), "_name").withColumn(
+        "position", F.shiftleft("_rank", 33) + F.col("_place").bitwiseAND(in_part)).drop("_name", "_rank", "_place")
+
+
+def read_strict_csv(spark: SparkSession, path: str, required: list[str], faults: bool = False, one_header: bool = False) -> DataFrame:
+    """Text columns under trimmed lower-case names, plus file order in ``position``.
+
+    Header errors raise here, also where the files of a folder differ in their headers; with
+    ``one_header`` the folder is one file in parts and only the first part has a header. A record with
+    too many cells raises when it is read, or is marked in ``_surplus`` if ``faults``; a short record
+    is padded with empty text.
+    """
+    reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
+    plain = reader.option("header", False).csv(path)
+    parts = sorted(plain.inputFiles())
+    if len(parts) < 2 or one_header:
+        headers = [tuple(r) for r in reader.option("header", False).csv(parts[:1]).limit(1).collect()] if parts else []
+    else:
+        cells = F.struct(*plain.columns)
+        headers = [tuple(r["h"]) for r in plain.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("p"), cells.alias("c"))
+                   .groupBy("f").agg(F.min_by("c", "p").alias("h")).select("h").distinct().collect()]
+    if not headers:
+        raise ContractError(f"no header: {path}")
+    read = [_names(list(h), path, required) for h in headers]
+    if any(names != read[0] for names in read):
+        raise ContractError(f"headers differ: {path}")
+    names = read[0]
     schema = StructType([StructField(n, StringType()) for n in names + ["_extra"]])
     # One spare column catches a surplus cell, which a record of the right width leaves null.
-    rows = reader.option("header", True).option("enforceSchema", True).option("nullValue", "\u0000").option(
-        "emptyValue", "").option("mode", "PERMISSIVE").schema(schema).csv(path)
-    surplus = F.col("_extra").isNotNull()
-    checked = F.when(surplus, F.raise_error(F.lit(f"record with more cells than headers: {path}")).cast("string")).otherwise(F.col(names[0]))
-    return rows.withColumn(names[0], checked).select(
-        *[F.coalesce(n, F.lit("")).alias(n) for n in names], F.monotonically_increasing_id().alias("position"))
+    rows = _numbered(reader.option("header", not one_header).option("enforceSchema", True).option("nullValue", "\u0000").option(
+        "emptyValue", "").option("mode", "PERMISSIVE").schema(schema).csv(path))
+    if one_header:
+        # The heading row starts the first part; an equal row elsewhere is a record.
+        heading = rows.orderBy("position").limit(1).select("position").first()["position"]
+        rows = rows.where(F.col("position") != heading)
+    surplus, first = F.col("_extra").isNotNull(), F.col(names[0])
+    if not faults:
+        first = F.when(surplus, F.raise_error(F.lit(f"record with more cells than headers: {path}")).cast("string")).otherwise(first)
+    return rows.withColumn(names[0], first).select(
+        *[F.coalesce(n, F.lit("")).alias(n) for n in names], "position", *[surplus.alias("_surplus")] * faults)
 
 
 def read_table(spark: SparkSession, path: str, name: str, quarantine: bool = False) -> DataFrame:
@@ -140,12 +180,19 @@ def read_ordered_predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.trim("message_id").alias("message_id"), ordered_evidence(F.col("evidence_message_ids")).alias("cited"))
 
 
-def read_output_rows(spark: SparkSession, path: str) -> DataFrame:
-    """A submitted file as text, for the output contract; the column order must match."""
-    rows = read_strict_csv(spark, path, list(OUTPUT_COLUMNS))
-    if tuple(c for c in rows.columns if c != "position") != OUTPUT_COLUMNS:
-        raise ContractError(f"column order mismatch: {path}")
-    return rows.withColumn("line_number", F.col("position") + 2).drop("position")
+def read_output_rows(spark: SparkSession, path: str, in_parts: bool = False) -> DataFrame:
+    """A submitted file as text, for the output contract.
+
+    What is wrong with the file itself stays in ``file_errors`` of its rows: the order of the columns
+    and records with too many cells. ``line_number`` counts records in file order, the header being 1.
+    ``in_parts`` reads the folder that ``write_contract_csv`` makes.
+    """
+    rows = read_strict_csv(spark, path, list(OUTPUT_COLUMNS), faults=True, one_header=in_parts)
+    found = tuple(c for c in rows.columns if c not in ("position", "_surplus"))
+    errors = F.array_compact(F.array(
+        F.when(F.lit(found != OUTPUT_COLUMNS), F.lit("column order mismatch")), F.when(F.col("_surplus"), F.lit("more cells than headers"))))
+    return number_in_order(rows, "position", "line_number").select(
+        *OUTPUT_COLUMNS, (F.col("line_number") + 1).alias("line_number"), errors.alias("file_errors"))
 
 
 def read_decisions(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from triagelake import config as C
 from triagelake.operators.context import latest_per_key
-from triagelake.sources.contracts import ContractError, require_unique
+from triagelake.session import cut_lineage
+from triagelake.sources.contracts import ContractError
 
 
 def contract_rows(final: DataFrame) -> DataFrame:
@@ -30,15 +31,20 @@ def in_template_order(rows: DataFrame, template: DataFrame) -> DataFrame:
 
 
 def write_contract_csv(final: DataFrame, template: DataFrame, path: str) -> None:
-    """One row per message in template order. Unexpected and repeated ids raise.
+    """One row per message in template order under one header. Unexpected and repeated ids raise.
 
-    The sort is global, so part files concatenate in order; nothing is gathered in one task.
+    The rows are worked out once and sorted globally, the header as the first of them, so the part
+    files joined in name order are the contract file; nothing is gathered in one task.
     """
-    rows = in_template_order(require_unique(contract_rows(final), ["message_id"], "output"), template)
-    stray = rows.filter("position IS NULL").select("message_id").head(3)
-    if stray:
-        raise ContractError(f"unexpected message_id: {[r[0] for r in stray]}")
-    rows.orderBy("position").drop("position").write.mode("overwrite").option("header", True).option(
+    text = contract_rows(final)
+    same_id = Window.partitionBy("message_id")
+    fault = F.when(F.col("position").isNull(), "unexpected message_id").when(F.count("*").over(same_id) > 1, "duplicate message_id")
+    rows = cut_lineage(in_template_order(text, template).withColumn("fault", fault))
+    wrong = rows.filter("fault IS NOT NULL").select("fault", "message_id").head(3)
+    if wrong:
+        raise ContractError(f"output: {[tuple(r) for r in wrong]}")
+    heading = final.sparkSession.range(1).select(*[F.lit(c).alias(c) for c in text.columns], F.lit(-1).cast("long").alias("position"))
+    heading.unionByName(rows.drop("fault")).orderBy("position").drop("position").write.mode("overwrite").option(
         "quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
 
 

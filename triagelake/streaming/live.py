@@ -29,28 +29,51 @@ def stream_features(messages: DataFrame, accounts: DataFrame, relations: DataFra
     return row.withColumns({"opted_out": F.coalesce("opted_out", F.lit(False)), "peer_n": F.coalesce("peer_n", F.lit(0))})
 
 
-def route_stream(features: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Route every new message into an append-only store.
-
-    A batch writes its own folder and overwrites it when it is replayed, so a restart
-    neither loses nor repeats rows; the newest batch wins when an id comes again.
-    """
+def _into_batches(rows: DataFrame, store: str, checkpoint: str, mode: str) -> StreamingQuery:
+    """Each batch writes its own folder and overwrites it when it is replayed."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(os.path.join(store, f"batch={number}"))
 
-    return (
-        route(features).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True).start()
-    )
+    return (rows.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def route_stream(features: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Route every new message into an append-only store.
+
+    A restart neither loses nor repeats rows; the newest batch wins when an id comes again.
+    """
+    return _into_batches(route(features), store, checkpoint, "append")
 
 
 def read_routed(spark: SparkSession, store: str) -> DataFrame:
     return latest_per_key(spark.read.parquet(store), "message_id", "batch")
 
 
+def lateness(messages: DataFrame) -> str:
+    """The delay that keeps every row of a finished backlog, in whatever order its files are read."""
+    span = messages.agg(F.coalesce(F.unix_timestamp(F.max("created_at").cast("timestamp")) - F.unix_timestamp(F.min("created_at").cast("timestamp")),
+                                   F.lit(0)).alias("s")).first()["s"]
+    return f"{span + 3600} seconds"
+
+
+def store_bursts(counts: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Keep the counts of every window a batch has changed, windows still open included."""
+    return _into_batches(counts, store, checkpoint, "update")
+
+
+def read_bursts(spark: SparkSession, store: str) -> DataFrame:
+    """The newest count of every window."""
+    keys = ["user_id", "peer_id", "window_start", "window_end"]
+    return spark.read.parquet(store).groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+
+
 def burst_stream(messages: DataFrame, late: str = "1 hour", hours: int = C.BURST_WINDOW_HOURS) -> DataFrame:
-    """Messages per recipient and sender in windows of 24 hours that start every hour."""
+    """Messages per recipient and sender in windows of 24 hours that start every hour.
+
+    Rows later than ``late`` behind the newest one are left out; ``lateness`` gives a delay for a backlog.
+    """
     _, peer = resolve_peer(F.col("conversation_type"), F.col("business_id"), F.col("sender_user_id"))
     return (
         messages.withColumn("peer_id", peer).filter(F.col("peer_id").isNotNull())
