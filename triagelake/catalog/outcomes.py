@@ -167,11 +167,22 @@ def validation_result(load):
     return _validated(load).select("message_id", "stage", joined("codes").alias("codes"), "coercion_count", joined("dropped_ids").alias("dropped"))
 
 
-@add("V03_inspection")
+_OPENED = "CASE WHEN m.media_type = 'image' AND m.forwarded_count % 3 <> 1 THEN 1 ELSE 0 END"
+
+
+@add("V03_inspection", (*_VALIDATION_VIEWS, "media"), _VALIDATED + f""",
+seen AS (SELECT ic.*, m.media_type = 'image' AND m.media_id IS NOT NULL AND coalesce(d.file_exists, false) AS readable, {_OPENED} = 1 AS opened,
+  coalesce(json_type(ic.j, '$.media_observation'), 'NULL') <> 'NULL' AS observed
+  FROM ic JOIN messages m ON ic.message_id = m.message_id LEFT JOIN media d ON d.kind = m.media_type AND d.media_id = m.media_id)
+SELECT message_id, concat_ws(',', CASE WHEN readable AND NOT opened THEN 'I7' END, CASE WHEN readable AND opened AND NOT observed THEN 'I8' END,
+  nullif(invariant_codes, '')) AS codes FROM seen
+WHERE schema_codes = '' AND coercion_codes = '' AND (invariant_codes <> '' OR (readable AND NOT (opened AND observed)))""")
 def inspection(load):
-    """Image rules, where the opened attachments of each run are supplied."""
-    opened = F.when(F.col("media_type") == "image", F.when(F.length("message_id") > 0, F.array("media_id")))
-    context = _context(load).withColumn("inspected_media_ids", F.coalesce(opened, F.array().cast("array<string>")))
+    """Image rules: some attachments were never opened, some opened ones have no observation."""
+    opened = load("messages").select("message_id", F.when(
+        (F.col("media_type") == "image") & (F.col("forwarded_count") % 3 != 1), F.array("media_id")).alias("_opened"))
+    context = _context(load).join(opened, "message_id").withColumn(
+        "inspected_media_ids", F.coalesce("_opened", F.array().cast("array<string>"))).drop("_opened")
     out = validation.validate_decisions(load("raw_decisions"), context)
     return out.filter("stage = 'invariants'").select("message_id", joined("codes").alias("codes"))
 
@@ -265,7 +276,8 @@ _FALLBACK_TYPE = """CASE WHEN s.credential_request IS NOT NULL OR s.injection_ma
   WHEN s.conversation_type = 'personal' THEN 'personal' ELSE 'unknown' END"""
 _CLAUSE = f"""CASE WHEN stage IN ('schema', 'coercion') THEN {q.quoted(failure.BAD_SHAPE)} WHEN stage = 'invariants' THEN {q.quoted(failure.BAD_INVARIANT)}
   WHEN stage = 'reason_style' THEN {q.quoted(failure.BAD_STYLE)} ELSE {q.quoted(failure.NO_DECISION)} END"""
-_SETTLED = (_VALIDATED + q.signals().replace(",\ntxt AS", ",\nctxt AS").replace("FROM txt)", "FROM ctxt)") + _ACC + GROUPS + f""",
+_SIGNALS = q.signals().replace(",\ntxt AS", ",\nctxt AS").replace("FROM txt)", "FROM ctxt)")
+_ST = f""",
 fb AS (SELECT s.message_id, vd.stage, vd.style_codes, {_FALLBACK_TYPE} AS ftype, concat(CASE s.conversation_type
     WHEN 'business' THEN CASE WHEN a.brand_name IS NOT NULL THEN concat('A business notice from ', a.brand_name) ELSE 'A business notice' END
     WHEN 'group' THEN CASE WHEN grp.group_name IS NOT NULL THEN concat('A group message in ', grp.group_name) ELSE 'A group message' END
@@ -274,7 +286,8 @@ fb AS (SELECT s.message_id, vd.stage, vd.style_codes, {_FALLBACK_TYPE} AS ftype,
   FROM sig s JOIN vd ON s.message_id = vd.message_id LEFT JOIN acc a ON s.conversation_type = 'business' AND s.business_id = a.business_id
   LEFT JOIN grp ON s.message_id = grp.message_id),
 st AS (SELECT *, CASE WHEN stage IS NULL THEN 'submitted' WHEN stage = 'reason_style' AND style_codes IN ('reason_length', 'reason_sentence_count',
-  'reason_length,reason_sentence_count') THEN 'reason_repaired' ELSE 'validation_rejected' END AS outcome FROM fb)""")
+  'reason_length,reason_sentence_count') THEN 'reason_repaired' ELSE 'validation_rejected' END AS outcome FROM fb)"""
+_SETTLED = _VALIDATED + _SIGNALS + _ACC + GROUPS + _ST
 _SETTLE_VIEWS = (*DOSSIER_VIEWS, "raw_decisions")
 
 
@@ -295,7 +308,46 @@ def failure_policy(load):
     return _settled(load).select("message_id", "outcome", "action", "message_type")
 
 
-@add("R12_reason_repair")
+_SEEN = "(p.peer_open_rate IS NOT NULL AND p.peer_n > 0)"
+_OPENS = q.percent("p.peer_open_rate")
+_BEFORE = q.plural("p.peer_n", "previous message")
+_BRAND = "CASE WHEN length(a.brand_name) > 0 THEN a.brand_name ELSE 'this business' END"
+
+
+def _unquoted(x: str) -> str:
+    return f"trim(regexp_replace({x}, '[\"“”]', '', 'g'))"
+
+
+def _repaired(given: str) -> str:
+    """First true sentence that keeps the contract, for (message_id, action, message_type, deadline_minutes) of ``given``."""
+    adverse = f"""[CASE WHEN x.cred IS NOT NULL THEN concat('A request for a credential worded "', {_unquoted('x.cred')}, '" decided this message ahead of any standing the sender has.') END,
+  CASE WHEN x.inj IS NOT NULL THEN concat('Text trying to dictate its own delivery with "', {_unquoted('x.inj')}, '" was recorded as evidence against this sender.') END,
+  CASE WHEN x.pay IS NOT NULL THEN concat('A demand for payment worded "', {_unquoted('x.pay')}, '" decided this message against the sender''s history.') END,
+  CASE WHEN a.brand_verdict = 'impersonation' THEN concat('A sender domain that does not match the official ', {_BRAND}, ' domain, with ', {q.plural('a.user_reports_30d', 'user report')}, ', decided this notice.') END,
+  CASE WHEN b.opted_out AND d.message_type = 'promotion' THEN 'A promotion from a business whose promotions this user has already opted out of decided this message.' END,
+  CASE WHEN p.peer_dismiss_rate >= 0.5 AND p.peer_n > 0 THEN concat('This recipient dismissed ', {q.percent('p.peer_dismiss_rate')}, ' of the ', {_BEFORE}, ' from this sender.') END,
+  CASE WHEN f.n > 0 THEN concat('This message repeats ', {q.plural('f.n', 'earlier message')}, ' from the same sender in the retained history.') END,
+  CASE WHEN s.forwarded_count > 0 THEN concat('This message arrived as a forward with a hop count of ', s.forwarded_count, ', which decided it against the sender''s history.') END]"""
+    supporting = f"""[CASE WHEN d.deadline_minutes IS NOT NULL AND {_SEEN} THEN concat('The message states a deadline and this recipient opens ', {_OPENS}, ' of the ', {_BEFORE}, ' from this sender.') END,
+  CASE WHEN g.sender_role = 'admin' THEN concat('A group admin in ', g.group_name, ' sent this notice', CASE WHEN {_SEEN} THEN concat(' and this recipient opens ', {_OPENS}, ' of them') ELSE '' END, '.') END,
+  CASE WHEN length(b.why_user_knows_account) > 0 THEN concat('A business notice matching this recipient''s ', trim(replace(b.why_user_knows_account, '_', ' ')),
+    ' decided this message, from an account', CASE WHEN {_SEEN} THEN concat(' opened ', {_OPENS}, ' of the time') ELSE '' END, '.') END,
+  CASE WHEN {_SEEN} THEN concat('This recipient opens ', {_OPENS}, ' of the ', {_BEFORE}, ' from this sender.') END]"""
+    return f""",
+figures AS (SELECT message_id, count_if(jac >= 0.45) AS n FROM prs GROUP BY 1),
+rtx AS (SELECT message_id, {q.guard('w')} AS g FROM ctxt),
+phr AS (SELECT message_id, {q.attack('g')} AS inj, {q.credential('g')} AS cred, {q.payment('g')} AS pay FROM rtx),
+options AS (SELECT d.message_id, CASE WHEN d.action = 'notify' AND x.inj IS NULL AND x.cred IS NULL AND x.pay IS NULL
+  THEN list_concat({supporting}, {adverse}) ELSE list_concat({adverse}, {supporting}) END AS sentences
+  FROM {given} d JOIN sig s ON d.message_id = s.message_id JOIN phr x ON d.message_id = x.message_id JOIN peer_eng p ON d.message_id = p.message_id
+  LEFT JOIN acc a ON s.conversation_type = 'business' AND s.business_id = a.business_id LEFT JOIN grp g ON d.message_id = g.message_id
+  LEFT JOIN biz b ON d.message_id = b.message_id LEFT JOIN figures f ON d.message_id = f.message_id),
+offers AS (SELECT message_id, unnest(sentences) AS sentence, generate_subscripts(sentences, 1) AS i FROM options),
+repaired AS (SELECT o.message_id, coalesce(arg_min(sentence, i) FILTER (WHERE sentence IS NOT NULL AND {q.style_codes('sentence')} = ''),
+  {q.quoted(failure.FLOOR_SENTENCE)}) AS reason FROM offers o GROUP BY 1)"""
+
+
+@add("R12_reason_repair", GATE_VIEWS, RELATION + PAIRS[len(q.ENGAGED):] + _SIGNALS + _ACC + GROUPS + BUSINESS + _repaired("decisions") + " SELECT message_id, reason FROM repaired")
 def reason_repair(load):
     """Repaired sentence of every message under its supplied action and type."""
     dossier = failure.with_repair_phrases(build_dossier(tables(load), medians=False))
@@ -303,7 +355,26 @@ def reason_repair(load):
     return dossier.join(given, "message_id").select("message_id", failure.repair_reason().alias("reason"))
 
 
-@add("R17_full_run")
+_RISK = "CASE v.k " + " ".join(f"WHEN '{k}' THEN '{r}'" for k, r in C.RISK_AXES.items()) + " END"
+_RUN_SQL = (RELATION + PAIRS[len(q.ENGAGED):] + _VALIDATED[len(PAIRS):] + _SIGNALS + _ACC + GROUPS + BUSINESS + DND_SQL + q.DETECTED + _ST + """,
+given AS (SELECT st.message_id, va_action AS action, v_type AS message_type, CASE WHEN v.dt IN ('UBIGINT', 'BIGINT') THEN CAST(v.dm AS BIGINT) END AS deadline_minutes
+  FROM st JOIN vd v ON st.message_id = v.message_id WHERE outcome = 'reason_repaired')""" + _repaired("given") + f""",
+settled AS (SELECT st.message_id, outcome, CASE WHEN keeps THEN va_action ELSE 'digest' END AS action, CASE WHEN keeps THEN v_type ELSE ftype END AS message_type,
+  CASE outcome WHEN 'submitted' THEN v.reason WHEN 'reason_repaired' THEN r.reason ELSE CASE WHEN {q.style_codes('described')} = '' THEN described
+    ELSE {q.quoted(failure.GENERIC_REASON)} END END AS reason,
+  CASE WHEN keeps THEN v.confidence ELSE {C.CONF_FLOOR}::DOUBLE END AS confidence,
+  CASE WHEN keeps THEN array_to_string(v.kept, ',') ELSE coalesce(top_id, '') END AS evidence,
+  CASE WHEN keeps THEN {_RISK} ELSE 'clean' END AS risk, CASE WHEN keeps THEN v.u ELSE 'none' END AS urgency,
+  CASE WHEN keeps AND v.dt IN ('UBIGINT', 'BIGINT') THEN CAST(v.dm AS BIGINT) END AS deadline_minutes,
+  keeps AND coalesce(json_extract_string(v.j, '$.material_harm') = 'true', false) AS material_harm,
+  keeps AND coalesce(json_extract_string(v.j, '$.media_observation.corroborates_message_claim') IN ('no', 'partial'), false) AS media_mismatch,
+  CASE WHEN keeps THEN json_extract_string(v.j, '$.media_observation.mismatch_reason') END AS media_mismatch_reason
+  FROM (SELECT *, outcome IN ('submitted', 'reason_repaired') AS keeps FROM st) st JOIN vd v ON st.message_id = v.message_id
+  LEFT JOIN repaired r ON st.message_id = r.message_id)""" + _FACTS[_FACTS.index(",\nfacts AS"):].replace("FROM decisions d", "FROM settled d") + _GATED[len(_FACTS):] + """
+SELECT g.message_id, g.action, g.message_type, g.reason, g.confidence, t.evidence, g.rules, t.outcome FROM gated g JOIN settled t ON g.message_id = t.message_id""")
+
+
+@add("R17_full_run", (*DOSSIER_VIEWS, "raw_decisions"), _RUN_SQL)
 def full_run(load):
     """Features, supplied decisions, failure policy and gate in one job."""
     final = decide(tables(load), load("raw_decisions"))

@@ -91,9 +91,9 @@ def scanners(load):
             ("injection_match", S.scan_injection), ("credential_request", S.scan_credential), ("payment_pressure", S.scan_payment))])
 
 
-@add("P10_injection_detector", ("messages",), f"""{q.DETECTED} SELECT message_id, attack_phrase FROM det""")
+@add("P10_injection_detector", ("base",), f"""{q.detected('base')} SELECT message_id, attack_phrase FROM det""")
 def injection(load):
-    return load("messages").select("message_id", D.looks_like_injection(T.guard_text(F.col("message_text"))).alias("attack_phrase"))
+    return load("base").select("message_id", D.looks_like_injection(T.guard_text(F.col("message_text"))).alias("attack_phrase"))
 
 
 @add("P10_injection_turns", sql=f"""SELECT conv_id, turn, {q.attack(q.guard('text'))} AS attack_phrase FROM conversations""")
@@ -101,21 +101,21 @@ def injection_turns(load):
     return load("conversations").select("conv_id", "turn", D.looks_like_injection(T.guard_text(F.col("text"))).alias("attack_phrase"))
 
 
-@add("P11_credential_solicitation", ("messages",), f"""{q.DETECTED} SELECT message_id, credential_phrase FROM det""")
+@add("P11_credential_solicitation", ("base",), f"""{q.detected('base')} SELECT message_id, credential_phrase FROM det""")
 def credential(load):
-    return load("messages").select("message_id", D.asks_for_credential(T.guard_text(F.col("message_text"))).alias("credential_phrase"))
+    return load("base").select("message_id", D.asks_for_credential(T.guard_text(F.col("message_text"))).alias("credential_phrase"))
 
 
-@add("P12_payment_demand", ("messages",), f"""{q.DETECTED} SELECT message_id, payment_phrase FROM det""")
+@add("P12_payment_demand", ("base",), f"""{q.detected('base')} SELECT message_id, payment_phrase FROM det""")
 def payment(load):
-    return load("messages").select("message_id", D.demands_payment(T.guard_text(F.col("message_text"))).alias("payment_phrase"))
+    return load("base").select("message_id", D.demands_payment(T.guard_text(F.col("message_text"))).alias("payment_phrase"))
 
 
-@add("P13_negation_lookback", ("messages",), f"""{q.DETECTED}, n AS (SELECT message_id, {q.guard("concat('never ', message_text)")} AS g FROM messages)
+@add("P13_negation_lookback", ("base",), f""", n AS (SELECT message_id, {q.guard("concat('never ', message_text, ' ', message_text)")} AS g FROM base)
 SELECT n.message_id, {q.credential('n.g')} AS negated_credential, {q.payment('n.g')} AS negated_payment FROM n""")
 def negation(load):
-    """The same texts behind a negation: whatever started within its reach is cancelled."""
-    rows = load("messages").withColumn("message_text", F.concat(F.lit("never "), "message_text"))
+    """Every text twice, the first time behind a negation: its reach ends before the second one."""
+    rows = load("base").withColumn("message_text", F.concat(F.lit("never "), "message_text", F.lit(" "), "message_text"))
     return detect(rows).select("message_id", F.col("credential_phrase").alias("negated_credential"), F.col("payment_phrase").alias("negated_payment"))
 
 
@@ -205,11 +205,11 @@ def evidence_score(load):
     return rounded(rows.select("message_id", "cite_id", score.alias("score")))
 
 
-@add("P21_content_signals", ("messages",), f"""{q.signals()} SELECT message_id, length(trim(message_text)) AS text_length,
+@add("P21_content_signals", ("base",), f"""{q.signals('base')} SELECT message_id, length(trim(message_text)) AS text_length,
   length(trim(message_text)) = 0 AS is_empty_text, w <> '' AS text_scanned, forwarded_count > 0 AS is_forwarded,
   {_hosts('message_text')} AS url_domains, injection_match, credential_request, payment_pressure FROM sig""")
 def signals(load):
-    return content_signals(load("messages")).select(
+    return content_signals(load("base")).select(
         "message_id", "text_length", "is_empty_text", "text_scanned", "is_forwarded", joined("url_domains").alias("url_domains"),
         "injection_match", "credential_request", "payment_pressure")
 

@@ -141,10 +141,10 @@ def unnegated(x: str, patterns) -> str:
     """First match in pattern order whose 24 characters in front hold no negation."""
     parts = []
     for pattern in patterns:
-        m = f"regexp_extract({x}, {quoted(pattern)}, 0)"
-        at = f"strpos({x}, {m})"
-        before = f"substr({x}, greatest(1, {at} - 24), least(24, {at} - 1))"
-        parts.append(f"CASE WHEN {m} <> '' AND NOT regexp_matches({before}, {quoted(D.NEGATION)}) THEN trim({m}) END")
+        hits, gaps = f"regexp_extract_all({x}, {quoted(pattern)})", f"string_split_regex({x}, {quoted(pattern)})"
+        front = f"right(array_to_string(flatten(list_transform(range(1, i + 1), lambda j: [{gaps}[j], CASE WHEN j < i THEN {hits}[j] ELSE '' END])), ''), 24)"
+        live = f"list_filter(range(1, len({hits}) + 1), lambda i: NOT regexp_matches({front}, {quoted(D.NEGATION)}))"
+        parts.append(f"CASE WHEN regexp_matches({x}, {quoted(pattern)}) THEN trim({hits}[({live})[1]]) END")
     return f"coalesce({', '.join(parts)})"
 
 
@@ -157,11 +157,15 @@ def payment(x: str) -> str:
     return cut(unnegated(x, D.PAYMENT_DEMAND))
 
 
-DETECTED = f""",
-gtx AS (SELECT *, {guard('message_text')} AS g FROM messages),
+def detected(source: str = "messages") -> str:
+    return f""",
+gtx AS (SELECT *, {guard('message_text')} AS g FROM {source}),
 det AS (SELECT message_id, {attack('g')} AS attack_phrase, {credential('g')} AS credential_phrase,
         {payment('g')} AS payment_phrase FROM gtx)"""
 
+
+DETECTED = detected()
+
 # --- Style contract -------------------------------------------------------------------------
 from triagelake.functions import reasons as R  # noqa: E402
 

@@ -1,8 +1,9 @@
 """Domain tables derived from the driver's parquet tables.
 
 The text of every view runs unchanged in Spark and in the SQL engine that checks the
-results; ``{explode}`` is the one word that differs. Nothing is cut: every event becomes a
-message, every document a prediction, every conversation opening a message body.
+results; ``{explode}`` is the one word that differs. Every event becomes a message. Key spaces follow the
+sizes of the tables. Some rows lack a partner on purpose, so that outer joins have something to show:
+sign-up events record no reaction, Spanish documents have no prediction, and some senders are new.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ VIEWS = {
     "keyed_events": """
         SELECT event_id, user_id, ts, event_type, value, props,
                (event_id * 5 + user_id) % 24 AS phrase_no, (event_id * 7 + user_id) % 12 AS body_no,
-               (user_id * 4 + CAST(FLOOR(event_id / 3) AS BIGINT) % 4) % 100 AS supp_no,
+               (user_id * 4 + CAST(FLOOR(event_id / 3) AS BIGINT) % 4) % (SELECT count(*) + 1 FROM supplier) AS supp_no,
                user_id + CAST(FLOOR(event_id / 3) AS BIGINT) % 5 + 1 AS sender_no
         FROM events""",
     "base": f"""
@@ -76,15 +77,16 @@ VIEWS = {
                    AS conversation_type,
                CASE WHEN event_id % 3 = 1 THEN concat('g', CAST(user_id % 26 AS STRING)) END AS group_id,
                CASE WHEN event_id % 3 = 2 THEN concat('b', CAST(supp_no AS STRING)) END AS business_id,
-               CASE WHEN event_id % 3 <> 2 AND event_id % 31 <> 0
-                    THEN concat('u', CAST(sender_no AS STRING)) END AS sender_user_id,
+               CASE WHEN event_id % 3 = 2 OR event_id % 31 = 0 THEN NULL
+                    WHEN event_id % 37 = 5 THEN concat('new', CAST(event_id AS STRING))
+                    ELSE concat('u', CAST(sender_no AS STRING)) END AS sender_user_id,
                ts AS created_at,
                CASE WHEN phrase_no = 7 THEN ''
                     ELSE concat({_case('phrase_no', PHRASES)}, '. ', {_case('body_no', BODIES)}, ' ', props) END
                    AS message_text,
                CASE event_id % 10 WHEN 3 THEN 'image' WHEN 7 THEN 'voice' END AS media_type,
-               CASE event_id % 10 WHEN 3 THEN concat('image', CAST(event_id % 400 AS STRING))
-                                  WHEN 7 THEN concat('voice', CAST(event_id % 400 AS STRING)) END AS media_id,
+               CASE event_id % 10 WHEN 3 THEN concat('image', CAST(event_id % (SELECT count(*) + 1 FROM documents) AS STRING))
+                                  WHEN 7 THEN concat('voice', CAST(event_id % (SELECT count(*) + 1 FROM documents) AS STRING)) END AS media_id,
                CASE WHEN event_id % 4 = 0 THEN CAST(event_id % 12 AS INT) ELSE 0 END AS forwarded_count,
                event_id AS position, event_id, user_id AS user_no, supp_no, phrase_no, event_type, value
         FROM keyed_events""",
@@ -270,7 +272,7 @@ VIEWS = {
             ',"relevance_axis":', CASE event_id % 5 WHEN 0 THEN '"unwanted"' WHEN 1 THEN '"neutral"' ELSE '"wanted"' END,
             CASE WHEN v = 30 THEN '' ELSE concat(',"urgency_axis":',
                           CASE WHEN event_id % 3 = 0 AND event_id % 7 <> 0 THEN '"today"' ELSE '"none"' END) END,
-            CASE WHEN media_type = 'image' THEN concat(',"media_observation":{"corroborates_message_claim":',
+            CASE WHEN media_type = 'image' AND event_id % 40 <> 13 THEN concat(',"media_observation":{"corroborates_message_claim":',
                           CASE event_id % 4 WHEN 0 THEN '"no"' WHEN 1 THEN '"partial"' ELSE '"yes"' END,
                           ',"mismatch_reason":"another shop"}') ELSE '' END,
             CASE v WHEN 26 THEN ',"deadline_minutes":-5' WHEN 27 THEN ',"deadline_minutes":"12"'
@@ -314,7 +316,7 @@ VIEWS = {
         FROM cited_messages""",
     # Rows of an append-only store: the same id may appear again later.
     "store_log": """
-        SELECT concat('m', lpad(CAST(event_id % 4000 AS STRING), 12, '0')) AS message_id,
+        SELECT concat('m', lpad(CAST(event_id % (SELECT 8 * max(user_id) + 1 FROM events) AS STRING), 12, '0')) AS message_id,
                concat('f', CAST(value AS STRING)) AS fingerprint, event_type AS payload, event_id AS seq
         FROM events""",
     # Reasons to score and the recorded scores, several per fingerprint.
