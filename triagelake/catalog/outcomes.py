@@ -356,7 +356,7 @@ def reason_repair(load):
 
 
 _RISK = "CASE v.k " + " ".join(f"WHEN '{k}' THEN '{r}'" for k, r in C.RISK_AXES.items()) + " END"
-_RUN_SQL = (RELATION + PAIRS[len(q.ENGAGED):] + _VALIDATED[len(PAIRS):] + _SIGNALS + _ACC + GROUPS + BUSINESS + DND_SQL + q.DETECTED + _ST + """,
+RUN_SQL = (RELATION + PAIRS[len(q.ENGAGED):] + _VALIDATED[len(PAIRS):] + _SIGNALS + _ACC + GROUPS + BUSINESS + DND_SQL + q.DETECTED + _ST + """,
 given AS (SELECT st.message_id, va_action AS action, v_type AS message_type, CASE WHEN v.dt IN ('UBIGINT', 'BIGINT') THEN CAST(v.dm AS BIGINT) END AS deadline_minutes
   FROM st JOIN vd v ON st.message_id = v.message_id WHERE outcome = 'reason_repaired')""" + _repaired("given") + f""",
 settled AS (SELECT st.message_id, outcome, CASE WHEN keeps THEN va_action ELSE 'digest' END AS action, CASE WHEN keeps THEN v_type ELSE ftype END AS message_type,
@@ -374,7 +374,7 @@ settled AS (SELECT st.message_id, outcome, CASE WHEN keeps THEN va_action ELSE '
 SELECT g.message_id, g.action, g.message_type, g.reason, g.confidence, t.evidence, g.rules, t.outcome FROM gated g JOIN settled t ON g.message_id = t.message_id""")
 
 
-@add("R17_full_run", (*DOSSIER_VIEWS, "raw_decisions"), _RUN_SQL)
+@add("R17_full_run", (*DOSSIER_VIEWS, "raw_decisions"), RUN_SQL)
 def full_run(load):
     """Features, supplied decisions, failure policy and gate in one job."""
     final = decide(tables(load), load("raw_decisions"))

@@ -7,12 +7,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from triagelake.catalog.joins import tables
-from triagelake.catalog.outcomes import ROUTED, ROUTER_VIEWS
+from triagelake.catalog.joins import DOSSIER_VIEWS, tables
+from triagelake.catalog.outcomes import ROUTED, ROUTER_VIEWS, RUN_SQL
 from triagelake.catalog.registry import Registry
+from triagelake.functions.vocab import parse_evidence_set
+from triagelake.operators.similarity import number_in_order
 from triagelake.plans.dossier import enriched_history
-from triagelake.plans.run import plan_fingerprints, resume
+from triagelake.plans.run import run_folder
 from triagelake.session import shared_dir
+from triagelake.sources.files import (
+    TABLES, read_decisions, read_ordered_predictions, read_output_rows, read_predictions, read_strict_csv, read_traces)
+from triagelake.sources.sinks import first_rows
 from triagelake.streaming import live
 
 REGISTRY = Registry()
@@ -23,16 +28,106 @@ def _scratch(load, name: str) -> str:
     return os.path.join(shared_dir(load.spark), f"{name}-{uuid.uuid4().hex}")
 
 
-@add("R17_incremental_run", ("messages",), """ SELECT message_id, forwarded_count > 0 AS resumed,
-  CASE WHEN forwarded_count > 0 THEN concat('stored ', message_id) ELSE concat('fresh ', message_id) END AS outcome FROM messages""")
+#: Table of the dataset folder -> view it is written from, and values of columns the view lacks.
+_FOLDER = {
+    "messages": ("messages", {}), "message_history": ("history", {}), "users": ("users", {}),
+    "groups": ("groups", {"created_at": "2024-01-01 00:00"}), "group_members": ("group_members", {"joined_at": "2024-01-01 00:00"}),
+    "business_accounts": ("business_accounts", {"messages_sent_30d": "0"}), "user_business_history": ("user_business_history", {"last_reply_at": ""}),
+    "message_events": ("message_events", {}), "daily_notification_summary": ("daily_summary", {}),
+}
+
+
+def _write_csv(rows, path: str) -> None:
+    text = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in rows.columns])
+    text.write.option("header", True).option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def write_folder(load, folder: str) -> None:
+    """The derived tables as the CSV files of a dataset folder, in file order where there is one."""
+    for table, (view, fixed) in _FOLDER.items():
+        rows = load(view).withColumns({c: F.lit(v) for c, v in fixed.items()})
+        rows = rows.orderBy("position") if "position" in rows.columns else rows
+        _write_csv(rows.select(*TABLES[table]), f"{folder}/{table}.csv")
+    for table, kind, key in (("images", "image", "image_id"), ("voice_notes", "voice", "voice_note_id")):
+        _write_csv(load("media").where(F.col("kind") == kind).select(F.col("media_id").alias(key), "file_path"), f"{folder}/{table}.csv")
+
+
+def _decision_lines(load):
+    """The supplied payloads with their message's id, one JSON line each."""
+    named = F.concat(F.lit('{"message_id":"'), "message_id", F.lit('",'), F.expr("substring(payload, 2)"))
+    return load("raw_decisions").select("message_id", named.alias("value"))
+
+
+@add("R17_incremental_run", (*DOSSIER_VIEWS, "raw_decisions"), RUN_SQL.rpartition("SELECT g.message_id")[0] + """SELECT g.message_id, g.action, g.message_type, g.reason,
+  printf('%.2f', g.confidence) AS confidence, CASE WHEN t.evidence = '' THEN 'none' ELSE replace(t.evidence, ',', ';') END AS evidence_message_ids,
+  1 + row_number() OVER (ORDER BY m.position) AS line_number, m.forwarded_count > 0 AND m.forwarded_count % 3 <> 0 AS resumed
+  FROM gated g JOIN settled t ON g.message_id = t.message_id JOIN messages m ON g.message_id = m.message_id""")
 def incremental(load):
-    """Finished rows with unchanged inputs are reused, the others computed."""
-    planned = plan_fingerprints(load("messages").select("message_id", "message_text", "forwarded_count"), "v1")
-    done = load("messages").join(planned, "message_id").select(
-        "message_id", F.when(F.col("forwarded_count") > 0, F.col("fingerprint")).otherwise("stale").alias("fingerprint"),
-        F.concat(F.lit("stored "), "message_id").alias("outcome"))
-    fresh = lambda left: left.select("message_id", "fingerprint", F.concat(F.lit("fresh "), "message_id").alias("outcome"))
-    return resume(planned, done, fresh).select("message_id", "resumed", "outcome")
+    """Two runs from files to files: the second one reuses the rows whose inputs are the same, and writes all."""
+    folder, spark = _scratch(load, "dataset"), load.spark
+    write_folder(load, folder)
+    lines = _decision_lines(load)
+    forwarded = load("messages").select("message_id", "forwarded_count")
+    # In the earlier run some rows had no decision yet, and some another one.
+    early = lines.join(forwarded, "message_id").where("forwarded_count > 0").select(
+        F.when(F.col("forwarded_count") % 3 == 0, F.concat(F.lit('{"message_id":"'), "message_id", F.lit('"}'))).otherwise(F.col("value")).alias("value"))
+    early.write.text(f"{folder}/early.jsonl")
+    lines.select("value").write.text(f"{folder}/decisions.jsonl")
+    run_folder(spark, folder, f"{folder}/early.jsonl", f"{folder}/store", f"{folder}/first", "v1", 0)
+    rows = run_folder(spark, folder, f"{folder}/decisions.jsonl", f"{folder}/store", f"{folder}/second", "v1", 1)
+    written = read_output_rows(spark, f"{folder}/second/output.csv", in_parts=True).drop("file_errors")
+    return written.join(rows.select("message_id", "resumed"), "message_id")
+
+
+@add("S01_strict_csv", ("messages",), """ SELECT message_id, message_text, coalesce(sender_user_id, '') AS sender_user_id,
+  row_number() OVER (ORDER BY position) AS line FROM messages""")
+def strict_csv(load):
+    """Messages in several files, read back as text in file order."""
+    path = f"{_scratch(load, 'csv')}/messages.csv"
+    _write_csv(load("messages").repartitionByRange(6, "position").sortWithinPartitions("position").select(*TABLES["messages"]), path)
+    rows = read_strict_csv(load.spark, path, list(TABLES["messages"]))
+    return number_in_order(rows.select("message_id", "message_text", "sender_user_id", "position"), "position", "line").drop("position")
+
+
+@add("S09_decision_lines", ("raw_decisions",), """ SELECT message_id, json_extract_string(payload, '$.action') AS action,
+  json_extract_string(payload, '$.confidence') AS confidence FROM raw_decisions""")
+def decision_lines(load):
+    """Supplied decisions read from their JSON lines."""
+    path = _scratch(load, "decisions")
+    _decision_lines(load).select("value").write.text(path)
+    rows = read_decisions(load.spark, path)
+    return rows.select("message_id", F.get_json_object("payload", "$.action").alias("action"), F.get_json_object("payload", "$.confidence").alias("confidence"))
+
+
+@add("S10_trace_lines", ("traces",), """ SELECT message_id, prompt_version, outcome, rules_fired, model_calls
+  FROM traces WHERE prompt_version = 'p2'""")
+def trace_lines(load):
+    """Traces written as JSON lines among broken ones and read back for one version."""
+    path = _scratch(load, "traces")
+    fields = ("message_id", "prompt_version", "outcome", "rules_fired", "model_calls")
+    whole = load("traces").select(F.to_json(F.struct(*fields)).alias("value"))
+    whole.unionByName(whole.select(F.substring("value", 1, 9).alias("value"))).write.text(path)
+    return read_traces(load.spark, path, "message_id string, prompt_version string, outcome string, rules_fired string, model_calls int", "p2")
+
+
+@add("S07_prediction_files", ("prediction_samples",), """ SELECT message_id, action, message_type, confidence,
+  CASE WHEN evidence_message_ids = 'none' THEN '' ELSE array_to_string(list_sort(list_distinct(string_split(evidence_message_ids, ';'))), ',') END AS ids,
+  CASE WHEN evidence_message_ids = 'none' THEN '' ELSE replace(evidence_message_ids, ';', ',') END AS cited FROM prediction_samples""")
+def prediction_files(load):
+    """Predictions written as CSV and read by both readers: as sets, and in the order they were given."""
+    path = _scratch(load, "predictions")
+    _write_csv(load("prediction_samples").withColumn("reason", F.lit("The sender posted a notice.")), path)
+    rows = read_predictions(load.spark, path)
+    sets = F.array_join(parse_evidence_set(F.col("evidence_message_ids")), ",")
+    cited = read_ordered_predictions(load.spark, path).select("message_id", F.array_join("cited", ",").alias("cited"))
+    return rows.select("message_id", "action", "message_type", "confidence", sets.alias("ids")).join(cited, "message_id")
+
+
+@add("S14_first_rows", ("messages",), """ SELECT message_id, position FROM messages WHERE position < (SELECT min(position) + 700 FROM messages)""")
+def first_of_file(load):
+    """The selection of the first rows in file order."""
+    start = load("messages").agg(F.min("position").alias("p")).first()["p"] or 0
+    return first_rows(load("messages"), start + 700).select("message_id", "position")
 
 
 def _stream_of_messages(load):

@@ -13,6 +13,7 @@ from triagelake.operators import context as X, engagement as E
 from triagelake.operators.brand import brand_integrity
 from triagelake.operators.retrieval import rank_history
 from triagelake.sources import driver_views
+from triagelake.sources.files import media_manifest, read_table
 
 
 @dataclass
@@ -34,6 +35,15 @@ class Tables:
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Tables":
         return cls(**{name: driver_views.load(spark, sf_dir, name) for name in cls.__dataclass_fields__})
 
+    @classmethod
+    def from_folder(cls, spark: SparkSession, folder: str) -> "Tables":
+        """The tables of a dataset folder, each under its contract; attachments lie in ``media``."""
+        named = {"history": "message_history", "daily_summary": "daily_notification_summary"}
+        read = {name: read_table(spark, f"{folder}/{named.get(name, name)}.csv", named.get(name, name))
+                for name in cls.__dataclass_fields__ if name != "media"}
+        images, voices = (read_table(spark, f"{folder}/{name}.csv", name) for name in ("images", "voice_notes"))
+        return cls(**read, media=media_manifest(spark, images, voices, folder, "media"))
+
 
 def content_signals(messages: DataFrame) -> DataFrame:
     """Text-derived columns of each message; scanners are null on unscanned text."""

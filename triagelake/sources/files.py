@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import posixpath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -212,11 +213,21 @@ def read_traces(spark: SparkSession, path: str, schema: str | StructType, prompt
     return rows if prompt_version is None else rows.filter(F.col("prompt_version") == prompt_version)
 
 
-def media_manifest(spark: SparkSession, images: DataFrame, voice_notes: DataFrame, root: str) -> DataFrame:
+def _media_files(spark: SparkSession, folder: str) -> DataFrame:
+    try:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
+
+
+def media_manifest(spark: SparkSession, images: DataFrame, voice_notes: DataFrame, root: str, within: str = "") -> DataFrame:
     """kind, media_id, file_path, file_exists, file_size_bytes and sha256 of every manifest row.
 
     Paths are relative to the dataset folder or to its parent and must stay inside the
-    folder; anything else counts as absent, not as an error.
+    folder; anything else counts as absent, not as an error. Only the part ``within`` the folder
+    is read; if there is none, every file is absent.
     """
     root = root.rstrip("/")
     rows = images.select(F.lit("image").alias("kind"), F.col("image_id").alias("media_id"), "file_path").unionByName(
@@ -225,7 +236,7 @@ def media_manifest(spark: SparkSession, images: DataFrame, voice_notes: DataFram
     clean = F.regexp_replace(F.regexp_replace("file_path", r"/(\./)+", "/"), r"^(\./)+", "")
     inside = ~clean.rlike(r"(^|/)\.\.(/|$)") & ~F.startswith(clean, F.lit("/"))
     relative = F.when(inside, F.regexp_replace(clean, f"^{folder}/", ""))
-    binary = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    binary = _media_files(spark, posixpath.join(root, within))
     plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
     files = binary.select(
         F.substring(plain, len(root) + 2, 1 << 20).alias("_rel"), F.sha2("content", 256).alias("sha256"),
