@@ -23,6 +23,8 @@ UNKNOWN = "und"
 BUCKET_BITS, WIDTH = 16, 16
 #: Bounds of the training sample: languages, documents per language, excerpts per document and their letters.
 MAX_LANGS, DOCS_PER_LANG, EXCERPTS, EXCERPT_CHARS = 256, 1000, 2, 200
+#: A text is never rejected from this probability on, and of the rightly told excerpts at most this share is.
+SURE, LOSS = 0.4, 0.001
 #: Characters of one step over a long text.
 STEP = 1 << 20
 _LETTER = np.array([chr(c).isalpha() for c in range(0x3000)], bool)
@@ -158,8 +160,7 @@ def _train(labels: list[str], runs: list[np.ndarray], y: np.ndarray, back: np.nd
         model.temperature = min(losses, key=losses.get)
         p = softmax(z / model.temperature)
         right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-        # Reject only what is less sure than all but a thousandth of the rightly told excerpts.
-        model.limit = float(min(0.5, np.quantile(right, 0.001) if len(right) else 0.0))
+        model.limit = float(min(SURE, np.quantile(right, LOSS) if len(right) else 0.0))
     return model
 
 
