@@ -11,6 +11,7 @@ from triagelake.operators import divergence as V
 from triagelake.operators.similarity import first_near_duplicate, near_duplicate_clusters, near_duplicate_links
 from triagelake.plans.consistency import clustered_members, consistency_report, dossier_features
 from triagelake.plans.dossier import build_dossier
+from triagelake.plans.evaluate import output_verdict, verdict
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -117,6 +118,26 @@ def witnesses(load):
     return V.divergence_witnesses(_members(load)).withColumn("differing_features", joined("differing_features")).drop("is_bug")
 
 
+@_add_recursive("R15_verdict", ("messages", "history", "decisions", "gold_samples", "prediction_samples"), _MEMBERS + f""", bugs AS (
+  SELECT count(*) AS n FROM dv WHERE id < other_id AND NOT ({' OR '.join('d_' + c for c in _SIMPLE)})),
+ids AS (SELECT count(*) AS n FROM gold_samples g FULL JOIN prediction_samples p ON g.message_id = p.message_id WHERE g.message_id IS NULL OR p.message_id IS NULL)
+SELECT 'clean' AS kind, 0 AS id_differences, true AS output_ok, 0 AS bug_pairs, 0 AS missing_actions, true AS passed
+UNION ALL SELECT 'broken', ids.n, false, bugs.n, (SELECT count(*) FROM messages WHERE forwarded_count > 2), false FROM ids, bugs""")
+def evaluation_verdicts(load):
+    """The verdict on a clean submission and on a broken one."""
+    messages, history, gold = load("messages"), load("history"), load("gold_samples")
+    features = messages.select("message_id", V.feature_map(list(_SIMPLE)).alias("features"))
+    good = messages.select("message_id", F.lit("digest").alias("action"), F.lit("payment").alias("message_type"), F.lit("The sender posted a notice.").alias("reason"),
+                           F.lit("0.75").alias("confidence"), F.lit("none").alias("evidence_message_ids"), (F.col("position") + 2).alias("line_number"))
+    clean = verdict(gold, gold, output_verdict(good, messages, history), consistency_report(messages, good, features))
+    acted = load("decisions").join(messages.where("forwarded_count <= 2").select("message_id"), "message_id", "left_semi")
+    all_ = consistency_report(messages, load("decisions"), features)
+    some = messages.select("message_id").join(acted.select("message_id"), "message_id", "left_anti")
+    broken = verdict(gold, load("prediction_samples"), output_verdict(good.where(F.col("line_number") % 2 == 0), messages, history),
+                     {**all_, "missing": some})
+    return clean.withColumn("kind", F.lit("clean")).unionByName(broken.withColumn("kind", F.lit("broken")))
+
+
 @add("X04_flat_features")
 def flat_features(load):
     """Explaining features of every message as name and value."""

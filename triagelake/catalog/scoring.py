@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from triagelake import config as C
-from triagelake.catalog.joins import tables
+from triagelake.catalog import sqltext as q
+from triagelake.catalog.joins import PAIRS, tables
 from triagelake.catalog.outcomes import ROUTED, ROUTER_VIEWS
 from triagelake.catalog.registry import Registry, joined, rounded
 from triagelake.operators import audit, evaluation as E
@@ -267,12 +268,12 @@ _RUN = """ SELECT count_if(NOT resumed) AS n_rows, count_if(resumed) AS resumed,
 
 @add("A17_run_counters", ("traces",), "SELECT * EXCLUDE (p95_seconds, cache_hit_rate, mean_tool_calls) FROM (" + _RUN + ") r")
 def run_counters(load):
-    return audit.run_counters(_traces(load)).drop("p95_seconds", "cache_hit_rate", "mean_tool_calls")
+    return audit.run_counters(_traces(load)).drop("cache_hit_rate", "mean_tool_calls")
 
 
 @add("A18_p95_latency", ("traces",), "SELECT p95_seconds FROM (" + _RUN + ") r")
 def p95(load):
-    return rounded(audit.run_counters(_traces(load)).select("p95_seconds"))
+    return rounded(audit.tail_latency(_traces(load)))
 
 
 @add("A19_run_rates", ("traces",), "SELECT cache_hit_rate, mean_tool_calls FROM (" + _RUN + ") r")
@@ -309,10 +310,14 @@ def category_audit(load):
     return audit.category_audit(cats, load("decisions"))
 
 
-@add("A23_plan_profile", ("messages", "media"), """ SELECT coalesce(media_type, 'text') AS media_type, count(*) AS n_rows,
-  count_if(media_type = 'image' AND coalesce(x.file_exists, false)) AS inspectable_images FROM messages m LEFT JOIN media x ON m.media_type = x.kind AND m.media_id = x.media_id GROUP BY 1""")
+@add("A23_plan_profile", (*q.ENGAGED_VIEWS, "media"), PAIRS + """, offered AS (SELECT DISTINCT message_id FROM evd)
+SELECT coalesce(media_type, 'text') AS media_type, count(*) AS n_rows, count_if(media_type = 'image' AND coalesce(x.file_exists, false)) AS inspectable_images,
+  count_if(offered.message_id IS NULL) AS without_candidates FROM messages m LEFT JOIN media x ON m.media_type = x.kind AND m.media_id = x.media_id
+  LEFT JOIN offered ON m.message_id = offered.message_id GROUP BY 1""")
 def plan_profile(load):
+    from triagelake.catalog.joins import _ranked
     from triagelake.operators.context import media_context
-    rows = load("messages").join(media_context(load("messages"), load("media")), "message_id", "left").withColumns(
-        {"file_exists": F.coalesce("file_exists", F.lit(False)), "evidence": F.array()})
-    return audit.plan_profile(rows).drop("without_candidates")
+    rows = load("messages").join(media_context(load("messages"), load("media")), "message_id", "left").join(
+        _ranked(load).select("message_id", "evidence"), "message_id", "left").withColumns(
+        {"file_exists": F.coalesce("file_exists", F.lit(False)), "evidence": F.coalesce("evidence", F.array())})
+    return audit.plan_profile(rows)

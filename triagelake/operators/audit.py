@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from triagelake import config as C
 from triagelake.functions.scanners import is_active_relationship
 from triagelake.functions.scores import rate, token_cost
+from triagelake.operators.ranks import nearest_rank
 
 FALLBACK_FREE = ("submitted", "reason_repaired")
 
@@ -51,10 +52,7 @@ def changed_rows(traces: DataFrame) -> DataFrame:
 
 
 def run_counters(traces: DataFrame) -> DataFrame:
-    """One row of run totals with the tail latency and prompt-cache share.
-
-    The 95th percentile is the nearest-rank value of the recorded seconds.
-    """
+    """One row of run totals with the prompt-cache share; ``tail_latency`` has the slowest rows."""
     fresh = ~F.col("resumed")
     prompt = F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_write_tokens")
     run = traces.agg(
@@ -63,7 +61,6 @@ def run_counters(traces: DataFrame) -> DataFrame:
         F.count_if(fresh & (F.col("outcome") == "refusal")).alias("refusals"),
         *[F.sum(F.when(fresh, F.col(c))).alias(c) for c in ("retries", "coercions", "tool_calls", "inspect_calls", "model_calls")],
         F.sum(F.when(fresh, F.col("cache_read_tokens"))).alias("_read"), F.sum(F.when(fresh, prompt)).alias("_prompt"),
-        F.coalesce(F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY CASE WHEN NOT resumed THEN wall_seconds END)"), F.lit(0.0)).alias("p95_seconds"),
     )
     return run.withColumns({
         "cache_hit_rate": F.coalesce(rate(F.col("_read"), F.col("_prompt")), F.lit(0.0)),
@@ -71,6 +68,12 @@ def run_counters(traces: DataFrame) -> DataFrame:
     }).drop("_read", "_prompt")
 
 
+def tail_latency(traces: DataFrame, share: float = 0.95) -> DataFrame:
+    """One row: the nearest-rank 95th percentile of the seconds of rows that were not reused, 0 without any."""
+    fresh = traces.where(~F.col("resumed")).select("wall_seconds")
+    return nearest_rank(fresh, "wall_seconds", share).select(F.coalesce("value", F.lit(0.0)).alias("p95_seconds"))
+
+
 def counter_tables(traces: DataFrame) -> DataFrame:
     """Counts per action, outcome and gate rule in one long table."""
     fresh = traces.filter(~F.col("resumed"))

@@ -17,6 +17,8 @@ def local_session(cpus: int | str = "*", app: str = "triagelake", **conf: str) -
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
+        # Checkpoints go when nothing refers to them; a cluster should set the same.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
