@@ -5,6 +5,7 @@ from statistics import median
 import pytest
 from pyspark.sql import functions as F
 
+from triagelake.operators.ranks import nearest_rank
 from triagelake.operators import context as X, divergence as V, engagement as E, evaluation as M, similarity as S
 from triagelake.operators.brand import brand_integrity
 from triagelake.operators.retrieval import rank_history
@@ -167,3 +168,22 @@ def test_composite(spark):
     row = spark.createDataFrame([(0.8, 0.6, 0.5, 0.2)], "action_accuracy double, type_accuracy double, evidence_f1 double, calibration_error double")
     assert M.composite_score(row, F.lit(1.0)).head()[0] == pytest.approx(0.735)
     assert M.composite_score(row).head()[0] == pytest.approx(0.585)
+
+
+def test_median_of_a_key_with_few_events_and_many_queries(spark):
+    events = [("k", 10 * i, float(i % 7)) for i in range(5)]
+    asks = [(f"q{i}", "k", i % 60) for i in range(4000)] + [("lone", "other", 5)]
+    e = spark.createDataFrame(events, "k string, at_us long, v double")
+    got = {r["id"]: r["median"] for r in median_before(spark.createDataFrame(asks, "id string, k string, at_us long"), e, ["k"], "v").collect()}
+    seen = {i: [v for k2, t2, v in events if k2 == k and t2 < t] for i, k, t in asks}
+    assert got == {i: (median(v) if v else None) for i, v in seen.items()}
+
+
+def test_nearest_rank(spark):
+    noise = random.Random(5)
+    for values in ([], [None], [3.0], [1.0, 1.0, 2.0], [noise.choice([0.5, 1.5, noise.random()]) for _ in range(777)]):
+        rows = spark.createDataFrame([(v,) for v in values], "v double")
+        held = sorted(v for v in values if v is not None)
+        for share in (0.05, 0.5, 0.95, 1.0):
+            expected = next((v for k, v in enumerate(held, 1) if k >= share * len(held) - 1e-9), None)
+            assert nearest_rank(rows, "v", share).collect()[0]["value"] == expected

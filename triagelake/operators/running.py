@@ -82,16 +82,17 @@ def median_before(
 
 
 def _median_by_window(queries, events, keys, value, at) -> DataFrame:
-    carried = [c for c in queries.columns if c not in keys + [at]]
-    q = queries.select(*keys, at, F.struct(*carried).alias("_row"), F.lit(None).cast("double").alias(value))
-    e = events.select(*keys, at, F.lit(None).cast(q.schema["_row"].dataType).alias("_row"), value)
-    before = Window.partitionBy(*keys).orderBy(at).rangeBetween(Window.unboundedPreceding, -1)
-    return (
-        q.unionByName(e)
-        .withColumn("median", F.percentile(F.col(value), F.lit(0.5)).over(before))
-        .filter("_row IS NOT NULL")
-        .select(*keys, at, "_row.*", "median")
-    )
+    """Medians of each key's first 1, 2, ... events; a query takes the one of its number of earlier events.
+
+    Only events are sorted per key. Queries are counted by slices and joined on (key, count), so a key
+    with few events and very many queries is no group of its own either.
+    """
+    in_order = Window.partitionBy(*keys).orderBy(at)
+    prefix = events.select(
+        *keys, F.row_number().over(in_order).cast("long").alias("_n"),
+        F.percentile(F.col(value), F.lit(0.5)).over(in_order.rowsBetween(Window.unboundedPreceding, 0)).alias("median"))
+    counted = totals_before(queries, events.withColumn("_n", F.lit(1)), keys, ["_n"], at)
+    return counted.join(prefix, [*keys, "_n"], "left").drop("_n")
 
 
 def _median_by_descent(queries, events, keys, value, at, window_rows, fanout: int = 16) -> DataFrame:
