@@ -35,12 +35,13 @@ def _representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return reps.select(F.col("rep").alias("id"), "words", grams.alias("grams"), F.size(grams).alias("n")), members
 
 
-def _sketches(tokens: DataFrame) -> DataFrame:
-    """Parity bits of each set: two sets differ in at least as many items as in bits."""
+def _sketches(reps: DataFrame) -> DataFrame:
+    """(id, n, parity bits) of each set: two sets differ in at least as many items as in bits."""
+    tokens = reps.select("id", "n", F.explode("grams").alias("gram"))
     h = F.pmod(F.xxhash64("gram"), F.lit(64 * _WORDS))
     word, bit = F.floor(h / 64), F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
     zero = F.lit(0).cast("long")
-    return tokens.select("id", word.alias("_w"), bit.alias("_b")).groupBy("id").agg(
+    return tokens.select("id", "n", word.alias("_w"), bit.alias("_b")).groupBy("id", "n").agg(
         *[F.bit_xor(F.when(F.col("_w") == i, F.col("_b")).otherwise(zero)).alias(c) for i, c in enumerate(_SKETCH)])
 
 
@@ -55,7 +56,7 @@ def _may_qualify(bits: Column, sizes: Column, threshold: float) -> Column:
 
 
 def _buckets(reps: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, own, id, n, sketch): the rarest trigrams of each text, split by size band.
+    """(bucket, own, id, n): the rarest trigrams of each text, split by size band.
 
     Two sets more similar than the threshold share one of their n - ceil(t*n) + 1 rarest
     trigrams, and their sizes lie in the same or in neighbouring bands; a set is its own
@@ -72,7 +73,7 @@ def _buckets(reps: DataFrame, threshold: float) -> DataFrame:
     seats = F.explode(F.array(
         F.struct(F.concat_ws("|", "t.gram", "_band").alias("bucket"), F.lit(True).alias("own")),
         F.struct(F.concat_ws("|", "t.gram", F.col("_band") + 1).alias("bucket"), F.lit(False).alias("own"))))
-    return prefix.select("id", "n", seats.alias("seat")).select("seat.*", "id", "n").join(_sketches(tokens), "id")
+    return prefix.select("id", "n", seats.alias("seat")).select("seat.*", "id", "n")
 
 
 def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -82,28 +83,31 @@ def _verified(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.select("id", "other", jaccard(F.col("grams"), F.col("_g")).alias("jaccard"))
 
 
-def _hub_round(rows: DataFrame, reps: DataFrame, threshold: float, number: int, min_loose: int):
-    """Compare the loose members of each crowded bucket with their smallest id."""
-    hubs = rows.filter("explained = 0").groupBy("bucket").agg(
-        F.min(F.struct("id", "n", *_SKETCH)).alias("hub"), F.count("*").alias("size")).filter(F.col("size") > min_loose)
-    faced = rows.join(hubs.drop("size"), "bucket", "left")
-    bits = _bits_apart(F.col, lambda c: F.col(f"hub.{c}"))
-    sizes = F.col("n") + F.col("hub.n")
-    faced = cut_lineage(faced.withColumns({
-        "_asked": F.coalesce((F.col("explained") == 0) & F.col("hub.id").isNotNull(), F.lit(False)),
-        "_close": F.coalesce(_may_qualify(bits, sizes, threshold), F.lit(False)),
-        "_bound": (sizes - bits) / (sizes + bits), "_hub": F.col("hub.id"),
-    }).drop("hub"))
-    spokes = faced.filter("_asked AND _close AND id <> _hub").select("id", F.col("_hub").alias("other")).distinct()
+def _hub_round(rows: DataFrame, sketches: DataFrame, reps: DataFrame, threshold: float, number: int, min_loose: int):
+    """Compare the loose members of each crowded bucket with their smallest id.
+
+    Seats stay narrow: a pair of member and hub meets the sketches once, however many buckets it shares.
+    """
+    hubs = rows.filter("explained = 0").groupBy("bucket").agg(F.min("id").alias("_hub"), F.count("*").alias("size")).filter(
+        F.col("size") > min_loose).drop("size")
+    asked = F.coalesce((F.col("explained") == 0) & F.col("_hub").isNotNull(), F.lit(False))
+    faced = rows.join(hubs, "bucket", "left").withColumn("_asked", asked)
+    pairs = faced.filter("_asked AND id <> _hub").select("id", "_hub").distinct()
+    hub = sketches.select(*[F.col(c).alias(f"h_{c}") for c in sketches.columns])
+    met = pairs.join(sketches, "id").join(hub, F.col("_hub") == F.col("h_id"))
+    bits, sizes = _bits_apart(F.col, lambda c: F.col(f"h_{c}")), F.col("n") + F.col("h_n")
+    compared = cut_lineage(met.select("id", "_hub", _may_qualify(bits, sizes, threshold).alias("_close"), ((sizes - bits) / (sizes + bits)).alias("_bound")))
+    spokes = compared.filter("_close").select("id", F.col("_hub").alias("other"))
     star = cut_lineage(_verified(spread(spokes, "id"), reps))
-    judged = faced.join(star.withColumnRenamed("other", "_hub"), ["id", "_hub"], "left")
+    known = compared.drop("_close").join(star.withColumnRenamed("other", "_hub"), ["id", "_hub"], "left")
+    judged = faced.join(known, ["id", "_hub"], "left")
     is_hub = F.col("id") == F.col("_hub")
     near = F.col("_asked") & F.coalesce(is_hub | (F.col("jaccard") > threshold), F.lit(False))
     distance = F.when(is_hub, F.lit(0.0)).otherwise(1 - F.coalesce("jaccard", "_bound"))
     judged = judged.withColumns({
         "explained": F.when(near, number).otherwise(F.col("explained")),
         "distance": distance if number == 1 else F.col("distance"),
-    }).drop("_asked", "_close", "_bound", "_hub", "jaccard")
+    }).drop("_asked", "_bound", "_hub", "jaccard")
     return cut_lineage(judged), star.filter(F.col("jaccard") > threshold)
 
 
@@ -113,11 +117,11 @@ def representative_links(reps: DataFrame, threshold: float, block_rows: int) ->
     The links connect exactly the texts the full pair list would connect, and hold each
     text's smallest partner.
     """
-    buckets = _buckets(reps, threshold)
+    buckets, sketches = _buckets(reps, threshold), cut_lineage(_sketches(reps))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("_size"), F.max("own").alias("_any_own"))
     rows = spread(buckets.join(shared.filter("_size > 1 AND _any_own").select("bucket"), "bucket"), "bucket")
     rows = cut_lineage(rows.withColumns({"explained": F.lit(0), "distance": F.lit(None).cast("double")}))
-    rows, star = _hub_round(rows, reps, threshold, 1, 1)
+    rows, star = _hub_round(rows, sketches, reps, threshold, 1, 1)
     links = [star]
     for number in range(2, _MAX_HUB_ROUNDS + 1):
         # Later hubs look at the crowded buckets only; the rest is settled by pairs below.
@@ -126,7 +130,7 @@ def representative_links(reps: DataFrame, threshold: float, block_rows: int) ->
             .filter(F.col("_size") > block_rows).select("bucket"))
         if crowded.isEmpty():
             break
-        inside, star = _hub_round(rows.join(crowded, "bucket", "left_semi"), reps, threshold, number, block_rows)
+        inside, star = _hub_round(rows.join(crowded, "bucket", "left_semi"), sketches, reps, threshold, number, block_rows)
         rows = rows.join(crowded, "bucket", "left_anti").unionByName(inside)
         links.append(star)
     links = [s.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other"), "jaccard") for s in links]
@@ -136,7 +140,8 @@ def representative_links(reps: DataFrame, threshold: float, block_rows: int) ->
     active = rows.groupBy("bucket").agg(
         F.min(F.when(F.col("explained") != 1, F.col("distance"))).alias("_edge"),
         F.count_if(F.col("explained") != 1).alias("_outside"), F.count("*").alias("n_all")).filter("_outside > 0")
-    rest = rows.join(active, "bucket").filter((F.col("explained") != 1) | (F.col("distance") > F.col("_edge") - slack))
+    rest = rows.join(active, "bucket").filter((F.col("explained") != 1) | (F.col("distance") > F.col("_edge") - slack)).join(
+        sketches.drop("n"), "id")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_all") / block_rows)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
