@@ -1,7 +1,7 @@
 """Substring dedup over sliding runs of sentences.
 
 From every sentence the shortest run of consecutive sentences with at least ``min_words`` words is
-hashed (128 bits over its words). The run depends on nothing before it, so a passage gives the same
+hashed: 128 bits over the 128-bit hashes of its sentences' words. The run depends on nothing before it, so a passage gives the same
 runs wherever it stands. Runs meet in one global aggregate; where a run is in several documents, or
 again in the same one, the sentences of every occurrence but the first are covered and go.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
@@ -23,45 +24,49 @@ _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"\w+")
 
 
-def sentences(text: str | None) -> list[tuple[int, int, list[str]]]:
-    """(start, end, lower-cased words) of the sentences that have a word."""
-    out = []
+def sentences(text: str | None) -> list[tuple[int, int, int, bytes]]:
+    """(start, end, words, digest of the lower-cased words) of the sentences that have a word."""
+    out, find, digest = [], _WORD.findall, xxhash.xxh3_128_digest
     for match in _SENTENCE.finditer(text or ""):
-        words = _WORD.findall(match.group().lower())
+        words = find(match.group().lower())
         if words:
-            out.append((match.start(), match.end(), words))
+            out.append((*match.span(), len(words), digest(" ".join(words).encode("utf-8", "surrogatepass"))))
     return out
 
 
 def runs(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, words) of the run from each sentence, in code points."""
+    """(start, end, digest) of the run from each sentence, in code points."""
     found = sentences(text)
-    last, held = 0, 0
-    for first, (start, _, own) in enumerate(found):
-        while last < len(found) and held < min_words:
-            held += len(found[last][2])
+    chain = b"".join([d for _, _, _, d in found])
+    last, held, n = 0, 0, len(found)
+    for first, (start, _, own, _) in enumerate(found):
+        while held < min_words and last < n:
+            held += found[last][2]
             last += 1
         if held < min_words:
             return
-        yield start, found[last - 1][1], " ".join([w for _, _, ws in found[first:last] for w in ws]).encode("utf-8", "surrogatepass")
-        held -= len(own)
+        yield start, found[last - 1][1], xxhash.xxh3_128_digest(chain[16 * first:16 * last])
+        held -= own
 
 
 def _runs(min_words: int):
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
         for ids, texts in slices(batches):
-            rows = []
+            docs, digests, starts, ends, again = [], [], [], [], []
             for doc, text in zip(ids, texts):
                 if doc is None:
                     continue
                 seen = set()
-                for start, end, words in runs(text, min_words):
-                    digest = xxhash.xxh3_128_digest(words)
-                    rows.append((doc, int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True),
-                                 start, end, digest in seen))
+                for start, end, digest in runs(text, min_words):
+                    docs.append(doc)
+                    digests.append(digest)
+                    starts.append(start)
+                    ends.append(end)
+                    again.append(digest in seen)
                     seen.add(digest)
-            columns = list(zip(*rows)) or [()] * 6
+            halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            columns = (docs, halves[:, 0], halves[:, 1], starts, ends, again)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc", "h1", "h2", "start", "end", "again"])
 
     return emit
