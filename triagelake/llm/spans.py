@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from triagelake.llm.common import saved, slices
 
 #: Words of a run. One sentence of so many words is a run by itself.
-MIN_WORDS = 24
+MIN_WORDS = 20
 _SENTENCE = re.compile(r"[^\n]+?(?:[.!?]+(?=\s)|(?=\n)|\Z)")
 _WORD = re.compile(r"\w+")
 
