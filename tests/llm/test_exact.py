@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from triagelake.llm import decontam, lines, neardup, packing, spans
@@ -63,6 +64,14 @@ def test_filters_pass_every_repeat():
     assert filter_.has(random_.integers(0, 1 << 63, 100_000).astype(np.uint64)).mean() < 0.05
 
 
+def test_no_repeat_is_lost_in_a_crowded_partition():
+    hashes = np.random.default_rng(1).integers(-1 << 63, 1 << 63, 300_000, endpoint=False)
+    twice = [pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), bool))], ["h", "many"])
+             for part in np.split(hashes, 30)] * 2
+    out = np.concatenate([b.column(0).to_numpy() for b in lines._second_sightings(twice)])
+    assert set(hashes.tolist()) <= set(out.tolist())
+
+
 # Packing
 
 

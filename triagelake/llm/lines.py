@@ -1,9 +1,10 @@
-"""Line dedup: two Bloom filters choose the suspects, only suspects shuffle for exact confirmation.
+"""Line dedup: a Bloom filter chooses the suspects, only suspects shuffle for exact confirmation.
 
 A line's key is the line without white space (\\x20, \\x09-\\x0D) at both ends and with A-Z lowered.
-Fingerprints of the keys go once to the filters: the first filter holds hashes seen once, the second
-those seen twice, and a hash leaves a task when it enters the second. Suspected lines alone are then
-shuffled with their full keys, so a false alarm of a filter costs a row and never a wrong result.
+Fingerprints of the keys go once to the filter of hashes seen, and a hash leaves a task whenever the
+filter knows it already. No filter's answer keeps a hash back; a later distinct() folds its sightings.
+Suspected lines alone are then shuffled with their full keys, so a false alarm costs a row and never
+a wrong result.
 """
 
 from __future__ import annotations
@@ -91,8 +92,8 @@ def _fingerprints(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _second_sightings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes as they move from the once-seen to the twice-seen filter."""
-    once, twice = _Filter(), _Filter(1 << 14)
+    """Hashes that the filter of those seen before knows, at every such sighting."""
+    once = _Filter()
     for batch in batches:
         hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
         many = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
@@ -102,10 +103,7 @@ def _second_sightings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         again = (count > 1) | (np.bincount(where, weights=many, minlength=len(unique)) > 0)
         seen = once.has(unique)
         once.add(unique[~seen])
-        out = unique[again | seen]
-        out = out[~twice.has(out)]
-        twice.add(out)
-        yield pa.RecordBatch.from_arrays([pa.array(out.view(np.int64))], ["h"])
+        yield pa.RecordBatch.from_arrays([pa.array(unique[again | seen].view(np.int64))], ["h"])
 
 
 def suspected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
