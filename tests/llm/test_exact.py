@@ -181,6 +181,27 @@ def test_runs_match_brute_force(spark):
     assert {(r.doc, r.start, r.end) for r in spans.repeated_runs(table(spark, rows)).collect()} == expected
 
 
+def test_shortest_runs_cover_what_all_runs_cover(spark):
+    noise = random.Random(6)
+    bank = [" ".join(f"w{k}x{i}" for i in range(n)) + "." for k, n in enumerate([25, 10, 8, 19, 1, 12, 20, 5, 3])]
+    rows = [(1, " ".join(bank[:3])), (2, f"Its own first words. {bank[0]} {bank[1]} {bank[2]} Its own last words.")]
+    rows += [(k, " ".join(noise.choice(bank) for _ in range(noise.randint(1, 9)))) for k in range(10, 60)]
+    places = defaultdict(list)
+    for d, t in rows:
+        found = spans.sentences(t)
+        for a in range(len(found)):
+            for b in range(a, len(found)):
+                if sum(n for _, _, n, _ in found[a:b + 1]) >= spans.MIN_WORDS:
+                    places[b"".join(h for _, _, _, h in found[a:b + 1])].append((d, found[a][0], found[b][1]))
+    expected = defaultdict(set)
+    for own in places.values():
+        for d, start, end in sorted(own)[1:]:
+            expected[d] |= set(range(start, end))
+    got = {r.doc: {k for c in r.cuts for k in range(c.start, c.end)} for r in spans.covered(table(spark, rows)).collect()}
+    assert got == dict(expected)
+    assert {r.doc_id: r.text for r in spans.dedup_spans(table(spark, rows[:2])).collect()}[2].split() == "Its own first words. Its own last words.".split()
+
+
 # Near duplicates
 
 

@@ -1,9 +1,11 @@
 """Substring dedup over sliding runs of sentences.
 
-From every sentence the shortest run of consecutive sentences with at least ``min_words`` words is
-hashed: 128 bits over the 128-bit hashes of its sentences' words. The run depends on nothing before it, so a passage gives the same
-runs wherever it stands. Runs meet in one global aggregate; where a run is in several documents, or
-again in the same one, the sentences of every occurrence but the first are covered and go.
+For every sentence the shortest runs of consecutive sentences with at least ``min_words`` words that
+start and that end there are hashed: 128 bits over the 128-bit hashes of its sentences' words. A run
+depends on nothing around it, so a passage gives the same runs wherever it stands, and together they
+cover what all runs of so many words would. Runs meet in one global aggregate; where a run is in
+several documents, or again in the same one, the sentences of every occurrence but the first are
+covered and go. Of a passage that begins or ends inside a sentence, that sentence stays.
 """
 
 from __future__ import annotations
@@ -35,18 +37,19 @@ def sentences(text: str | None) -> list[tuple[int, int, int, bytes]]:
 
 
 def runs(text: str | None, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(start, end, digest) of the run from each sentence, in code points."""
+    """(start, end, digest) of the runs from and up to each sentence, in code points, by their end."""
     found = sentences(text)
     chain = b"".join([d for _, _, _, d in found])
-    last, held, n = 0, 0, len(found)
-    for first, (start, _, own, _) in enumerate(found):
-        while held < min_words and last < n:
-            held += found[last][2]
-            last += 1
-        if held < min_words:
-            return
-        yield start, found[last - 1][1], xxhash.xxh3_128_digest(chain[16 * first:16 * last])
-        held -= own
+    first, held, fresh = 0, 0, 0  # fresh: the first sentence from which no run has come
+    for last, (_, end, own, _) in enumerate(found):
+        held += own
+        while held - found[first][2] >= min_words:
+            held -= found[first][2]
+            first += 1
+        if held >= min_words:
+            for at in range(min(fresh, first), first + 1):
+                yield found[at][0], end, xxhash.xxh3_128_digest(chain[16 * at:16 * last + 16])
+            fresh = first + 1
 
 
 def _runs(min_words: int):
