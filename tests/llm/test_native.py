@@ -129,6 +129,13 @@ def test_context_raises_the_score(spark):
     assert {r.doc_id: round(r.found[0].score, 2) for r in rows} == {1: 1.1, 2: 0.8}
 
 
+def test_context_on_either_side_and_printed_accounts(spark):
+    texts_ = ["Social security numbers: 219-09-9999, 457-55-5462", "219-09-9999 (SSN)", "social security 2020-01-02 219-09-9999", "order 219-09-9999" + " " * 49 + "ssn",
+              "Pay DE89 3704 0044 0532 0130 00 now", "XY34 BE68 5390 0754 7034 BE68 5390 0754 7034 CODE X", "GB82 WEST 1234 5698 7654 33", "GB82 WEST 1234 5698 7654 32 and GB82WEST12345698765432"]
+    got = {r.doc_id: r.spans for r in pii.digest(pii.find(frame(spark, list(enumerate(texts_))))).collect()}
+    assert [got[k] for k in range(8)] == ["ssn:25:36,ssn:38:49", "ssn:0:11", "ssn:27:38", "", "iban:4:31", "iban:5:24,iban:25:44", "", "iban:0:27,iban:32:54"]
+
+
 ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 
