@@ -350,6 +350,21 @@ def test_several_indexes(spark, monkeypatch):
 # Empty tables
 
 
+def test_several_indexes_score_as_one(spark, monkeypatch):
+    noise = random.Random(8)
+    bank = ["".join(noise.choice("abcde") for _ in range(5)) for _ in range(120)]
+    items = [(k, " ".join(noise.choice(bank[:10 + k]) for _ in range(noise.randint(8, 30))) + (" ?" if k % 2 else "")) for k in range(60)] + [(60, " . "), (61, None)]
+    rows = []
+    for k in range(200):
+        own = noise.choice(items[:60])[1].split()
+        rows.append((k, " ".join([noise.choice(bank) for _ in range(5)] + own[:int(len(own) * noise.uniform(0.4, 0.9))])))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    told = lambda: {(r.doc_id, r.item_id): round(r.score, 9) for r in decontam.find_leaks(table(spark, rows), benchmark).collect()}
+    one = told()
+    monkeypatch.setattr(decontam, "INDEX_ITEMS", 30)
+    assert told() == one and len(one) > 50
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     benchmark = spark.createDataFrame([], "item_id long, text string")

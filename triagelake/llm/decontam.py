@@ -69,10 +69,23 @@ class _Class:
     best: np.ndarray
 
 
+@dataclass
+class Statistics:
+    """What BM25 takes from the whole benchmark: items and words of items that have one, items by term."""
+
+    items: int
+    words: int
+    present: dict[str, int]
+
+
 class Index:
-    """BM25 impacts of one set of items, by length class and block."""
+    """BM25 impacts of one set of items, by length class and block.
+
+    ``whole`` are the statistics of the benchmark of which the items are a part, with their terms at
+    least; without it the items are the benchmark.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], whole: Statistics | None = None):
         words = {item: tokens(text) for item, text in items}
         items = [(item, text) for item, text in items if words[item]]
         self.items = {item: question_and_answer(text) for item, text in items}
@@ -80,8 +93,10 @@ class Index:
         present = Counter(w for item, _ in items for w in set(words[item]))
         for w in present:
             self.terms[w] = len(self.terms)
-        mean = sum(len(words[item]) for item, _ in items) / max(1, len(items))
-        idf = {w: float(np.log1p((len(items) - n + 0.5) / (n + 0.5))) for w, n in present.items()}
+        whole = whole or Statistics(len(items), sum(len(words[item]) for item, _ in items), present)
+        present = {w: whole.present[w] for w in present}
+        mean = whole.words / max(1, whole.items)
+        idf = {w: float(np.log1p((whole.items - n + 0.5) / (n + 0.5))) for w, n in present.items()}
         impact = {item: {self.terms[w]: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * len(words[item]) / mean))
                          for w, n in Counter(words[item]).items()} for item, _ in items}
         by_class: dict[int, list[int]] = defaultdict(list)
@@ -93,7 +108,7 @@ class Index:
             own.sort(key=lambda i: (sum(impact[i].values()), i))
             self.classes.append(self._class(1 << power, own, impact, present))
 
-    def _class(self, width: int, own: list[int], impact: dict[int, dict[int, float]], present: Counter) -> _Class:
+    def _class(self, width: int, own: list[int], impact: dict[int, dict[int, float]], present: dict[str, int]) -> _Class:
         names = list(self.terms)
         blocks, lowest, lists = [], [], defaultdict(dict)
         for at in range(0, len(own), BLOCK):
@@ -169,8 +184,19 @@ def _overlap(part: list[str], window: list[str]) -> float:
     return len(own & held) / len(own)
 
 
+def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for parts, texts in slices(batches):
+        words = [tokens(t) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(parts, pa.int64()), pa.array(map(len, words), pa.int64()), pa.array([sorted(set(w)) for w in words], pa.list_(pa.string()))],
+            ["part", "size", "terms"])
+
+
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """One index after the other, each of a bounded number of items and characters."""
+    """One index after the other, each of a bounded number of items and characters.
+
+    All take their statistics from the whole benchmark, so an item scores the same in any part.
+    """
     rows = benchmark.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).where(
         F.col("item").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["item"])
     total = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
@@ -178,9 +204,16 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
                 -(-2 * (total["chars"] or 0) // INDEX_CHARS) if (total["chars"] or 0) > INDEX_CHARS else 1)
     if parts > 1:
         rows = saved(rows.withColumn("part", F.pmod(F.xxhash64("item"), F.lit(parts))))
+        words = saved(rows.select("part", "text").mapInArrow(_terms, "part long, size long, terms array<string>").where("size > 0"))
+        sums = words.agg(F.count("*").alias("items"), F.coalesce(F.sum("size"), F.lit(0)).alias("words")).first()
+        held = words.select("part", F.explode("terms").alias("term")).groupBy("part", "term").agg(F.count("*").alias("n"))
+        present = saved(held.join(held.groupBy("term").agg(F.sum("n").alias("items")), "term").select("part", "term", "items"))
     for part in range(parts if total["n"] else 0):
-        own = rows.where(F.col("part") == part) if parts > 1 else rows
-        yield Index([(r["item"], r["text"]) for r in own.select("item", "text").orderBy("item").collect()])
+        own, whole = rows, None
+        if parts > 1:
+            own = rows.where(F.col("part") == part)
+            whole = Statistics(sums["items"], sums["words"], {r["term"]: r["items"] for r in present.where(F.col("part") == part).collect()})
+        yield Index([(r["item"], r["text"]) for r in own.select("item", "text").orderBy("item").collect()], whole)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
