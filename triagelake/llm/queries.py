@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from triagelake.llm import decontam, langid, lines, neardup, packing, pii, quality, secrets, spans, toxicity
+from triagelake.llm import conversations, decontam, langid, lines, neardup, packing, pii, quality, secrets, spans, spelling, toxicity, vectorpack
 from triagelake.llm.common import documents, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,97 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = documents(spark, sf_dir)
     return secrets.digest(secrets.find(docs, secrets.fit(docs)))
+
+
+@_query()
+def op11_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every piece of every document stands in sequences of 2048 tokens and 64 segments at most."""
+    import public_tokenizers
+
+    return vectorpack.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def _crc32_sql(bits: str) -> str:
+    """crc32 of a list of bits, the lowest of each byte first."""
+    step = "xor(c >> 1, 3988292384 * (xor(c, b) & 1))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {bits}), lambda c, b: {step}), 4294967295)"
+
+
+def _best_sql(*choices: str) -> str:
+    return f"list_sort([{', '.join(choices)}])[1]"
+
+
+def _edit_sql(cost: str, after: str, edit: str, line: str = "''") -> str:
+    return f"{{'c': {cost} + {after}.c, 'a': '{edit}' || {after}.a, 't': {line} || {after}.t}}"
+
+
+def _turn_sql(state: str, read: dict[str, str], speaks: str) -> str:
+    """The best way on from a state at a turn: cost, edits and repaired lines, before insertions."""
+    role = "assistant" if speaks == "s3" else "user"
+    kept = [f"CASE WHEN first = '{initial}' THEN {_edit_sql('stays', after, 'K', 'line')} ELSE {_edit_sql('2', state, 'D')} END" for initial, after in read.items()]
+    return _best_sql(_edit_sql("2", state, "D"), *kept, _edit_sql("1 + stays", speaks, "R", f"chr(10) || '{role}:' || text"))
+
+
+@_query(rf"""
+WITH RECURSIVE hashed AS (
+  SELECT *, {_crc32_sql("list_transform(range(8 * length(id)), lambda i: CAST((ord(id[i // 8 + 1]) >> (i % 8)) & 1 AS BIGINT))")} % 20 AS kind
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS id FROM conversations)),
+turns AS (
+  SELECT conv_id, turn, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text FROM hashed WHERE kind <> 0),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS first FROM turns),
+faulty AS (
+  SELECT *, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS cut, lag(first) OVER (PARTITION BY conv_id ORDER BY i) AS earlier FROM numbered),
+told AS (SELECT *, chr(10) || role || ':' || text AS line, CASE WHEN blank OR again THEN 1000000000 WHEN cut THEN 5 ELSE 0 END AS stays FROM faulty),
+counted AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE cut AND NOT blank AND NOT again) AS truncated,
+    count(*) FILTER (WHERE earlier IS NOT NULL AND earlier || first NOT IN ('su', 'ua', 'au')) AS illegal FROM told GROUP BY conv_id),
+walk(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, n + 1, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}}, {{'c': CAST(10 AS BIGINT), 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'}},
+    {{'c': CAST(5 AS BIGINT), 'a': 'I', 't': chr(10) || 'assistant:'}}, {{'c': CAST(0 AS BIGINT), 'a': '', 't': ''}} FROM counted
+  UNION ALL
+  SELECT conv_id, i, {_best_sql("b0", _edit_sql("5", "u", "I", "chr(10) || 'user:'"))}, {_best_sql("b1", _edit_sql("5", "u", "I", "chr(10) || 'user:'"))}, u,
+    {_best_sql("b3", _edit_sql("5", "b2", "I", "chr(10) || 'user:'"))}
+  FROM (SELECT *, {_best_sql("b2", _edit_sql("5", "b3", "I", "chr(10) || 'assistant:'"))} AS u FROM (
+    SELECT w.conv_id, t.i, {_turn_sql("s0", {"s": "s1", "u": "s2"}, "s2")} AS b0, {_turn_sql("s1", {"u": "s2"}, "s2")} AS b1,
+      {_turn_sql("s2", {"a": "s3"}, "s3")} AS b2, {_turn_sql("s3", {"u": "s2"}, "s2")} AS b3
+    FROM walk w JOIN told t ON w.conv_id IS NOT DISTINCT FROM t.conv_id AND t.i = w.i - 1)))
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(s0.c, 0) AS cost, coalesce(s0.a, '') AS audit, sha256(coalesce(s0.t[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted c ON o.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN (SELECT * FROM walk WHERE i = 1) w ON o.conv_id IS NOT DISTINCT FROM w.conv_id""")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong in every damaged conversation, and its cheapest repair."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.report(turns, conversations.damage(turns))
+
+
+@_query(rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, w, count(*) AS n, {_crc32_sql("list_transform(range(4 * length(x)), lambda i: CAST(((strpos('0123456789ABCDEF', x[(i // 8) * 2 + CASE WHEN i % 8 < 4 THEN 2 ELSE 1 END]) - 1) >> (i % 4)) & 1 AS BIGINT))")} AS h
+  FROM (SELECT *, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS x FROM (
+    SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM documents))
+  WHERE length(w) >= 6 GROUP BY doc_id, w, x),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 199 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word FROM runs)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+places AS (SELECT word, n, unnest(range(length(word))) AS p FROM words),
+left_out AS (SELECT DISTINCT word, n, substr(word, 1, p) || substr(word, p + 2) AS edit FROM places),
+open AS (SELECT word, n, substr(word, 1, p) || '*' || substr(word, p + 2) AS edit FROM places),
+near AS (
+  SELECT a.word, b.word AS other, b.n AS other_n FROM left_out a JOIN words b ON a.edit = b.word
+  UNION ALL SELECT b.word, a.word, a.n FROM left_out a JOIN words b ON a.edit = b.word
+  UNION ALL SELECT a.word, b.word, b.n FROM open a JOIN open b ON a.edit = b.edit AND a.word <> b.word),
+best AS (SELECT word, count(*) AS n_near, list_sort(list({{'n': -other_n, 'w': other}}))[1] AS b FROM near GROUP BY word),
+told AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.n >= 5 * w.n THEN b.w END AS form, CASE WHEN -b.n >= 5 * w.n THEN -b.n END AS form_n
+         FROM words w LEFT JOIN best USING (word)),
+steps(word, here, k) AS (
+  SELECT word, word, 0 FROM told
+  UNION ALL SELECT s.word, t.form, k + 1 FROM steps s JOIN told t ON s.here = t.word WHERE t.form IS NOT NULL)
+SELECT t.word, t.form, r.root, t.n, t.n_near, t.form_n FROM told t JOIN (SELECT word, arg_max(here, k) AS root FROM steps GROUP BY word) r USING (word)""")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near words, form and root of every frequent word; errors are planted by a hash."""
+    return spelling.variants(documents(spark, sf_dir), damage_every=199)
