@@ -4,18 +4,20 @@ The index is of the test items; training passages are the queries. Items fall in
 length, a document is read in half-overlapping windows of twice the class's length, so a leaked item
 always lies whole in one window. Postings are kept by block of items with the block's best impact. An
 item's most frequent terms together cannot reach its threshold; they have no postings, and the rest
-must bring what they leave open. A block is scored for a window only if its best impacts could bring
-that for one of its items. Every item that scores its threshold, a share of the score of its own text,
+must bring what they leave open. A window whose terms' peaks cannot bring that is passed over; in the
+others, block-max WAND moves cursors over the postings, skips to the pivot and scores a block only if its
+best impacts could bring that for one of its items. Every item that scores its threshold, a share of the score of its own text,
 is verified by the overlap of its question and its answer with the window's runs of words.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,9 @@ BLOCK = 8
 OPEN = 0.5
 #: Items and characters of one index, which every task gets; a larger benchmark makes several.
 INDEX_ITEMS, INDEX_CHARS = 2000, 2_000_000
+#: Words that are searched at a time, or twice the widest window.
+STRETCH = 65_536
+_NONE = 1 << 60
 _WORD = re.compile(r"\w+")
 
 
@@ -63,10 +68,46 @@ class _Block:
 class _Class:
     width: int
     blocks: list[_Block]
-    lowest: np.ndarray   # what the terms with postings must bring, by block
-    first: np.ndarray    # where each term's postings begin; one more at the end
-    block: np.ndarray    # postings: the block and its best impact
-    best: np.ndarray
+    lowest: list[float]             # what the terms with postings must bring, by block
+    floors: list[float]             # the least of these from each block on
+    peak: np.ndarray                # best impact of each term, 0 without postings; one more for unknown words
+    lists: dict[int, tuple[list[int], list[float]]]  # postings: blocks in order, and each block's best impact
+
+    def above(self, seen: set[int]) -> Iterator[tuple[int, float]]:
+        """(item, score as a share of its own) of the items above threshold, by block-max WAND.
+
+        Cursors stand in the postings of the terms, in order of their blocks. The pivot is the first one
+        at which the peaks so far reach what the least demanding block ahead needs: no block before it can
+        qualify. If the first cursor is
+        there too, the block's own maxima decide whether its items are scored; else the cursors before
+        the pivot skip to it.
+        """
+        cursors = [[self.lists[t][0][0], float(self.peak[t]), 0, *self.lists[t]] for t in seen if t in self.lists]
+        while True:
+            cursors.sort(key=lambda c: c[0])
+            reach, need = 0.0, self.floors[cursors[0][0]] - 1e-9 if cursors else 0.0
+            for at, cursor in enumerate(cursors):
+                reach += cursor[1]
+                if reach >= need:
+                    pivot = cursor[0]
+                    break
+            else:
+                return
+            if cursors[0][0] == pivot:
+                number = pivot
+                best = sum(c[4][c[2]] for c in cursors if c[0] == pivot)
+                if best >= self.lowest[number] - 1e-9:
+                    block = self.blocks[number]
+                    for item, threshold, own in zip(block.items, block.thresholds, block.impacts):
+                        score = sum(own[t] for t in own.keys() & seen)
+                        if score >= threshold - 1e-9:
+                            yield item, float(score / threshold * SHARE)
+                pivot += 1
+            for cursor in cursors[:at + 1] if pivot == cursors[at][0] else cursors:
+                if cursor[0] < pivot:
+                    cursor[2] = bisect_left(cursor[3], pivot, cursor[2])
+                    cursor[0] = cursor[3][cursor[2]] if cursor[2] < len(cursor[3]) else _NONE
+            cursors = [c for c in cursors if c[0] != _NONE]
 
 
 @dataclass
@@ -125,41 +166,63 @@ class Index:
                 needs.append(left)
             blocks.append(_Block(items, thresholds, [impact[i] for i in items]))
             lowest.append(min(needs))
-        counts = np.array([len(lists[t]) if t in lists else 0 for t in range(len(names) + 1)])
-        flat = [(b, v) for t in range(len(names)) if t in lists for b, v in sorted(lists[t].items())]
-        return _Class(width, blocks, np.array(lowest), np.concatenate([[0], np.cumsum(counts)]),
-                      np.array([b for b, _ in flat], np.int64), np.array([v for _, v in flat]))
+        peak = np.zeros(len(names) + 1)
+        for term, own_list in lists.items():
+            peak[term] = max(own_list.values())
+        ordered = {term: (sorted(own_list), [own_list[b] for b in sorted(own_list)]) for term, own_list in lists.items()}
+        return _Class(width, blocks, lowest, np.minimum.accumulate(lowest[::-1])[::-1].tolist(), peak, ordered)
 
     def retrieve(self, texts: list[list[str]]) -> Iterator[tuple[int, int, float, int, int]]:
-        """(text, item, score as a share of the item's own, first word, end) of windows above threshold."""
-        sizes = np.array([len(t) for t in texts], np.int64)
-        total, unknown = int(sizes.sum()), len(self.terms)
-        ids = np.fromiter(map(self.terms.get, chain.from_iterable(texts), repeat(unknown)), np.int64, total)
-        at = np.cumsum(sizes) - sizes
-        known = np.flatnonzero(ids != unknown)
-        if not len(known):
+        """(text, item, score as a share of the item's own, first word, end) of windows above threshold.
+
+        Texts are read in stretches of a bounded number of words, which overlap so that every window lies
+        whole in one.
+        """
+        widest = max((cls.width for cls in self.classes), default=1)
+        step = max(STRETCH, 2 * widest) // widest * widest
+        own: list[tuple[int, int, np.ndarray, bool]] = []
+        held = 0
+        for which, words in enumerate(texts):
+            for at in range(0, max(1, len(words)), step):
+                if at and at + widest >= len(words):
+                    break  # the stretch before holds all of it
+                part = words[at:at + step + widest]
+                own.append((which, at, np.fromiter(map(self.terms.get, part, repeat(len(self.terms))), np.int64, len(part)), at + step + widest >= len(words)))
+                held += len(part)
+                if held >= step:
+                    yield from self._search(own, step)
+                    own, held = [], 0
+        yield from self._search(own, step)
+
+    def _search(self, stretches: list[tuple[int, int, np.ndarray, bool]], step: int) -> Iterator[tuple[int, int, float, int, int]]:
+        if not stretches:
             return
-        term, text = ids[known], np.repeat(np.arange(len(texts)), sizes)[known]
-        place = known - at[text]
+        sizes = np.array([len(ids) for _, _, ids, _ in stretches], np.int64)
+        ids = np.concatenate([ids for _, _, ids, _ in stretches])
+        start = np.cumsum(sizes) - sizes
+        owner = np.repeat(np.arange(len(stretches)), sizes)
+        place = np.arange(len(ids)) - start[owner]
         for cls in self.classes:
-            windows = -(-np.maximum(1, sizes - cls.width) // cls.width)
-            base = np.cumsum(windows) - windows
-            n = cls.first[term + 1] - cls.first[term]
-            posting = np.repeat(cls.first[term] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            window, owner = np.repeat(place // cls.width, n), np.repeat(text, n)
-            row, value, all_ = cls.block[posting] * int(windows.sum()), cls.best[posting], len(cls.blocks) * int(windows.sum())
-            inside, after = window < windows[owner], window > 0
-            sums = np.bincount((row + base[owner] + window)[inside], value[inside], all_)
-            sums += np.bincount((row + base[owner] + window - 1)[after], value[after], all_)
-            for b, w in zip(*np.nonzero(sums.reshape(len(cls.blocks), -1) >= cls.lowest[:, None] - 1e-9)):
-                which = int(np.searchsorted(base, w, "right")) - 1
-                first = int(w - base[which]) * cls.width
-                end = min(first + 2 * cls.width, int(sizes[which]))
-                block, seen = cls.blocks[b], set(ids[at[which] + first:at[which] + end].tolist())
-                for item, threshold, own in zip(block.items, block.thresholds, block.impacts):
-                    score = sum(own[t] for t in own.keys() & seen)
-                    if score >= threshold - 1e-9:
-                        yield which, item, score / threshold * SHARE, first, end
+            here = np.flatnonzero(cls.peak[ids] > 0)
+            if not len(here):
+                continue
+            # Halves of windows: a window is one and the next one. Each term counts once in a half.
+            ending = np.array([last for _, _, _, last in stretches])
+            windows = np.where(ending, -(-np.maximum(1, sizes - cls.width) // cls.width), step // cls.width)
+            base = np.cumsum(windows + 1) - windows - 1
+            half = np.minimum(place[here] // cls.width, windows[owner[here]]) + base[owner[here]]
+            half, term = np.divmod(np.unique(half * len(cls.peak) + ids[here]), len(cls.peak))
+            most = np.bincount(half, cls.peak[term], int((windows + 1).sum()) + 1)
+            for w in np.flatnonzero(most[:-1] + most[1:] >= cls.floors[0] - 1e-9):
+                part = int(np.searchsorted(base, w, "right")) - 1
+                number = int(w - base[part])
+                if number >= windows[part]:
+                    continue
+                which, offset, own, _ = stretches[part]
+                first, end = number * cls.width, min((number + 2) * cls.width, len(own))
+                seen = set(own[first:end].tolist())
+                for item, share in cls.above(seen):
+                    yield which, item, share, offset + first, offset + end
 
     def leaks(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
         """For each text the items it holds: {item: (score share, question overlap, answer overlap)}."""
