@@ -1,14 +1,14 @@
 """Best-fit packing by exact complements.
 
 Tokenising is one narrow pass. The plan is made from the histogram of piece lengths, at most 2048
-numbers whatever the input: bins that fill a sequence exactly are found by hashed sums of one, two and
-three available lengths and consumed as often as the counts allow, what is left is packed best fit.
+numbers whatever the input: an index of the sums of one, two and three available lengths gives the
+combinations that fill a gap exactly, which are used as often as the counts allow; what is left is
+packed best fit.
 Pieces then find their place by their rank among the pieces of their length, from counts per partition.
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -18,43 +18,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from triagelake.llm.common import partition_id, saved, slices
+from triagelake.llm.tokens import encoder
 
 SIZE = 2048
-#: Words whose ids one Python worker remembers.
-CACHE_WORDS = 400_000
-#: Texts outside these characters go through the tokenizer whole: there its Unicode tables decide.
-_OTHER = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xac\xae-\xff]|<\|")
-_WORD = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|'(?:s|t|re|ve|m|ll|d)|[^\\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
-
-
-class _Ids(dict):
-    """Little-endian ids of a word, asked of the tokenizer once."""
-
-    def __init__(self, tokenizer):
-        self.encode = tokenizer.encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        self[word] = ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
-
-
-_LOADED: dict[str, _Ids] = {}
 
 
 def text_ids(text: str | None, tokenizer_path: str) -> bytes:
     """The ids of a whole text, little-endian unsigned 32-bit, with the closing id 0."""
-    if tokenizer_path not in _LOADED:
-        from tokenizers import Tokenizer
-
-        _LOADED[tokenizer_path] = _Ids(Tokenizer.from_file(tokenizer_path))
-    known, text = _LOADED[tokenizer_path], text or ""
-    if _OTHER.search(text):
-        ids = np.array(known.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-    else:
-        ids = b"".join(map(known.__getitem__, _WORD.findall(text.lower())))
-    return ids + b"\0\0\0\0"
+    return encoder(tokenizer_path)(text or "") + b"\0\0\0\0"
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text",
@@ -84,54 +55,85 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = SIZE, id_col: str =
     return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(cut, schema)
 
 
+class SumIndex:
+    """Sums of one, two and three available lengths, each sum with the combinations that give it.
+
+    ``left`` counts the pieces of each length. A pair is listed under its sum by its shorter length, a
+    triple by its longest one, the longest lengths first. Counts only fall, so a combination at the head
+    of a list whose length has run out is dropped for good.
+    """
+
+    def __init__(self, counts: dict[int, int], size: int):
+        self.left = [0] * (size + 1)
+        for length, n in counts.items():
+            self.left[length] += n
+        have = np.array(self.left) > 0
+        self.pairs: list[list[int]] = [[], []]
+        for total in range(2, size):
+            low = np.arange(1, total // 2 + 1)
+            self.pairs.append(low[have[low] & have[total - low]].tolist())
+        paired = np.array([bool(p) for p in self.pairs])
+        self.triples: list[list[int]] = [[], [], []]
+        for total in range(3, size):
+            longest = np.arange(total - 2, (total + 2) // 3 - 1, -1)
+            self.triples.append(longest[have[longest] & paired[total - longest]].tolist())
+        self.pair_at, self.triple_at = [0] * max(size, 2), [0] * max(size, 3)
+
+    def free(self, length: int, held: list[int]) -> int:
+        return self.left[length] - held.count(length)
+
+    def pair(self, total: int, held: list[int]) -> list[int] | None:
+        lows = self.pairs[total]
+        for k in range(self.pair_at[total], len(lows)):
+            low, high = lows[k], total - lows[k]
+            if self.left[low] and self.left[high]:
+                if self.free(low, held) > 0 and self.free(high, held) > (low == high):
+                    return [high, low]
+            elif k == self.pair_at[total]:
+                self.pair_at[total] += 1
+        return None
+
+    def triple(self, total: int, held: list[int]) -> list[int] | None:
+        longest = self.triples[total]
+        for k in range(self.triple_at[total], len(longest)):
+            length = longest[k]
+            if not self.left[length]:
+                self.triple_at[total] += k == self.triple_at[total]
+            elif self.pair_at[total - length] < len(self.pairs[total - length]) and self.free(length, held) > 0:
+                two = self.pair(total - length, [*held, length])
+                if two:
+                    return [length, *two]
+        return None
+
+    def complement(self, gap: int, held: list[int]) -> list[int] | None:
+        """Available lengths that fill ``gap`` exactly beside those ``held``, as few as can be."""
+        if not gap:
+            return []
+        if self.free(gap, held) > 0:
+            return [gap]
+        return self.pair(gap, held) or self.triple(gap, held)
+
+
 def plan_bins(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, dict[int, int]]]:
     """(how many sequences, {length: pieces in each}) until every piece of the histogram is used."""
-    left = np.zeros(size + 1, np.int64)
-    for length, n in counts.items():
-        left[length] += n
+    index = SumIndex(counts, size)
+    left = index.left
     plan: list[tuple[int, dict[int, int]]] = []
 
     def use(parts: list[int]) -> None:
         need = Counter(parts)
-        times = int(min(left[length] // n for length, n in need.items()))
+        times = min(left[length] // n for length, n in need.items())
         for length, n in need.items():
             left[length] -= times * n
         plan.append((times, dict(need)))
 
-    def pair(gap: int, free: np.ndarray) -> list[int] | None:
-        """The two available lengths that sum to ``gap``, the longer as long as can be."""
-        low = np.arange(1, gap // 2 + 1)
-        both = np.flatnonzero((free[low] > 0) & (free[gap - low] > 0) & ((2 * low != gap) | (free[low] > 1)))
-        return [int(gap - low[both[0]]), int(low[both[0]])] if len(both) else None
-
-    def complement(gap: int, free: np.ndarray) -> list[int] | None:
-        if not gap:
-            return []
-        if free[gap] > 0:
-            return [gap]
-        if two := pair(gap, free):
-            return two
-        for longest in np.flatnonzero(free[:gap] > 0)[::-1]:
-            if 3 * longest < gap:
-                break
-            free[longest] -= 1
-            two = pair(gap - int(longest), free)
-            free[longest] += 1
-            if two:
-                return [int(longest), *two]
-        return None
-
     for first in range(size, 0, -1):
-        while left[first] > 0:
-            left[first] -= 1
-            rest = complement(size - first, left)
-            left[first] += 1
-            if rest is None:
-                break
+        while left[first] > 0 and (rest := index.complement(size - first, [first])) is not None:
             use([first, *rest])
-    while left.any():
-        first = int(np.flatnonzero(left)[-1])
-        parts, free, gap = [first], left.copy(), size - first
+    rest_of = np.array(left)
+    while rest_of.any():
+        first = int(np.flatnonzero(rest_of)[-1])
+        parts, free, gap = [first], rest_of.copy(), size - first
         free[first] -= 1
         while gap and len(fit := np.flatnonzero(free[:gap + 1])):
             best = int(fit[-1])
@@ -140,6 +142,7 @@ def plan_bins(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, dict[
             free[best] -= n
             gap -= n * best
         use(parts)
+        rest_of = np.array(left)
     return plan
 
 
