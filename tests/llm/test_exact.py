@@ -4,6 +4,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -140,6 +141,24 @@ def test_plan_uses_every_piece_once():
         assert used == counts
 
 
+def test_sum_index_gives_available_combinations():
+    noise = random.Random(9)
+    for _ in range(200):
+        size = noise.choice([9, 40, 100])
+        counts = Counter(noise.randint(1, size) for _ in range(noise.randint(1, 25)))
+        index = packing.SumIndex(counts, size)
+        for total in range(1, size):
+            found = index.complement(total, [])
+            if found:
+                assert sum(found) == total and not Counter(found) - counts
+            else:
+                pieces = sorted(counts.elements())
+                sums = {0}
+                for many in range(1, 4):
+                    sums |= {sum(c) for c in combinations(pieces, many)} if len(pieces) < 26 else set()
+                assert total not in sums
+
+
 def test_exact_complements_are_found():
     assert packing.plan_bins({60: 3, 40: 3}, 100) == [(3, {60: 1, 40: 1})]
     assert packing.plan_bins({50: 4, 30: 4, 20: 4}, 100)[0] == (2, {50: 2})
@@ -294,6 +313,35 @@ def test_sketch_estimates():
 # Decontamination
 
 
+def test_words_past_the_last_window():
+    """A slice whose only known words lie past the start of the last window."""
+    index = decontam.Index([(1, "what is the name of the river here? alpha beta")])
+    leak = "zz " * 40 + "What is the name of the river here? alpha beta " + "yy " * 20
+    assert index.leaks(["zz " * 30 + "river", None, "", "river", leak]) == [{}, {}, {}, {}, {1: (1.0, 1.0, 1.0)}]
+
+
+def test_very_long_text_is_searched_in_stretches(monkeypatch):
+    monkeypatch.setattr(decontam, "STRETCH", 1000)
+    noise = random.Random(12)
+    items = [(k, " ".join(noise.choice("abcdefghijklmnop") * 3 + str(noise.randint(0, 99)) for _ in range(20)) + f"? answer {k} is here now") for k in range(60)]
+    index = decontam.Index(items)
+    for _ in range(20):
+        chosen = noise.sample(items, 4)
+        parts = [" ".join(noise.choice("qrstuvw") * 4 for _ in range(noise.randint(0, 3000))) for _ in range(5)]
+        text = " ".join(part + " " + item for part, (_, item) in zip(parts, chosen)) + " " + parts[4]
+        assert set(index.leaks(["x", text, "y"])[1]) == {k for k, _ in chosen}
+    words = " ".join(noise.choice(["some", "other", "words", "here"]) for _ in range(1_000_000))
+    assert set(index.leaks([words + " " + items[3][1]])[0]) == {3}
+
+
+def test_partitions_of_one_row(spark):
+    benchmark = spark.createDataFrame([(1, "what is the name of the river here? alpha beta")], "item_id long, text string")
+    texts = [(k, "zz " * (k % 40) + ("river" if k % 3 else "")) for k in range(60)] + [(99, "so what is the name of the river here? alpha beta")]
+    docs = table(spark, texts).repartition(61)
+    assert [(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, benchmark).collect()] == [(99, 1)]
+    assert decontam.without_leaks(docs, benchmark).count() == 60
+
+
 def test_index_retrieves_all_above_threshold():
     noise = random.Random(6)
     bank = ["".join(noise.choice("abcde") for _ in range(noise.randint(1, 4))) for _ in range(400)]

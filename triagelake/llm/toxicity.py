@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from triagelake.llm.common import held_out, saved, share_of, slices
 
-#: Bounds of the training sample (rows of each label) and of the model (weighted words).
-TOXIC_ROWS, OTHER_ROWS, MAX_WORDS = 3000, 6000, 20_000
+#: Bounds of the training sample: rows of each label. The model has all of its words that differ beyond chance.
+TOXIC_ROWS, OTHER_ROWS = 3000, 6000
 #: Weight of the prior in documents; least standard errors from zero; what each word pays.
 PRIOR_DOCS, MIN_Z, TOLL = 20.0, 4.0, 0.3
 #: Lengths of the beginnings that are tokens.
@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     one, zero = F.col("toxic") + prior, F.col("other") + prior
     odds = F.log(one / (n1 + PRIOR_DOCS - one)) - F.log(zero / (n0 + PRIOR_DOCS - zero))
     strong = (counts.withColumn("odds", odds).withColumn("z", odds / F.sqrt(1 / one + 1 / zero)).where(F.col("z") > MIN_Z)
-              .orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect())
+              .orderBy(F.desc("z"), "word").collect())
     model = Model({r["word"]: float(r["odds"]) for r in strong if r["odds"] > TOLL})
     # Chance of each weight per word of ordinary text, a document taken as some hundred words.
     model.rate = _rate([(model.weights[r["word"]] - TOLL, r["other"]) for r in strong if r["word"] in model.weights], 100 * n0)
