@@ -1,10 +1,13 @@
-"""Line dedup: a Bloom filter chooses the suspects, only suspects shuffle for exact confirmation.
+"""Line dedup: two Bloom filters choose the suspects, only suspects shuffle for exact confirmation.
 
 A line's key is the line without white space (\\x20, \\x09-\\x0D) at both ends and with A-Z lowered.
-Fingerprints of the keys go once to the filter of hashes seen, and a hash leaves a task whenever the
-filter knows it already. No filter's answer keeps a hash back; a later distinct() folds its sightings.
-Suspected lines alone are then shuffled with their full keys, so a false alarm costs a row and never
-a wrong result.
+Each task puts the keys of its documents into a filter of those seen once; what that knows already goes
+into the filter of those seen twice. The tasks' filters are merged segment by segment, and a bit that
+two tasks have once is there twice. Lines whose bits are all in the merged second filter are suspects;
+they alone are shuffled with their full keys, so a false alarm costs a row and never a wrong result.
+
+The filters are as large as the lines ask for, and are sent to every task up to a stated size. Beyond
+it hashes are dealt out by range, each task filters its own range, and the suspects are found by a join.
 """
 
 from __future__ import annotations
@@ -12,15 +15,21 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from triagelake.llm.common import SPACE, saved, slices
 
 MIN_CHARS = 10
 #: Suspected hashes (8 bytes each) up to this count are sent to every task; beyond it the join shuffles.
 BROADCAST_ROWS = 1_000_000
+#: Bits of a filter for each line, bits that a hash sets, and the largest filter that every task gets.
+BITS, PROBES, SENT_BITS = 24, 2, 1 << 28
+#: Bits of a segment, in which tasks hand on their filters.
+SEGMENT = 1 << 16
 _WS = SPACE.encode()
 
 
@@ -36,6 +45,76 @@ def _signed(value: int) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+def filter_bits(docs: DataFrame, text_col: str = "text") -> int:
+    """Room for every line of the documents, in whole segments."""
+    lines = docs.agg(F.sum(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1)).first()[0]
+    return -(-max(1, lines or 0) * BITS // SEGMENT) * SEGMENT
+
+
+def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """The bits of each hash, a row of PROBES places."""
+    step = (hashes >> np.uint64(32)) | np.uint64(1)
+    turned = [(hashes + np.uint64(k) * step) * np.uint64(0x9E3779B97F4A7C15) for k in range(PROBES)]
+    # The upper half of a hash times the number of bits, so that any number will do.
+    return np.stack([((t >> np.uint64(32)) * np.uint64(bits) >> np.uint64(32)).astype(np.int64) for t in turned], axis=1)
+
+
+def _own_filters(bits: int):
+    """Of a task's documents, the places seen once and those seen twice, by segment."""
+    def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        for ids, texts in slices(batches, 1024):
+            own = [np.array(list({xxhash.xxh3_64_intdigest(key) for _, key in line_keys(text)}), np.uint64)
+                   for doc, text in zip(ids, texts) if doc is not None]
+            hashes = np.concatenate([*own, np.zeros(0, np.uint64)])
+            place, count = np.unique(_places(hashes, bits), return_counts=True)
+            twice[place[(count > 1) | once[place]]] = True
+            once[place] = True
+        rows = [(at // SEGMENT, *(np.flatnonzero(f[at:at + SEGMENT]).astype("<u2").tobytes() for f in (once, twice)))
+                for at in range(0, bits, SEGMENT) if once[at:at + SEGMENT].any()]
+        for at in range(0, len(rows), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 64]), (pa.int64(), pa.binary(), pa.binary()))],
+                                             ["segment", "once", "twice"])
+
+    return build
+
+
+def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The second filter's bits of each segment; rows come sorted by segment."""
+    now, tasks, again = None, np.zeros(SEGMENT, np.uint8), np.zeros(SEGMENT, bool)
+
+    def row() -> pa.RecordBatch:
+        bits = np.packbits(again | (tasks > 1)).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([bits], pa.binary())], ["segment", "bits"])
+
+    for segments, once, twice in slices(batches, 16):
+        for segment, first, second in zip(segments, once, twice):
+            if segment != now:
+                if now is not None:
+                    yield row()
+                now, tasks, again = segment, np.zeros(SEGMENT, np.uint8), np.zeros(SEGMENT, bool)
+            own = np.frombuffer(first, "<u2")
+            tasks[own] = np.minimum(tasks[own], 1) + 1
+            again[np.frombuffer(second, "<u2")] = True
+    if now is not None:
+        yield row()
+
+
+def twice_seen(docs: DataFrame, bits: int, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """The merged filter of hashes seen twice, packed; ``bits`` is SENT_BITS at most."""
+    own = docs.select(id_col, text_col).mapInArrow(_own_filters(bits), "segment long, once binary, twice binary")
+    rows = own.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merged, "segment long, bits binary").toArrow()
+    out = np.zeros((bits // SEGMENT, SEGMENT // 8), np.uint8)
+    for segment, packed in zip(rows.column("segment").to_pylist(), rows.column("bits").to_pylist()):
+        out[segment] = np.frombuffer(packed, np.uint8)
+    return out.reshape(-1)
+
+
+def _known_twice(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    place = _places(hashes, 8 * len(packed))
+    return ((packed[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1).astype(bool).all(axis=1)
+
+
 class _Filter:
     """A Bloom filter that grows by layers, each with twice the room of the one before."""
 
@@ -112,46 +191,83 @@ def suspected(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return marks.repartition("h").mapInArrow(_second_sightings, "h long").distinct()
 
 
-def _keyed_lines(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, texts in slices(batches):
-        rows = [(doc, number, _signed(xxhash.xxh3_64_intdigest(key)), key)
-                for doc, text in zip(ids, texts) if doc is not None for number, key in line_keys(text)]
-        columns = list(zip(*rows)) or [(), (), (), ()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.binary()))],
-            ["doc", "line", "h", "key"])
+def _keyed_lines(packed):
+    """Lines with their keys: all of them, or those that the broadcast filter suspects."""
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts in slices(batches):
+            rows = [(doc, number, xxhash.xxh3_64_intdigest(key), key)
+                    for doc, text in zip(ids, texts) if doc is not None for number, key in line_keys(text)]
+            hashes = np.array([r[2] for r in rows], np.uint64)
+            if packed is not None and len(rows):
+                kept = np.flatnonzero(_known_twice(packed.value, hashes))
+                rows, hashes = [rows[k] for k in kept], hashes[kept]
+            columns = list(zip(*rows)) or [(), (), (), ()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(hashes.view(np.int64)), pa.array(columns[3], pa.binary())],
+                ["doc", "line", "h", "key"])
 
+    return read
 
-def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                  broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc, drop): the numbers of the lines each document loses."""
+
+def suspected_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS,
+                    sent_bits: int = SENT_BITS) -> DataFrame:
+    """(doc, line, h, key) of every line that two documents may hold."""
+    rows, schema = docs.select(F.col(id_col).cast("long"), text_col), "doc long, line int, h long, key binary"
+    bits = filter_bits(docs, text_col)
+    if bits <= sent_bits:
+        packed = docs.sparkSession.sparkContext.broadcast(twice_seen(docs, bits, id_col, text_col))
+        return rows.mapInArrow(_keyed_lines(packed), schema)
     hashes = saved(suspected(docs, id_col, text_col))
     if hashes.count() <= broadcast_rows:
         hashes = F.broadcast(hashes)
-    held = docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(
-        _keyed_lines, "doc long, line int, h long, key binary").join(hashes, "h", "left_semi")
+    return rows.mapInArrow(_keyed_lines(None), schema).join(hashes, "h", "left_semi").select("doc", "line", "h", "key")
+
+
+def lines_to_drop(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS,
+                  sent_bits: int = SENT_BITS) -> DataFrame:
+    """(doc, drop): the numbers of the lines each document loses."""
+    held = suspected_lines(docs, id_col, text_col, broadcast_rows, sent_bits)
     repeated = saved(
         held.groupBy("h", "key").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last"))
     return (held.join(repeated, ["h", "key"]).where("doc > first")
             .groupBy("doc").agg(F.collect_set("line").alias("drop")))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+@F.pandas_udf(StringType())
+def _left(texts: pd.Series, drops: pd.Series) -> pd.Series:
+    """Texts without the lines of those numbers."""
+    out = []
+    for text, drop in zip(texts, drops):
+        if text is not None and drop is not None:
+            gone = set(drop)
+            text = "\n".join(line for number, line in enumerate(text.split("\n")) if number not in gone)
+        out.append(text)
+    return pd.Series(out, dtype=object)
+
+
+def thinned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS,
+            sent_bits: int = SENT_BITS) -> DataFrame:
+    """All columns of ``docs`` with the text thinned, and ``__llm_lines``, ``__llm_dropped``: lines before, lines dropped."""
+    drop = lines_to_drop(docs, id_col, text_col, broadcast_rows, sent_bits).select(
+        F.col("doc").alias("__llm_doc"), F.col("drop").alias("__llm_drop"))
+    text, touched = F.col(text_col), F.col("__llm_drop").isNotNull()
+    return (docs.join(drop, F.col(id_col).cast("long") == F.col("__llm_doc"), "left")
+            .withColumns({
+                "__llm_lines": F.size(F.split(F.coalesce(text, F.lit("")), "\n", -1)).cast("long"),
+                "__llm_dropped": F.coalesce(F.size("__llm_drop"), F.lit(0)).cast("long"),
+                text_col: F.when(touched, _left(F.when(touched, text), F.col("__llm_drop"))).otherwise(text)})
+            .drop("__llm_doc", "__llm_drop"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = BROADCAST_ROWS,
+                sent_bits: int = SENT_BITS) -> DataFrame:
     """All columns of ``docs`` with the text thinned, and ``n_lines``, ``n_dropped`` added.
 
     A line goes if its key (10 code points or more) is in two documents and this is not the one with
     the smallest id. A null text counts as one empty line and stays null. Rows of one id are one
     document: repeats inside it stay. A document without an id keeps all lines and makes none repeat.
-    Added columns replace columns of the same names. An empty table gives an empty table.
+    Texts are read whole, in time that grows with their length. Added columns replace columns of the same
+    names. An empty table gives an empty table.
     """
-    drop = lines_to_drop(docs, id_col, text_col, broadcast_rows).select(
-        F.col("doc").alias("__llm_doc"), F.col("drop").alias("__llm_drop"))
-    lines = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
-    left = F.filter(lines, lambda line, at: ~F.array_contains(F.col("__llm_drop"), at))
-    return (docs.join(drop, F.col(id_col).cast("long") == F.col("__llm_doc"), "left")
-            .withColumns({
-                "n_lines": F.size(lines).cast("long"),
-                "n_dropped": F.coalesce(F.size("__llm_drop"), F.lit(0)).cast("long"),
-                text_col: F.when(F.col("__llm_drop").isNull(), F.col(text_col)).otherwise(F.array_join(left, "\n"))})
-            .drop("__llm_doc", "__llm_drop"))
+    found = thinned(docs.drop("n_lines", "n_dropped"), id_col, text_col, broadcast_rows, sent_bits)
+    return found.withColumnsRenamed({"__llm_lines": "n_lines", "__llm_dropped": "n_dropped"})
