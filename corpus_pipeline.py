@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from triagelake.llm import decontam, langid, lines, neardup, packing
-from triagelake.llm.common import documents, shared_dir
+from triagelake.llm.common import documents, removed, shared_dir
 from triagelake.llm.queries import tokenizer_path
 
 
@@ -24,9 +24,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without lines that a smaller id has; ``n_chars`` follows the text."""
-    thinned = lines.dedup_lines(docs).select(*docs.columns)
-    return thinned.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else thinned
+    """Documents without lines that a smaller id has; ``n_chars`` follows the text.
+
+    A document that loses lines and has no text but white space left is a copy, and goes.
+    """
+    found = lines.thinned(docs)
+    emptied = (F.col("__llm_dropped") > 0) & ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    left = found.where(~emptied).select(*docs.columns)
+    return left.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else left
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,13 +62,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each over the written result of the one before."""
+    """The stages in order, each over the written result of the one before, which then goes."""
     folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = documents(spark, sf_dir)
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if number:
+            removed(spark, f"{folder}/{number - 1}-{STAGES[number - 1][0]}")
     return docs
 
 

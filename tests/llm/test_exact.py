@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
@@ -9,6 +10,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from triagelake.llm import decontam, lines, neardup, packing, spans
 
@@ -36,8 +38,8 @@ def line_cases():
                   (21, "line number 2999"), (22, "a line without an id here")]
 
 
-@pytest.mark.parametrize("limit", [0, 1000])
-def test_lines_against_brute_force(spark, limit):
+@pytest.mark.parametrize("limit,sent", [(0, 0), (1000, 0), (0, lines.SENT_BITS)])
+def test_lines_against_brute_force(spark, limit, sent):
     rows = line_cases()
     holders = defaultdict(set)
     key = lambda line: ascii_lower(line.strip(" \t\n\x0b\x0c\r"))
@@ -50,7 +52,7 @@ def test_lines_against_brute_force(spark, limit):
         own = (t or "").split("\n")
         left = [x for x in own if d is None or len(holders[key(x)]) < 2 or d == min(holders[key(x)])]
         expected.append((d, None if t is None else "\n".join(left), len(own), len(own) - len(left)))
-    got = lines.dedup_lines(table(spark, rows), broadcast_rows=limit)
+    got = lines.dedup_lines(table(spark, rows).repartition(3), broadcast_rows=limit, sent_bits=sent)
     assert got.columns == ["doc_id", "text", "line", "drop", "component", "n_lines", "n_dropped"]
     assert sorted(map(repr, [(r.doc_id, r.text, r.n_lines, r.n_dropped) for r in got.collect()])) == sorted(map(repr, expected))
 
@@ -65,6 +67,27 @@ def test_filters_pass_every_repeat():
     assert filter_.has(random_.integers(0, 1 << 63, 100_000).astype(np.uint64)).mean() < 0.05
 
 
+def test_second_filter_knows_every_repeat_and_few_others(spark):
+    rows = [(k, "\n".join(f"line of group {k // 2 * 50 + i}" if i < 20 else f"own line {k} {i}" for i in range(40))) for k in range(2000)]
+    docs = table(spark, rows).repartition(7)
+    bits = lines.filter_bits(docs)
+    packed = lines.twice_seen(docs, bits)
+    key = lambda text: np.array([xxhash.xxh3_64_intdigest(text.encode())], np.uint64)
+    assert all(lines._known_twice(packed, key(f"line of group {k // 2 * 50 + i}"))[0] for k in range(0, 2000, 2) for i in range(20))
+    alone = sum(lines._known_twice(packed, key(f"own line {k} {i}"))[0] for k in range(500) for i in range(20, 40))
+    assert alone < 300
+    suspects = lines.suspected_lines(docs).count()
+    assert 40_000 <= suspects < 42_000
+
+
+def test_long_documents_take_time_in_proportion(spark):
+    text = "\n".join(f"a line of some length {k}" for k in range(200_000))
+    start = time.time()
+    got = {r.doc_id: r for r in lines.dedup_lines(table(spark, [(1, text), (2, text), (3, text + "\nand one more line")])).collect()}
+    assert got[1].text == text and got[2].text == "" and got[3].text == "and one more line" and got[2].n_dropped == 200_000
+    assert time.time() - start < 60
+
+
 def test_no_repeat_is_lost_in_a_crowded_partition():
     hashes = np.random.default_rng(1).integers(-1 << 63, 1 << 63, 300_000, endpoint=False)
     twice = [pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.zeros(len(part), bool))], ["h", "many"])

@@ -27,7 +27,9 @@ def test_stages_follow_each_other(spark, tmp_path):
     before, after = seen["language_id"]
     assert after.count() >= 0.98 * before.where("text IS NOT NULL").count()
     before, after = seen["line_dedup"]
-    assert after.count() == before.count() and lines.lines_to_drop(after).count() == 0
+    thinned = {r.doc_id: r for r in lines.dedup_lines(before).collect()}
+    gone = {d for d, r in thinned.items() if r.n_dropped and not (r.text or "").strip(" \t\n\x0b\x0c\r")}
+    assert {r.doc_id for r in after.collect()} == set(thinned) - gone and lines.lines_to_drop(after).count() == 0
     before, after = seen["near_dedup"]
     kept = {r.doc_id for r in neardup.near_duplicates(before).where("kept").collect()}
     assert {r.doc_id for r in after.select("doc_id").collect()} == kept
@@ -54,8 +56,17 @@ def test_stages_take_odd_tables(spark, tmp_path):
         corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
 
 
+def test_line_dedup_keeps_other_columns(spark):
+    shared = "a line that two documents share"
+    docs = spark.createDataFrame([(1, shared, 77, 88), (2, shared + "\nown", 78, 89), (3, shared, 79, 90), (4, " ", 80, 91)],
+                                 "doc_id long, text string, n_lines int, n_dropped int")
+    out = corpus_pipeline.line_dedup(spark, docs, SF)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect())) == [(1, shared, 77, 88), (2, "own", 78, 89), (4, " ", 80, 91)]
+
+
 def test_every_operator_is_registered():
     entry = importlib.import_module("__spark_entry__")
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert corpus_pipeline.ORACLE_SQL is None and len(corpus_pipeline.STAGES) == 5

@@ -50,4 +50,10 @@ def share_of(key: Column, wanted: int, available: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(scale)) < take
 
 
-__all__ = ["SPACE", "SLICE", "documents", "saved", "slices", "partition_id", "held_out", "share_of", "shared_dir"]
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that an earlier step has written, in whatever store it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+__all__ = ["SPACE", "SLICE", "documents", "saved", "slices", "partition_id", "held_out", "share_of", "removed", "shared_dir"]
