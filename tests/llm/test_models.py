@@ -4,6 +4,7 @@ import os
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,6 +120,35 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(table(spark, []), model).collect() == []
 
 
+def test_what_is_no_language_is_rejected(spark):
+    """With two languages and no fixed limit: their own texts stay, also mixed ones; other letters and key mashing go."""
+    docs = lang_table(spark)
+    model, noise = langid.fit(docs), random.Random(4)
+    own = [r.text for r in docs.where("text IS NOT NULL AND length(text) > 20").collect()]
+    mixed = [a[:100] + " " + b[:100] for a, b in zip(own, own[1:])]
+    assert sum(model.predict(t)[2] for t in own) <= 0.005 * len(own) and sum(model.predict(t)[2] for t in mixed) <= 0.01 * len(mixed)
+    other = ["".join(chr(noise.randint(0x430, 0x44F)) if noise.random() < 0.8 else " " for _ in range(120)) for _ in range(50)]
+    mashed = ["".join(noise.choice("qwjxvpyl ") for _ in range(120)) for _ in range(50)] + ["k" * 80, "e" * 500]
+    assert sum(model.predict(t)[2] for t in other + mashed) >= 0.95 * len(other + mashed)
+
+
+def test_prediction_against_the_plain_sum(spark):
+    """Whole texts, read in steps, against one mean over all runs."""
+    model = langid.fit(lang_table(spark))
+    for text in ("badoki schung mu", "Ba  Do-12 ei", "x" * 40, " ".join(["bado", "tzei"] * 300_000)):
+        points, runs = langid.codes(" " + text + " "), []
+        for n in (2, 3, 4):
+            runs += [langid.hashes(points[k:k + n])[-1] for k in range(len(points) - n + 1)] if len(points) < 1000 else []
+        if runs:
+            z = model.table[np.array(runs)].mean(axis=0, dtype=np.float64) + model.bias
+            p = np.exp(z / model.temperature) / np.exp(z / model.temperature).sum()
+            lang, score, rejected = model.predict(text)
+            assert abs(score - p[:-1].max()) < 1e-4 and lang == model.labels[int(p[:-1].argmax())] and rejected == bool(p[-1] > model.limit)
+        else:
+            z = model.table[langid.hashes(points)].mean(axis=0, dtype=np.float64) + model.bias
+            assert np.allclose(model.mean_scores(text), z, atol=1e-3)
+
+
 def test_language_without_labels(spark):
     docs = lang_table(spark).withColumn("lang", F.lit(None).cast("string"))
     model = langid.fit(docs)

@@ -17,14 +17,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from triagelake.llm.common import held_out, share_of, slices
+from triagelake.llm.common import held_out, slices
 
 UNKNOWN = "und"
 BUCKET_BITS, WIDTH = 16, 16
-#: Bounds of the training sample: languages, documents per language, excerpts per document and their letters.
-MAX_LANGS, DOCS_PER_LANG, EXCERPTS, EXCERPT_CHARS = 256, 1000, 2, 200
-#: A text is never rejected from this probability on, and of the rightly told excerpts at most this share is.
-SURE, LOSS = 0.4, 0.001
+#: Bounds of the training sample: documents in all (one of each language at least) and of each language,
+#: excerpts per document and their letters.
+DOCS, DOCS_PER_LANG, EXCERPTS, EXCERPT_CHARS = 8000, 1000, 2, 200
+#: Of the held-back excerpts of languages this share may be rejected, of the shuffled ones this share may pass.
+LOSS, PASS = 0.001, 0.01
+#: The label of shuffled excerpts.
+NOISE = "\0"
 #: Characters of one step over a long text.
 STEP = 1 << 20
 _LETTER = np.array([chr(c).isalpha() for c in range(0x3000)], bool)
@@ -62,10 +65,10 @@ class Model:
     table: np.ndarray  # scores of each bucket, one column per label
     bias: np.ndarray
     temperature: float = 1.0
-    limit: float = 0.0
+    limit: float = 1.0  # the last column is noise; from this probability of it on a text is rejected
 
     def mean_scores(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.labels)), 0
+        total, n = np.zeros(len(self.labels) + 1), 0
         padded = " " + text + " "
         for at in range(0, len(padded), STEP):
             runs = hashes(codes(padded[at:at + STEP + 3]))
@@ -78,8 +81,8 @@ class Model:
         if not self.labels or not has_letter(text):
             return UNKNOWN, 0.0, True
         p = softmax(self.mean_scores(text)[None] / self.temperature)[0]
-        best = int(p.argmax())
-        return self.labels[best], float(p[best]), bool(p[best] < self.limit)
+        best = int(p[:-1].argmax())
+        return self.labels[best], float(p[best]), bool(p[-1] > self.limit)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -87,6 +90,20 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def _shuffled(text: str, random: np.random.Generator) -> str:
+    """An excerpt that is no language: its characters in another order, some of them at random, one of them, or foreign letters."""
+    kind, own = random.integers(0, 5), list(text)
+    if kind < 2:
+        random.shuffle(own)
+    elif kind == 2:
+        own = random.choice(own, len(own)).tolist()
+    elif kind == 3:
+        own = [random.choice(own)] * len(own)
+    else:
+        own = [" " if c == " " else chr(random.integers(0x400, 0xD7A0)) for c in own]
+    return "".join(own)
+
+
 def _excerpts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Hashed runs of a few excerpts of each document, of differing lengths."""
     for ids, texts, langs in slices(batches):
@@ -95,12 +112,13 @@ def _excerpts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if not has_letter(text):
                 continue
             random = np.random.default_rng(abs(doc or 0))
-            for _ in range(EXCERPTS):
+            for number in range(EXCERPTS):
                 length = int(EXCERPT_CHARS * random.uniform(0.04, 1) ** 2) + 8
                 at = int(random.integers(0, max(1, len(text) - length)))
-                runs = hashes(codes(" " + text[at:at + length] + " "))
-                if len(runs):
-                    rows.append((doc, lang, runs.astype(np.int32).tolist()))
+                for label, own in ((lang, text[at:at + length]), (NOISE, _shuffled(text[at:at + length], random)))[:1 + (number == 0)]:
+                    runs = hashes(codes(" " + own + " "))
+                    if len(runs):
+                        rows.append((doc, label, runs.astype(np.int32).tolist()))
         if rows:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.list_(pa.int32())))], ["doc", "lang", "runs"])
@@ -111,28 +129,32 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Train on at most DOCS_PER_LANG documents (about, by a hash of the id) of each labelled language."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("doc").isNotNull() & ~held_out(F.col("doc")))
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
-    if not sizes:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
-    chosen = F.lit(False)
-    for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & share_of(F.col("doc"), DOCS_PER_LANG, n))
-    sample = rows.where(chosen).mapInArrow(_excerpts, "doc long, lang string, runs array<int>").orderBy("doc").toArrow()
-    labels = sorted(set(sample.column("lang").to_pylist()))
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    langs = sizes.count()
+    if not langs:
+        return Model([], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1))
+    # About so many of each language, by a hash of the id.
+    each = F.lit(max(1, min(DOCS_PER_LANG, DOCS // langs)))
+    chosen = F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(1 << 20)) < F.greatest(F.lit(1), each * (1 << 20) / F.col("n"))
+    sample = rows.join(sizes, "lang").where(chosen).select("doc", "text", "lang").mapInArrow(
+        _excerpts, "doc long, lang string, runs array<int>").orderBy("doc").toArrow()
+    told = np.array(sample.column("lang").to_pylist(), object)
+    labels = sorted(set(told) - {NOISE})
     if not labels:
-        return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
-    y = np.array([labels.index(v) for v in sample.column("lang").to_pylist()])
+        return Model([], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1))
+    number = {label: k for k, label in enumerate([*labels, NOISE])}
     runs = [np.array(r) for r in sample.column("runs").to_pylist()]
-    back = np.arange(len(runs)) % 5 == 4  # for calibration
-    return _train(labels, runs, y, back, epochs, rate)
+    doc = sample.column("doc").to_numpy()
+    back = np.unique(doc, return_inverse=True)[1] % 5 == 4  # for calibration
+    return _train(labels, runs, np.array([number[v] for v in told]), back, epochs, rate)
 
 
 def _train(labels: list[str], runs: list[np.ndarray], y: np.ndarray, back: np.ndarray, epochs: int, rate: float) -> Model:
     random = np.random.default_rng(7)
     embed = random.normal(0, 0.1, (1 << BUCKET_BITS, WIDTH))
-    layer, bias = random.normal(0, 0.1, (WIDTH, len(labels))), np.zeros(len(labels))
+    layer, bias = random.normal(0, 0.1, (WIDTH, len(labels) + 1)), np.zeros(len(labels) + 1)
     use, held = np.flatnonzero(~back), np.flatnonzero(back)
-    weight = len(y) / (len(labels) * np.maximum(1, np.bincount(y, minlength=len(labels))))
+    weight = len(y) / ((len(labels) + 1) * np.maximum(1, np.bincount(y, minlength=len(labels) + 1)))
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         random.shuffle(use)
@@ -158,12 +180,28 @@ def _train(labels: list[str], runs: list[np.ndarray], y: np.ndarray, back: np.nd
         picked = np.arange(len(held)), y[held]
         losses = {t: -np.log(softmax(z / t)[picked] + 1e-12).mean() for t in (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 3.0, 4.0)}
         model.temperature = min(losses, key=losses.get)
-        p = softmax(z / model.temperature)
-        right = p.max(axis=1)[p.argmax(axis=1) == y[held]]
-        model.limit = float(min(SURE, np.quantile(right, LOSS) if len(right) else 0.0))
+        model.limit = _limit(model, [runs[i] for i in held if y[i] < len(labels)], [runs[i] for i in held if y[i] == len(labels)])
     return model
 
 
+def _limit(model: Model, true: list[np.ndarray], noise: list[np.ndarray]) -> float:
+    """The probability of noise that parts held-back excerpts from shuffled ones; excerpts of two languages count as true."""
+    def chances(excerpts: list[np.ndarray]) -> np.ndarray:
+        z = np.stack([model.table[r].mean(axis=0) for r in excerpts]) + model.bias
+        return softmax(z / model.temperature)[:, -1]
+
+    if not true:
+        return 1.0
+    mixed = [np.concatenate([a, b]) for a, b in zip(true, true[len(true) // 2:] + true[:len(true) // 2])]
+    highest = float(np.quantile(chances(true + mixed), 1 - LOSS))
+    lowest = float(np.quantile(chances(noise), PASS)) if noise else 1.0
+    if lowest <= highest:
+        return highest
+    # Half way between the two in log-odds.
+    odds = [np.log(max(x, 1e-12) / max(1 - x, 1e-12)) for x in (highest, lowest)]
+    return float(1 / (1 + np.exp(-sum(odds) / 2)))
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, rejected of every row.
 
