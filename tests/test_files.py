@@ -1,8 +1,12 @@
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from triagelake.sources import files, sinks
+from triagelake.sources import csvlines, files, sinks
 from triagelake.sources.contracts import ContractError, output_row_errors
+from triagelake.sources.files import read_strict_csv
 
 HEADER = "message_id,user_id,conversation_type,group_id,business_id,sender_user_id,created_at,message_text,media_type,media_id,forwarded_count\n"
 
@@ -148,3 +152,81 @@ def test_resume_store_newest_row_wins(spark, tmp_path):
     planned = spark.createDataFrame([("a", "f1"), ("b", "f2")], "message_id string, fingerprint string")
     reused, left = sinks.split_resumable(planned, done)
     assert [r["message_id"] for r in reused.collect()] == ["a"] and [r["message_id"] for r in left.collect()] == ["b"]
+
+
+def _records_of(text):
+    """Records by a plain walk over all characters: (line of the first character, text)."""
+    out, start, line, now, quoted, field_start = [], 0, 0, "", False, True
+    k = 0
+    while k < len(text):
+        c = text[k]
+        if quoted:
+            now += c
+            line += c == "\n"
+            if c == '"':
+                if text[k + 1:k + 2] == '"':
+                    now, k = now + '"', k + 1
+                else:
+                    quoted = False
+        elif c == "\n":
+            out.append((start, now.removesuffix("\r")))
+            line, now, field_start = line + 1, "", True
+            start = line
+        else:
+            quoted = c == '"' and field_start
+            field_start = c == ","
+            now += c
+        k += 1
+    return [(s, r) for s, r in out + [(start, now.removesuffix("\r"))] if r]
+
+
+@pytest.mark.parametrize("size", [7, 40, 100_000])
+def test_records_are_the_same_however_ranges_are_cut(spark, tmp_path, size):
+    noise = random.Random(size)
+    texts = ["".join(noise.choice(['"', '"', ",", "\n", "\r\n", "a", "é b", '""', "x" * 9]) for _ in range(120)) + "z" for _ in range(6)]
+    texts += ['h1,h2\n"one\n\n\n\n\n\n\n\n\n\n\n\n\n\n\nlong field",2\n3,4\n\n5,"6"', '"head\ning",b\n1,2', "﻿a,b\n1,2\n", '"a","never closed\n1\n2']
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        for k, text in enumerate(texts):
+            path = tmp_path / f"{k}.csv"
+            path.write_bytes(text.encode())
+            found = csvlines.read_records(spark, str(path))
+            expected = _records_of(text.removeprefix("﻿"))
+            assert found.headings == [r for _, r in expected[:1]]
+            assert sorted(map(tuple, found.rows.collect())) == expected[1:]
+            if size == 7:
+                assert csvlines._lines(spark, str(path)).rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_one_file_is_read_by_many_tasks(spark, tmp_path):
+    rows = [(f"m{k}", f'text {k}\nwith, a "break"' if k % 3 else "plain") for k in range(5000)]
+    path = tmp_path / "big.csv"
+    with open(path, "w", newline="", encoding="utf-8") as out:
+        writer = csv.writer(out)
+        writer.writerows([("message_id", "text"), *rows])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        read = read_strict_csv(spark, str(path), ["message_id", "text"])
+        many = [tuple(r) for r in read.orderBy("position").collect()]
+        assert read.select(F.spark_partition_id().alias("p")).distinct().count() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r[:2] for r in many] == rows
+    assert many == [tuple(r) for r in read_strict_csv(spark, str(path), ["message_id", "text"]).orderBy("position").collect()]
+
+
+def test_folders_with_partition_names_and_equal_file_names(spark, tmp_path):
+    for day in (1, 2):
+        folder = tmp_path / f"day={day}"
+        folder.mkdir()
+        (folder / "part.csv").write_text(f'a,b\n{day},"x\ny"\n')
+    rows = read_strict_csv(spark, str(tmp_path), ["a", "b"]).orderBy("position").collect()
+    assert [tuple(r)[:2] for r in rows] == [("1", "x\ny"), ("2", "x\ny")]

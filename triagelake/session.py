@@ -33,7 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if current:
         return current
     if configured is None:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="triagelake-")
     spark.sparkContext.setCheckpointDir(configured)

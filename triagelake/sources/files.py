@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import posixpath
 
 from pyspark.errors import AnalysisException
@@ -12,6 +14,7 @@ from triagelake.config import OUTPUT_COLUMNS
 from triagelake.functions.vocab import ordered_evidence, parse_confidence, parse_evidence_set
 from triagelake.operators.similarity import number_in_order
 from triagelake.sources.contracts import ContractError, apply_schema, require_clean, require_unique
+from triagelake.sources.csvlines import read_records
 
 # Column -> (kind, required) of every source table.
 MESSAGE = {
@@ -81,58 +84,31 @@ def _names(cells: list, path: str, required: list[str]) -> list[str]:
     return names
 
 
-def _numbered(rows: DataFrame) -> DataFrame:
-    """``position`` by (file name, place in the file); Spark itself reads large files first.
-
-    A quoted record may hold line breaks, so a file is read by one task and its rows keep their order.
-    """
-    place = F.monotonically_increasing_id()
-    files = sorted(rows.inputFiles())
-    if len(files) < 2:
-        return rows.withColumn("position", place)
-    rank = rows.sparkSession.createDataFrame([(posixpath.basename(f), k) for k, f in enumerate(files)], "_name string, _rank long")
-    named = rows.select("*", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("_name"), place.alias("_place"))
-    in_part = F.lit((1 << 33) - 1).cast("long")
-    return named.join(F.broadcast(rank), "_name").withColumn(
-        "position", F.shiftleft("_rank", 33) + F.col("_place").bitwiseAND(in_part)).drop("_name", "_rank", "_place")
-
-
 def read_strict_csv(spark: SparkSession, path: str, required: list[str], faults: bool = False, one_header: bool = False) -> DataFrame:
     """Text columns under trimmed lower-case names, plus file order in ``position``.
 
-    Header errors raise here, also where the files of a folder differ in their headers; with
-    ``one_header`` the folder is one file in parts and only the first part has a header. A record with
-    too many cells raises when it is read, or is marked in ``_surplus`` if ``faults``; a short record
-    is padded with empty text.
+    Files of any size are read by many tasks, line breaks in quoted fields or not; the files of a folder,
+    of its subfolders too, are in order of their paths. Header errors raise here, also where the files
+    differ in their headers; with ``one_header`` the folder is one file in parts and only the first part
+    has a header. A record with too many cells raises when it is read, or is marked in ``_surplus`` if
+    ``faults``; a short record is padded with empty text.
     """
-    reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("encoding", "UTF-8")
-    plain = reader.option("header", False).csv(path)
-    parts = sorted(plain.inputFiles())
-    if len(parts) < 2 or one_header:
-        headers = [tuple(r) for r in reader.option("header", False).csv(parts[:1]).limit(1).collect()] if parts else []
-    else:
-        cells = F.struct(*plain.columns)
-        headers = [tuple(r["h"]) for r in plain.select(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("p"), cells.alias("c"))
-                   .groupBy("f").agg(F.min_by("c", "p").alias("h")).select("h").distinct().collect()]
-    if not headers:
+    found = read_records(spark, path, one_header)
+    if not found.headings:
         raise ContractError(f"no header: {path}")
-    read = [_names(list(h), path, required) for h in headers]
+    read = [_names(next(csv.reader(io.StringIO(h, newline=""))), path, required) for h in found.headings]
     if any(names != read[0] for names in read):
         raise ContractError(f"headers differ: {path}")
     names = read[0]
-    schema = StructType([StructField(n, StringType()) for n in names + ["_extra"]])
     # One spare column catches a surplus cell, which a record of the right width leaves null.
-    rows = _numbered(reader.option("header", not one_header).option("enforceSchema", True).option("nullValue", "\u0000").option(
-        "emptyValue", "").option("mode", "PERMISSIVE").schema(schema).csv(path))
-    if one_header:
-        # The heading row starts the first part; an equal row elsewhere is a record.
-        heading = rows.orderBy("position").limit(1).select("position").first()["position"]
-        rows = rows.where(F.col("position") != heading)
-    surplus, first = F.col("_extra").isNotNull(), F.col(names[0])
+    cells = [f"c{k}" for k in range(len(names) + 1)]
+    options = {"quote": '"', "escape": '"', "nullValue": "\u0000", "emptyValue": "", "mode": "PERMISSIVE"}
+    rows = found.rows.select("position", F.from_csv("record", ", ".join(f"{c} string" for c in cells), options).alias("r")).select("position", "r.*")
+    surplus, first = F.col(cells[-1]).isNotNull(), F.col(cells[0])
     if not faults:
         first = F.when(surplus, F.raise_error(F.lit(f"record with more cells than headers: {path}")).cast("string")).otherwise(first)
-    return rows.withColumn(names[0], first).select(
-        *[F.coalesce(n, F.lit("")).alias(n) for n in names], "position", *[surplus.alias("_surplus")] * faults)
+    values = [first, *map(F.col, cells[1:-1])]
+    return rows.select(*[F.coalesce(v, F.lit("")).alias(n) for v, n in zip(values, names)], "position", *[surplus.alias("_surplus")] * faults)
 
 
 def read_table(spark: SparkSession, path: str, name: str, quarantine: bool = False) -> DataFrame:

@@ -99,4 +99,4 @@ def cached_transcripts(media: DataFrame, cache: DataFrame) -> DataFrame:
 
 def first_rows(messages: DataFrame, limit: int | None) -> DataFrame:
     """The first rows in file order, by the position recorded at reading."""
-    return messages if limit is None else messages.filter(F.col("position") < limit)
+    return messages if limit is None else messages.orderBy("position").limit(limit)
