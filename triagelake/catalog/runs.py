@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from functools import reduce
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from triagelake.catalog.joins import DOSSIER_VIEWS, tables
+from triagelake.catalog import sqltext as q
+from triagelake.catalog.joins import BURST, DOSSIER_VIEWS, tables
 from triagelake.catalog.outcomes import ROUTED, ROUTER_VIEWS, RUN_SQL
 from triagelake.catalog.registry import Registry
 from triagelake.functions.vocab import parse_evidence_set
@@ -126,8 +128,7 @@ def prediction_files(load):
 @add("S14_first_rows", ("messages",), """ SELECT message_id, position FROM messages WHERE position < (SELECT min(position) + 700 FROM messages)""")
 def first_of_file(load):
     """The selection of the first rows in file order."""
-    start = load("messages").agg(F.min("position").alias("p")).first()["p"] or 0
-    return first_rows(load("messages"), start + 700).select("message_id", "position")
+    return first_rows(load("messages"), 700).select("message_id", "position")
 
 
 def _stream_of_messages(load):
@@ -165,3 +166,18 @@ def streamed_bursts(load):
     counts = live.burst_stream(_stream_of_messages(load), live.lateness(load("messages")))
     live.store_bursts(counts, out, _scratch(load, "state")).awaitTermination()
     return live.read_bursts(load.spark, out)
+
+
+@add("T02_exact_bursts", q.ENGAGED_VIEWS, q.ENGAGED + BURST + " SELECT * FROM burst")
+def exact_bursts(load):
+    """The exact trailing 24 hours of every message, from a stream of messages and history in files."""
+    t = tables(load)
+    kinds = [(t.messages, True), (t.history, False)]
+    rows = reduce(DataFrame.unionByName, [
+        live.burst_rows(df, asked).repartitionByRange(4, "created_at", "message_id") for df, asked in kinds])
+    path, store = _scratch(load, "rows"), _scratch(load, "exact")
+    rows.write.parquet(path)
+    stream = load.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(path)
+    live.store_exact_bursts(live.exact_bursts(stream, live.lateness(rows)), store, _scratch(load, "exact-state")).awaitTermination()
+    found = live.read_exact_bursts(load.spark, store)
+    return t.messages.select("message_id").join(found, "message_id", "left").fillna(0, ["sender_burst_24h"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -84,3 +86,68 @@ def burst_stream(messages: DataFrame, late: str = "1 hour", hours: int = C.BURST
         .agg(F.count("*").alias("n"))
         .select("user_id", "peer_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
     )
+
+
+def burst_rows(messages: DataFrame, asked: bool) -> DataFrame:
+    """What the exact count takes of messages (``asked``) or of history, which is counted."""
+    _, peer = resolve_peer(F.col("conversation_type"), F.col("business_id"), F.col("sender_user_id"))
+    return messages.select("message_id", "user_id", peer.alias("peer_id"), F.col("created_at").cast("timestamp").alias("created_at"),
+                           F.lit(asked).alias("asked")).where("peer_id IS NOT NULL")
+
+
+_TOLD = "message_id string, salt int, n long"
+_KEPT = "times array<long>, counts array<long>, ids array<string>, asked_at array<long>, told array<long>"
+
+
+def exact_bursts(rows: DataFrame, late: str, hours: int = C.BURST_WINDOW_HOURS, salts: int = 4) -> DataFrame:
+    """(message_id, salt, n): history of the same recipient and sender in the ``hours`` before each message.
+
+    ``rows`` is a stream of ``burst_rows``. A message is told its count when it arrives and again whenever an
+    earlier row that came later changes it, until the watermark has reached it; rows that the watermark
+    has reached are left out, as ``late`` says. The state of a key is a count per instant of the window and the
+    messages still open. History is dealt over ``salts`` keys, so a busy sender is held by as many
+    tasks; a message is asked in each, and its counts add up.
+    """
+    span = hours * 3_600_000_000
+
+    def update(key, batches, state):
+        times, counts, ids, asked_at, told = (np.array(v) for v in state.get) if state.exists else (np.zeros(0, np.int64),) * 5
+        if state.hasTimedOut:
+            state.remove()
+            return
+        floor = state.getCurrentWatermarkMs() * 1000
+        new = pd.concat(list(batches), ignore_index=True)
+        new["at"] = new["created_at"].astype("datetime64[us]").astype("int64")
+        new = new[new["at"] > floor]
+        facts = new.loc[~new["asked"], "at"].to_numpy()
+        times, where = np.unique(np.concatenate([times, facts]).astype(np.int64), return_inverse=True)
+        counts = np.bincount(where, np.concatenate([counts, np.ones(len(facts))]), len(times)).astype(np.int64)
+        open_ = new[new["asked"]]
+        ids = np.concatenate([np.asarray(ids, object), open_["message_id"].to_numpy(object)])
+        asked_at = np.concatenate([asked_at, open_["at"].to_numpy()]).astype(np.int64)
+        told = np.concatenate([told, np.full(len(open_), -1)]).astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(counts)])
+        n = before[np.searchsorted(times, asked_at)] - before[np.searchsorted(times, asked_at - span)]
+        changed = n != told
+        yield pd.DataFrame({"message_id": ids[changed], "salt": np.full(int(changed.sum()), key[2], np.int32), "n": n[changed]})
+        # What lies behind the watermark changes no more; what no open or coming message counts can go.
+        stays, recent = asked_at > floor, times > floor - span
+        state.update((times[recent].tolist(), counts[recent].tolist(), ids[stays].tolist(), asked_at[stays].tolist(), n[stays].tolist()))
+        newest = max([int(x[-1]) for x in (times[recent], np.sort(asked_at[stays])) if len(x)], default=floor)
+        state.setTimeoutTimestamp(max(newest + span, floor) // 1000 + 1)
+
+    spread = F.when(F.col("asked"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+        F.array(F.pmod(F.xxhash64("message_id"), F.lit(salts)).cast("int")))
+    return (rows.withWatermark("created_at", late).withColumn("salt", F.explode(spread))
+            .groupBy("user_id", "peer_id", "salt")
+            .applyInPandasWithState(update, _TOLD, _KEPT, "update", "EventTimeTimeout"))
+
+
+def store_exact_bursts(counts: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    return _into_batches(counts, store, checkpoint, "update")
+
+
+def read_exact_bursts(spark: SparkSession, store: str) -> DataFrame:
+    """The newest count of every message, over all salts."""
+    newest = spark.read.parquet(store).groupBy("message_id", "salt").agg(F.max_by("n", "batch").alias("n"))
+    return newest.groupBy("message_id").agg(F.sum("n").alias("sender_burst_24h"))
