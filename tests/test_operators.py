@@ -187,3 +187,32 @@ def test_nearest_rank(spark):
         for share in (0.05, 0.5, 0.95, 1.0):
             expected = next((v for k, v in enumerate(held, 1) if k >= share * len(held) - 1e-9), None)
             assert nearest_rank(rows, "v", share).collect()[0]["value"] == expected
+
+
+def test_crowded_slices_are_cut_again(spark):
+    """A key whose rows crowd one hour, one minute and one instant, against brute force, and spread over tasks."""
+    noise = random.Random(11)
+    hour = 7 * 3_600_000_000
+    at = lambda: noise.choice([noise.randint(0, 10 * 3_600_000_000), hour + noise.randint(0, 59_000_000), hour + noise.randint(0, 900), hour + 5])
+    events = [("hot" if k % 4 else f"k{k % 3}", at(), k % 5) for k in range(3000)]
+    asks = [(k, "hot" if k % 3 else f"k{k % 4}", at()) for k in range(600)]
+    e = spark.createDataFrame(events, "k string, at_us long, n long")
+    q = spark.createDataFrame(asks, "id long, k string, at_us long")
+    expected = {i: sum(n for x, t, n in events if x == k and t < at_) for i, k, at_ in asks}
+    for rows in (10_000, 100, 10):
+        found = totals_before(q, e, ["k"], ["n"], slice_rows=rows)
+        assert {r["id"]: r["n"] for r in found.collect()} == expected
+        assert found.columns == ["k", "at_us", "id", "n"]
+
+
+def test_medians_take_counts_they_are_given(spark):
+    noise = random.Random(5)
+    events = [(f"k{k % 3}", noise.randint(0, 50), noise.choice([None, 1.0, 2.5, 7.0])) for k in range(200)]
+    asks = [(k, f"k{k % 4}", noise.randint(0, 60)) for k in range(80)]
+    e = spark.createDataFrame(events, "k string, at_us long, v double")
+    q = spark.createDataFrame(asks, "id long, k string, at_us long")
+    counted = totals_before(q, e.withColumn("reacted", F.col("v").isNotNull().cast("long")), ["k"], ["reacted"])
+    for rows in (2048, 4):
+        found = median_before(counted, e, ["k"], "v", window_rows=rows, counted="reacted")
+        seen = {i: [v for x, t, v in events if x == k and t < at and v is not None] for i, k, at in asks}
+        assert {r["id"]: (r["median"], r["reacted"]) for r in found.collect()} == {i: (median(v) if v else None, len(v)) for i, v in seen.items()}

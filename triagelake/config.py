@@ -87,6 +87,8 @@ class Scale:
     pair_block_rows: int = 1024
     # Seconds per time slice of a two-level running total.
     slice_seconds: int = 3600
+    # Rows of one key in a slice above which the slice is cut again.
+    slice_rows: int = 200_000
     # Groups above this many rows leave the windowed median for the value descent.
     median_window_rows: int = 2048
     # Members of one similarity bucket compared in one cell.

@@ -53,20 +53,19 @@ def engagement_before(
     )
     measures = ["n", "n_reacted", *FLAGS]
     totals = totals_before(known, facts, keys, measures, **scale)
+    if medians:
+        # The number of reactions is among the totals, so the medians need no count of their own.
+        totals = median_before(totals, facts, keys, "reaction_time_minutes", counted="n_reacted")
     result = totals.select(
         "message_id", F.col("n").alias(f"{prefix}n"), F.col("n_reacted").alias(f"{prefix}n_reacted"),
         *[rate(F.col(f), F.col("n")).alias(f"{prefix}{r}") for r, f in RATES.items()],
+        *[F.col("median").alias(f"{prefix}median_reaction_minutes")] * medians,
     )
-    if medians:
-        middle = median_before(known, facts, keys, "reaction_time_minutes")
-        result = result.join(
-            middle.select("message_id", F.col("median").alias(f"{prefix}median_reaction_minutes")), "message_id", "left"
-        )
     out = asked.select("message_id").join(result, "message_id", "left")
     return out.fillna(0, [f"{prefix}n", f"{prefix}n_reacted"])
 
 
-def sender_burst(messages: DataFrame, history: DataFrame, hours: int = C.BURST_WINDOW_HOURS) -> DataFrame:
+def sender_burst(messages: DataFrame, history: DataFrame, hours: int = C.BURST_WINDOW_HOURS, **scale) -> DataFrame:
     """Messages the recipient got from the same sender in the trailing window.
 
     Two running totals, at the message and at the start of its window; their difference
@@ -83,7 +82,7 @@ def sender_burst(messages: DataFrame, history: DataFrame, hours: int = C.BURST_W
     ).select("message_id", "user_id", "peer_id", "edge.sign", "edge.at_us")
     facts = history.filter(F.col("peer_id").isNotNull()).select("user_id", "peer_id", "at_us", F.lit(1).alias("n"))
     counts = (
-        totals_before(edges, facts, ["user_id", "peer_id"], ["n"])
+        totals_before(edges, facts, ["user_id", "peer_id"], ["n"], **scale)
         .groupBy("message_id").agg(F.sum(F.col("sign") * F.col("n")).alias("sender_burst_24h"))
     )
     return asked.select("message_id").join(counts, "message_id", "left").fillna(0, ["sender_burst_24h"])

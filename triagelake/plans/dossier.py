@@ -12,6 +12,7 @@ from triagelake.functions.text import casefold, normalise_text, python_strip, ur
 from triagelake.operators import context as X, engagement as E
 from triagelake.operators.brand import brand_integrity
 from triagelake.operators.retrieval import rank_history
+from triagelake.operators.running import may_be_crowded
 from triagelake.sources import driver_views
 from triagelake.sources.files import media_manifest, read_table
 
@@ -81,10 +82,10 @@ def enriched_history(t: Tables) -> DataFrame:
     return E.with_events(E.prepare(t.history), t.message_events)
 
 
-def relationship(messages: DataFrame, history: DataFrame, medians: bool = True) -> DataFrame:
+def relationship(messages: DataFrame, history: DataFrame, medians: bool = True, crowded: bool | None = None) -> DataFrame:
     """Engagement with the sender, for this recipient and for everyone."""
-    peer = E.engagement_before(messages, history, ["user_id", "peer_id"], "peer_", medians)
-    overall = E.engagement_before(messages, history, ["peer_id"], "global_", medians)
+    peer = E.engagement_before(messages, history, ["user_id", "peer_id"], "peer_", medians, crowded=crowded)
+    overall = E.engagement_before(messages, history, ["peer_id"], "global_", medians, crowded=crowded)
     return peer.join(overall, "message_id").withColumns({
         "evidence_state": E.evidence_state(F.col("peer_n"), F.col("global_n")),
         "peer_basis_note": E.peer_basis_note(F.col("peer_n")),
@@ -106,7 +107,9 @@ def build_dossier(t: Tables, thresholds: Thresholds = DEFAULTS, medians: bool =
     row = sender_identity(row, t.business_accounts, thresholds)
     row = X.with_timing(X.with_baseline(row, X.user_baseline(t.users, E.daily_totals(t.daily_summary))))
 
-    sections = [relationship(narrow, history, medians), E.sender_burst(narrow, history)]
+    # One count for all running totals: a crowded slice of any finer key is one of its sender.
+    crowded = may_be_crowded(narrow.select("peer_id", "at_us").unionByName(E.prepare(t.history).select("peer_id", "at_us")), "peer_id")
+    sections = [relationship(narrow, history, medians, crowded), E.sender_burst(narrow, history, crowded=crowded)]
     if lists:
         sections.append(rank_history(messages, history))
     group = X.group_context(t.messages, t.groups, t.group_members)
