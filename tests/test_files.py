@@ -230,3 +230,47 @@ def test_folders_with_partition_names_and_equal_file_names(spark, tmp_path):
         (folder / "part.csv").write_text(f'a,b\n{day},"x\ny"\n')
     rows = read_strict_csv(spark, str(tmp_path), ["a", "b"]).orderBy("position").collect()
     assert [tuple(r)[:2] for r in rows] == [("1", "x\ny"), ("2", "x\ny")]
+
+
+def test_store_stays_small_over_many_batches(spark, tmp_path):
+    path, expected = str(tmp_path / "store"), {}
+    for batch in range(1, 21):
+        rows = [(f"m{k:03}", f"f{batch}", f"{batch}") for k in range(batch % 5, 60, 1 + batch % 4)]
+        expected |= {m: (f, r) for m, f, r in rows}
+        sinks.append_completed(spark.createDataFrame(rows, "message_id string, fingerprint string, row string").coalesce(1), path, batch, compact_every=4)
+        if batch in (3, 4, 5, 20):
+            assert {r.message_id: (r.fingerprint, r.row) for r in sinks.read_completed(spark, path).collect()} == expected
+    stored = sinks._stored(spark, path)
+    assert stored.count() <= 60 + 3 * 60
+    # Of one id only the files whose range holds it are read: ids lie sorted in the compacted part.
+    base = spark.read.parquet(f"{path}/_compacted/upto={sinks._compacted(spark, path)}")
+    spans = base.groupBy(F.input_file_name()).agg(F.min("message_id").alias("lo"), F.max("message_id").alias("hi")).orderBy("lo").collect()
+    assert all(a.hi < b.lo for a, b in zip(spans, spans[1:]))
+
+
+def test_torn_compaction_does_not_count(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = lambda mark: spark.createDataFrame([("a", "f", mark), ("b", "f", mark)], "message_id string, fingerprint string, row string")
+    for batch in (1, 2):
+        sinks.append_completed(rows(str(batch)), path, batch)
+    torn = tmp_path / "store" / "_compacted" / "upto=2"
+    torn.mkdir(parents=True)
+    (torn / "part-0.parquet").write_bytes(b"torn")
+    assert {r.row for r in sinks.read_completed(spark, path).collect()} == {"2"}
+    sinks.compact_completed(spark, path)
+    sinks.append_completed(rows("3"), path, 3)
+    assert {r.row for r in sinks.read_completed(spark, path).collect()} == {"3"} and sinks._stored(spark, path).count() == 4
+
+
+def test_failed_output_leaves_the_old_file(spark, tmp_path):
+    path = str(tmp_path / "traces")
+    good = spark.createDataFrame([("m1",)], "message_id string").select(
+        "message_id", F.lit("mute").alias("action"), F.lit("spam").alias("message_type"), F.lit("x").alias("reason"), F.lit(0.5).alias("confidence"),
+        F.array().cast("array<string>").alias("evidence_ids"), F.array().cast("array<string>").alias("rules_fired"), F.struct(F.lit(1).alias("n")).alias("gate_trace"))
+    sinks.write_traces(good, path, "p1")
+    bad = good.withColumn("action", F.raise_error(F.lit("broken row")).cast("string"))
+    with pytest.raises(Exception, match="broken row"):
+        sinks.write_traces(bad, path, "p2")
+    assert [r.prompt_version for r in spark.read.json(path).collect()] == ["p1"] and [p.name for p in tmp_path.iterdir()] == ["traces"]
+    sinks.write_traces(good, path, "p3")
+    assert [r.prompt_version for r in spark.read.json(path).collect()] == ["p3"] and [p.name for p in tmp_path.iterdir()] == ["traces"]

@@ -8,6 +8,7 @@ from triagelake import config as C
 from triagelake.operators.context import latest_per_key
 from triagelake.session import cut_lineage
 from triagelake.sources.contracts import ContractError
+from triagelake.sources.folders import children, exists, remove, write_whole
 
 
 def contract_rows(final: DataFrame) -> DataFrame:
@@ -44,30 +45,84 @@ def write_contract_csv(final: DataFrame, template: DataFrame, path: str) -> None
     if wrong:
         raise ContractError(f"output: {[tuple(r) for r in wrong]}")
     heading = final.sparkSession.range(1).select(*[F.lit(c).alias(c) for c in text.columns], F.lit(-1).cast("long").alias("position"))
-    heading.unionByName(rows.drop("fault")).orderBy("position").drop("position").write.mode("overwrite").option(
-        "quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
+    ordered = heading.unionByName(rows.drop("fault")).orderBy("position").drop("position")
+    write_whole(final.sparkSession, path, lambda fresh: ordered.write.option("quote", '"').option("escape", '"').option("emptyValue", "").csv(fresh))
 
 
 def write_traces(final: DataFrame, path: str, prompt_version: str) -> None:
-    """One JSON record per row with the decision, its origin and the gate's trace."""
+    """One JSON record per row with the decision, its origin and the gate's trace; the old file goes last."""
     extra = [c for c in ("outcome", "failure_reason", "rejected_reason", "fingerprint") if c in final.columns]
     trace = final.select(
         "message_id", F.lit(prompt_version).alias("prompt_version"), *extra,
         F.col("rules_fired").alias("gate_rules_fired"), "gate_trace",
         F.struct("action", "message_type", "reason", "confidence", "evidence_ids").alias("row"))
-    trace.write.mode("overwrite").json(path)
+    write_whole(final.sparkSession, path, lambda fresh: trace.write.json(fresh))
 
 
 # --- Resume store -------------------------------------------------------------------------
 
-def append_completed(rows: DataFrame, path: str, batch: int) -> None:
-    """Append finished rows; each batch has its own number, newest wins on reading."""
+#: Batches after which the store is compacted.
+COMPACT_EVERY = 8
+
+
+def append_completed(rows: DataFrame, path: str, batch: int, compact_every: int = COMPACT_EVERY) -> None:
+    """Append finished rows; each batch has its own number, newest wins on reading.
+
+    When ``compact_every`` batches have gathered since the last time, the store is compacted.
+    """
     rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("append").partitionBy("batch").parquet(path)
+    if len(_batches(rows.sparkSession, path, _compacted(rows.sparkSession, path))) >= compact_every:
+        compact_completed(rows.sparkSession, path)
+
+
+def _compacted(spark: SparkSession, path: str) -> int | None:
+    """The batch up to which the newest whole compaction goes. A torn one has no success mark and does not count."""
+    done = [name for name in children(spark, f"{path}/_compacted") if exists(spark, f"{path}/_compacted/{name}/_SUCCESS")]
+    return max((int(name.removeprefix("upto=")) for name in done), default=None)
+
+
+def _batches(spark: SparkSession, path: str, after: int | None) -> list[int]:
+    numbers = [int(name.removeprefix("batch=")) for name in children(spark, path) if name.startswith("batch=")]
+    return sorted(n for n in numbers if after is None or n > after)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    """The newest compaction and the batches after it."""
+    upto = _compacted(spark, path)
+    later = _batches(spark, path, upto)
+    if upto is None:
+        return spark.read.parquet(path)
+    base = spark.read.parquet(f"{path}/_compacted/upto={upto}")
+    if not later:
+        return base
+    rows = spark.read.option("basePath", path).parquet(*[f"{path}/batch={n}" for n in later])
+    return base.unionByName(rows.withColumn("batch", F.col("batch").cast("long")), allowMissingColumns=True)
+
+
+def compact_completed(spark: SparkSession, path: str) -> None:
+    """Rewrite the store as the newest row of each message, in ranges of ids.
+
+    The new folder counts once Spark has marked it complete. The batches it holds stay until the next
+    compaction, for readers that have listed them already; a torn folder is written again.
+    """
+    before = _compacted(spark, path)
+    batches = _batches(spark, path, before)
+    if not batches:
+        return
+    rows = latest_per_key(_stored(spark, path), "message_id", "batch")
+    rows.repartitionByRange("message_id").sortWithinPartitions("message_id").write.mode("overwrite").parquet(f"{path}/_compacted/upto={batches[-1]}")
+    if before is not None:
+        for number in _batches(spark, path, None):
+            if number <= before:
+                remove(spark, f"{path}/batch={number}")
+        for name in children(spark, f"{path}/_compacted"):
+            if int(name.removeprefix("upto=")) < before:
+                remove(spark, f"{path}/_compacted/{name}")
 
 
 def read_completed(spark: SparkSession, path: str) -> DataFrame:
-    """Newest finished row per message."""
-    return latest_per_key(spark.read.parquet(path), "message_id", "batch")
+    """Newest finished row per message; at most the compacted rows and the few batches after them are read."""
+    return latest_per_key(_stored(spark, path), "message_id", "batch")
 
 
 def split_resumable(planned: DataFrame, completed: DataFrame) -> tuple[DataFrame, DataFrame]:
