@@ -139,3 +139,20 @@ def test_field_parsers(spark):
     assert values(spark, V.parse_evidence_strict, ["none", "a;b", "a;;b", "a; b", "none;a"]) == [[], ["a", "b"], None, None, None]
     assert values(spark, V.parse_evidence_set, [" none ", "b; a;b", "a;", ""]) == [[], ["a", "b"], None, None]
     assert values(spark, V.ordered_evidence, ["b; a;;b", None, "none"]) == [["b", "a", "b"], [], []]
+
+
+def test_located_against_a_plain_search(spark):
+    import re
+    import time
+
+    from triagelake.functions.text import located
+
+    texts = ["abcXdefXXg", "", "none", "X", None, "😀😀Xé😀X", "XX" * 30, "no otp " * 8000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    start = time.time()
+    for pattern, back in (("X", 3), ("otp|X+", 12)):
+        got = {r.t: r.l for r in rows.select("t", located(F.col("t"), pattern, back).alias("l")).collect()}
+        for t in texts:
+            expected = None if t is None else [(m.group(), t[max(0, m.start() - back):m.start()]) for m in re.finditer(pattern, t)]
+            assert (got[t] if t is None else [tuple(x) for x in got[t]]) == expected
+    assert time.time() - start < 40
