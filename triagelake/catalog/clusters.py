@@ -138,6 +138,14 @@ def evaluation_verdicts(load):
     return clean.withColumn("kind", F.lit("clean")).unionByName(broken.withColumn("kind", F.lit("broken")))
 
 
+@add("X04_feature_map", ("messages",), " SELECT message_id, " + " || ';' || ".join(
+    f"'{c}={{' || coalesce('\"v\":' || " + (c if c == "forwarded_count" else f"'\"' || {c} || '\"'") + ", '') || '}'" for c in sorted(_SIMPLE)) + " AS features FROM messages")
+def feature_map(load):
+    """Features of every message by name, a missing value as an empty record."""
+    entries = F.array_sort(F.map_entries(V.feature_map(list(_SIMPLE))))
+    return load("messages").select("message_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("features"))
+
+
 @add("X04_flat_features")
 def flat_features(load):
     """Explaining features of every message as name and value."""

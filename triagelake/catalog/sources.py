@@ -170,3 +170,13 @@ def transcript_cache(load):
 def file_order(load):
     ranked = X.ordered_by(sinks.first_rows(load("messages"), None), ["user_id"], ["position"])
     return ranked.select("message_id", "position", F.col("row_rank").alias("row_in_user"))
+
+
+@add("W07_newest_and_first", ("store_log",), """ SELECT message_id, arg_max(fingerprint, seq) AS newest, max(seq) AS newest_seq,
+  arg_min(fingerprint, seq) AS first, min(seq) AS first_seq FROM store_log GROUP BY 1""")
+def newest_and_first(load):
+    """The newest and the first record of every key of an append-only log."""
+    log = load("store_log").select("message_id", "fingerprint", "seq")
+    newest = X.latest_per_key(log, "message_id", "seq").select("message_id", F.col("fingerprint").alias("newest"), F.col("seq").alias("newest_seq"))
+    first = sinks.first_result(log, "message_id", "seq", F.lit(True)).select("message_id", F.col("fingerprint").alias("first"), F.col("seq").alias("first_seq"))
+    return newest.join(first, "message_id")

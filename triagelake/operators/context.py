@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from triagelake.functions.scores import rate
 from triagelake.functions.timewin import dnd_columns, whole_days_between
+from triagelake.session import cut_lineage
 
 
 def first_per_key(df: DataFrame, key: str, position: str = "position") -> DataFrame:
@@ -100,5 +101,16 @@ def latest_per_key(df: DataFrame, key: str, sequence: str) -> DataFrame:
 
 
 def ordered_by(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Rank rows inside each key; used where file order or time order must be explicit."""
-    return df.withColumn("row_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """Rank rows inside each key; used where file order or time order must be explicit.
+
+    Rows are sorted over the whole table, so a key with very many rows lies in several parts: a rank is
+    the place in a part and the rows of the key in the parts before it.
+    """
+    key = F.struct(*keys)
+    placed = cut_lineage(df.repartitionByRange(*keys, *order).withColumns({"_part": F.spark_partition_id(), "_key": key}))
+    in_part = Window.partitionBy("_key", "_part").orderBy(*order)
+    earlier = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = placed.groupBy("_key", "_part").agg(F.count("*").alias("_n")).select(
+        "_key", "_part", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("row_rank", F.row_number().over(in_part)).join(before, ["_key", "_part"])
+    return ranked.withColumn("row_rank", (F.col("row_rank") + F.col("_before")).cast("int")).drop("_part", "_key", "_before")

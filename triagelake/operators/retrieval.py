@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from triagelake import config as C
 from triagelake.functions.text import normalise_text
@@ -184,13 +184,18 @@ def rank_history(
         "conversation_type", "peer_id", "text_excerpt", *FLAG_NAMES,
     )
 
-    def top(kind: str, k: int):
-        listed = F.collect_list(F.when(F.col("kind") == kind, entry))
-        return F.slice(F.array_sort(listed), 1, max(k, 1)) if k > 0 else F.slice(listed, 1, 0)
+    # The winners of all cells meet in one sorted stream per message, of which the first k go on: no list
+    # is longer than k, however many cells a recipient has.
+    in_kind = Window.partitionBy("message_id", "kind").orderBy(F.desc("rank_value"), F.desc("history_at_us"), "history_message_id")
+    wanted = F.when(F.col("kind") == "evidence", k_evidence).when(F.col("kind") == "near", k_near)
+    merging = ranked.repartition("message_id").withColumn("_place", F.row_number().over(in_kind)).filter((F.col("kind") == "summary") | (F.col("_place") <= wanted))
 
-    merged = ranked.groupBy("message_id").agg(
+    def top(kind: str):
+        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
+
+    merged = merging.groupBy("message_id").agg(
         F.max("max_jaccard").alias("max_jaccard"), F.sum("n_duplicates").alias("duplicate_count"),
-        top("evidence", k_evidence).alias("evidence"), top("near", k_near).alias("near_duplicates"),
+        top("evidence").alias("evidence"), top("near").alias("near_duplicates"),
     )
     out = messages.select("message_id").join(merged, "message_id", "left")
     empty = F.array().cast(out.schema["evidence"].dataType)

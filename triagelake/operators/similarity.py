@@ -119,7 +119,8 @@ def representative_links(reps: DataFrame, threshold: float, block_rows: int) ->
     """
     buckets, sketches = _buckets(reps, threshold), cut_lineage(_sketches(reps))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("_size"), F.max("own").alias("_any_own"))
-    rows = spread(buckets.join(shared.filter("_size > 1 AND _any_own").select("bucket"), "bucket"), "bucket")
+    # Seats of a crowded bucket lie in many parts; its hub is sent to each of them.
+    rows = spread(buckets.join(shared.filter("_size > 1 AND _any_own").select("bucket"), "bucket"), "bucket", "id")
     rows = cut_lineage(rows.withColumns({"explained": F.lit(0), "distance": F.lit(None).cast("double")}))
     rows, star = _hub_round(rows, sketches, reps, threshold, 1, 1)
     links = [star]
