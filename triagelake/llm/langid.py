@@ -129,14 +129,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Train on at most DOCS_PER_LANG documents (about, by a hash of the id) of each labelled language."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where(
         F.col("lang").isNotNull() & F.col("doc").isNotNull() & ~held_out(F.col("doc")))
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    langs = sizes.count()
-    if not langs:
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
         return Model([], np.zeros((1 << BUCKET_BITS, 1), np.float32), np.zeros(1))
-    # About so many of each language, by a hash of the id.
-    each = F.lit(max(1, min(DOCS_PER_LANG, DOCS // langs)))
-    chosen = F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(1 << 20)) < F.greatest(F.lit(1), each * (1 << 20) / F.col("n"))
-    sample = rows.join(sizes, "lang").where(chosen).select("doc", "text", "lang").mapInArrow(
+    # About so many of each language, by a hash of the id; one number for each language, no join.
+    each = max(1, min(DOCS_PER_LANG, DOCS // len(sizes)))
+    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, max(1, (each << 20) // n))])
+    chosen = F.pmod(F.xxhash64("doc", F.lit("sample")), F.lit(1 << 20)) < F.element_at(share, F.col("lang"))
+    sample = rows.where(chosen).select("doc", "text", "lang").mapInArrow(
         _excerpts, "doc long, lang string, runs array<int>").orderBy("doc").toArrow()
     told = np.array(sample.column("lang").to_pylist(), object)
     labels = sorted(set(told) - {NOISE})
