@@ -34,15 +34,15 @@ class Encoder:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(path)
+        self.path, self.loaded = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         letters, special = _byte_letters(), {t["content"] for t in spec["added_tokens"]}
-        self.words = spec["model"].get("end_of_word_suffix") == WORD_END
+        self.words, vocabulary = spec["model"].get("end_of_word_suffix") == WORD_END, spec["model"]["vocab"]
+        del spec
         ranks = {}
-        for token, number in spec["model"]["vocab"].items():
+        for token, number in vocabulary.items():
             if token not in special:
                 last = self.words and token.endswith(WORD_END) and token != WORD_END
                 raw = bytes(letters[c] for c in (token[:-len(WORD_END)] if last else token))
@@ -60,7 +60,15 @@ class Encoder:
                 return self.merges.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
             except ValueError:  # very long white space is more than tiktoken's pattern takes
                 pass
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return np.array(self.whole().encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def whole(self):
+        """The tokenizer itself, loaded when a text needs it."""
+        if self.loaded is None:
+            from tokenizers import Tokenizer
+
+            self.loaded = Tokenizer.from_file(self.path)
+        return self.loaded
 
 
 class _Known(dict):
