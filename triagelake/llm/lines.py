@@ -30,6 +30,8 @@ BROADCAST_ROWS = 1_000_000
 BITS, PROBES, SENT_BITS = 24, 2, 1 << 28
 #: Bits of a segment, in which tasks hand on their filters.
 SEGMENT = 1 << 16
+#: Places that a task gathers before it sorts them in.
+HELD = 1 << 20
 _WS = SPACE.encode()
 
 
@@ -62,16 +64,29 @@ def _places(hashes: np.ndarray, bits: int) -> np.ndarray:
 def _own_filters(bits: int):
     """Of a task's documents, the places seen once and those seen twice, by segment."""
     def build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        # Sorted places; what a task holds follows its own lines, not the size of the filter.
+        once, twice, waiting, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+
+        def merge() -> None:
+            nonlocal once, twice, held
+            place, count = np.unique(np.concatenate([once, *waiting]), return_counts=True)
+            once, twice = place, np.union1d(twice, place[count > 1])
+            waiting.clear()
+            held = 0
+
         for ids, texts in slices(batches, 1024):
-            own = [np.array(list({xxhash.xxh3_64_intdigest(key) for _, key in line_keys(text)}), np.uint64)
-                   for doc, text in zip(ids, texts) if doc is not None]
-            hashes = np.concatenate([*own, np.zeros(0, np.uint64)])
-            place, count = np.unique(_places(hashes, bits), return_counts=True)
-            twice[place[(count > 1) | once[place]]] = True
-            once[place] = True
-        rows = [(at // SEGMENT, *(np.flatnonzero(f[at:at + SEGMENT]).astype("<u2").tobytes() for f in (once, twice)))
-                for at in range(0, bits, SEGMENT) if once[at:at + SEGMENT].any()]
+            for doc, text in zip(ids, texts):
+                if doc is not None:
+                    own = np.array(list({xxhash.xxh3_64_intdigest(key) for _, key in line_keys(text)}), np.uint64)
+                    waiting.append(_places(own, bits).reshape(-1))
+                    held += PROBES * len(own)
+            if held > HELD:
+                merge()
+        merge()
+        bounds = np.arange(0, bits + SEGMENT, SEGMENT)
+        first, second = np.searchsorted(once, bounds), np.searchsorted(twice, bounds)
+        rows = [(k, (once[first[k]:first[k + 1]] - bounds[k]).astype("<u2").tobytes(), (twice[second[k]:second[k + 1]] - bounds[k]).astype("<u2").tobytes())
+                for k in np.flatnonzero(np.diff(first)).tolist()]
         for at in range(0, len(rows), 64):
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at:at + 64]), (pa.int64(), pa.binary(), pa.binary()))],
                                              ["segment", "once", "twice"])
