@@ -96,10 +96,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _spans_sql(kinds: list[tuple[str, str, str]], base: int, extra: str = "") -> str:
-    """Spans of (name, pattern, test of a match m with the text before it) by splitting at the matches."""
+    """Spans of (name, pattern, test of a match m from s to e in the text t) by splitting at the matches."""
     parts = " UNION ALL ".join(
-        f"SELECT doc_id, {n} AS k, '{name}' AS kind, s, e FROM (SELECT doc_id, m, before, e - length(m) AS s, e FROM (SELECT doc_id, m, before, "
-        f"sum(length(before) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, "
+        f"SELECT doc_id, {n} AS k, '{name}' AS kind, s, e FROM (SELECT doc_id, t, m, e - length(m) AS s, e FROM (SELECT doc_id, t, m, "
+        f"sum(length(before) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (SELECT doc_id, t, "
         f"unnest(regexp_extract_all(t, '{p}')) AS m, unnest(string_split_regex(t, '{p}')[:-2]) AS before, "
         f"generate_subscripts(regexp_extract_all(t, '{p}'), 1) AS i FROM d))) WHERE {test}"
         for n, (name, p, test) in enumerate(kinds))
@@ -144,7 +144,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ("iban", r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,}", "length(m) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform(string_split(m[5:] || m[:4], ''), "
      "lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97) = 1"),
     ("ssn", r"[0-9]+(?:-[0-9]+)+", "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(m, '^(000|666|9)|-00-|0000$') "
-     "AND regexp_matches(lower(right(before, 48)), 'ssn|social|security')"),
+     "AND regexp_matches(lower(substr(t, CAST(greatest(s - 48, 0) + 1 AS BIGINT), CAST(least(s, 48) AS BIGINT)) || chr(10) || "
+     "substr(t, CAST(e + 1 AS BIGINT), 48)), 'ssn|social|security')"),
 ], 4))
 def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document."""

@@ -14,9 +14,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from triagelake.llm.common import saved, slices
 
@@ -112,6 +114,17 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min
     return grouped.mapInArrow(merge, "doc long, cuts array<struct<start:long,end:long>>, first_docs array<long>")
 
 
+@F.pandas_udf(StringType())
+def _left(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+    """Texts without the stretches between starts and ends, in one sweep."""
+    out = []
+    for text, first, last in zip(texts, starts, ends):
+        if text is not None and first is not None:
+            text = "".join(text[a:b] for a, b in zip([0, *last], [*first, len(text)]))
+        out.append(text)
+    return pd.Series(out, dtype=object)
+
+
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of ``docs``, covered sentences cut out of the text; ``n_cut`` characters went.
 
@@ -119,13 +132,10 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     their text. An empty table gives an empty table. A column named ``n_cut`` is replaced.
     """
     cuts = covered(docs, id_col, text_col, min_words).select(F.col("doc").alias("__llm_doc"), F.col("cuts").alias("__llm_cuts"))
-    text, n = F.col(text_col), F.size("__llm_cuts")
-    ends = F.concat(F.array(F.lit(0).cast("long")), F.transform("__llm_cuts", lambda c: c["end"]))
-    starts = F.concat(F.transform("__llm_cuts", lambda c: c["start"]), F.array(F.length(text).cast("long")))
-    left = F.array_join(F.transform(F.sequence(F.lit(1), n + 1), lambda k: F.substr(
-        text, (F.element_at(ends, k) + 1).cast("int"), (F.element_at(starts, k) - F.element_at(ends, k)).cast("int"))), "")
+    text, touched = F.col(text_col), F.col("__llm_cuts").isNotNull()
+    left = _left(F.when(touched, text), F.transform("__llm_cuts", lambda c: c["start"]), F.transform("__llm_cuts", lambda c: c["end"]))
     gone = F.aggregate("__llm_cuts", F.lit(0).cast("long"), lambda a, c: a + c["end"] - c["start"])
     return (docs.join(cuts, F.col(id_col).cast("long") == F.col("__llm_doc"), "left")
             .withColumns({"n_cut": F.coalesce(gone, F.lit(0).cast("long")),
-                          text_col: F.when(F.col("__llm_cuts").isNull(), text).otherwise(left)})
+                          text_col: F.when(touched, left).otherwise(text)})
             .drop("__llm_doc", "__llm_cuts"))
