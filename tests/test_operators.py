@@ -216,3 +216,14 @@ def test_medians_take_counts_they_are_given(spark):
         found = median_before(counted, e, ["k"], "v", window_rows=rows, counted="reacted")
         seen = {i: [v for x, t, v in events if x == k and t < at and v is not None] for i, k, at in asks}
         assert {r["id"]: (r["median"], r["reacted"]) for r in found.collect()} == {i: (median(v) if v else None, len(v)) for i, v in seen.items()}
+
+
+def test_components_grow_by_batches(spark):
+    noise = random.Random(7)
+    links = [(f"n{noise.randint(0, 160):03}", f"n{noise.randint(0, 160):03}") for _ in range(150)]
+    frame = lambda rows: spark.createDataFrame(rows, "id string, other string")
+    stored = S.connected_components(frame(links[:40]))
+    for at in (40, 41, 100):
+        stored = S.extend_components(stored, frame(links[at:{40: 41, 41: 100, 100: 150}[at]]))
+    whole = S.connected_components(frame(links))
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, whole.collect()))

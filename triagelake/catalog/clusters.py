@@ -8,10 +8,12 @@ from triagelake.catalog import sqltext as q
 from triagelake.catalog.joins import tables
 from triagelake.catalog.registry import Registry, joined, plain_counts, rounded
 from triagelake.operators import divergence as V
-from triagelake.operators.similarity import first_near_duplicate, near_duplicate_clusters, near_duplicate_links
+from triagelake.operators.similarity import (
+    connected_components, extend_components, first_near_duplicate, near_duplicate_clusters, near_duplicate_links)
 from triagelake.plans.consistency import clustered_members, consistency_report, dossier_features
 from triagelake.plans.dossier import build_dossier
 from triagelake.plans.evaluate import output_verdict, verdict
+from triagelake.session import cut_lineage
 
 REGISTRY = Registry()
 add = REGISTRY.add
@@ -138,6 +140,18 @@ def evaluation_verdicts(load):
     return clean.withColumn("kind", F.lit("clean")).unionByName(broken.withColumn("kind", F.lit("broken")))
 
 
+@_add_recursive("X03_incremental_clusters", ("messages",), """, paired AS (SELECT DISTINCT x AS rep FROM hit)
+SELECT c.n AS message_id, c.root FROM comp c JOIN paired p ON c.n = p.rep""")
+def incremental_clusters(load):
+    """Components of near-duplicate texts from a store that three batches of links extend."""
+    links, _ = near_duplicate_links(_texts(load).select("id", "text"))
+    batch = F.pmod(F.xxhash64("id", "other"), F.lit(3))
+    stored = connected_components(links.filter(batch == 0))
+    for number in (1, 2):
+        stored = cut_lineage(extend_components(stored, links.filter(batch == number)))
+    return stored.select(F.col("node").alias("message_id"), "root")
+
+
 @add("X04_feature_map", ("messages",), " SELECT message_id, " + " || ';' || ".join(
     f"'{c}={{' || coalesce('\"v\":' || " + (c if c == "forwarded_count" else f"'\"' || {c} || '\"'") + ", '') || '}'" for c in sorted(_SIMPLE)) + " AS features FROM messages")
 def feature_map(load):

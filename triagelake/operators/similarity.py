@@ -215,6 +215,23 @@ def connected_components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         edges.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
 
 
+def extend_components(stored: DataFrame, links: DataFrame) -> DataFrame:
+    """``stored`` (node, root) with the components that new ``links`` (id, other) join or begin.
+
+    Only components that a new link touches are contracted: the links are lifted to the roots of their
+    ends, the roots are joined, and the nodes below a root that lost its place take the new one. ``stored``
+    holds every node of earlier links; the result is what all links together would give.
+    """
+    ends = links.select("id", "other").filter("id <> other")
+    nodes = ends.select(F.col("id").alias("node")).unionByName(ends.select(F.col("other").alias("node"))).distinct()
+    known = cut_lineage(nodes.join(stored, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.col("root").isNull().alias("fresh")))
+    at = lambda name: known.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
+    lifted = ends.join(at("id"), "id").join(at("other"), "other").select(F.col("id_root").alias("id"), F.col("other_root").alias("other"))
+    moved = connected_components(lifted).filter("node <> root").select(F.col("node").alias("root"), F.col("root").alias("_new"))
+    rows = stored.unionByName(known.filter("fresh").select("node", "root"))
+    return rows.join(moved, "root", "left").select("node", F.coalesce("_new", "root").alias("root"))
+
+
 def near_duplicate_clusters(texts: DataFrame, threshold: float = C.CLUSTER_MIN_JACCARD, **scale) -> DataFrame:
     """(id, root, cluster_number) for rows in clusters of two or more.
 
