@@ -6,13 +6,14 @@ import os
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from triagelake.catalog import sqltext as q
 from triagelake.catalog.joins import BURST, DOSSIER_VIEWS, tables
 from triagelake.catalog.outcomes import ROUTED, ROUTER_VIEWS, RUN_SQL
 from triagelake.catalog.registry import Registry
 from triagelake.functions.vocab import parse_evidence_set
+from triagelake.operators.audit import watched_traces
 from triagelake.operators.similarity import number_in_order
 from triagelake.plans.dossier import enriched_history
 from triagelake.plans.run import run_folder
@@ -76,7 +77,11 @@ def incremental(load):
     early.write.text(f"{folder}/early.jsonl")
     lines.select("value").write.text(f"{folder}/decisions.jsonl")
     run_folder(spark, folder, f"{folder}/early.jsonl", f"{folder}/store", f"{folder}/first", "v1", 0)
-    rows = run_folder(spark, folder, f"{folder}/decisions.jsonl", f"{folder}/store", f"{folder}/second", "v1", 1)
+    totals = Observation()
+    rows = run_folder(spark, folder, f"{folder}/decisions.jsonl", f"{folder}/store", f"{folder}/second", "v1", 1, totals)
+    reused = rows.where("resumed").count()
+    if totals.get["resumed"] != reused:
+        raise AssertionError(f"observed {totals.get}, reused {reused}")
     written = read_output_rows(spark, f"{folder}/second/output.csv", in_parts=True).drop("file_errors")
     return written.join(rows.select("message_id", "resumed"), "message_id")
 
@@ -181,3 +186,15 @@ def exact_bursts(load):
     live.store_exact_bursts(live.exact_bursts(stream, live.lateness(rows)), store, _scratch(load, "exact-state")).awaitTermination()
     found = live.read_exact_bursts(load.spark, store)
     return t.messages.select("message_id").join(found, "message_id", "left").fillna(0, ["sender_burst_24h"])
+
+
+@add("A16_observed_totals", ("traces",), """ SELECT count(*) AS n_traces, count_if(rules_fired <> '') AS fired_rows, count_if(pre_action <> post_action) AS changed_rows,
+  count_if(hard_blocked) AS hard_blocked_rows FROM traces""")
+def observed_totals(load):
+    """The gate's totals from the job that writes the traces."""
+    totals = Observation()
+    rules = F.filter(F.split("rules_fired", ";"), lambda r: r != "")
+    traces = load("traces").withColumns({"rules": rules, "action_changed": F.lit(False)})
+    watched_traces(traces, totals).write.parquet(_scratch(load, "traces"))
+    found = totals.get
+    return load.spark.createDataFrame([tuple(found.values())], ", ".join(f"{name} long" for name in found))

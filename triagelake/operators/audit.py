@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from triagelake import config as C
 from triagelake.functions.scanners import is_active_relationship
@@ -19,10 +19,27 @@ def _changed():
 
 def gate_totals(traces: DataFrame) -> DataFrame:
     """``traces`` has message_id, pre_action, post_action, action_changed, hard_blocked, rules (array)."""
-    return traces.agg(
-        F.count("*").alias("n_traces"), F.count_if(F.size("rules") > 0).alias("fired_rows"),
-        F.count_if(_changed()).alias("changed_rows"), F.count_if("hard_blocked").alias("hard_blocked_rows"),
-    )
+    return traces.agg(*_gate_measures())
+
+
+def _gate_measures():
+    return [F.count("*").alias("n_traces"), F.count_if(F.size("rules") > 0).alias("fired_rows"),
+            F.count_if(_changed()).alias("changed_rows"), F.count_if("hard_blocked").alias("hard_blocked_rows")]
+
+
+def watched_traces(traces: DataFrame, totals: Observation) -> DataFrame:
+    """``traces`` as they are; the action that works them out leaves the ``gate_totals`` in ``totals``, without a pass of its own."""
+    return traces.observe(totals, *_gate_measures())
+
+
+def watched_run(rows: DataFrame, totals: Observation) -> DataFrame:
+    """Rows of a run as they are, with the gate's totals, the reused rows and the fallbacks left in ``totals``."""
+    trace, fresh = F.col("gate_trace"), ~F.col("resumed")
+    return rows.observe(
+        totals, F.count("*").alias("n_rows"), F.count_if("resumed").alias("resumed"),
+        F.count_if(fresh & ~F.col("outcome").isin(*FALLBACK_FREE)).alias("fallbacks"), F.count_if(F.size("rules_fired") > 0).alias("fired_rows"),
+        F.count_if(trace["_pre_gate_action"] != trace["_post_gate_action"]).alias("changed_rows"),
+        F.count_if(trace["_gate_hard_blocked"]).alias("hard_blocked_rows"))
 
 
 def gate_rules(traces: DataFrame) -> DataFrame:

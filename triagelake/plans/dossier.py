@@ -13,6 +13,7 @@ from triagelake.operators import context as X, engagement as E
 from triagelake.operators.brand import brand_integrity
 from triagelake.operators.retrieval import rank_history
 from triagelake.operators.running import may_be_crowded
+from triagelake.session import cut_lineage
 from triagelake.sources import driver_views
 from triagelake.sources.files import media_manifest, read_table
 
@@ -38,9 +39,12 @@ class Tables:
 
     @classmethod
     def from_folder(cls, spark: SparkSession, folder: str) -> "Tables":
-        """The tables of a dataset folder, each under its contract; attachments lie in ``media``."""
+        """The tables of a dataset folder, each under its contract; attachments lie in ``media``.
+
+        A run reads most tables several times, so each is parsed once and kept as a checkpoint.
+        """
         named = {"history": "message_history", "daily_summary": "daily_notification_summary"}
-        read = {name: read_table(spark, f"{folder}/{named.get(name, name)}.csv", named.get(name, name))
+        read = {name: cut_lineage(read_table(spark, f"{folder}/{named.get(name, name)}.csv", named.get(name, name)))
                 for name in cls.__dataclass_fields__ if name != "media"}
         images, voices = (read_table(spark, f"{folder}/{name}.csv", name) for name in ("images", "voice_notes"))
         return cls(**read, media=media_manifest(spark, images, voices, folder, "media"))

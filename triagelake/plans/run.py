@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
 from triagelake.config import DEFAULTS, Thresholds
 from triagelake.functions.vocab import fingerprint
+from triagelake.operators.audit import watched_run
 from triagelake.operators.failure import settle
 from triagelake.operators.gate import apply_gate, assert_one_directional, detect
 from triagelake.operators.validation import judge, parse_decisions
@@ -49,12 +50,13 @@ def plan_fingerprints(dossier: DataFrame, version: str) -> DataFrame:
     return dossier.select("message_id", fingerprint(F.lit(version).alias("version"), *[F.col(c) for c in inputs]).alias("fingerprint"))
 
 
-def run_folder(spark: SparkSession, folder: str, decisions: str, store: str, out: str, version: str, batch: int) -> DataFrame:
+def run_folder(spark: SparkSession, folder: str, decisions: str, store: str, out: str, version: str, batch: int,
+               totals: Observation | None = None) -> DataFrame:
     """One run from files to files; rows whose inputs have not changed since an earlier run are reused.
 
     Reads the dataset ``folder`` and the supplied ``decisions``, appends what it decided to ``store`` as
     ``batch`` and writes the contract file and the traces below ``out``. Returns all rows, ``resumed``
-    telling the reused ones.
+    telling the reused ones. ``totals`` gets the counts of the run from the pass that works out the rows.
     """
     t = Tables.from_folder(spark, folder)
     raw = read_decisions(spark, decisions)
@@ -71,7 +73,7 @@ def run_folder(spark: SparkSession, folder: str, decisions: str, store: str, out
         rows = compute(planned).withColumn("resumed", F.lit(False))
     else:
         rows = resume(planned, done, compute)
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows if totals is None else watched_run(rows, totals))
     append_completed(rows.where("NOT resumed").drop("resumed"), store, batch)
     write_contract_csv(rows, t.messages.select("message_id", "position"), f"{out}/output.csv")
     write_traces(rows, f"{out}/traces", version)
