@@ -1,4 +1,7 @@
 import csv
+import gzip
+import hashlib
+import os
 import random
 
 import pytest
@@ -68,6 +71,36 @@ def test_media_manifest_presence_and_escape(spark, tmp_path):
     assert got == {"i1": (True, 3), "i2": (True, 3), "i3": (False, None), "i4": (False, None)}
 
 
+def test_media_files_are_read_in_chunks_and_only_if_named(spark, tmp_path):
+    root = tmp_path / "data set#1"
+    (root / "media" / "deep er").mkdir(parents=True)
+    zeros = (1 << 31) + 5  # above the limit of one value; sparse on disk
+    for name in ("large.wav", "unnamed.wav"):
+        with open(root / "media" / name, "wb") as file:
+            file.truncate(zeros)
+    body = os.urandom(3 << 20)
+    (root / "media" / "deep er" / "50%.gz").write_bytes(gzip.compress(body))
+    (root / "media" / "none.png").write_bytes(b"")
+    (root / "beside.png").write_bytes(b"x")
+    images = spark.createDataFrame(
+        [("i1", "media/deep er/50%.gz"), ("i2", "./media/./deep er/50%.gz"), ("i3", "media/none.png"), ("i4", "media/deep er"), ("i5", "beside.png"), ("i6", None), ("i7", "")],
+        "image_id string, file_path string")
+    voices = spark.createDataFrame([("v1", "media/large.wav"), ("v1", "media/large.wav")], "voice_note_id string, file_path string")
+    got = {r["media_id"]: (r["file_exists"], r["file_size_bytes"], r["sha256"]) for r in files.media_manifest(spark, images, voices, str(root), "media").collect()}
+    large = hashlib.sha256()
+    for _ in range(1 << 7):
+        large.update(bytes(1 << 24))
+    large.update(bytes(5))
+    packed = (root / "media" / "deep er" / "50%.gz").read_bytes()
+    there = (True, len(packed), hashlib.sha256(packed).hexdigest())
+    absent = (False, None, None)
+    assert got == {"i1": there, "i2": there, "i3": (True, 0, hashlib.sha256(b"").hexdigest()), "i4": absent, "i5": absent,
+                   "i6": absent, "i7": absent, "v1": (True, zeros, large.hexdigest())}
+    nothing = images.limit(0)
+    assert files.media_manifest(spark, nothing, voices.limit(0), str(tmp_path / "no such folder")).count() == 0
+    assert [r["file_exists"] for r in files.media_manifest(spark, images.limit(1), voices.limit(0), str(tmp_path / "no such folder")).collect()] == [False]
+
+
 def test_traces_skip_broken_records_and_filter_versions(spark, tmp_path):
     path = _write(tmp_path, "t.json", '{"message_id":"a","prompt_version":"p1"}\n{"message_id":\n{"message_id":"b","prompt_version":"p2"}\n')
     schema = "message_id string, prompt_version string"

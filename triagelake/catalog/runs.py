@@ -19,7 +19,7 @@ from triagelake.plans.dossier import enriched_history
 from triagelake.plans.run import run_folder
 from triagelake.session import shared_dir
 from triagelake.sources.files import (
-    TABLES, read_decisions, read_ordered_predictions, read_output_rows, read_predictions, read_strict_csv, read_traces)
+    TABLES, media_manifest, read_decisions, read_ordered_predictions, read_output_rows, read_predictions, read_strict_csv, read_traces)
 from triagelake.sources.sinks import first_rows
 from triagelake.streaming import live
 
@@ -55,6 +55,21 @@ def write_folder(load, folder: str) -> None:
         _write_csv(load("media").where(F.col("kind") == kind).select(F.col("media_id").alias(key), "file_path"), f"{folder}/{table}.csv")
 
 
+@add("S05_file_digests", ("media",), """, f AS (SELECT kind, file_size_bytes % 8 AS slot, string_agg(file_path || chr(10), '' ORDER BY media_id, file_path) AS body
+  FROM media WHERE file_size_bytes IS NOT NULL GROUP BY ALL)
+SELECT kind, CAST(slot AS VARCHAR) AS media_id, true AS file_exists, strlen(body) AS file_size_bytes, sha256(body) AS sha256 FROM f""")
+def file_digests(load):
+    """The digests of files that hold the paths of the media table, one file for each kind and slot."""
+    folder, spark = _scratch(load, "files"), load.spark
+    rows = load("media").where("file_size_bytes IS NOT NULL").select("kind", (F.col("file_size_bytes") % 8).alias("slot"), "media_id", "file_path")
+    (rows.repartition("kind", "slot").sortWithinPartitions("kind", "slot", "media_id", "file_path").drop("media_id")
+     .write.partitionBy("kind", "slot").text(folder))
+    named = spark.read.format("binaryFile").load(folder).select(
+        "kind", F.col("slot").cast("string").alias("slot"), F.regexp_extract("path", "(kind=.*)$", 1).alias("file_path"))
+    images, voices = (named.where(F.col("kind") == kind).withColumnRenamed("slot", key) for kind, key in (("image", "image_id"), ("voice", "voice_note_id")))
+    return media_manifest(spark, images, voices, folder).drop("file_path")
+
+
 def _decision_lines(load):
     """The supplied payloads with their message's id, one JSON line each."""
     named = F.concat(F.lit('{"message_id":"'), "message_id", F.lit('",'), F.expr("substring(payload, 2)"))

@@ -5,8 +5,8 @@ from __future__ import annotations
 import csv
 import io
 import posixpath
+import re
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -15,6 +15,7 @@ from triagelake.functions.vocab import ordered_evidence, parse_confidence, parse
 from triagelake.operators.similarity import number_in_order
 from triagelake.sources.contracts import ContractError, apply_schema, require_clean, require_unique
 from triagelake.sources.csvlines import read_records
+from triagelake.sources.digests import file_digests
 
 # Column -> (kind, required) of every source table.
 MESSAGE = {
@@ -189,21 +190,12 @@ def read_traces(spark: SparkSession, path: str, schema: str | StructType, prompt
     return rows if prompt_version is None else rows.filter(F.col("prompt_version") == prompt_version)
 
 
-def _media_files(spark: SparkSession, folder: str) -> DataFrame:
-    try:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "path string, modificationTime timestamp, length long, content binary")
-
-
 def media_manifest(spark: SparkSession, images: DataFrame, voice_notes: DataFrame, root: str, within: str = "") -> DataFrame:
     """kind, media_id, file_path, file_exists, file_size_bytes and sha256 of every manifest row.
 
     Paths are relative to the dataset folder or to its parent and must stay inside the
-    folder; anything else counts as absent, not as an error. Only the part ``within`` the folder
-    is read; if there is none, every file is absent.
+    folder; anything else counts as absent, not as an error. Only what the rows name ``within`` that part
+    of the folder is read, in chunks, so a file may have any size.
     """
     root = root.rstrip("/")
     rows = images.select(F.lit("image").alias("kind"), F.col("image_id").alias("media_id"), "file_path").unionByName(
@@ -211,12 +203,8 @@ def media_manifest(spark: SparkSession, images: DataFrame, voice_notes: DataFram
     folder = posixpath.basename(root)
     clean = F.regexp_replace(F.regexp_replace("file_path", r"/(\./)+", "/"), r"^(\./)+", "")
     inside = ~clean.rlike(r"(^|/)\.\.(/|$)") & ~F.startswith(clean, F.lit("/"))
-    relative = F.when(inside, F.regexp_replace(clean, f"^{folder}/", ""))
-    binary = _media_files(spark, posixpath.join(root, within))
-    plain = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    files = binary.select(
-        F.substring(plain, len(root) + 2, 1 << 20).alias("_rel"), F.sha2("content", 256).alias("sha256"),
-        F.col("length").alias("file_size_bytes"), F.lit(True).alias("_found"))
-    joined = rows.withColumn("_rel", relative).join(files, "_rel", "left")
-    return joined.select("kind", "media_id", "file_path", F.coalesce("_found", F.lit(False)).alias("file_exists"),
-                         "file_size_bytes", "sha256")
+    relative = F.when(inside, F.regexp_replace(clean, "^" + re.escape(folder) + "/", ""))
+    named = rows.withColumn("_rel", F.when(relative.startswith(f"{within}/") | F.lit(not within), relative))
+    files = file_digests(named, root, "_rel").withColumnRenamed("path", "_rel")
+    return named.join(files, "_rel", "left").select(
+        "kind", "media_id", "file_path", F.col("sha256").isNotNull().alias("file_exists"), "file_size_bytes", "sha256")

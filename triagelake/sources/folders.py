@@ -13,6 +13,13 @@ def _place(spark: SparkSession, path: str):
     return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
+def address(spark: SparkSession, path: str) -> tuple[str, str, str]:
+    """Scheme, authority and plain path that the session's configuration gives a path."""
+    store, place = _place(spark, path)
+    where = store.makeQualified(place).toUri()
+    return where.getScheme() or "", where.getAuthority() or "", where.getPath()
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     store, place = _place(spark, path)
     return store.exists(place)
