@@ -11,13 +11,15 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from triagelake.catalog import sqltext as q
 from triagelake.catalog.joins import BURST, DOSSIER_VIEWS, tables
 from triagelake.catalog.outcomes import ROUTED, ROUTER_VIEWS, RUN_SQL
-from triagelake.catalog.registry import Registry
+from triagelake.catalog.registry import Registry, rounded
 from triagelake.functions.vocab import parse_evidence_set
 from triagelake.operators.audit import watched_traces
+from triagelake.operators.engagement import with_events
 from triagelake.operators.similarity import number_in_order
 from triagelake.plans.dossier import enriched_history
 from triagelake.plans.run import run_folder
 from triagelake.session import shared_dir
+from triagelake.sources.bucketed import Reactions
 from triagelake.sources.files import (
     TABLES, media_manifest, read_decisions, read_ordered_predictions, read_output_rows, read_predictions, read_strict_csv, read_traces)
 from triagelake.sources.sinks import first_rows
@@ -70,6 +72,18 @@ def file_digests(load):
     return media_manifest(spark, images, voices, folder).drop("file_path")
 
 
+@add("J02_bucketed_events", q.ENGAGED_VIEWS, """ SELECT h.message_id, h.user_id, e.message_id IS NOT NULL AS has_event, coalesce(e.message_opened, false) AS opened,
+  coalesce(e.muted_after_message, false) AS muted_after, round(e.reaction_time_minutes, 6) AS reaction_time_minutes
+  FROM history h LEFT JOIN message_events e ON h.user_id = e.user_id AND h.message_id = e.message_id""")
+def bucketed_events(load):
+    """History with its reactions from stored buckets, to which a second batch is added; the join exchanges nothing."""
+    later = F.pmod(F.xxhash64("message_id"), F.lit(3)) == 0
+    history, events = load("history"), load("message_events")
+    stored = Reactions.store(history.where(~later), events.where(~later), _scratch(load, "reactions"))
+    stored.append(history.where(later), events.where(later))
+    return rounded(with_events(*stored.tables(load.spark)).select("message_id", "user_id", "has_event", "opened", "muted_after", "reaction_time_minutes"))
+
+
 def _decision_lines(load):
     """The supplied payloads with their message's id, one JSON line each."""
     named = F.concat(F.lit('{"message_id":"'), "message_id", F.lit('",'), F.expr("substring(payload, 2)"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,6 +15,7 @@ from triagelake.operators.retrieval import rank_history
 from triagelake.operators.running import may_be_crowded
 from triagelake.session import cut_lineage
 from triagelake.sources import driver_views
+from triagelake.sources.bucketed import Reactions
 from triagelake.sources.files import media_manifest, read_table
 
 
@@ -49,6 +50,11 @@ class Tables:
         images, voices = (read_table(spark, f"{folder}/{name}.csv", name) for name in ("images", "voice_notes"))
         return cls(**read, media=media_manifest(spark, images, voices, folder, "media"))
 
+    def bucketed(self, folder: str) -> "Tables":
+        """The same tables with history and events stored in buckets below ``folder``, for runs that read them again."""
+        history, events = Reactions.store(self.history, self.message_events, folder).tables(self.history.sparkSession)
+        return replace(self, history=history, message_events=events)
+
 
 def content_signals(messages: DataFrame) -> DataFrame:
     """Text-derived columns of each message; scanners are null on unscanned text."""
