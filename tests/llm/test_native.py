@@ -181,6 +181,56 @@ def test_random_strings_are_told_from_words(spark):
     assert not nothing.any()
 
 
+def test_limit_is_set_on_strings_held_back(spark):
+    docs = training(spark)
+    ratios = secrets.fit(docs)
+    limit = secrets.limit_of(docs, ratios)
+    held = secrets.held_back(docs, ratios).collect()
+    learned = {r.s for r in secrets.labelled(docs).where("NOT held").collect()}
+    assert held and not learned & {r.s for r in held}
+    told = [[r.ratio > limit for r in held if r.label == label] for label in (0, 1)]
+    # By brute force no other whole number costs less.
+    def cost(at):
+        return (sum(r.label == 1 and r.ratio <= at for r in held) / len(told[1])
+                + secrets.FALSE_COST * sum(r.label == 0 and r.ratio > at for r in held) / len(told[0]))
+    assert cost(limit) <= min(map(cost, range(-200, 300))) + 1e-9
+    assert sum(told[1]) >= 0.95 * len(told[1]) and sum(told[0]) <= 0.01 * len(told[0])
+    # A secret among ordinary strings does not lift the limit over the other secrets.
+    odd = docs.unionByName(frame(spark, [(k, f"Zx9Qw7Lk2Pv8Rt5Yb3Nc6Md{k} ") for k in range(9000, 9010)]))
+    again = secrets.fit(odd)
+    limit, found = secrets.limit_of(odd, again), secrets.held_back(odd, again).where("label = 1").collect()
+    assert found and sum(r.ratio > limit for r in found) >= 0.95 * len(found)
+    assert secrets.limit_of(frame(spark, []), ratios) == secrets.PRIOR_ODDS
+
+
+def test_random_strings_inside_fixed_spans_are_told_once_in_many(spark):
+    ratios = secrets.fit(training(spark))
+    noise = random.Random(8)
+    def word():
+        return "".join(noise.choice(secrets.SYMBOLS[:62]) for _ in range(24))
+    # Values with dots hold several strings; others stand alone, or share their start with the name.
+    text = " ".join(noise.choice([f"token: {word()}.{word()}", word(), f"secret={word()}", f"password = '{word()}'"]) for _ in range(1500))
+    got = secrets.find(frame(spark, [(1, text)]), ratios).first()["found"]
+    base = [(s.start, s.end) for s in got if s.kind < secrets.N_BASE]
+    alone = {(s.start, s.end) for s in got if s.kind == 3}
+    expected = set()
+    for m in re.finditer(secrets.STRING, text):
+        t = m.group()
+        if sum(ratios[ord(a) * 128 + ord(b)] for a, b in set(zip(t, t[1:]))) > secrets.PRIOR_ODDS and not any(a <= m.start() and m.end() <= b for a, b in base):
+            expected.add((m.start(), m.end()))
+    assert alone == expected and len(alone) > 200 and len(base) > 800
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="driver tables absent")
+def test_recall_and_precision_of_random_strings_on_given_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    ratios = secrets.fit(docs)
+    limit = secrets.limit_of(docs, ratios)
+    held = secrets.held_back(docs, ratios).collect()
+    told = [[r.ratio > limit for r in held if r.label == label] for label in (0, 1)]
+    assert all(told) and sum(told[1]) >= 0.95 * len(told[1]) and sum(told[0]) <= 0.01 * len(told[0])
+
+
 def test_empty_tables_and_native_plans(spark):
     none = frame(spark, [])
     ratios = secrets.fit(none)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from operator import add
 
 from pyspark.sql import Column, functions as F
 
@@ -15,20 +16,23 @@ def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def _scan(steps: Column) -> Column:
-    """0 and the running sums of a short array."""
+def _scan(steps: Column, fold: Callable[[Column, Column], Column]) -> Column:
+    """0 and the running folds of a short array."""
     return F.aggregate(steps, F.array(F.lit(0).cast("long")),
-                       lambda sums, step: F.concat(sums, F.array(F.element_at(sums, -1) + step)))
+                       lambda sums, step: F.concat(sums, F.array(fold(F.element_at(sums, -1), step))))
 
 
-def running(steps: Column) -> Column:
-    """The running sums of an array of longs, each element included; pieces keep the work linear."""
+def running(steps: Column, fold: Callable[[Column, Column], Column] = add) -> Column:
+    """The running sums of an array of longs, each element included; pieces keep the work linear.
+
+    Another ``fold`` must be associative and leave a value as it is when it meets 0.
+    """
     def joined(pieces: Column) -> Column:
-        return bind(_scan(F.transform(pieces, lambda p: F.element_at(p, -1))), lambda before: F.flatten(
-            F.transform(pieces, lambda p, at: F.transform(F.slice(p, 2, F.size(p) - 1), lambda x: x + before[at]))))
+        return bind(_scan(F.transform(pieces, lambda p: F.element_at(p, -1)), fold), lambda before: F.flatten(
+            F.transform(pieces, lambda p, at: F.transform(F.slice(p, 2, F.size(p) - 1), lambda x: fold(x, before[at])))))
 
     cut = bind(steps, lambda s: F.transform(
-        F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _PIECE).cast("int")), lambda k: _scan(F.slice(s, k * _PIECE + 1, _PIECE))))
+        F.sequence(F.lit(0), F.floor((F.size(s) - 1) / _PIECE).cast("int")), lambda k: _scan(F.slice(s, k * _PIECE + 1, _PIECE), fold)))
     return bind(cut, joined)
 
 

@@ -156,7 +156,8 @@ def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document."""
     docs = documents(spark, sf_dir)
-    return secrets.digest(secrets.find(docs, secrets.fit(docs)))
+    ratios = secrets.fit(docs)
+    return secrets.digest(secrets.find(docs, ratios, limit=secrets.limit_of(docs, ratios)))
 
 
 @_query()
