@@ -47,3 +47,16 @@ def test_late_rows_change_open_messages_only(spark, tmp_path):
     third = [("h4", "u", "p", at(39.5), False), ("h5", "u", "p", at(9.5), False)]
     counts = _run(spark, tmp_path, [first, second, third], "2 hours")
     assert counts == {"q1": 2, "q2": 2}
+
+
+def test_keys_share_states(spark, tmp_path):
+    """Very many senders of few messages are held in a few states, missing recipients apart from the others."""
+    rows = [(f"{kind}{k}", None if k % 7 == 0 else f"u{k}", f"p{k % 50}", START + timedelta(minutes=k + (kind == "q")), kind == "q")
+            for k in range(500) for kind in "hq"]
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
+    query = live.store_exact_bursts(live.exact_bursts(stream, "5 days", buckets=6), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 6
+    assert {r.message_id: r.sender_burst_24h for r in live.read_exact_bursts(spark, str(tmp_path / "out")).collect()} == _expected(rows)
+    assert live.buckets_for(spark.createDataFrame(rows, SCHEMA)) >= 4

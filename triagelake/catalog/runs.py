@@ -212,7 +212,7 @@ def exact_bursts(load):
     path, store = _scratch(load, "rows"), _scratch(load, "exact")
     rows.write.parquet(path)
     stream = load.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(path)
-    live.store_exact_bursts(live.exact_bursts(stream, live.lateness(rows)), store, _scratch(load, "exact-state")).awaitTermination()
+    live.store_exact_bursts(live.exact_bursts(stream, live.lateness(rows), buckets=live.buckets_for(rows)), store, _scratch(load, "exact-state")).awaitTermination()
     found = live.read_exact_bursts(load.spark, store)
     return t.messages.select("message_id").join(found, "message_id", "left").fillna(0, ["sender_burst_24h"])
 

@@ -96,51 +96,77 @@ def burst_rows(messages: DataFrame, asked: bool) -> DataFrame:
 
 
 _TOLD = "message_id string, salt int, n long"
-_KEPT = "times array<long>, counts array<long>, ids array<string>, asked_at array<long>, told array<long>"
+_KEPT = ("names array<string>, fact_of array<int>, times array<long>, counts array<long>, "
+         "ask_of array<int>, ids array<string>, salts array<int>, asked_at array<long>, told array<long>")
+#: Rows that one state should hold, so that calls into Python are few and no state is large.
+STATE_ROWS = 20_000
 
 
-def exact_bursts(rows: DataFrame, late: str, hours: int = C.BURST_WINDOW_HOURS, salts: int = 4) -> DataFrame:
+def buckets_for(rows: DataFrame, salts: int = 4) -> int:
+    """Buckets for a finished backlog of ``burst_rows``; a message counts once for each salt."""
+    n = rows.agg(F.sum(F.when(F.col("asked"), salts).otherwise(1)).alias("n")).first()["n"] or 0
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(4 * parts, -(-n // STATE_ROWS))
+
+
+def exact_bursts(rows: DataFrame, late: str, hours: int = C.BURST_WINDOW_HOURS, salts: int = 4, buckets: int = 64) -> DataFrame:
     """(message_id, salt, n): history of the same recipient and sender in the ``hours`` before each message.
 
     ``rows`` is a stream of ``burst_rows``. A message is told its count when it arrives and again whenever an
     earlier row that came later changes it, until the watermark has reached it; rows that the watermark
-    has reached are left out, as ``late`` says. The state of a key is a count per instant of the window and the
-    messages still open. History is dealt over ``salts`` keys, so a busy sender is held by as many
-    tasks; a message is asked in each, and its counts add up.
+    has reached are left out, as ``late`` says. History is dealt over ``salts`` keys, so a busy sender is held
+    by as many tasks; a message is asked in each, and its counts add up. Many keys share one of the ``buckets``:
+    its state holds their names, a count per key and instant of the window, and the messages still open.
     """
     span = hours * 3_600_000_000
 
     def update(key, batches, state):
-        times, counts, ids, asked_at, told = (np.array(v) for v in state.get) if state.exists else (np.zeros(0, np.int64),) * 5
         if state.hasTimedOut:
             state.remove()
             return
+        old = state.get if state.exists else ([],) * 9
         floor = state.getCurrentWatermarkMs() * 1000
         new = pd.concat(list(batches), ignore_index=True)
         new["at"] = new["created_at"].astype("datetime64[us]").astype("int64")
         new = new[new["at"] > floor]
-        facts = new.loc[~new["asked"], "at"].to_numpy()
-        times, where = np.unique(np.concatenate([times, facts]).astype(np.int64), return_inverse=True)
-        counts = np.bincount(where, np.concatenate([counts, np.ones(len(facts))]), len(times)).astype(np.int64)
-        open_ = new[new["asked"]]
-        ids = np.concatenate([np.asarray(ids, object), open_["message_id"].to_numpy(object)])
-        asked_at = np.concatenate([asked_at, open_["at"].to_numpy()]).astype(np.int64)
-        told = np.concatenate([told, np.full(len(open_), -1)]).astype(np.int64)
+        asked = new["asked"].to_numpy(bool)
+        of, names = pd.factorize(np.concatenate([np.asarray(old[0], object), new["name"].to_numpy(object)]))
+        of = of[len(old[0]):].astype(np.int64)
+        joined = lambda kept, fresh, kind=np.int64: np.concatenate([np.asarray(kept, kind), fresh]).astype(kind)
+        at = new["at"].to_numpy(np.int64)
+        fact_of, times = joined(old[1], of[~asked]), joined(old[2], at[~asked])
+        counts = joined(old[3], np.ones(int((~asked).sum())))
+        ask_of, ids = joined(old[4], of[asked]), joined(old[5], new["message_id"].to_numpy(object)[asked], object)
+        salt, asked_at = joined(old[6], new["salt"].to_numpy()[asked]), joined(old[7], at[asked])
+        told = joined(old[8], np.full(int(asked.sum()), -1))
+        # Key and instant as one ordered number.
+        instants = np.unique(np.concatenate([times, asked_at, asked_at - span]))
+        place = lambda of, at: of * len(instants) + np.searchsorted(instants, at)
+        facts, where = np.unique(place(fact_of, times), return_inverse=True)
+        counts = np.bincount(where, counts, len(facts)).astype(np.int64)
+        if len(facts):
+            fact_of, times = facts // len(instants), instants[facts % len(instants)]
         before = np.concatenate([[0], np.cumsum(counts)])
-        n = before[np.searchsorted(times, asked_at)] - before[np.searchsorted(times, asked_at - span)]
+        n = before[np.searchsorted(facts, place(ask_of, asked_at))] - before[np.searchsorted(facts, place(ask_of, asked_at - span))]
         changed = n != told
-        yield pd.DataFrame({"message_id": ids[changed], "salt": np.full(int(changed.sum()), key[2], np.int32), "n": n[changed]})
+        yield pd.DataFrame({"message_id": ids[changed], "salt": salt[changed].astype(np.int32), "n": n[changed]})
         # What lies behind the watermark changes no more; what no open or coming message counts can go.
         stays, recent = asked_at > floor, times > floor - span
-        state.update((times[recent].tolist(), counts[recent].tolist(), ids[stays].tolist(), asked_at[stays].tolist(), n[stays].tolist()))
-        newest = max([int(x[-1]) for x in (times[recent], np.sort(asked_at[stays])) if len(x)], default=floor)
+        used, code = np.unique(np.concatenate([fact_of[recent], ask_of[stays]]), return_inverse=True)
+        held = int(recent.sum())
+        state.update((list(names[used]), code[:held].tolist(), times[recent].tolist(), counts[recent].tolist(), code[held:].tolist(),
+                      ids[stays].tolist(), salt[stays].tolist(), asked_at[stays].tolist(), n[stays].tolist()))
+        newest = max([int(x.max()) for x in (times[recent], asked_at[stays]) if len(x)], default=floor)
         state.setTimeoutTimestamp(max(newest + span, floor) // 1000 + 1)
 
     spread = F.when(F.col("asked"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
         F.array(F.pmod(F.xxhash64("message_id"), F.lit(salts)).cast("int")))
-    return (rows.withWatermark("created_at", late).withColumn("salt", F.explode(spread))
-            .groupBy("user_id", "peer_id", "salt")
-            .applyInPandasWithState(update, _TOLD, _KEPT, "update", "EventTimeTimeout"))
+    # A missing recipient is left out of the name, so it meets only its like.
+    name = F.to_json(F.struct("user_id", "peer_id", "salt"))
+    return (rows.withWatermark("created_at", late).withColumn("salt", F.explode(spread)).withColumn("name", name)
+            .withColumn("bucket", F.pmod(F.xxhash64("name"), F.lit(buckets)).cast("int"))
+            .select("message_id", "name", "salt", "created_at", "asked", "bucket")
+            .groupBy("bucket").applyInPandasWithState(update, _TOLD, _KEPT, "update", "EventTimeTimeout"))
 
 
 def store_exact_bursts(counts: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
