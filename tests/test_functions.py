@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from triagelake.functions import detectors as D, reasons as R, scanners as S, scores as N, text as T, timewin as W, vocab as V
+from triagelake.sources import driver_views
 
 
 def values(spark, column_of, texts):
@@ -156,3 +157,30 @@ def test_located_against_a_plain_search(spark):
             expected = None if t is None else [(m.group(), t[max(0, m.start() - back):m.start()]) for m in re.finditer(pattern, t)]
             assert (got[t] if t is None else [tuple(x) for x in got[t]]) == expected
     assert time.time() - start < 40
+
+
+def test_a_phrase_is_searched_once_and_cut(spark):
+    """Cutting a phrase names it once in the plan, so its patterns do not run twice."""
+    rows = spark.createDataFrame([("x" * 81,), ("y" * 80,), ("a\n" * 50,), ("",), (None,)], "t string")
+    cut = T.truncate_phrase(F.regexp_substr("t", F.lit("(?s)^.*$")))
+    assert rows.select(cut)._jdf.queryExecution().analyzed().toString().split("Project")[1].split("+-")[0].split(" AS ")[0].count("regexp_substr(") == 1
+    assert [r[0] for r in rows.select(T.truncate_phrase(F.col("t"))).collect()] == ["x" * 80 + "…", "y" * 80, "a\n" * 40 + "…", "", None]
+
+
+@pytest.mark.parametrize("patterns, needles", [(D.STRONG_CREDENTIAL, D.STRONG_NEEDLES), (D.WEAK_CREDENTIAL, D.WEAK_NEEDLES), (D.PAYMENT_DEMAND, D.PAYMENT_NEEDLES)])
+def test_matches_hold_a_needle(spark, patterns, needles):
+    """A text that a detector's patterns match passes the cheaper search in front of them."""
+    texts = ("share your o.t.p", "send one time code", "one - time pin batao", "enter mpin now", "pass word bhejo", "cvv share", "send the card number", "tell me login code",
+             "send the digits", "give number", "code jaldi bhejo", "pay the fee", "pay now", "scan this qr to pay", "payment due", "late charges", "paise kar do", "paisa bhejo",
+             "rupaye abhi batao", "amount daal do", "customs handling fee", "use the link and pay")
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    hit = rows.where(D._any(F.col("t"), patterns))
+    assert hit.count() > 0 and hit.where(~F.col("t").rlike(needles)).isEmpty()
+
+
+def test_tables_of_texts_are_spread_by_size(spark, tmp_path, monkeypatch):
+    """No task grows with the table: the number of partitions follows the bytes of its files."""
+    spark.range(20000).selectExpr("id AS event_id", "sha2(string(id), 256) AS props").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(driver_views, "SPREAD_BYTES", 1 << 14)
+    df = driver_views.table(spark, str(tmp_path), "events")
+    assert df.rdd.getNumPartitions() > 50 and df.select("event_id").distinct().count() == df.count() == 20000

@@ -91,9 +91,14 @@ def scanners(load):
             ("injection_match", S.scan_injection), ("credential_request", S.scan_credential), ("payment_pressure", S.scan_payment))])
 
 
+def _guarded(load):
+    """The guard form as a column of its own: worked out once, however often a detector reads it."""
+    return load("base").select("message_id", T.guard_text(F.col("message_text")).alias("g"))
+
+
 @add("P10_injection_detector", ("base",), f"""{q.detected('base')} SELECT message_id, attack_phrase FROM det""")
 def injection(load):
-    return load("base").select("message_id", D.looks_like_injection(T.guard_text(F.col("message_text"))).alias("attack_phrase"))
+    return _guarded(load).select("message_id", D.looks_like_injection(F.col("g")).alias("attack_phrase"))
 
 
 @add("P10_injection_turns", sql=f"""SELECT conv_id, turn, {q.attack(q.guard('text'))} AS attack_phrase FROM conversations""")
@@ -103,12 +108,12 @@ def injection_turns(load):
 
 @add("P11_credential_solicitation", ("base",), f"""{q.detected('base')} SELECT message_id, credential_phrase FROM det""")
 def credential(load):
-    return load("base").select("message_id", D.asks_for_credential(T.guard_text(F.col("message_text"))).alias("credential_phrase"))
+    return _guarded(load).select("message_id", D.asks_for_credential(F.col("g")).alias("credential_phrase"))
 
 
 @add("P12_payment_demand", ("base",), f"""{q.detected('base')} SELECT message_id, payment_phrase FROM det""")
 def payment(load):
-    return load("base").select("message_id", D.demands_payment(T.guard_text(F.col("message_text"))).alias("payment_phrase"))
+    return _guarded(load).select("message_id", D.demands_payment(F.col("g")).alias("payment_phrase"))
 
 
 @add("P13_negation_lookback", ("base",), f""", n AS (SELECT message_id, {q.guard("concat('never ', message_text, ' ', message_text)")} AS g FROM base)

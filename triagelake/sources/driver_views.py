@@ -366,12 +366,21 @@ def check_sql(names: tuple[str, ...], body: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
+#: Bytes of a table's files in one partition: a row of these is a text that many patterns are looked for in.
+SPREAD_BYTES = 1 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A base table; a file too small to be read by several tasks is spread over the cores."""
+    """A base table; one whose texts cost far more than their bytes suggest is spread over enough tasks.
+
+    The number of tasks follows the size of the files, so no task grows with the table.
+    """
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ("events", "documents", "pages") and df._jdf.rdd().getNumPartitions() < cores:
-        df = df.repartition(cores)
+    if name in ("events", "documents", "pages"):
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        parts = max(spark.sparkContext.defaultParallelism, -(-size // SPREAD_BYTES))
+        if df._jdf.rdd().getNumPartitions() < parts:
+            df = df.repartition(parts)
     return df
 
 
