@@ -7,6 +7,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tools.check_queries import canonical
 from triagelake.llm import pii, quality, queries, secrets
@@ -181,6 +182,16 @@ def test_random_strings_are_told_from_words(spark):
     assert not nothing.any()
 
 
+def test_models_and_limit_come_from_all_documents(spark):
+    """No document is left out of the strings that the models and the limit are taken from."""
+    rows = [(i, f"ordinary{'abcdefghij'[i % 10]}{i:05d}words token={i * 2654435761 % 2**64:016x}") for i in range(12000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = {r.label: r["count"] for r in secrets.labelled(docs).groupBy("label").count().collect()}
+    assert labels == {0: 12000, 1: 12000}
+    held = secrets.held_back(docs, secrets.fit(docs)).count()
+    assert held == secrets.labelled(docs).where(F.col("held") & F.col("s").rlike(f"^{secrets.STRING}$")).count() > 12000 * 2 / 6
+
+
 def test_limit_is_set_on_strings_held_back(spark):
     docs = training(spark)
     ratios = secrets.fit(docs)

@@ -1,7 +1,7 @@
 """Secrets: fixed patterns, and character Markov models that tell random strings from identifiers.
 
-Two first-order character models are trained from a bounded, labelled sample: values that the fixed
-patterns find are random strings, the other words are ordinary. A long string whose log-likelihood
+Two first-order character models are trained from the labelled strings of all documents: values that the
+fixed patterns find are random strings, the other words are ordinary. A long string whose log-likelihood
 ratio exceeds a limit is a span of its own; the limit comes from labelled strings that the models have not
 seen. Training and scoring are DataFrame functions; what reaches the driver is one count per pair of
 characters and label, and one per label and whole number of the ratio.
@@ -12,7 +12,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
 
-from triagelake.llm.common import share_of
 from triagelake.llm.native import bind, counted, joined, running, spans
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -21,16 +20,16 @@ HEX = r"[0-9a-f]{24,}"
 STRING = r"[A-Za-z0-9+/_=-]{16,}"
 NAMES = ["assign", "access", "hex", "random"]
 N_BASE = 3
-#: Documents of the training sample (about, by a hash of the id) and letters of an ordinary word in it.
-TRAIN_DOCS, TRAIN_WORD = 2000, r"[A-Za-z0-9+/_=-]{5,}"
+#: Letters of an ordinary word that is learned.
+TRAIN_WORD = r"[A-Za-z0-9+/_=-]{5,}"
 #: Characters a string can have.
 SYMBOLS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Share of the uniform distribution in the single-character model of ordinary and of random strings, and
 #: the weight, in pairs, that this model has in each row of the pair model.
 UNIFORM, ROW_PRIOR = (0.05, 0.5), 20.0
-#: One in so many strings, by a hash, is held back from the models; the limit is set on those of about this
-#: many documents, and there an ordinary string that is told costs as much as so many that are missed.
-HOLD_BACK, HELD_DOCS, FALSE_COST = 5, 10000, 100.0
+#: One in so many strings, by a hash, is held back from the models; the limit is set on these, and there an
+#: ordinary string that is told costs as much as so many that are missed.
+HOLD_BACK, FALSE_COST = 5, 100.0
 #: The limit where no strings of both labels are held back, and the one preferred among equally good ones.
 PRIOR_ODDS = 14.0
 _SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
@@ -42,24 +41,23 @@ def _values(text: Column) -> Column:
                     F.regexp_extract_all(text, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(text, F.lit(HEX), F.lit(0)))
 
 
-def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wanted: int = TRAIN_DOCS) -> DataFrame:
-    """label (1: random), s and held of the distinct strings of about so many documents, chosen by a hash."""
-    n = docs.select(text_col).count()
-    sample = docs.where(share_of(F.col(id_col), wanted, n)).select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+def labelled(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """label (1: random), s and held of the distinct strings of all documents."""
+    texts = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     plain = F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    strings = sample.select(F.lit(1).alias("label"), F.explode(_values(F.col("text"))).alias("s")).unionByName(
-        sample.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(plain, F.lit(TRAIN_WORD), F.lit(0))).alias("s")))
+    strings = texts.select(F.lit(1).alias("label"), F.explode(_values(F.col("text"))).alias("s")).unionByName(
+        texts.select(F.lit(0).alias("label"), F.explode(F.regexp_extract_all(plain, F.lit(TRAIN_WORD), F.lit(0))).alias("s")))
     # Equal strings count once: a copied document teaches nothing new.
     return strings.where(F.length("s") >= 2).distinct().withColumn("held", F.pmod(F.xxhash64("s", F.lit("held")), F.lit(HOLD_BACK)) == 0)
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+def fit(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     """Log-likelihood ratio, random over ordinary, of each pair of characters at 128 * first + second.
 
-    Strings that are held back are not learned. Without samples of both labels the ratios are zero, so
+    Strings that are held back are not learned. Without strings of both labels the ratios are zero, so
     nothing is called random.
     """
-    strings = labelled(docs, id_col, text_col).where(~F.col("held"))
+    strings = labelled(docs, text_col).where(~F.col("held"))
     pairs = strings.select("label", F.explode(F.transform(
         F.sequence(F.lit(1), F.length("s") - 1), lambda i: F.substring("s", i, F.lit(2)))).alias("pair"))
     counts = np.zeros((2, 128, 128))
@@ -87,13 +85,13 @@ def ratio_of(found: Column, ratios: np.ndarray) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda a, p: a + F.coalesce(F.get(table, p), F.lit(0.0)))
 
 
-def held_back(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def held_back(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> DataFrame:
     """label, s and ratio of the strings that the models have not seen and that could be a span."""
-    kept = labelled(docs, id_col, text_col, HELD_DOCS).where(F.col("held") & F.col("s").rlike(f"^{STRING}$"))
+    kept = labelled(docs, text_col).where(F.col("held") & F.col("s").rlike(f"^{STRING}$"))
     return kept.select("label", "s", ratio_of(F.col("s"), ratios).alias("ratio"))
 
 
-def limit_of(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> float:
+def limit_of(docs: DataFrame, ratios: np.ndarray, text_col: str = "text") -> float:
     """The log-likelihood ratio that a string must exceed to be called random.
 
     It is the whole number at which the held-back strings cost least: the share of random ones missed, plus
@@ -101,7 +99,7 @@ def limit_of(docs: DataFrame, ratios: np.ndarray, id_col: str = "doc_id", text_c
     ``PRIOR_ODDS`` is taken. A secret that no fixed pattern knows counts as ordinary and costs the same at all limits below it, so a few
     of them move nothing. Without held-back strings of both labels the limit is ``PRIOR_ODDS``.
     """
-    steps = held_back(docs, ratios, id_col, text_col).groupBy("label", F.ceil("ratio").cast("int").alias("step")).count().collect()
+    steps = held_back(docs, ratios, text_col).groupBy("label", F.ceil("ratio").cast("int").alias("step")).count().collect()
     of = [{r["step"]: r["count"] for r in steps if r["label"] == label} for label in (0, 1)]
     if not of[0] or not of[1]:
         return PRIOR_ODDS
