@@ -256,7 +256,8 @@ def test_empty_tables_and_native_plans(spark):
 @pytest.mark.parametrize("name", sorted(queries.CHECKS))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     mine = queries.QUERIES[name](spark, SF)
     result = con.execute(queries.CHECKS[name])
     names = [d[0] for d in result.description]
