@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from functools import reduce
 from statistics import median
 
 import pytest
@@ -227,3 +228,31 @@ def test_components_grow_by_batches(spark):
         stored = S.extend_components(stored, frame(links[at:{40: 41, 41: 100, 100: 150}[at]]))
     whole = S.connected_components(frame(links))
     assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, whole.collect()))
+
+
+def test_cells_share_a_batch_and_a_cell_crosses_batches(spark):
+    """Recipients are many and small: one call ranks a batch of cells, wherever the batches are cut."""
+    import pandas as pd
+
+    from triagelake.operators.retrieval import _cell_ranker, _whole_cells
+
+    messages, history = _chat(spark)
+    both = [reduce(lambda a, b: a.unionByName(b), [
+        df.withColumns({"user_id": F.lit(u).cast("string"), "message_id": F.concat(F.lit(f"{u}-"), "message_id")}) for u in ("u1", None, "u0")]) for df in (messages, history)]
+    frame = pd.DataFrame({"user_id": [None] * 3 + ["a"] * 4 + ["b"], "cell_m": [0] * 8, "cell_h": [0, 0, 1, 0, 0, 0, 0, 0], "n": range(8)})
+    for size in range(1, 9):
+        cut = list(_whole_cells(frame.iloc[i:i + size] for i in range(0, 8, size)))
+        assert [n for f in cut for n in f["n"]] == list(range(8))
+        ends = [f[["user_id", "cell_h"]].astype(str).agg("-".join, axis=1) for f in cut]
+        assert all(a.iloc[-1] != b.iloc[0] for a, b in zip(ends, ends[1:]))
+    plain = lambda rows: {r.message_id: (r.max_jaccard, r.duplicate_count, [(e.history_message_id, e.score) for e in r.evidence]) for r in rows}
+    alone = plain(rank_history(messages, history).collect())
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        together = plain(rank_history(*both).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for u in ("u1", "u0", None):
+        for name, (top, n, evidence) in alone.items():
+            assert together[f"{u}-{name}"] == (top, n, [(f"{u}-{h}", s) for h, s in evidence])
+    assert list(_cell_ranker(2, 2, 0.1, 0.4)(iter([]))) == []

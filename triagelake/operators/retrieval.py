@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from triagelake import config as C
 from triagelake.functions.text import normalise_text
 from triagelake.functions.timewin import from_micros
+from triagelake.session import spread
 
 FLAG_NAMES = ("opened", "replied", "dismissed", "muted_after", "reported")
 _DAY_US = 86400000000.0
 _VOCAB_CHUNK = 4096
+_CELL_KEYS = ["user_id", "cell_m", "cell_h"]
 
 _CELL_SCHEMA = """
     message_id string, kind string, max_jaccard double, n_duplicates long,
@@ -35,100 +37,150 @@ def _grams(words: str) -> set[str]:
     return {words[i:i + 3] for i in range(len(words) - 2)}
 
 
-def jaccard_matrix(left: list[str], right: list[str]) -> np.ndarray:
-    """Trigram Jaccard of every left text with every right one; NaN where a side is empty."""
-    lefts, left_of = np.unique(np.asarray(left, dtype=object), return_inverse=True)
-    rights, right_of = np.unique(np.asarray(right, dtype=object), return_inverse=True)
-    sets = [_grams(t) for t in lefts], [_grams(t) for t in rights]
-    # Only trigrams of both sides can be shared.
-    shared = set().union(*sets[0]) & set().union(*sets[1])
-    column = {gram: i for i, gram in enumerate(shared)}
-    both = np.zeros((len(lefts), len(rights)), dtype=np.float32)
-    places = [
-        (np.repeat(np.arange(len(side)), [len(s & shared) for s in side]),
-         np.fromiter((column[g] for s in side for g in s if g in column), dtype=np.int64))
-        for side in sets
-    ]
-    for start in range(0, len(column), _VOCAB_CHUNK):
-        width = min(_VOCAB_CHUNK, len(column) - start)
-        planes = []
-        for (rows, cols), side in zip(places, sets):
-            plane = np.zeros((len(side), width), dtype=np.float32)
-            inside = (cols >= start) & (cols < start + width)
-            plane[rows[inside], cols[inside] - start] = 1.0
-            planes.append(plane)
-        both += planes[0] @ planes[1].T
-    n_left = np.array([len(s) for s in sets[0]], dtype=np.float64)[:, None]
-    n_right = np.array([len(s) for s in sets[1]], dtype=np.float64)[None, :]
-    with np.errstate(divide="ignore", invalid="ignore"):
-        unique = np.where((n_left > 0) & (n_right > 0), both / (n_left + n_right - both), np.nan)
-    return unique[np.ix_(left_of.ravel(), right_of.ravel())]
-
-
-def _equal(left: pd.Series, right: pd.Series) -> np.ndarray:
-    """Pairwise equality where a missing value equals nothing."""
-    codes = pd.factorize(pd.concat([left, right], ignore_index=True))[0]
-    a, b = codes[: len(left)], codes[len(left):]
-    return (a[:, None] == b[None, :]) & (a[:, None] >= 0)
+class _GramSets:
+    """Trigram sets of distinct texts as numbers, one after the other."""
+
+    def __init__(self, texts):
+        index: dict[str, int] = {}
+        sets = [[index.setdefault(g, len(index)) for g in _grams(t)] for t in texts]
+        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.numbers = np.fromiter((g for s in sets for g in s), dtype=np.int64, count=int(self.sizes.sum()))
+        self.vocabulary = len(index)
+
+    def _items(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = self.sizes[texts]
+        rows = np.repeat(np.arange(len(texts)), n)
+        return rows, self.numbers[np.arange(len(rows)) + np.repeat(self.starts[texts] - (np.cumsum(n) - n), n)]
+
+    def jaccard(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Similarity of every left text with every right one; NaN where a side is empty."""
+        lefts, left_of = np.unique(left, return_inverse=True)
+        rights, right_of = np.unique(right, return_inverse=True)
+        sides = self._items(lefts), self._items(rights)
+        # Only trigrams of both sides can be shared.
+        found = np.zeros((2, self.vocabulary), dtype=bool)
+        for seen, (_, grams) in zip(found, sides):
+            seen[grams] = True
+        shared = np.flatnonzero(found[0] & found[1])
+        column = np.full(self.vocabulary, -1, dtype=np.int64)
+        column[shared] = np.arange(len(shared))
+        both = np.zeros((len(lefts), len(rights)), dtype=np.float32)
+        for start in range(0, len(shared), _VOCAB_CHUNK):
+            width = min(_VOCAB_CHUNK, len(shared) - start)
+            planes = []
+            for (rows, grams), side in zip(sides, (lefts, rights)):
+                plane, cols = np.zeros((len(side), width), dtype=np.float32), column[grams]
+                inside = (cols >= start) & (cols < start + width)
+                plane[rows[inside], cols[inside] - start] = 1.0
+                planes.append(plane)
+            both += planes[0] @ planes[1].T
+        n_left, n_right = self.sizes[lefts].astype(np.float64)[:, None], self.sizes[rights].astype(np.float64)[None, :]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            unique = np.where((n_left > 0) & (n_right > 0), both / (n_left + n_right - both), np.nan)
+        return unique[np.ix_(left_of.ravel(), right_of.ravel())]
+
+
+def _codes(values: pd.Series) -> np.ndarray:
+    """A number for each value, below zero for a missing one, which equals nothing."""
+    return pd.factorize(values)[0]
+
+
+def _whole_cells(batches):
+    """Rows sorted by cell in frames of whole cells; a cell that is longer than a batch is a frame of its own."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if batch.empty:
+            continue
+        cell = _cell_numbers(pd.concat([*[h.tail(1) for h in held[-1:]], batch], ignore_index=True))
+        goes_on, cell = bool(held) and cell[0] == cell[1], cell[-len(batch):]
+        cut = int(np.searchsorted(cell, cell[-1]))
+        if cut or not goes_on:
+            done = [*held, batch.iloc[:cut]]
+            if sum(map(len, done)):
+                yield pd.concat(done, ignore_index=True)
+            held = []
+        held.append(batch.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _cell_numbers(rows: pd.DataFrame) -> np.ndarray:
+    """The number of each row's cell, for rows sorted by cell."""
+    keys = np.stack([pd.factorize(rows[c], use_na_sentinel=False)[0] for c in _CELL_KEYS])
+    return np.concatenate([[0], (keys[:, 1:] != keys[:, :-1]).any(axis=0).cumsum()])
 
 
 def _cell_ranker(k_evidence: int, k_near: int, min_score: float, min_jaccard: float):
-    def rank(cell: pd.DataFrame) -> pd.DataFrame:
-        m = cell[cell["is_message"]].reset_index(drop=True)
-        # Ties go to the newest row, then to the smallest id, which this order provides.
-        h = cell[~cell["is_message"]].sort_values(["at_us", "message_id"], ascending=[False, True])
-        h = h.reset_index(drop=True)
-        if m.empty or h.empty:
-            return pd.DataFrame({c: [] for c in _CELL_COLUMNS})
-        sim = jaccard_matrix(m["words"].tolist(), h["words"].tolist())
-        earlier = h["at_us"].to_numpy()[None, :] < m["at_us"].to_numpy()[:, None]
-        sim = np.where(earlier, sim, np.nan)
-        lexical = np.nan_to_num(sim, nan=0.0)
-        days = (m["at_us"].to_numpy()[:, None] - h["at_us"].to_numpy()[None, :]) / _DAY_US
-        recent = 0.5 ** (np.maximum(days, 0.0) / C.RECENCY_HALF_LIFE_DAYS)
-        peer = _equal(m["peer_id"], h["peer_id"])
-        group = _equal(m["group_key"], h["group_key"])
+    def rank(rows: pd.DataFrame) -> pd.DataFrame:
+        # Messages first. Ties go to the newest row, then to the smallest id, which this order provides.
+        cell, ids = _cell_numbers(rows), pd.factorize(rows["message_id"], sort=True)[0]
+        order = np.lexsort((np.where(ids < 0, len(rows), ids), -rows["at_us"].to_numpy(), ~rows["is_message"].to_numpy(dtype=bool), cell))
+        rows, cell = rows.iloc[order].reset_index(drop=True), cell[order]
+        text_of, texts = pd.factorize(rows["words"])
+        sets, at = _GramSets(texts), rows["at_us"].to_numpy()
+        peers, groups = _codes(rows["peer_id"]), _codes(rows["group_key"])
         reaction = np.max(
-            [np.where(h[f].to_numpy(dtype=bool), C.EVENT_RELEVANCE[f], 0.0) for f in FLAG_NAMES], axis=0
+            [np.where(rows[f].to_numpy(dtype=bool), C.EVENT_RELEVANCE[f], 0.0) for f in FLAG_NAMES], axis=0
         )
-        score = (
-            C.W_SAME_PEER * peer + C.W_LEXICAL * lexical + C.W_SAME_GROUP * group
-            + C.W_EVENT * reaction[None, :] + C.W_RECENCY * recent
-        )
-        near = sim >= min_jaccard
-        with np.errstate(invalid="ignore"):
-            top_sim = np.where(np.isnan(sim).all(axis=1), np.nan, np.nanmax(np.nan_to_num(sim, nan=-1.0), axis=1))
-        summary = pd.DataFrame({
-            "message_id": m["message_id"], "kind": "summary", "max_jaccard": top_sim, "n_duplicates": near.sum(axis=1),
-        })
-
-        def best(kind: str, value: np.ndarray, keep: np.ndarray, k: int) -> pd.DataFrame:
-            ranked = np.where(keep, value, -np.inf)
-            columns = np.argsort(-ranked, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(m)), columns.shape[1])
+        starts = np.flatnonzero(np.diff(cell, prepend=-1))
+        n_messages = np.add.reduceat(rows["is_message"].to_numpy(dtype=np.int64), starts)
+        summaries, winners = [], []
+
+        def best(kind: str, first: int, middle: int, value: np.ndarray, keep: np.ndarray, k: int, figures: dict) -> None:
+            columns = np.argsort(-np.where(keep, value, -np.inf), axis=1, kind="stable")[:, :k]
+            asked = np.repeat(np.arange(len(value)), columns.shape[1])
             columns = columns.ravel()
-            chosen = keep[rows, columns]
-            rows, columns = rows[chosen], columns[chosen]
-            picked = h.iloc[columns].reset_index(drop=True)
-            return pd.DataFrame({
-                "message_id": m["message_id"].to_numpy()[rows], "kind": kind,
-                "history_message_id": picked["message_id"], "rank_value": value[rows, columns],
-                "jaccard": lexical[rows, columns], "same_peer": peer[rows, columns],
-                "same_group": group[rows, columns], "event_relevance": reaction[columns],
-                "recency": recent[rows, columns], "history_at_us": picked["at_us"],
-                "days_ago": days[rows, columns], "conversation_type": picked["conversation_type"],
-                "peer_id": picked["peer_id"], "text_excerpt": picked["words"].str.slice(0, 160),
-                **{f: picked[f] for f in FLAG_NAMES},
-            })
-
-        out = pd.concat([
-            summary,
-            best("evidence", score, earlier & (score >= min_score), k_evidence),
-            best("near", lexical, near, k_near),
-        ], ignore_index=True)
-        return out.reindex(columns=_CELL_COLUMNS)
-
-    return rank
+            chosen = keep[asked, columns]
+            asked, columns = asked[chosen], columns[chosen]
+            if len(asked):
+                winners.append({"_m": asked + first, "_h": columns + middle, "kind": np.full(len(asked), kind, dtype=object),
+                                "rank_value": value[asked, columns], **{name: x[asked, columns] for name, x in figures.items()}})
+
+        for first, n, end in zip(starts, n_messages, [*starts[1:], len(rows)]):
+            middle = first + n
+            if middle == first or middle == end:
+                continue
+            m, h = slice(first, middle), slice(middle, end)
+            earlier = at[h][None, :] < at[m][:, None]
+            sim = np.where(earlier, sets.jaccard(text_of[m], text_of[h]), np.nan)
+            lexical = np.nan_to_num(sim, nan=0.0)
+            days = (at[m][:, None] - at[h][None, :]) / _DAY_US
+            recent = 0.5 ** (np.maximum(days, 0.0) / C.RECENCY_HALF_LIFE_DAYS)
+            peer = (peers[m][:, None] == peers[h][None, :]) & (peers[m][:, None] >= 0)
+            group = (groups[m][:, None] == groups[h][None, :]) & (groups[m][:, None] >= 0)
+            score = (
+                C.W_SAME_PEER * peer + C.W_LEXICAL * lexical + C.W_SAME_GROUP * group
+                + C.W_EVENT * reaction[h][None, :] + C.W_RECENCY * recent
+            )
+            near = sim >= min_jaccard
+            none, top = np.isnan(sim).all(axis=1), np.nanmax(np.nan_to_num(sim, nan=-1.0), axis=1)
+            summaries.append((np.arange(first, middle), np.where(none, np.nan, top), near.sum(axis=1)))
+            figures = {"jaccard": lexical, "same_peer": peer, "same_group": group, "recency": recent, "days_ago": days}
+            best("evidence", first, middle, score, earlier & (score >= min_score), k_evidence, figures)
+            best("near", first, middle, lexical, near, k_near, figures)
+        if not summaries:
+            return pd.DataFrame({c: [] for c in _CELL_COLUMNS})
+        asked, top, counts = (np.concatenate(x) for x in zip(*summaries))
+        out = [pd.DataFrame({"message_id": rows["message_id"].to_numpy()[asked], "kind": "summary", "max_jaccard": top, "n_duplicates": counts})]
+        if winners:
+            found = {name: np.concatenate([w[name] for w in winners]) for name in winners[0]}
+            asked, places = found.pop("_m"), found.pop("_h")
+            picked = rows.iloc[places].reset_index(drop=True)
+            out.append(pd.DataFrame({
+                "message_id": rows["message_id"].to_numpy()[asked], **found, "history_message_id": picked["message_id"],
+                "event_relevance": reaction[places], "history_at_us": picked["at_us"],
+                "conversation_type": picked["conversation_type"], "peer_id": picked["peer_id"],
+                "text_excerpt": picked["words"].str.slice(0, 160), **{f: picked[f] for f in FLAG_NAMES},
+            }))
+        out = pd.concat(out, ignore_index=True).reindex(columns=_CELL_COLUMNS)
+        return out.astype(object).where(out.notna(), None) if not winners else out
+
+    def rank_cells(batches):
+        for rows in _whole_cells(batches):
+            yield rank(rows)
+
+    return rank_cells
 
 
 def _side(df: DataFrame, is_message: bool) -> DataFrame:
@@ -165,15 +217,16 @@ def rank_history(
     )
     one = F.lit(1).cast("long")
     s_m, s_h = (F.greatest(F.coalesce(F.col(c), one), one) for c in ("s_m", "s_h"))
-    spread = F.xxhash64("message_id")
+    dealt = F.xxhash64("message_id")
     cells = (
-        m.join(sizes, "user_id", "left").withColumn("cell_m", F.pmod(spread, s_m))
+        m.join(sizes, "user_id", "left").withColumn("cell_m", F.pmod(dealt, s_m))
         .withColumn("cell_h", F.explode(F.sequence(F.lit(0).cast("long"), s_h - 1)))
     ).unionByName(
-        h.join(sizes, "user_id", "left").withColumn("cell_h", F.pmod(spread, s_h))
+        h.join(sizes, "user_id", "left").withColumn("cell_h", F.pmod(dealt, s_h))
         .withColumn("cell_m", F.explode(F.sequence(F.lit(0).cast("long"), s_m - 1)))
     ).drop("s_m", "s_h")
-    ranked = cells.groupBy("user_id", "cell_m", "cell_h").applyInPandas(
+    # Recipients are many and mostly small, so a call into Python takes a batch of whole cells.
+    ranked = spread(cells, *_CELL_KEYS).sortWithinPartitions(*_CELL_KEYS).mapInPandas(
         _cell_ranker(k_evidence, k_near, C.EVIDENCE_MIN_SCORE, C.NEAR_DUPLICATE_MIN_JACCARD), _CELL_SCHEMA
     )
     # Natural struct order is the ranking: value descending, newest first, smallest id.
