@@ -60,3 +60,24 @@ def test_keys_share_states(spark, tmp_path):
     assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) <= 6
     assert {r.message_id: r.sender_burst_24h for r in live.read_exact_bursts(spark, str(tmp_path / "out")).collect()} == _expected(rows)
     assert live.buckets_for(spark.createDataFrame(rows, SCHEMA)) >= 4
+
+
+def test_bursts_hold_one_count_an_hour(spark, tmp_path):
+    """The state has a row for each hour with a message, not for each window of it; windows are summed when read."""
+    schema = "message_id string, user_id string, conversation_type string, business_id string, sender_user_id string, created_at timestamp"
+    noise = random.Random(8)
+    rows = [(f"m{k}", None if k % 9 == 0 else f"u{k % 3}", "personal", None, None if k % 11 == 0 else f"p{k % 2}", START + timedelta(minutes=noise.randint(0, 6000))) for k in range(300)]
+    spark.createDataFrame(rows, schema).repartition(5).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    query = live.store_bursts(live.burst_stream(stream, "5 days"), str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    hour = lambda at: at.replace(minute=0)
+    known = [(u, p, hour(at)) for _, u, _, _, p, at in rows if p is not None]
+    expected = {}
+    for u, p, at in known:
+        for k in range(24):
+            key = (u, p, at - timedelta(hours=k), at + timedelta(hours=24 - k))
+            expected[key] = expected.get(key, 0) + 1
+    found = live.read_bursts(spark, str(tmp_path / "out")).collect()
+    assert {(r.user_id, r.peer_id, r.window_start, r.window_end): r.n for r in found} == expected and len(found) == len(expected)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == len(set(known))

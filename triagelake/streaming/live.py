@@ -61,20 +61,34 @@ def lateness(messages: DataFrame) -> str:
 
 
 def store_bursts(counts: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
-    """Keep the counts of every window a batch has changed, windows still open included."""
+    """Keep the counts of every hour a batch has changed, hours still open included."""
     return _into_batches(counts, store, checkpoint, "update")
 
 
-def read_bursts(spark: SparkSession, store: str) -> DataFrame:
-    """The newest count of every window."""
-    keys = ["user_id", "peer_id", "window_start", "window_end"]
-    return spark.read.parquet(store).groupBy(*keys).agg(F.max_by("n", "batch").alias("n"))
+#: Stored counts whose windows one task works out.
+WINDOW_ROWS = 50_000
 
 
-def burst_stream(messages: DataFrame, late: str = "1 hour", hours: int = C.BURST_WINDOW_HOURS) -> DataFrame:
-    """Messages per recipient and sender in windows of 24 hours that start every hour.
+def read_bursts(spark: SparkSession, store: str, hours: int = C.BURST_WINDOW_HOURS) -> DataFrame:
+    """The count of every window of ``hours`` that starts on an hour and holds a message.
 
-    Rows later than ``late`` behind the newest one are left out; ``lateness`` gives a delay for a backlog.
+    It sums the newest counts of its hours. The hours of a recipient and sender meet in one task, which holds as
+    many windows of a pair as its time has hours; the number of tasks follows the stored counts.
+    """
+    stored = spark.read.parquet(store)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-stored.count() // WINDOW_ROWS))
+    pair = ["user_id", "peer_id"]
+    newest = stored.repartition(parts, *pair).groupBy(*pair, "hour").agg(F.max_by("n", "batch").alias("n"))
+    starts = F.sequence(F.col("hour") - F.expr(f"INTERVAL '{hours - 1}' HOUR"), F.col("hour"), F.expr("INTERVAL '1' HOUR"))
+    counts = newest.select(*pair, F.explode(starts).alias("window_start"), "n").groupBy(*pair, "window_start").agg(F.sum("n").alias("n"))
+    return counts.select(*pair, "window_start", (F.col("window_start") + F.expr(f"INTERVAL '{hours}' HOUR")).alias("window_end"), "n")
+
+
+def burst_stream(messages: DataFrame, late: str = "1 hour") -> DataFrame:
+    """Messages per recipient, sender and hour, of which ``read_bursts`` makes windows that start every hour.
+
+    The state holds one count for each hour with a message, not one for each window the message lies in. Rows of an
+    hour that ended ``late`` or more behind the newest one are left out; ``lateness`` gives a delay for a backlog.
     """
     _, peer = resolve_peer(F.col("conversation_type"), F.col("business_id"), F.col("sender_user_id"))
     return (
@@ -82,9 +96,9 @@ def burst_stream(messages: DataFrame, late: str = "1 hour", hours: int = C.BURST
         # Event time must be an instant; the wall clock is read in the session's zone.
         .withColumn("created_at", F.col("created_at").cast("timestamp"))
         .withWatermark("created_at", late)
-        .groupBy(F.window("created_at", f"{hours} hours", "1 hour").alias("w"), "user_id", "peer_id")
+        .groupBy(F.window("created_at", "1 hour").alias("w"), "user_id", "peer_id")
         .agg(F.count("*").alias("n"))
-        .select("user_id", "peer_id", F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "n")
+        .select("user_id", "peer_id", F.col("w.start").alias("hour"), "n")
     )
 
 
