@@ -177,3 +177,22 @@ def test_fallback_sentences_keep_the_contract(spark):
         f"A business notice{clause}" for clause in (failure.NO_DECISION, failure.BAD_SHAPE, failure.BAD_INVARIANT, failure.BAD_STYLE)]
     frame = spark.createDataFrame([(s,) for s in sentences], "s string")
     assert [r[0] for r in frame.select(reason_issues(F.col("s"))).collect()] == [[]] * len(sentences)
+
+
+def test_reports_on_the_same_messages_share_clusters(spark, monkeypatch):
+    """Texts are normalised once, and two reports need one search for near duplicates."""
+    from triagelake.operators import divergence as V, similarity as S
+    from triagelake.plans import consistency as K
+
+    rows = [(f"m{i}", f"the lift is being repaired today by the usual people {i % 4}", i, None if i % 3 else "x") for i in range(12)]
+    messages = spark.createDataFrame(rows, "message_id string, message_text string, position long, kind string")
+    features = messages.select("message_id", V.feature_map(["kind"]).alias("features"))
+    actions = [messages.selectExpr("message_id", f"CASE WHEN position % {n} = 0 THEN 'mute' ELSE 'digest' END AS action") for n in (2, 5)]
+    apart = [K.consistency_report(messages, a, features)["summary"].first() for a in actions]
+    searches, links = [], S.near_duplicate_links
+    monkeypatch.setattr(S, "near_duplicate_links", lambda *a, **b: searches.append(1) or links(*a, **b))
+    clusters = K.message_clusters(messages)
+    assert [K.consistency_report(messages, a, features, clusters=clusters)["summary"].first() for a in actions] == apart
+    assert len(searches) == 1 and apart[0].divergent_pairs > 0
+    reps, members = S._representatives(messages.selectExpr("message_id AS id", "message_text AS text"))
+    assert not any("normalise" in df._jdf.queryExecution().toString() or "EvalPython" in df._jdf.queryExecution().toString() for df in (reps, members))

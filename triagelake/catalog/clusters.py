@@ -10,7 +10,7 @@ from triagelake.catalog.registry import Registry, joined, plain_counts, rounded
 from triagelake.operators import divergence as V
 from triagelake.operators.similarity import (
     connected_components, extend_components, first_near_duplicate, near_duplicate_clusters, near_duplicate_links)
-from triagelake.plans.consistency import clustered_members, consistency_report, dossier_features
+from triagelake.plans.consistency import clustered_members, consistency_report, dossier_features, message_clusters
 from triagelake.plans.dossier import build_dossier
 from triagelake.plans.evaluate import output_verdict, verdict
 from triagelake.session import cut_lineage
@@ -131,9 +131,10 @@ def evaluation_verdicts(load):
     features = messages.select("message_id", V.feature_map(list(_SIMPLE)).alias("features"))
     good = messages.select("message_id", F.lit("digest").alias("action"), F.lit("payment").alias("message_type"), F.lit("The sender posted a notice.").alias("reason"),
                            F.lit("0.75").alias("confidence"), F.lit("none").alias("evidence_message_ids"), (F.col("position") + 2).alias("line_number"))
-    clean = verdict(gold, gold, output_verdict(good, messages, history), consistency_report(messages, good, features))
+    clusters = message_clusters(messages)
+    clean = verdict(gold, gold, output_verdict(good, messages, history), consistency_report(messages, good, features, clusters=clusters))
     acted = load("decisions").join(messages.where("forwarded_count <= 2").select("message_id"), "message_id", "left_semi")
-    all_ = consistency_report(messages, load("decisions"), features)
+    all_ = consistency_report(messages, load("decisions"), features, clusters=clusters)
     some = messages.select("message_id").join(acted.select("message_id"), "message_id", "left_anti")
     broken = verdict(gold, load("prediction_samples"), output_verdict(good.where(F.col("line_number") % 2 == 0), messages, history),
                      {**all_, "missing": some})

@@ -27,8 +27,9 @@ _MAX_HUB_ROUNDS = 3
 
 def _representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, words, n) of distinct comparable texts, and (id, rep) of every row."""
-    rows = texts.select("id", normalise_text(F.col("text")).alias("words")).filter(F.length("words") >= 3)
-    rows = rows.withColumn("_key", F.sha2("words", 256))
+    # Normalised once, in the tasks the texts were spread over: a filter on it would sink below that exchange.
+    rows = cut_lineage(texts.select("id", normalise_text(F.col("text")).alias("words")).withColumn("_key", F.sha2("words", 256)))
+    rows = rows.filter(F.length("words") >= 3)
     reps = rows.groupBy("_key").agg(F.min("id").alias("rep"), F.any_value("words").alias("words"))
     members = rows.select("id", "_key").join(reps.select("_key", "rep"), "_key").select("id", "rep")
     grams = trigrams(F.col("words"))

@@ -28,21 +28,27 @@ EXPLAINING = (
 )
 
 
-def clustered_members(messages: DataFrame, actions: DataFrame, features: DataFrame, threshold: float = C.CLUSTER_MIN_JACCARD) -> DataFrame:
+def message_clusters(messages: DataFrame, threshold: float = C.CLUSTER_MIN_JACCARD) -> DataFrame:
+    """Near-duplicate clusters of ``messages`` (message_id, message_text, position), kept as a checkpoint."""
+    texts = messages.select(F.col("message_id").alias("id"), F.col("message_text").alias("text"), "position")
+    return cut_lineage(near_duplicate_clusters(texts, threshold))
+
+
+def clustered_members(messages: DataFrame, actions: DataFrame, features: DataFrame, threshold: float = C.CLUSTER_MIN_JACCARD,
+                      clusters: DataFrame | None = None) -> DataFrame:
     """cluster_number, id, action and features of every clustered message with an action.
 
-    ``features`` has message_id and ``features``; ``messages`` has message_id, message_text, position.
+    ``features`` has message_id and ``features``. ``clusters`` are those of ``message_clusters``, worked out if not given.
     """
-    texts = messages.select(F.col("message_id").alias("id"), F.col("message_text").alias("text"), "position")
-    clusters = near_duplicate_clusters(texts, threshold)
+    clusters = message_clusters(messages, threshold) if clusters is None else clusters
     acted = actions.select(F.col("message_id").alias("id"), "action").filter("action IS NOT NULL")
     mapped = features.select(F.col("message_id").alias("id"), "features")
     return clusters.join(acted, "id").join(mapped, "id").select("cluster_number", "id", "action", "features")
 
 
-def consistency_report(messages, actions, features, threshold: float = C.CLUSTER_MIN_JACCARD) -> dict[str, DataFrame]:
-    """summary, clusters, features, witnesses and missing predictions."""
-    members = cut_lineage(clustered_members(messages, actions, features, threshold))
+def consistency_report(messages, actions, features, threshold: float = C.CLUSTER_MIN_JACCARD, clusters: DataFrame | None = None) -> dict[str, DataFrame]:
+    """summary, clusters, features, witnesses and missing predictions; reports on the same messages can share ``clusters``."""
+    members = cut_lineage(clustered_members(messages, actions, features, threshold, clusters))
     clusters = V.cluster_divergence(members)
     summary = clusters.agg(
         F.count("*").alias("cluster_count"), F.coalesce(F.sum("divergent_pairs"), F.lit(0)).alias("divergent_pairs"),
