@@ -307,3 +307,28 @@ def test_failed_output_leaves_the_old_file(spark, tmp_path):
     assert [r.prompt_version for r in spark.read.json(path).collect()] == ["p1"] and [p.name for p in tmp_path.iterdir()] == ["traces"]
     sinks.write_traces(good, path, "p3")
     assert [r.prompt_version for r in spark.read.json(path).collect()] == ["p3"] and [p.name for p in tmp_path.iterdir()] == ["traces"]
+
+
+def test_tables_are_read_side_by_side(spark):
+    """Independent steps overlap, keep their order and raise the first error in order."""
+    import threading
+
+    from triagelake.session import at_once
+
+    meet = threading.Barrier(2, timeout=60)
+    assert at_once([lambda k=k: (meet.wait(), spark.range(k).count())[1] for k in (3, 5)]) == [3, 5]
+    with pytest.raises(ValueError, match="first"):
+        at_once([lambda: 1, lambda: int("first"), lambda: int("second")])
+
+
+def test_ranges_travel_without_the_package(spark, tmp_path, monkeypatch):
+    """A worker that cannot import this package can still load what is broadcast."""
+    import pickle
+
+    from triagelake.sources.csvlines import read_records
+
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: (sent.append(pickle.dumps(value)), broadcast(self, value))[1])
+    (tmp_path / "a.csv").write_text('x,y\n1,"two\nlines"\n')
+    assert [r.record for r in read_records(spark, str(tmp_path / "a.csv")).rows.collect()] == ['1,"two\nlines"']
+    assert sent and not any(b"triagelake" in value for value in sent)

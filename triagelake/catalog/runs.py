@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, Observation, functions as F
 
@@ -18,7 +18,7 @@ from triagelake.operators.engagement import with_events
 from triagelake.operators.similarity import number_in_order
 from triagelake.plans.dossier import enriched_history
 from triagelake.plans.run import run_folder
-from triagelake.session import shared_dir
+from triagelake.session import at_once, shared_dir
 from triagelake.sources.bucketed import Reactions
 from triagelake.sources.files import (
     TABLES, media_manifest, read_decisions, read_ordered_predictions, read_output_rows, read_predictions, read_strict_csv, read_traces)
@@ -48,13 +48,16 @@ def _write_csv(rows, path: str) -> None:
 
 
 def write_folder(load, folder: str) -> None:
-    """The derived tables as the CSV files of a dataset folder, in file order where there is one."""
+    """The derived tables as the CSV files of a dataset folder, in file order where there is one; the files are written side by side."""
+    steps = []
     for table, (view, fixed) in _FOLDER.items():
         rows = load(view).withColumns({c: F.lit(v) for c, v in fixed.items()})
         rows = rows.orderBy("position") if "position" in rows.columns else rows
-        _write_csv(rows.select(*TABLES[table]), f"{folder}/{table}.csv")
+        steps.append(partial(_write_csv, rows.select(*TABLES[table]), f"{folder}/{table}.csv"))
     for table, kind, key in (("images", "image", "image_id"), ("voice_notes", "voice", "voice_note_id")):
-        _write_csv(load("media").where(F.col("kind") == kind).select(F.col("media_id").alias(key), "file_path"), f"{folder}/{table}.csv")
+        rows = load("media").where(F.col("kind") == kind).select(F.col("media_id").alias(key), "file_path")
+        steps.append(partial(_write_csv, rows, f"{folder}/{table}.csv"))
+    at_once(steps)
 
 
 @add("S05_file_digests", ("media",), """, f AS (SELECT kind, file_size_bytes % 8 AS slot, string_agg(file_path || chr(10), '' ORDER BY media_id, file_path) AS body

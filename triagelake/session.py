@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -53,3 +56,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     Adaptive execution sizes partitions by bytes and would give such rows to few tasks.
     """
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def at_once(steps: Iterable[Callable]) -> list:
+    """The results of independent steps whose small jobs run side by side, in order; the first error in order is raised."""
+    targets = [inheritable_thread_target(step) for step in steps]
+    with ThreadPoolExecutor(8) as pool:
+        return [job.result() for job in [pool.submit(target) for target in targets]]

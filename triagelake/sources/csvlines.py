@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import astuple, dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -136,7 +136,8 @@ def read_records(spark: SparkSession, path: str, one_heading: bool = False) -> R
         owner = line + opened if opened >= 0 else owner
         inside = s.out1 if inside else s.out0
         line += s.lines
-    shared = spark.sparkContext.broadcast(ranges)
+    # Broadcasts are pickled by reference to their classes, which a worker without this package on its path cannot load.
+    shared = spark.sparkContext.broadcast({key: astuple(r) for key, r in ranges.items()})
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, known, inside, at, since, owner, parts, whole = None, None, False, 0, 0, 0, [], True
@@ -157,7 +158,7 @@ def read_records(spark: SparkSession, path: str, one_heading: bool = False) -> R
             if (file, start) != now:
                 if parts:
                     closed(False)
-                now, known = (file, start), shared.value[file, start]
+                now, known = (file, start), _Range(*shared.value[file, start])
                 inside, at, owner, whole = known.inside, known.first, known.owner, not known.inside
             for line in lines:
                 if start == 0 and at == known.first:
