@@ -256,3 +256,6 @@ def test_cells_share_a_batch_and_a_cell_crosses_batches(spark):
         for name, (top, n, evidence) in alone.items():
             assert together[f"{u}-{name}"] == (top, n, [(f"{u}-{h}", s) for h, s in evidence])
     assert list(_cell_ranker(2, 2, 0.1, 0.4)(iter([]))) == []
+    textless = [df.withColumn("message_text", F.when(F.hash("message_id") % 4 != 0, F.col("message_text"))) for df in (messages, history)]
+    empty = [df.fillna("", ["message_text"]) for df in textless]
+    assert plain(rank_history(*textless).collect()) == plain(rank_history(*empty).collect())

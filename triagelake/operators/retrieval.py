@@ -117,7 +117,8 @@ def _cell_ranker(k_evidence: int, k_near: int, min_score: float, min_jaccard: fl
         cell, ids = _cell_numbers(rows), pd.factorize(rows["message_id"], sort=True)[0]
         order = np.lexsort((np.where(ids < 0, len(rows), ids), -rows["at_us"].to_numpy(), ~rows["is_message"].to_numpy(dtype=bool), cell))
         rows, cell = rows.iloc[order].reset_index(drop=True), cell[order]
-        text_of, texts = pd.factorize(rows["words"])
+        # A missing text shares no trigram with any other, like an empty one.
+        text_of, texts = pd.factorize(rows["words"].fillna(""))
         sets, at = _GramSets(texts), rows["at_us"].to_numpy()
         peers, groups = _codes(rows["peer_id"]), _codes(rows["group_key"])
         reaction = np.max(
