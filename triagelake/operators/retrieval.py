@@ -33,20 +33,22 @@ _CELL_SCHEMA = """
 _CELL_COLUMNS = [part.split()[0] for part in _CELL_SCHEMA.replace("\n", " ").split(",")]
 
 
-def _grams(words: str) -> set[str]:
-    return {words[i:i + 3] for i in range(len(words) - 2)}
-
-
 class _GramSets:
     """Trigram sets of distinct texts as numbers, one after the other."""
 
     def __init__(self, texts):
-        index: dict[str, int] = {}
-        sets = [[index.setdefault(g, len(index)) for g in _grams(t)] for t in texts]
-        self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
+        lengths = np.array([len(t) for t in texts], dtype=np.int64)
+        points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+        n = np.maximum(lengths - 2, 0)
+        of = np.repeat(np.arange(len(lengths)), n)
+        at = np.arange(len(of)) + np.repeat((np.cumsum(lengths) - lengths) - (np.cumsum(n) - n), n)
+        # A code point has 21 bits, so three of them are one number.
+        numbers, grams = pd.factorize(points[at] << 42 | points[at + 1] << 21 | points[at + 2])
+        self.vocabulary = len(grams)
+        # Distinct in order of appearance, so texts stay one after the other.
+        of, self.numbers = np.divmod(pd.unique(of * max(len(grams), 1) + numbers), max(len(grams), 1))
+        self.sizes = np.bincount(of, minlength=len(lengths)).astype(np.int64)
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.numbers = np.fromiter((g for s in sets for g in s), dtype=np.int64, count=int(self.sizes.sum()))
-        self.vocabulary = len(index)
 
     def _items(self, texts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = self.sizes[texts]
