@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, functions as F
 
 from triagelake.functions.text import fold_ascii_words
@@ -43,42 +45,48 @@ REPAIRABLE_CODES = ("reason_length", "reason_sentence_count")
 # --- End of fixed values. ------------------------------------------------------------
 
 
-def _literals(words) -> Column:
-    return F.array(*[F.lit(w) for w in words])
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(fold_ascii_words(text), F.lit("[a-z0-9]+"), 0)
+def _holds_word(folded: Column, words: tuple[str, ...]) -> Column:
+    """Whether one of ``words`` is a whole run of ``[a-z0-9]``."""
+    return folded.rlike(rf"(?<![a-z0-9])(?:{'|'.join(words)})(?![a-z0-9])")
 
 
 def is_single_sentence(reason: Column) -> Column:
     """One sentence with terminal punctuation; non-terminal periods are masked first."""
-    body = F.regexp_replace(reason, r"(?s).$", "")
+    # A text that ends in a line break is no sentence anyway, so the last character is the terminal one.
+    body = F.left(reason, F.length(reason) - 1)
+    masked = body
     for pattern in NON_TERMINAL:
-        body = F.regexp_replace(body, pattern, "_")
+        masked = F.regexp_replace(masked, pattern, "_")
+    # Masks add no terminal character, so a body without one needs none.
+    inside = body.rlike("[.!?]")
     return (
-        ~reason.rlike(r"(?U)^[\s\x1c-\x1f]|[\s\x1c-\x1f]$|[\r\n]")
-        & reason.rlike(r"[.!?]$")
-        & ~body.rlike("[.!?]")
+        reason.rlike(r"[.!?]$")
+        & ~F.when(inside, masked.rlike("[.!?]")).otherwise(inside)
+        & ~reason.rlike(r"(?U)^[\s\x1c-\x1f]|[\s\x1c-\x1f]$|[\r\n]")
     )
 
 
-def reason_issues(reason: Column) -> Column:
-    """Codes of the style rules the sentence breaks, in a fixed order."""
-    authored = _words(F.regexp_replace(reason, QUOTED, " "))
+def _broken_rules(reason: Column) -> tuple[tuple[str, Column], ...]:
+    """Code and test of each style rule, in a fixed order."""
+    authored = fold_ascii_words(F.regexp_replace(reason, QUOTED, " "))
     length = F.length(reason)
-    checks = (
+    return (
         ("reason_length", (length < REASON_MIN) | (length > REASON_MAX)),
         ("reason_sentence_count", ~is_single_sentence(reason)),
-        ("reason_person", F.arrays_overlap(authored, _literals(FIRST_PERSON + SECOND_PERSON))),
-        ("reason_meta_language", F.arrays_overlap(authored, _literals(META_WORDS))),
-        ("reason_trigger_noun", ~F.arrays_overlap(_words(reason), _literals(TRIGGER_NOUNS))),
+        ("reason_person", _holds_word(authored, FIRST_PERSON + SECOND_PERSON)),
+        ("reason_meta_language", _holds_word(authored, META_WORDS)),
+        ("reason_trigger_noun", ~_holds_word(fold_ascii_words(reason), TRIGGER_NOUNS)),
     )
-    return F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in checks]))
+
+
+def reason_issues(reason: Column) -> Column:
+    """Codes of the style rules the sentence breaks, in a fixed order."""
+    return F.array_compact(F.array(*[F.when(broken, F.lit(code)) for code, broken in _broken_rules(reason)]))
 
 
 def passes_contract(reason: Column) -> Column:
-    return F.size(reason_issues(reason)) == 0
+    """No style rule is broken; the first broken one ends the test."""
+    return ~reduce(lambda a, b: a | b, [F.coalesce(broken, F.lit(False)) for _, broken in _broken_rules(reason)])
 
 
 def percent(rate: Column) -> Column:
@@ -114,7 +122,7 @@ def _stem(word: Column) -> Column:
         keep = len(suffix) + 2
         stemmed = F.when(
             F.endswith(word, F.lit(suffix)) & (F.length(word) > keep),
-            F.regexp_replace(word, f"{suffix}$", ""),
+            F.left(word, F.length(word) - len(suffix)),
         ).otherwise(stemmed)
     return stemmed
 
@@ -127,6 +135,9 @@ def content_words(text: Column) -> Column:
 
 def restates(sentence: Column, authored: Column) -> Column:
     """True when the authored text already covers 60% of the sentence's content words."""
-    gate = content_words(sentence)
-    shared = F.size(F.array_intersect(gate, content_words(authored)))
-    return (F.size(gate) == 0) | (shared / F.size(gate) >= RESTATEMENT_OVERLAP)
+    def covered(gate: Column) -> Column:
+        shared = F.size(F.array_intersect(gate, content_words(authored)))
+        return (F.size(gate) == 0) | (shared / F.size(gate) >= RESTATEMENT_OVERLAP)
+
+    # A one-element array names the words once.
+    return F.get(F.transform(F.array(content_words(sentence)), covered), F.lit(0))

@@ -61,7 +61,8 @@ def fallback_reason(outcome: Column, stage: Column) -> Column:
         .otherwise(NO_DECISION)
     )
     sentence = F.concat(who, media, clause)
-    return F.when(passes_contract(sentence), sentence).otherwise(GENERIC_REASON)
+    # A one-element array names the sentence once.
+    return F.get(F.transform(F.array(sentence), lambda s: F.when(passes_contract(s), s).otherwise(GENERIC_REASON)), F.lit(0))
 
 
 def fallback_columns(outcome: Column, stage: Column) -> dict[str, Column]:
@@ -142,8 +143,10 @@ def repair_reason() -> Column:
     )
     quoted = col("repair_credential").isNotNull() | col("repair_injection").isNotNull() | col("repair_payment").isNotNull()
     ordered = F.when((col("action") == "notify") & ~quoted, F.concat(supporting, adverse)).otherwise(F.concat(adverse, supporting))
-    passing = F.filter(F.array_compact(ordered), passes_contract)
-    return F.coalesce(F.try_element_at(passing, lit(1)), lit(FLOOR_SENTENCE))
+    # Sentences behind the first that passes are not looked at.
+    first = F.aggregate(ordered, lit(None).cast("string"), lambda found, s: F.when(
+        found.isNull() & s.isNotNull() & passes_contract(s), s).otherwise(found))
+    return F.coalesce(first, lit(FLOOR_SENTENCE))
 
 
 def settle(judged: DataFrame) -> DataFrame:
