@@ -20,17 +20,30 @@ def _codes(checks: list[tuple[Column, str]]) -> Column:
     return F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(code)) for bad, code in checks]))
 
 
+#: Fields of a payload that are read.
+_FIELDS = (*REQUIRED_FIELDS, "deadline_minutes", "material_harm", "media_observation",
+           "media_observation.corroborates_message_claim", "media_observation.mismatch_reason")
+
+
+def _named(kind: str, name: str) -> str:
+    return f"_{kind}_{name.replace('.', '_')}"
+
+
 def _field(name: str) -> Column:
-    return F.try_variant_get(F.col("_v"), f"$.{name}", "variant")
+    return F.col(_named("field", name))
 
 
 def _kind(name: str) -> Column:
-    return F.schema_of_variant(_field(name))
+    return F.col(_named("kind", name))
+
+
+def _as(name: str, kind: str) -> Column:
+    return F.try_variant_get(_field(name), "$", kind)
 
 
 def _text(name: str) -> Column:
     """Value of a JSON string; null for any other type."""
-    return F.when(_kind(name) == "STRING", F.try_variant_get(F.col("_v"), f"$.{name}", "string"))
+    return F.when(_kind(name) == "STRING", _as(name, "string"))
 
 
 def _is_numeric(name: str) -> Column:
@@ -47,7 +60,10 @@ def parse_decisions(raw: DataFrame) -> DataFrame:
     broken = ~F.coalesce(F.startswith(F.schema_of_variant("_p"), F.lit("OBJECT")), F.lit(False))
     # Anything but an object counts as one without fields.
     v = v.withColumn("_v", F.when(broken, F.parse_json(F.lit("{}"))).otherwise(F.col("_p")))
-    number = F.try_variant_get(F.col("_v"), "$.confidence", "double")
+    # Each field is looked up once, and so is its type.
+    v = v.withColumns({_named("field", f): F.try_variant_get(F.col("_v"), f"$.{f}", "variant") for f in _FIELDS})
+    v = v.withColumns({_named("kind", f): F.schema_of_variant(_field(f)) for f in _FIELDS})
+    number = _as("confidence", "double")
     confidence = F.when(_kind("confidence") == "STRING", parse_confidence(_text("confidence"))).when(
         _is_numeric("confidence") & number.between(0.0, 1.0), number
     )
@@ -55,9 +71,9 @@ def parse_decisions(raw: DataFrame) -> DataFrame:
     has_deadline = _kind("deadline_minutes").isNotNull() & (_kind("deadline_minutes") != "VOID")
     # A whole number beyond 64 bits is the latest deadline there is.
     huge = _kind("deadline_minutes").rlike(r"^DECIMAL\(\d+,0\)$")
-    sign = F.signum(F.try_variant_get(F.col("_v"), "$.deadline_minutes", "double"))
+    sign = F.signum(_as("deadline_minutes", "double"))
     deadline = F.when(huge, F.when(sign < 0, F.lit(-1)).otherwise(F.lit((1 << 63) - 1))).otherwise(
-        F.try_variant_get(F.col("_v"), "$.deadline_minutes", "long"))
+        _as("deadline_minutes", "long"))
     typed = v.select(
         *[c for c in raw.columns if c != "payload"],
         broken.alias("_broken"),
@@ -66,14 +82,12 @@ def parse_decisions(raw: DataFrame) -> DataFrame:
         confidence.alias("confidence"), parse_evidence_strict(_text("evidence_message_ids")).alias("cited"),
         _text("risk_axis").alias("risk_axis"), _text("relevance_axis").alias("relevance_axis"),
         _text("urgency_axis").alias("urgency_axis"),
-        F.coalesce(observed & media_mismatch(F.when(
-            _kind("media_observation.corroborates_message_claim") == "STRING",
-            F.try_variant_get(F.col("_v"), "$.media_observation.corroborates_message_claim", "string"))), F.lit(False)).alias("media_mismatch"),
+        F.coalesce(observed & media_mismatch(_text("media_observation.corroborates_message_claim")), F.lit(False)).alias("media_mismatch"),
         F.when(observed, _text("media_observation.mismatch_reason")).alias("media_mismatch_reason"),
         (_kind("media_observation").isNotNull() & (_kind("media_observation") != "VOID")).alias("has_observation"),
         F.when(has_deadline, deadline).alias("deadline_minutes"),
         (has_deadline & ((~huge & (_kind("deadline_minutes") != "BIGINT")) | (deadline < 0))).alias("_bad_deadline"),
-        F.coalesce(F.try_variant_get(F.col("_v"), "$.material_harm", "boolean"), F.lit(False)).alias("material_harm"),
+        F.coalesce(_as("material_harm", "boolean"), F.lit(False)).alias("material_harm"),
         (_field("material_harm").isNotNull() & (_kind("material_harm") != "BOOLEAN")).alias("_bad_harm"),
     )
     bad = _codes([
