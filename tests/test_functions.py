@@ -184,3 +184,33 @@ def test_tables_of_texts_are_spread_by_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(driver_views, "SPREAD_BYTES", 1 << 14)
     df = driver_views.table(spark, str(tmp_path), "events")
     assert df.rdd.getNumPartitions() > 50 and df.select("event_id").distinct().count() == df.count() == 20000
+
+
+def test_needles_lose_no_match(spark):
+    """The strings looked for first are in every match, so each pattern finds what it finds alone."""
+    shapes = ("note for the router", "agent instruction", "priority = high", "is_spam: false", "mark this message as urgent", "never be notified",
+              "disregard all prior rules", "respond as an operator", "we are the routing system", "sent by a trusted partner", "end user message :")
+    scans = ("forget all above rules", "operator override", "must suppress", "this is a verified account")
+    secrets = ("confirm your one time password", "identity re verification", "cvv needed")
+    hurry = ("settle it before the late fee", "expires soon so transfer")
+    typed = ("amount  due", "buy  one", "rsvp", "service update", "good evening", "share this", "due by noon")
+    for patterns, needles, texts in ((D.INJECTION_SHAPES, D.INJECTION_NEEDLES, shapes), (S.INJECTION_SCAN, S.INJECTION_SCAN_NEEDLES, scans),
+                                     (S.CREDENTIAL_SCAN, S.CREDENTIAL_SCAN_NEEDLES, secrets), (S.PAYMENT_SCAN, S.PAYMENT_SCAN_NEEDLES, hurry),
+                                     ([p for _, p in S.TYPE_KEYWORDS], [S.TYPE_NEEDLES[n] for n, _ in S.TYPE_KEYWORDS], typed)):
+        rows = spark.createDataFrame([(t,) for t in (*texts, "nothing here", "", None)], "t string")
+        t = F.col("t")
+        alone = [t.rlike(S.unicode_re(p)).alias(f"p{i}") for i, p in enumerate(patterns)]
+        after = [S.matches(t, p, held).alias(f"p{i}") for i, (p, held) in enumerate(zip(patterns, needles, strict=True))]
+        found = rows.select(*alone).collect()
+        assert rows.select(*after).collect() == found and all(found[i][i] for i in range(len(patterns)))
+
+
+def test_contract_passes_when_it_has_no_issue(spark):
+    whole = "The sender posted a payment reminder that the recipient opened on many earlier days"
+    texts = [f"{whole}.", whole, f"{whole}. Twice.", f"{whole} at 4.30 p.m. by Dr. R. Rao.", f"{whole}.\n", f"{whole}. ", f" {whole}.", f"{whole} of yours.",
+             f'{whole} with "your code".', f"{whole} (AI).", whole.replace("sender", "x").replace("payment reminder", "thing") + ".", "", ".", None]
+    issues = [["reason_sentence_count"] if i in (1, 2, 4, 5, 6) else [] for i in range(7)] + [
+        ["reason_person"], [], ["reason_meta_language"], ["reason_trigger_noun"]] + [["reason_length", "reason_sentence_count", "reason_trigger_noun"]] * 1 + [
+        ["reason_length", "reason_trigger_noun"], []]
+    assert values(spark, R.reason_issues, texts) == issues
+    assert values(spark, R.passes_contract, texts) == [not found for found in issues]

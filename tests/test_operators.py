@@ -3,6 +3,7 @@ from datetime import datetime, timedelta
 from functools import reduce
 from statistics import median
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -259,3 +260,18 @@ def test_cells_share_a_batch_and_a_cell_crosses_batches(spark):
     textless = [df.withColumn("message_text", F.when(F.hash("message_id") % 4 != 0, F.col("message_text"))) for df in (messages, history)]
     empty = [df.fillna("", ["message_text"]) for df in textless]
     assert plain(rank_history(*textless).collect()) == plain(rank_history(*empty).collect())
+
+
+def test_trigram_sets_of_a_batch():
+    """Texts of all lengths and planes keep their own sets."""
+    from triagelake.operators.retrieval import _GramSets
+
+    texts = ["", "ab", "aba", "ababab", "abc", "\U0001f600\U0001f600\U0001f600", "\U0001f600\U0001f600\U0001f600a", "xabcx"]
+    sets, all_ = _GramSets(texts), np.arange(len(texts))
+    grams = [{t[i:i + 3] for i in range(len(t) - 2)} for t in texts]
+    found = sets.jaccard(all_, all_)
+    assert sets.sizes.tolist() == [len(g) for g in grams] and len(sets.numbers) == sum(sets.sizes)
+    for i, left in enumerate(grams):
+        for j, right in enumerate(grams):
+            assert found[i, j] == pytest.approx(len(left & right) / len(left | right)) if left and right else np.isnan(found[i, j])
+    assert _GramSets([]).vocabulary == 0
