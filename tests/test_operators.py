@@ -7,9 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from triagelake import config as C
 from triagelake.operators.ranks import nearest_rank
 from triagelake.operators import context as X, divergence as V, engagement as E, evaluation as M, similarity as S
 from triagelake.operators.brand import brand_integrity
+from triagelake.operators import retrieval as R
 from triagelake.operators.retrieval import rank_history
 from triagelake.operators.running import median_before, totals_before
 
@@ -275,3 +277,34 @@ def test_trigram_sets_of_a_batch():
         for j, right in enumerate(grams):
             assert found[i, j] == pytest.approx(len(left & right) / len(left | right)) if left and right else np.isnan(found[i, j])
     assert _GramSets([]).vocabulary == 0
+
+
+def test_a_cell_returns_one_row_per_message_and_repeated_ids_share_their_lists(spark):
+    """Lists leave Python whole; ids that come twice, and recipients with several cells, are merged with k entries at most."""
+    import pyarrow as pa
+
+    from triagelake.operators.retrieval import _cell_ranker
+
+    messages, history = _chat(spark)
+    sides = [R._side(messages, True), R._side(history, False)]
+    zero = F.lit(0).cast("long")
+    rows = sides[0].unionByName(sides[1]).withColumn("cell_m", zero).withColumn("cell_h", zero).orderBy("user_id").toPandas()
+    n = messages.select("user_id", "message_id").join(history.select("user_id").distinct(), "user_id").count()
+    out = list(_cell_ranker(3, 2, 0.0, 0.1)(iter([pa.RecordBatch.from_pandas(rows, preserve_index=False)])))
+    assert sum(b.num_rows for b in out) == n
+    assert all(len(e or []) <= 3 and len(d or []) <= 2 for b in out for e, d in zip(b["evidence"].to_pylist(), b["near_duplicates"].to_pylist()))
+
+    def plain(rows):
+        return sorted((r.message_id, r.max_jaccard, r.duplicate_count, [(e.history_message_id, e.score, e.created_at) for e in r.evidence],
+                       [(e.history_message_id, e.text_excerpt) for e in r.near_duplicates]) for r in rows)
+
+    once = plain(rank_history(messages, history).collect())
+    twice = plain(rank_history(messages.unionByName(messages), history).collect())
+    split = plain(rank_history(messages.unionByName(messages), history, block_rows=7).collect())
+    assert twice == split and len(twice) == 2 * len(once)
+    for m, top, count, evidence, near in once:
+        found = [r for r in twice if r[0] == m]
+        assert len(found) == 2 and all(r[1] == top and r[2] == 2 * count for r in found)
+        for r in found:
+            k = min(2 * len(evidence), C.EVIDENCE_TOP_K)
+            assert sorted(s for _, s, _ in r[3]) == sorted(-s for s, _ in sorted([(-s, h) for h, s, _ in evidence] * 2)[:k])

@@ -3,19 +3,22 @@
 Every message is scored against the earlier history of its recipient. The pairs of one
 recipient are laid out as a grid of bounded cells: a recipient with more rows than a block
 gets several history and message blocks, so no task grows with the recipient. A cell never
-emits its pairs; it returns the few best rows per message and two running figures, which
-are merged per message afterwards.
+emits its pairs; it returns the few best rows per message as lists and two running figures,
+which are merged afterwards for messages that have several cells.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from triagelake import config as C
 from triagelake.functions.text import normalise_text
-from triagelake.functions.timewin import from_micros
 from triagelake.session import spread
 
 FLAG_NAMES = ("opened", "replied", "dismissed", "muted_after", "reported")
@@ -23,14 +26,15 @@ _DAY_US = 86400000000.0
 _VOCAB_CHUNK = 4096
 _CELL_KEYS = ["user_id", "cell_m", "cell_h"]
 
-_CELL_SCHEMA = """
-    message_id string, kind string, max_jaccard double, n_duplicates long,
-    history_message_id string, rank_value double, jaccard double, same_peer boolean, same_group boolean,
-    event_relevance double, recency double, history_at_us long, days_ago double, conversation_type string,
-    peer_id string, text_excerpt string, opened boolean, replied boolean, dismissed boolean,
-    muted_after boolean, reported boolean
+_ENTRY = """
+    _by_value: double, _by_time: bigint, history_message_id: string, score: double, same_peer: boolean, same_group: boolean,
+    jaccard: double, event_relevance: double, recency: double, created_at: timestamp_ntz, days_ago: double,
+    conversation_type: string, peer_id: string, text_excerpt: string, opened: boolean, replied: boolean,
+    dismissed: boolean, muted_after: boolean, reported: boolean
 """
-_CELL_COLUMNS = [part.split()[0] for part in _CELL_SCHEMA.replace("\n", " ").split(",")]
+_CELL_SCHEMA = f"message_id string, max_jaccard double, n_duplicates long, evidence array<struct<{_ENTRY}>>, near_duplicates array<struct<{_ENTRY}>>"
+_ARROW = {"double": pa.float64(), "bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "timestamp_ntz": pa.timestamp("us")}
+_ENTRY_TYPES = [(name, _ARROW[kind]) for name, kind in (part.split(": ") for part in " ".join(_ENTRY.split()).split(", "))]
 
 
 class _GramSets:
@@ -114,7 +118,7 @@ def _cell_numbers(rows: pd.DataFrame) -> np.ndarray:
 
 
 def _cell_ranker(k_evidence: int, k_near: int, min_score: float, min_jaccard: float):
-    def rank(rows: pd.DataFrame) -> pd.DataFrame:
+    def rank(rows: pd.DataFrame) -> pa.RecordBatch | None:
         # Messages first. Ties go to the newest row, then to the smallest id, which this order provides.
         cell, ids = _cell_numbers(rows), pd.factorize(rows["message_id"], sort=True)[0]
         order = np.lexsort((np.where(ids < 0, len(rows), ids), -rows["at_us"].to_numpy(), ~rows["is_message"].to_numpy(dtype=bool), cell))
@@ -128,7 +132,7 @@ def _cell_ranker(k_evidence: int, k_near: int, min_score: float, min_jaccard: fl
         )
         starts = np.flatnonzero(np.diff(cell, prepend=-1))
         n_messages = np.add.reduceat(rows["is_message"].to_numpy(dtype=np.int64), starts)
-        summaries, winners = [], []
+        summaries, winners = [], {"evidence": [], "near": []}
 
         def best(kind: str, first: int, middle: int, value: np.ndarray, keep: np.ndarray, k: int, figures: dict) -> None:
             columns = np.argsort(-np.where(keep, value, -np.inf), axis=1, kind="stable")[:, :k]
@@ -137,8 +141,8 @@ def _cell_ranker(k_evidence: int, k_near: int, min_score: float, min_jaccard: fl
             chosen = keep[asked, columns]
             asked, columns = asked[chosen], columns[chosen]
             if len(asked):
-                winners.append({"_m": asked + first, "_h": columns + middle, "kind": np.full(len(asked), kind, dtype=object),
-                                "rank_value": value[asked, columns], **{name: x[asked, columns] for name, x in figures.items()}})
+                winners[kind].append({"_m": asked + first, "_h": columns + middle, "score": value[asked, columns],
+                                      **{name: x[asked, columns] for name, x in figures.items()}})
 
         for first, n, end in zip(starts, n_messages, [*starts[1:], len(rows)]):
             middle = first + n
@@ -163,25 +167,38 @@ def _cell_ranker(k_evidence: int, k_near: int, min_score: float, min_jaccard: fl
             best("evidence", first, middle, score, earlier & (score >= min_score), k_evidence, figures)
             best("near", first, middle, lexical, near, k_near, figures)
         if not summaries:
-            return pd.DataFrame({c: [] for c in _CELL_COLUMNS})
+            return None
         asked, top, counts = (np.concatenate(x) for x in zip(*summaries))
-        out = [pd.DataFrame({"message_id": rows["message_id"].to_numpy()[asked], "kind": "summary", "max_jaccard": top, "n_duplicates": counts})]
-        if winners:
-            found = {name: np.concatenate([w[name] for w in winners]) for name in winners[0]}
-            asked, places = found.pop("_m"), found.pop("_h")
-            picked = rows.iloc[places].reset_index(drop=True)
-            out.append(pd.DataFrame({
-                "message_id": rows["message_id"].to_numpy()[asked], **found, "history_message_id": picked["message_id"],
-                "event_relevance": reaction[places], "history_at_us": picked["at_us"],
-                "conversation_type": picked["conversation_type"], "peer_id": picked["peer_id"],
-                "text_excerpt": picked["words"].str.slice(0, 160), **{f: picked[f] for f in FLAG_NAMES},
-            }))
-        out = pd.concat(out, ignore_index=True).reindex(columns=_CELL_COLUMNS)
-        return out.astype(object).where(out.notna(), None) if not winners else out
+        ids, others, types = (pa.array(rows[c], pa.string(), from_pandas=True) for c in ("message_id", "peer_id", "conversation_type"))
+        excerpts = pc.utf8_slice_codeunits(pa.array(rows["words"], pa.string(), from_pandas=True), 0, 160)
+        flags = {f: rows[f].to_numpy(dtype=bool) for f in FLAG_NAMES}
+
+        def ranked(kind: str) -> pa.Array:
+            """The entries of every message as one list, in ranking order."""
+            if not winners[kind]:
+                return pa.nulls(len(asked), pa.list_(pa.struct([pa.field(n, t) for n, t in _ENTRY_TYPES])))
+            found = {name: np.concatenate([w[name] for w in winners[kind]]) for name in winners[kind][0]}
+            places, times = found["_h"], at[found["_h"]].astype(np.int64)
+            found |= {
+                "_by_value": -found["score"], "_by_time": -times, "history_message_id": ids.take(pa.array(places)),
+                "event_relevance": reaction[places], "created_at": pa.array(times).cast(pa.timestamp("us")),
+                "conversation_type": types.take(pa.array(places)), "peer_id": others.take(pa.array(places)),
+                "text_excerpt": excerpts.take(pa.array(places)), **{f: flag[places] for f, flag in flags.items()},
+            }
+            entries = pa.StructArray.from_arrays([pa.array(found[n], t) for n, t in _ENTRY_TYPES], [n for n, _ in _ENTRY_TYPES])
+            # Messages and winners come in the same order, so a message's entries lie side by side.
+            per_row = np.bincount(found["_m"], minlength=len(rows))[asked]
+            return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], per_row.cumsum()]), pa.int32()), entries)
+
+        return pa.RecordBatch.from_arrays(
+            [ids.take(pa.array(asked)), pa.array(top, pa.float64(), from_pandas=True), pa.array(counts, pa.int64()), ranked("evidence"), ranked("near")],
+            ["message_id", "max_jaccard", "n_duplicates", "evidence", "near_duplicates"])
 
     def rank_cells(batches):
-        for rows in _whole_cells(batches):
-            yield rank(rows)
+        for rows in _whole_cells(batch.to_pandas() for batch in batches):
+            found = rank(rows)
+            if found is not None:
+                yield found
 
     return rank_cells
 
@@ -229,29 +246,39 @@ def rank_history(
         .withColumn("cell_m", F.explode(F.sequence(F.lit(0).cast("long"), s_m - 1)))
     ).drop("s_m", "s_h")
     # Recipients are many and mostly small, so a call into Python takes a batch of whole cells.
-    ranked = spread(cells, *_CELL_KEYS).sortWithinPartitions(*_CELL_KEYS).mapInPandas(
+    ranked = spread(cells, *_CELL_KEYS).sortWithinPartitions(*_CELL_KEYS).mapInArrow(
         _cell_ranker(k_evidence, k_near, C.EVIDENCE_MIN_SCORE, C.NEAR_DUPLICATE_MIN_JACCARD), _CELL_SCHEMA
     )
+    # Most messages have one cell, whose lists are the result. The entries of the others meet in one sorted stream per
+    # message, of which the first k go on: no list is longer than k, however many cells a recipient has.
+    alone = F.count("*").over(Window.partitionBy("message_id")) == 1
+    kinds = {"evidence": k_evidence, "near_duplicates": k_near}
+    no_entry = F.lit(None).cast(ranked.schema["evidence"].dataType.elementType)
+
+    def item(kind: str, entry: Column) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), entry.alias("entry"))
+
+    def items(kind: str) -> Column:
+        # A message without winners has no list.
+        return F.transform(F.coalesce(kind, F.array().cast(ranked.schema[kind].dataType)), lambda e: item(kind, e))
+
+    summary = F.array(item("summary", no_entry))
+    parts = ranked.withColumn("_alone", alone).withColumn(
+        "_item", F.explode(F.when(F.col("_alone"), summary).otherwise(F.concat(summary, *[items(k) for k in kinds]))))
     # Natural struct order is the ranking: value descending, newest first, smallest id.
-    entry = F.struct(
-        (-F.col("rank_value")).alias("_by_value"), (-F.col("history_at_us")).alias("_by_time"),
-        "history_message_id", F.col("rank_value").alias("score"), "same_peer", "same_group", "jaccard",
-        "event_relevance", "recency", from_micros(F.col("history_at_us")).alias("created_at"), "days_ago",
-        "conversation_type", "peer_id", "text_excerpt", *FLAG_NAMES,
-    )
-
-    # The winners of all cells meet in one sorted stream per message, of which the first k go on: no list
-    # is longer than k, however many cells a recipient has.
-    in_kind = Window.partitionBy("message_id", "kind").orderBy(F.desc("rank_value"), F.desc("history_at_us"), "history_message_id")
-    wanted = F.when(F.col("kind") == "evidence", k_evidence).when(F.col("kind") == "near", k_near)
-    merging = ranked.repartition("message_id").withColumn("_place", F.row_number().over(in_kind)).filter((F.col("kind") == "summary") | (F.col("_place") <= wanted))
+    entry, kind = F.col("_item.entry"), F.col("_item.kind")
+    in_kind = Window.partitionBy("message_id", "_item.kind").orderBy(entry["_by_value"], entry["_by_time"], entry["history_message_id"])
+    wanted = reduce(lambda chosen, k: chosen.when(kind == k, kinds[k]), kinds, F.when(F.lit(False), 0))
+    merging = parts.withColumn("_place", F.row_number().over(in_kind)).filter((kind == "summary") | (F.col("_place") <= wanted))
 
-    def top(kind: str):
-        return F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
+    def top(name: str) -> Column:
+        lists = F.when(F.col("_alone"), F.col(name)).when(kind == name, F.array(entry))
+        return F.sort_array(F.flatten(F.collect_list(lists)))
 
+    figures = kind == "summary"
     merged = merging.groupBy("message_id").agg(
-        F.max("max_jaccard").alias("max_jaccard"), F.sum("n_duplicates").alias("duplicate_count"),
-        top("evidence").alias("evidence"), top("near").alias("near_duplicates"),
+        F.max(F.when(figures, F.col("max_jaccard"))).alias("max_jaccard"), F.sum(F.when(figures, F.col("n_duplicates"))).alias("duplicate_count"),
+        *[top(k).alias(k) for k in kinds],
     )
     out = messages.select("message_id").join(merged, "message_id", "left")
     empty = F.array().cast(out.schema["evidence"].dataType)
