@@ -4,6 +4,8 @@ from functools import reduce
 from statistics import median
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -125,6 +127,62 @@ def test_links_and_clusters_match_brute_force_with_hot_copies(spark):
     assert sorted({n for _, n in got.values()}) == list(range(1, len({r for r, _ in got.values()}) + 1))
 
 
+def _alike(rng, n):
+    """Texts of one vocabulary, some of them near copies and some of one size, and the similarity of any two."""
+    letters = ["".join(rng.choice("abcd") for _ in range(rng.choice([20, 60, 61, 200]))) for _ in range(n // 2)]
+    near = [t[:k] + rng.choice("abcde\U0001f600") + t[k + 1:] for t in letters for k in [rng.randrange(len(t))]]
+    texts = {f"t{i:04d}": t for i, t in enumerate(rng.sample(letters + near, n))}
+    grams = {i: _grams(t) for i, t in texts.items()}
+    return texts, lambda a, b: len(grams[a] & grams[b]) / len(grams[a] | grams[b])
+
+
+def _parts_of(ids, pairs):
+    root = {i: i for i in ids}
+    for _ in ids:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def test_cells_and_buckets_give_links_of_the_same_meaning(spark):
+    """Comparing all texts of like size connects what the buckets connect, and holds each text's first partner."""
+    texts, similar = _alike(random.Random(23), 160)
+    pairs = {(a, b): similar(a, b) for a in texts for b in texts if a < b and similar(a, b) > 0.85}
+    assert len(pairs) > 40
+    reps = S.cut_lineage(S._gram_sets(spark.createDataFrame(list(texts.items()), "id string, words string")))
+    bands = S._sizes(reps, 0.85)
+    blocked = [S.blocked_links(reps, 0.85, bands, rows) for rows in (8192, 7)]
+    buckets = [S.bucketed_links(reps, 0.85, rows) for rows in (512, 8)]
+    for links in (*blocked, *buckets, S.representative_links(reps, 0.85, 512)):
+        got = {(r["id"], r["other"]): r["jaccard"] for r in links.collect()}
+        assert got.items() <= pairs.items()
+        assert _parts_of(texts, got) == _parts_of(texts, pairs)
+        first = lambda found: {i: min(b if a == i else a for a, b in found if i in (a, b)) for pair in found for i in pair}
+        assert first(got) == first(pairs)
+    # Too many pairs left over for the cells' price: the buckets give up before they form them.
+    assert S.bucketed_links(reps, 0.85, 512, most_pairs=0) is None
+
+
+def test_a_cell_returns_few_links_and_verifies_in_parts(monkeypatch):
+    texts, similar = _alike(random.Random(29), 90)
+    copies = {f"x{i:03d}": "the lift on the third floor is being repaired until noon " + str(i % 10) * (i % 3) for i in range(200)}
+    sets = {i: sorted({int(ord(t[k])) << 42 | ord(t[k + 1]) << 21 | ord(t[k + 2]) for k in range(len(t) - 2)}) for i, t in (texts | copies).items()}
+    size = lambda a, b: len(set(sets[a]) & set(sets[b])) / len(set(sets[a]) | set(sets[b]))
+    assert all(S._unpacked(x).tolist() == g for x, g in zip(S._packed.func(pd.Series([np.array(g) for g in sets.values()])), sets.values()))
+    monkeypatch.setattr(S, "_PLANE", 64)
+    for right, checked in ((False, 1 << 20), (True, 50)):
+        monkeypatch.setattr(S, "_CHECKED_PAIRS", checked)
+        side = {i: right and k % 2 == 1 for k, i in enumerate(sets)}
+        table = pa.table({"cell": [0] * len(sets), "right": [side[i] for i in sets], "id": list(sets), "n": pa.array([len(g) for g in sets.values()], pa.int32()),
+                          "packed": S._packed.func(pd.Series([np.array(g) for g in sets.values()]))})
+        rows = S._linked_cell(0.85)(table).to_pylist()
+        pairs = [(a, b) for a in sets for b in sets if a < b and (not right or side[a] != side[b]) and size(a, b) > 0.85]
+        got = {(r["id"], r["other"]) for r in rows}
+        assert got <= set(pairs) and len(rows) == len(got) < 2 * len(sets) < len(pairs)
+        assert all(abs(r["jaccard"] - size(r["id"], r["other"])) < 1e-12 for r in rows)
+        assert _parts_of(sets, got) == _parts_of(sets, pairs)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("z1", "z2")], "id string, other string")
     got = {r["node"]: r["root"] for r in S.connected_components(links).collect()}

@@ -7,33 +7,66 @@ member. Members close enough to the hub need no other partner among themselves i
 bucket, because they are already connected through it; a bucket that stays crowded gets
 further hubs. Only pairs the hubs do not explain are compared, in cells of bounded size, by
 a parity sketch that never rejects a qualifying pair; the few survivors are verified.
+
+Texts of one vocabulary share even their rarest trigrams, so buckets would compare a pair many
+times over. Where comparing all texts of like size costs less than that, it is done instead:
+``blocked_links`` meets blocks of texts in cells, of which each is array work of one task.
 """
 
 from __future__ import annotations
 
+import zlib
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import BinaryType
 
 from triagelake import config as C
-from triagelake.functions.text import jaccard, normalise_text, trigrams
+from triagelake.functions.text import jaccard, normalise_text
 from triagelake.session import cut_lineage, spread
 
 _WORDS = 8                      # 64-bit words of the parity sketch
 _SKETCH = [f"s{i}" for i in range(_WORDS)]
 _MAX_HUB_ROUNDS = 3
+# A pair costs a cell some 30 ns and a bucket 50 times that; a trigram costs the buckets as much as 500 pairs of a cell.
+_BUCKET_PAIR, _BUCKET_GRAM = 50, 500
+# Pairs of a cell that are worth a call, and rows and trigrams that a block may hold.
+_CELL_PAIRS, _BLOCK_ROWS, _BLOCK_GRAMS = 1 << 22, 8192, 1 << 22
+_SKETCH_BITS = 2048             # of the parity sketch inside a cell
+_PLANE = 4096                   # trigrams of one bit plane
+_CHECKED_PAIRS = 1 << 20        # pairs of a cell verified together
 
 
 def _representatives(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, words, n) of distinct comparable texts, and (id, rep) of every row."""
+    """(id, words) of distinct comparable texts, and (id, rep) of every row."""
     # Normalised once, in the tasks the texts were spread over: a filter on it would sink below that exchange.
     rows = cut_lineage(texts.select("id", normalise_text(F.col("text")).alias("words")).withColumn("_key", F.sha2("words", 256)))
     rows = rows.filter(F.length("words") >= 3)
     reps = rows.groupBy("_key").agg(F.min("id").alias("rep"), F.any_value("words").alias("words"))
     members = rows.select("id", "_key").join(reps.select("_key", "rep"), "_key").select("id", "rep")
-    grams = trigrams(F.col("words"))
-    return reps.select(F.col("rep").alias("id"), "words", grams.alias("grams"), F.size(grams).alias("n")), members
+    return reps.select(F.col("rep").alias("id"), "words"), members
+
+
+def _gram_sets(reps: DataFrame) -> DataFrame:
+    """(id, grams, n): the distinct trigrams of each text; three code points of 21 bits are one number."""
+    kind = reps.schema["id"].dataType.simpleString()
+
+    def sets(batches):
+        for batch in batches:
+            for part in (batch.slice(start, 512) for start in range(0, batch.num_rows, 512)):
+                found = []
+                for words in part.column("words").to_pylist():
+                    points = np.frombuffer(words.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.int64)
+                    found.append(np.unique(points[:-2] << 42 | points[1:-1] << 21 | points[2:]))
+                n = np.array([len(x) for x in found], dtype=np.int32)
+                grams = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], n.cumsum()]), pa.int32()), pa.array(np.concatenate(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("id"), grams, pa.array(n)], ["id", "grams", "n"])
+
+    return reps.mapInArrow(sets, f"id {kind}, grams array<bigint>, n int")
 
 
 def _sketches(reps: DataFrame) -> DataFrame:
@@ -56,6 +89,11 @@ def _may_qualify(bits: Column, sizes: Column, threshold: float) -> Column:
     return bits * F.lit(1 + threshold) <= sizes * F.lit(1 - threshold) + 1e-9
 
 
+def _band(threshold: float) -> Column:
+    """Texts whose sizes do not lie in the same or in neighbouring bands are less similar than the threshold."""
+    return F.floor(F.log("n") / F.lit(-np.log(threshold).item())).cast("int")
+
+
 def _buckets(reps: DataFrame, threshold: float) -> DataFrame:
     """(bucket, own, id, n): the rarest trigrams of each text, split by size band.
 
@@ -68,8 +106,7 @@ def _buckets(reps: DataFrame, threshold: float) -> DataFrame:
     keep = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1
     ranked = tokens.join(frequency, "gram").groupBy("id", "n").agg(
         F.array_sort(F.collect_list(F.struct("f", "gram"))).alias("rare"))
-    band = F.floor(F.log("n") / F.lit(-np.log(threshold).item())).cast("int")
-    prefix = ranked.withColumn("_band", band).select(
+    prefix = ranked.withColumn("_band", _band(threshold)).select(
         "id", "n", "_band", F.explode(F.slice("rare", F.lit(1), keep.cast("int"))).alias("t"))
     seats = F.explode(F.array(
         F.struct(F.concat_ws("|", "t.gram", "_band").alias("bucket"), F.lit(True).alias("own")),
@@ -112,12 +149,205 @@ def _hub_round(rows: DataFrame, sketches: DataFrame, reps: DataFrame, threshold:
     return cut_lineage(judged), star.filter(F.col("jaccard") > threshold)
 
 
+def _parts(left: np.ndarray, right: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """``labels`` with the parts that the pairs connect under one label, the smallest."""
+    while (labels[left] != labels[right]).any():
+        a, b = labels[left], labels[right]
+        np.minimum.at(labels, np.maximum(a, b), np.minimum(a, b))
+        while (labels[labels] != labels).any():
+            labels = labels[labels]
+    return labels
+
+
+def _kept(left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which pairs to keep so that each text has its smallest partner, and what all pairs connect stays connected."""
+    best = np.full(len(rank), np.iinfo(np.int64).max)
+    np.minimum.at(best, left, rank[right])
+    np.minimum.at(best, right, rank[left])
+    keep = (rank[right] == best[left]) | (rank[left] == best[right])
+    labels = _parts(left[keep], right[keep], np.arange(len(rank)))
+    while len(apart := np.flatnonzero(labels[left] != labels[right])):
+        # One pair of each part that has one; every round at least halves the parts.
+        chosen = apart[np.unique(labels[left[apart]], return_index=True)[1]]
+        keep[chosen] = True
+        labels = _parts(left[chosen], right[chosen], labels)
+    return keep
+
+
+class _Cell:
+    """Trigram sets of some texts, of which the first ``middle`` are compared with the rest, or all with all if that is none."""
+
+    def __init__(self, grams: np.ndarray, sizes: np.ndarray, middle: int):
+        self.sizes, self.rows, self.middle = sizes, np.repeat(np.arange(len(sizes)), sizes), middle
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.codes, names = pd.factorize(grams)
+        # Only trigrams of two texts, one of either side, can be shared.
+        if middle < len(sizes):
+            half = self.starts[middle]
+            in_pair = [np.bincount(side, minlength=len(names)) > 0 for side in (self.codes[:half], self.codes[half:])]
+            common = in_pair[0] & in_pair[1]
+        else:
+            common = np.bincount(self.codes, minlength=len(names)) > 1
+        column = np.where(common, np.cumsum(common) - 1, -1)[self.codes]
+        order = np.flatnonzero(column >= 0)
+        order = order[np.argsort(column[order] // _PLANE, kind="stable")]
+        self.at, self.column = self.rows[order], column[order]
+        self.planes = np.searchsorted(self.column // _PLANE, np.arange(-(-int(common.sum()) // _PLANE) + 1))
+
+    def sketches(self) -> np.ndarray:
+        """One column of words for each text: the parities of its trigrams over so many bits."""
+        words = np.empty((_SKETCH_BITS // 64, len(self.sizes)), dtype=np.uint64)
+        for first in range(0, len(self.sizes), 512):
+            last = min(first + 512, len(self.sizes))
+            part = slice(self.starts[first], self.starts[last])
+            odd = np.bincount((self.rows[part] - first) * _SKETCH_BITS + self.codes[part] % _SKETCH_BITS, minlength=(last - first) * _SKETCH_BITS) & 1
+            words[:, first:last] = np.packbits(odd.astype(np.uint8).reshape(last - first, -1), axis=1).view(np.uint64).T
+        return words
+
+    def shared(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Trigrams that the texts of each pair share."""
+        out = np.zeros(len(left), dtype=np.int64)
+        used = np.unique(np.concatenate([left, right]))
+        place = np.full(len(self.sizes), -1)
+        place[used] = np.arange(len(used))
+        for plane, (start, end) in enumerate(zip(self.planes[:-1], self.planes[1:])):
+            rows, columns = place[self.at[start:end]], self.column[start:end] - plane * _PLANE
+            bits = np.empty((len(used), _PLANE // 64), dtype=np.uint64)
+            cuts = np.argsort(rows, kind="stable")
+            rows, columns = rows[cuts], columns[cuts]
+            for first in range(0, len(used), 1024):
+                last = min(first + 1024, len(used))
+                a, b = np.searchsorted(rows, (first, last))
+                dense = np.zeros((last - first, _PLANE), dtype=np.uint8)
+                dense[rows[a:b] - first, columns[a:b]] = 1
+                bits[first:last] = np.packbits(dense, axis=1).view(np.uint64)
+            for first in range(0, len(left), 8192):
+                pair = slice(first, first + 8192)
+                out[pair] += np.bitwise_count(bits[place[left[pair]]] & bits[place[right[pair]]]).sum(axis=1, dtype=np.int64)
+        return out
+
+    def candidates(self, threshold: float):
+        """Pairs that the sketches do not rule out, some at a time; texts of a side are in order of size."""
+        sketches, sizes, end = self.sketches(), self.sizes, len(self.sizes)
+        inside = self.middle == end
+        others, low = (sizes, 0) if inside else (sizes[self.middle:], self.middle)
+        slack = (1 - threshold) / (1 + threshold)
+        for first in range(0, self.middle, 64):
+            last = min(first + 64, self.middle)
+            a = max(low + int(np.searchsorted(others, sizes[first] * threshold - 1e-6)), first + 1 if inside else 0)
+            b = low + int(np.searchsorted(others, sizes[last - 1] / threshold + 1e-6, "right"))
+            if a >= b:
+                continue
+            apart = np.zeros((last - first, b - a), dtype=np.uint16)
+            for word in sketches:
+                apart += np.bitwise_count(word[first:last, None] ^ word[None, a:b])
+            x, y = np.nonzero(apart <= (sizes[first:last, None] + sizes[None, a:b]) * slack + 1e-9)
+            x, y = x + first, y + a
+            if inside:
+                x, y = x[x < y], y[x < y]
+            yield x, y
+
+
+@F.pandas_udf(BinaryType())
+def _packed(sets: pd.Series) -> pd.Series:
+    """Ordered trigrams in an eighth of their bytes, as a text travels to many cells."""
+    def pack(x: np.ndarray) -> bytes:
+        points = np.concatenate([np.diff(x >> 42, prepend=0), x >> 21 & 0x1FFFFF, x & 0x1FFFFF]).astype("<u4")
+        return zlib.compress(points.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+    return sets.map(pack)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    points = np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").reshape(3, -1).astype(np.int64)
+    return np.cumsum(points[0]) << 42 | points[1] << 21 | points[2]
+
+
+def _linked_cell(threshold: float):
+    def linked(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([("right", "ascending"), ("n", "ascending")])
+        ids, sizes = table["id"].combine_chunks(), table["n"].to_numpy().astype(np.int64)
+        rank = pc.rank(ids, tiebreaker="dense").to_numpy().astype(np.int64)
+        grams = np.concatenate([_unpacked(x) for x in table["packed"].to_pylist()])
+        cell = _Cell(grams, sizes, int((~table["right"].to_numpy()).sum()))
+        found, waiting, held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)), [], 0
+
+        def verified():
+            left, right = (np.concatenate(x) for x in zip(*waiting))
+            differ = rank[left] != rank[right]
+            left, right = left[differ], right[differ]
+            both = cell.shared(left, right)
+            similar = both / (sizes[left] + sizes[right] - both)
+            hit = similar > threshold
+            left, right, similar = (np.concatenate([old, new[hit]]) for old, new in zip(found, (left, right, similar)))
+            keep = _kept(left, right, rank)
+            return left[keep], right[keep], similar[keep]
+
+        for pairs in cell.candidates(threshold):
+            waiting.append(pairs)
+            held += len(pairs[0])
+            if held >= _CHECKED_PAIRS:
+                found, waiting, held = verified(), [], 0
+        if held:
+            found = verified()
+        left, right, similar = found
+        swap = rank[left] > rank[right]
+        low, high = np.where(swap, right, left), np.where(swap, left, right)
+        return pa.table({"id": ids.take(pa.array(low)), "other": ids.take(pa.array(high)), "jaccard": pa.array(similar, pa.float64())})
+
+    return linked
+
+
+def _sizes(reps: DataFrame, threshold: float) -> dict[int, tuple[int, int]]:
+    """Texts and trigrams of each size band."""
+    rows = reps.groupBy(_band(threshold).alias("band")).agg(F.count("*").alias("texts"), F.sum("n").alias("grams")).collect()
+    return {r["band"]: (r["texts"], r["grams"]) for r in sorted(rows)}
+
+
+def _pairs_of_like_size(bands: dict[int, tuple[int, int]]) -> int:
+    return sum(texts * (texts - 1) // 2 + texts * bands.get(band + 1, (0, 0))[0] for band, (texts, _) in bands.items())
+
+
+def blocked_links(reps: DataFrame, threshold: float, bands: dict[int, tuple[int, int]], block_rows: int = _BLOCK_ROWS) -> DataFrame:
+    """The links of ``representative_links``, by comparing all texts of the same and of neighbouring size bands.
+
+    A band is dealt over blocks of bounded rows and trigrams, and every two blocks that may hold partners meet in
+    a cell. A cell returns no more links than it has texts and parts, never its pairs.
+    """
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = min(block_rows, int(max(_CELL_PAIRS, _pairs_of_like_size(bands) // (8 * parts)) ** 0.5))
+    blocks = {band: max(-(-texts // rows), -(-grams // _BLOCK_GRAMS)) for band, (texts, grams) in bands.items()}
+    cells = [((band, i), (band, j)) for band, n in blocks.items() for i in range(n) for j in range(i, n)]
+    cells += [((band, i), (band + 1, j)) for band, n in blocks.items() for i in range(n) for j in range(blocks.get(band + 1, 0))]
+    seats = [(*left, number, False) for number, (left, _) in enumerate(cells)]
+    seats += [(*right, number, True) for number, (left, right) in enumerate(cells) if left != right]
+    if not cells:
+        return reps.select("id", F.col("id").alias("other"), F.lit(0.0).alias("jaccard")).limit(0)
+    seats = reps.sparkSession.createDataFrame(seats, "band int, block int, cell int, right boolean")
+    count = F.create_map(*[F.lit(x) for pair in blocks.items() for x in pair])
+    placed = reps.select("id", "n", _packed("grams").alias("packed"), _band(threshold).alias("band")).withColumn("block", F.pmod(F.xxhash64("id", "n"), count[F.col("band")]).cast("int"))
+    rows = placed.join(seats, ["band", "block"]).select("cell", "right", "id", "n", "packed")
+    kind = reps.schema["id"].dataType.simpleString()
+    found = rows.repartition(max(parts, min(len(cells), 4096)), "cell").groupBy("cell").applyInArrow(
+        _linked_cell(threshold), f"id {kind}, other {kind}, jaccard double")
+    return found.dropDuplicates(["id", "other"])
+
+
 def representative_links(reps: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     """Links (id, other, jaccard), id < other, between distinct texts above the threshold.
 
     The links connect exactly the texts the full pair list would connect, and hold each
     text's smallest partner.
     """
+    bands = _sizes(reps, threshold)
+    if _pairs_of_like_size(bands) <= _BUCKET_GRAM * sum(grams for _, grams in bands.values()):
+        return blocked_links(reps, threshold, bands)
+    links = bucketed_links(reps, threshold, block_rows, _pairs_of_like_size(bands))
+    return blocked_links(reps, threshold, bands) if links is None else links
+
+
+def bucketed_links(reps: DataFrame, threshold: float, block_rows: int, most_pairs: float = float("inf")) -> DataFrame | None:
+    """The links of ``representative_links`` by buckets and hubs; nothing if ``most_pairs`` in cells cost less than what the hubs leave over."""
     buckets, sketches = _buckets(reps, threshold), cut_lineage(_sketches(reps))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("_size"), F.max("own").alias("_any_own"))
     # Seats of a crowded bucket lie in many parts; its hub is sent to each of them.
@@ -142,8 +372,11 @@ def representative_links(reps: DataFrame, threshold: float, block_rows: int) ->
     active = rows.groupBy("bucket").agg(
         F.min(F.when(F.col("explained") != 1, F.col("distance"))).alias("_edge"),
         F.count_if(F.col("explained") != 1).alias("_outside"), F.count("*").alias("n_all")).filter("_outside > 0")
-    rest = rows.join(active, "bucket").filter((F.col("explained") != 1) | (F.col("distance") > F.col("_edge") - slack)).join(
-        sketches.drop("n"), "id")
+    rest = rows.join(active, "bucket").filter((F.col("explained") != 1) | (F.col("distance") > F.col("_edge") - slack))
+    left_over = rest.groupBy("bucket").agg((F.count_if(F.col("explained") != 1) * F.count("*")).cast("double").alias("pairs"))
+    if (left_over.agg(F.sum("pairs")).first()[0] or 0) * _BUCKET_PAIR > most_pairs:
+        return None
+    rest = rest.join(sketches.drop("n"), "id")
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n_all") / block_rows)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks).cast("int")
     every = F.explode(F.sequence(F.lit(0), blocks - 1))
@@ -167,7 +400,7 @@ def near_duplicate_links(
 ) -> tuple[DataFrame, DataFrame]:
     """Links between representatives, and (id, rep) for every comparable row of ``texts``."""
     reps, members = _representatives(texts)
-    reps = cut_lineage(spread(reps, "id"))
+    reps = cut_lineage(_gram_sets(spread(reps.filter("id IS NOT NULL"), "id")))
     return cut_lineage(representative_links(reps, threshold, block_rows)), members
 
 
