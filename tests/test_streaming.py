@@ -81,3 +81,16 @@ def test_bursts_hold_one_count_an_hour(spark, tmp_path):
     found = live.read_bursts(spark, str(tmp_path / "out")).collect()
     assert {(r.user_id, r.peer_id, r.window_start, r.window_end): r.n for r in found} == expected and len(found) == len(expected)
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == len(set(known))
+
+
+def test_batches_join_finished_snapshots(spark, monkeypatch):
+    """No batch of the routed stream works out the snapshots again."""
+    from triagelake.catalog import runs
+
+    joined, features = [], live.stream_features
+    monkeypatch.setattr(live, "stream_features", lambda m, *statics: joined.extend(statics) or features(m, *statics))
+    rows = runs.REGISTRY.queries["T01_streamed_router"](spark, "/root/testdata/sf0.001")
+    assert len(joined) == 3 and rows.count() > 0
+    for df in joined:
+        plan = df._jdf.queryExecution().toString()
+        assert "Aggregate" not in plan and "driver_" not in plan and "events" not in plan

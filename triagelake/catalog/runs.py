@@ -168,14 +168,24 @@ def first_of_file(load):
     return first_rows(load("messages"), 700).select("message_id", "position")
 
 
+#: Messages of a file of the stream, so that the batches of a long backlog are not many small ones.
+_FILE_ROWS = 100_000
+
+
 def _stream_of_messages(load):
     """The messages as a stream: the domain rows are written once and read file by file."""
     path = _scratch(load, "messages")
     rows = load("messages")
-    rows.write.parquet(path)
+    rows.coalesce(max(load.spark.sparkContext.defaultParallelism, -(-rows.count() // _FILE_ROWS))).write.parquet(path)
     return load.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
+def _snapshot(load, name: str, rows: DataFrame) -> DataFrame:
+    path = _scratch(load, name)
+    rows.write.parquet(path)
+    return load.spark.read.parquet(path)
+
+
 @add("T01_streamed_router", ROUTER_VIEWS, ROUTED.replace("AND e.created_at < m.created_at", "") + " SELECT message_id, action, message_type, rule FROM routed")
 def streamed_router(load):
     """Streamed messages routed against a finished history snapshot."""
@@ -183,11 +193,10 @@ def streamed_router(load):
     from triagelake.functions.scores import rate
     peers = enriched_history(t).filter("has_event AND peer_id IS NOT NULL").groupBy("user_id", "peer_id").agg(
         F.count("*").alias("peer_n"), rate(F.count_if("dismissed"), F.count("*")).alias("peer_dismiss_rate"))
-    # Written once: every batch of the stream joins the finished snapshot.
-    snapshot = _scratch(load, "peers")
-    peers.write.parquet(snapshot)
-    peers = load.spark.read.parquet(snapshot)
-    features = live.stream_features(_stream_of_messages(load), t.business_accounts, t.user_business_history, peers)
+    # Written once: every batch of the stream joins the finished snapshots and works none of them out again.
+    known = t.user_business_history.select("user_id", "business_id", "promotions_opted_out_at")
+    accounts, known, peers = (_snapshot(load, name, rows) for name, rows in (("accounts", t.business_accounts), ("known", known), ("peers", peers)))
+    features = live.stream_features(_stream_of_messages(load), accounts, known, peers)
     store = _scratch(load, "routed")
     live.route_stream(features, store, _scratch(load, "state")).awaitTermination()
     return live.read_routed(load.spark, store).select("message_id", "action", "message_type", "rule")

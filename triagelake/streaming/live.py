@@ -14,14 +14,16 @@ from triagelake.functions.scores import resolve_peer
 from triagelake.operators.context import business_relationship, latest_per_key
 from triagelake.plans.dossier import content_signals, sender_identity
 from triagelake.plans.router import route
+from triagelake.session import spread
 
 
 def stream_features(messages: DataFrame, accounts: DataFrame, relations: DataFrame, peer_rates: DataFrame) -> DataFrame:
     """Router inputs of streamed messages by stream-static joins.
 
     ``peer_rates`` holds user_id, peer_id, peer_n and peer_dismiss_rate of a finished
-    history snapshot.
+    history snapshot. A batch has few files, so its texts are dealt to all tasks.
     """
+    messages = spread(messages, "message_id")
     _, peer = resolve_peer(F.col("conversation_type"), F.col("business_id"), F.col("sender_user_id"))
     row = sender_identity(content_signals(messages.withColumn("peer_id", peer)), accounts)
     row = row.join(peer_rates, ["user_id", "peer_id"], "left")
