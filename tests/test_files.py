@@ -332,3 +332,22 @@ def test_ranges_travel_without_the_package(spark, tmp_path, monkeypatch):
     (tmp_path / "a.csv").write_text('x,y\n1,"two\nlines"\n')
     assert [r.record for r in read_records(spark, str(tmp_path / "a.csv")).rows.collect()] == ['1,"two\nlines"']
     assert sent and not any(b"triagelake" in value for value in sent)
+
+
+def test_a_table_is_cut_and_typed_once(spark, tmp_path):
+    """What the contract is checked on, and what a run reads again, is no longer the text."""
+    path = _write(tmp_path, "e.csv", ",".join(files.TABLES["message_events"]) + "\nu1,m1,Yes,no,1.5,0,fal\u017fe,TRUE\nu1,m2,1,No,,yes,false,0\n")
+    rows = files.read_table(spark, path, "message_events")
+    plan = rows._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "from_csv" not in plan
+    assert [tuple(r)[2:8] for r in rows.orderBy("position").collect()] == [(True, False, 1.5, False, False, True), (True, False, None, True, False, False)]
+
+
+def test_boolean_words_are_folded_like_in_python(spark):
+    from triagelake.functions.vocab import boolean_word
+
+    words = [w for b in ("true", "1", "yes", "false", "0", "no", "ye", "falsse", "st") for w in (b, b.upper(), f" {b} ", b.replace("s", "\u017f"), b.replace("ss", "\u00df"), b + "\u212a")]
+    rows = spark.createDataFrame([(w,) for w in [*words, None]], "w string").select("w", boolean_word(F.col("w")).alias("b"))
+    assert "EvalPython" not in rows._jdf.queryExecution().toString()
+    of = {**dict.fromkeys(("true", "1", "yes"), True), **dict.fromkeys(("false", "0", "no"), False)}
+    assert [(r.w, r.b) for r in rows.collect()] == [(w, w and of.get(w.strip(" ").casefold())) for w in [*words, None]]

@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, functions as F
 
 from triagelake import config as C
-from triagelake.functions.text import casefold, fold_ascii_words
+from triagelake.functions.text import fold_ascii_words
 
 _NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -95,7 +95,8 @@ def media_mismatch(verdict: Column) -> Column:
 
 
 def boolean_word(text: Column) -> Column:
-    folded = casefold(F.trim(text))
+    # Of other characters only the long s casefolds to a part of these words.
+    folded = F.lower(F.replace(F.trim(text), F.lit("\u017f"), F.lit("s")))
     return F.when(folded.isin("true", "1", "yes"), F.lit(True)).when(folded.isin("false", "0", "no"), F.lit(False))
 
 

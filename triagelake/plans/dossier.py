@@ -14,7 +14,7 @@ from triagelake.operators import context as X, engagement as E
 from triagelake.operators.brand import brand_integrity
 from triagelake.operators.retrieval import rank_history
 from triagelake.operators.running import may_be_crowded
-from triagelake.session import at_once, cut_lineage, shared_dir
+from triagelake.session import at_once, shared_dir
 from triagelake.sources import driver_views
 from triagelake.sources.bucketed import Reactions
 from triagelake.sources.files import media_manifest, read_table
@@ -43,18 +43,18 @@ class Tables:
     def from_folder(cls, spark: SparkSession, folder: str) -> "Tables":
         """The tables of a dataset folder, each under its contract; attachments lie in ``media``.
 
-        A run reads most tables several times, so each is parsed once and kept as a checkpoint. The tables are
+        A run reads most tables several times; each is parsed once and kept as a checkpoint. The tables are
         read side by side, because most of a reading is small jobs one after the other.
         """
         named = {"history": "message_history", "daily_summary": "daily_notification_summary"}
         shared_dir(spark)
 
         def parsed(name: str) -> DataFrame:
-            return cut_lineage(read_table(spark, f"{folder}/{named.get(name, name)}.csv", named.get(name, name)))
+            return read_table(spark, f"{folder}/{named.get(name, name)}.csv", named.get(name, name))
 
-        names = [name for name in cls.__dataclass_fields__ if name != "media"]
+        names = [name for name in cls.__dataclass_fields__ if name != "media"] + ["images", "voice_notes"]
         read = dict(zip(names, at_once(partial(parsed, name) for name in names)))
-        images, voices = (read_table(spark, f"{folder}/{name}.csv", name) for name in ("images", "voice_notes"))
+        images, voices = read.pop("images"), read.pop("voice_notes")
         return cls(**read, media=media_manifest(spark, images, voices, folder, "media"))
 
     def bucketed(self, folder: str) -> "Tables":

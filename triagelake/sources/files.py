@@ -13,6 +13,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from triagelake.config import OUTPUT_COLUMNS
 from triagelake.functions.vocab import ordered_evidence, parse_confidence, parse_evidence_set
 from triagelake.operators.similarity import number_in_order
+from triagelake.session import cut_lineage
 from triagelake.sources.contracts import ContractError, apply_schema, require_clean, require_unique
 from triagelake.sources.csvlines import read_records
 from triagelake.sources.digests import file_digests
@@ -113,13 +114,17 @@ def read_strict_csv(spark: SparkSession, path: str, required: list[str], faults:
 
 
 def read_table(spark: SparkSession, path: str, name: str, quarantine: bool = False) -> DataFrame:
-    """One source table, typed; broken rows raise, or stay with ``_errors`` in quarantine mode."""
+    """One source table, typed; broken rows raise, or stay with ``_errors`` in quarantine mode.
+
+    The records are cut and typed once, into a checkpoint that the contract is checked on: a filter on the errors would
+    sink below the parsing and work out each field again for every error that names it.
+    """
     schema = TABLES[name]
     raw = read_strict_csv(spark, path, list(schema)).select(*schema, "position")
     parsed = apply_schema(raw, schema)
     if quarantine:
         return parsed
-    typed = require_clean(parsed, name)
+    typed = require_clean(cut_lineage(parsed), name)
     return require_unique(typed, UNIQUE[name], name) if name in UNIQUE else typed
 
 
